@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import keyed_texts, mixed, range_hashes, word_ranges
+from .shared import carried_schema, keyed_texts, mixed, range_hashes, word_ranges
 
 _HIT = "rid long, doc_id long, n_words long, starts array<int>, ends array<int>, items array<string>"
 
@@ -160,16 +160,16 @@ def _block_hits(texts: DataFrame, items: list[tuple[str, bytes]], window: int, s
                 part = batch.slice(a, b - a)
                 ints = pa.list_(pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(np.diff(words.bounds), pa.int64()), pa.array(starts, ints), pa.array(ends, ints), pa.array([sorted(x) for x in found], pa.list_(pa.string()))],
-                    names=["rid", "doc_id", "n_words", "starts", "ends", "items"],
+                    [part.column(0), part.column(1), pa.array(np.diff(words.bounds), pa.int64()), pa.array(starts, ints), pa.array(ends, ints), pa.array([sorted(x) for x in found], pa.list_(pa.string())), *part.columns[3:]],
+                    names=["rid", "doc_id", "n_words", "starts", "ends", "items", *part.schema.names[3:]],
                 )
 
-    return texts.mapInArrow(run, _HIT)
+    return texts.mapInArrow(run, _HIT + carried_schema(texts))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 5, block_bytes: int = 16 << 20) -> DataFrame:
-    """``rid, doc_id, n_words, n_hit, items``: the words inside benchmark windows and the items (as strings, sorted) they are of."""
-    texts = keyed_texts(docs)
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 5, block_bytes: int = 16 << 20, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``rid, doc_id, n_words, n_hit, items``, and ``carried`` if columns go along: the words inside benchmark windows and the items (as strings, sorted) they are of."""
+    texts = keyed_texts(docs, carry)
     items = benchmark.where(F.col("text").isNotNull()).select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), "text")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = 1 + size // block_bytes
@@ -180,9 +180,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
         hits = part if hits is None else hits.unionByName(part)
     if n_blocks > 1:
         lists = [F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends")]
-        hits = hits.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), *lists, F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        hits = hits.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), *lists, F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), *(F.first(c).alias(c) for c in texts.columns[3:]))
     # Words covered: in order of their starts, each range adds what reaches beyond the furthest end so far.
     ranges = F.array_sort(F.arrays_zip("starts", "ends"))
     step = lambda s, r: F.struct((s["n"] + F.greatest(F.lit(0), r["ends"] - F.greatest(r["starts"], s["far"]))).alias("n"), F.greatest(s["far"], r["ends"]).alias("far"))
     covered = F.aggregate(ranges, F.struct(F.lit(0).alias("n"), F.lit(0).alias("far")), step, lambda s: s["n"])
-    return hits.select("rid", "doc_id", "n_words", covered.cast("long").alias("n_hit"), "items")
+    return hits.select("rid", "doc_id", "n_words", covered.cast("long").alias("n_hit"), "items", *texts.columns[3:])

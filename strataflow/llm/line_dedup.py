@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_BYTES, keyed_texts, mixed, written
+from .shared import BROADCAST_BYTES, carried_schema, keyed_texts, mixed, written
 
 STRIP = " \t\n\x0b\x0c\r"
 _LOWER = {c: c + 32 for c in range(65, 91)}
@@ -115,9 +115,9 @@ def frequent_keys(texts: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
     return keys.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc").alias("last")).where(F.col("n") >= min_docs)
 
 
-def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, keys_per_shard: int = 50_000, broadcast_bytes: int = BROADCAST_BYTES, salts: int = 16) -> DataFrame:
-    """``doc_id, n_lines, n_dropped, kept``: the text without lines that recur, but for those of each key's last document."""
-    texts = keyed_texts(docs)
+def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, keys_per_shard: int = 50_000, broadcast_bytes: int = BROADCAST_BYTES, salts: int = 16, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, n_lines, n_dropped, kept``, and ``carried`` if columns go along: the text without lines that recur, but for those of each key's last document."""
+    texts = keyed_texts(docs, carry)
     keys = written(frequent_keys(texts, min_chars, min_docs))
     n_keys = keys.count()
     n_shards = max(1, -(-n_keys // keys_per_shard))
@@ -170,11 +170,11 @@ def _lines(texts: list[str], min_chars: int) -> tuple[list[list[str]], list[tupl
 _OUT = "doc_id long, n_lines long, n_dropped long, kept string"
 
 
-def _kept(ids: list, split: list[list[str]], drop: list[set[int]]) -> pa.RecordBatch:
+def _kept(ids: list, split: list[list[str]], drop: list[set[int]], carried: list[pa.Array]) -> pa.RecordBatch:
     kept = ["\n".join(line for j, line in enumerate(lines) if j not in d) if d else "\n".join(lines) for lines, d in zip(split, drop, strict=True)]
     return pa.RecordBatch.from_arrays(
-        [pa.array(ids, pa.int64()), pa.array([len(x) for x in split], pa.int64()), pa.array([len(d) for d in drop], pa.int64()), pa.array(kept, pa.string())],
-        names=["doc_id", "n_lines", "n_dropped", "kept"],
+        [pa.array(ids, pa.int64()), pa.array([len(x) for x in split], pa.int64()), pa.array([len(d) for d in drop], pa.int64()), pa.array(kept, pa.string()), *carried],
+        names=["doc_id", "n_lines", "n_dropped", "kept", *["carried"] * len(carried)],
     )
 
 
@@ -192,9 +192,9 @@ def _drop_lines(texts: DataFrame, min_chars: int, held) -> DataFrame:
                     i, j = at[k]
                     if last[k] != (_NO_DOC + 1 if ids[i] is None else ids[i]):
                         drop[i].add(j)
-                yield _kept(ids, split, drop)
+                yield _kept(ids, split, drop, batch.columns[3:])
 
-    return texts.mapInArrow(run, _OUT)
+    return texts.mapInArrow(run, _OUT + carried_schema(texts))
 
 
 def _drop_routed(texts: DataFrame, shards: DataFrame, n_shards: int, min_chars: int, salts: int) -> DataFrame:
@@ -231,6 +231,6 @@ def _drop_routed(texts: DataFrame, shards: DataFrame, n_shards: int, min_chars:
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield _kept(batch.column(1).to_pylist(), [t.split("\n") for t in batch.column(2).to_pylist()], [set(x or ()) for x in batch.column(3).to_pylist()])
+            yield _kept(batch.column(1).to_pylist(), [t.split("\n") for t in batch.column(2).to_pylist()], [set(x or ()) for x in batch.column(3).to_pylist()], batch.columns[4:])
 
-    return texts.join(dropped, "rid", "left").select("rid", "doc_id", "text", "lines").mapInArrow(rebuild, _OUT)
+    return texts.join(dropped, "rid", "left").select("rid", "doc_id", "text", "lines", *texts.columns[3:]).mapInArrow(rebuild, _OUT + carried_schema(texts))

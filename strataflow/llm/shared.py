@@ -17,9 +17,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def keyed_texts(docs: DataFrame) -> DataFrame:
+def keyed_texts(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """``rid, doc_id, text``: one row for each row of docs, a null text as an empty one, other columns left out.
 
+    The columns named in carry go along inside a struct ``carried``, so that no name can clash.
+
     rid tells rows apart where doc_id repeats or is null. It is fixed by the scan's partitioning,
     so a recomputed task gives the same ids.
     """
@@ -27,9 +29,15 @@ def keyed_texts(docs: DataFrame) -> DataFrame:
         F.monotonically_increasing_id().alias("rid"),
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text"), F.lit("")).alias("text"),
+        *([F.struct(*carry).alias("carried")] if carry else []),
     )
 
 
+def carried_schema(texts: DataFrame) -> str:
+    """What a function over keyed texts adds to its schema for the columns that go along."""
+    return f", carried {texts.schema['carried'].dataType.simpleString()}" if "carried" in texts.columns else ""
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share; a temporary one only where the session names none."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -6,9 +6,11 @@
    leaves a partition out), at the least estimated cost: signatures sent plus candidate pairs. Two fingerprints within
    max_bits agree within its threshold on at least one partition. The estimates only steer the cost.
 3. Fingerprints meet by partition value (with all values within the threshold on one side) and are verified.
-   Fingerprints in a bucket of more than ``bucket_rows`` go another exact way instead of being paired: each gives the
-   values within max_bits / 2 of it. Fingerprints that share one of those are within max_bits of each other, and any
-   two within max_bits share one; each group is at most 1 + 64 rows for 2 bits and needs only a link to its least row.
+   Fingerprints in a bucket of more than ``bucket_rows`` go another exact way instead of being paired. For 2 bits each
+   gives the 65 values within 1 bit of it: fingerprints that share one of those are within 2 bits of each other, and any
+   two within 2 bits share one, so each group (65 rows at most) needs only a link to its least row. For more bits the
+   bucket is searched from one fingerprint after another, each taking those within reach that none has taken before,
+   which gives a spanning forest and no other pairs.
 4. The links' connected components are found by alternating stars.
 
 Null text: as empty, with fingerprint zero, which links like any other. Repeated rows: one output row each. Empty
@@ -30,11 +32,10 @@ from .components import components
 from .shared import keyed_texts, written
 
 
-def fingerprint(text: str, words: int = 3) -> int:
-    """As a signed 64-bit number: the majority, bit by bit, of the hashes of all shingles."""
+def fingerprint(own: list[bytes], words: int = 3) -> int:
+    """Of a text's words, as a signed 64-bit number: the majority, bit by bit, of the hashes of all shingles."""
     from xxhash import xxh64_digest
 
-    own = text.encode().lower().split()
     if not own:
         return 0
     if len(own) <= words:
@@ -51,14 +52,18 @@ def fingerprint(text: str, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """``rid, doc_id, fp``."""
+    """``rid, doc_id, n_words, fp``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = pa.array([fingerprint(t, words) for t in batch.column(2).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fps], names=["rid", "doc_id", "fp"])
+            fps, sizes = [], []
+            for text in batch.column(2).to_pylist():
+                own = text.encode().lower().split()
+                fps.append(fingerprint(own, words))
+                sizes.append(len(own))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(fps, pa.int64())], names=["rid", "doc_id", "n_words", "fp"])
 
-    return keyed_texts(docs).mapInArrow(run, "rid long, doc_id long, fp long")
+    return keyed_texts(docs).mapInArrow(run, "rid long, doc_id long, n_words long, fp long")
 
 
 def _bit_sums(fps: DataFrame) -> np.ndarray:
@@ -136,10 +141,48 @@ def _flipped(masks: list[int]):
     return F.explode(F.transform(F.array(*[F.lit(x).cast("long") for x in masks]), lambda x: F.col("fp").bitwiseXOR(x)))
 
 
+def forest(fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a spanning forest of the fingerprints within max_bits of each other."""
+    left, a, b = fps.view(np.uint64), [], []
+    while len(left):
+        queue, left = [left[0]], left[1:]
+        while queue and len(left):
+            x = queue.pop()
+            near = np.bitwise_count(left ^ x) <= max_bits
+            if near.any():
+                found = left[near]
+                a.append(np.full(len(found), x))
+                b.append(found)
+                queue.extend(found)
+                left = left[~near]
+    none = np.zeros(0, dtype=np.uint64)
+    return np.concatenate([none, *a]).view(np.int64), np.concatenate([none, *b]).view(np.int64)
+
+
+def _forests(batches: Iterator[pa.RecordBatch], max_bits: int) -> Iterator[pa.RecordBatch]:
+    """Sorted rows of buckets to links."""
+    key, own = None, []
+
+    def take() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in forest(np.concatenate(own), max_bits)], names=["a", "b"])
+
+    for batch in batches:
+        part, value, fps = (batch.column(i).to_numpy() for i in range(3))
+        cuts = [0, *(np.flatnonzero((np.diff(part) != 0) | (np.diff(value) != 0)) + 1).tolist(), len(fps)]
+        for s, e in zip(cuts, cuts[1:], strict=False):
+            if s == e:
+                continue
+            if (part[s], value[s]) != key:
+                if own:
+                    yield take()
+                key, own = (part[s], value[s]), []
+            own.append(fps[s:e])
+    if own:
+        yield take()
+
+
 def links(fps: DataFrame, max_bits: int = 2, bucket_rows: int = 64, sample_rows: int = 2000) -> DataFrame:
     """``a, b``: links among distinct fingerprints (column fp) that connect all those within max_bits bits."""
-    if max_bits % 2:
-        raise ValueError("max_bits must be even")
     together = _bit_sums(fps)
     n = fps.count()
     if not n:
@@ -160,19 +203,23 @@ def links(fps: DataFrame, max_bits: int = 2, bucket_rows: int = 64, sample_rows:
     near = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= max_bits
     met = inside.alias("a").join(probes.join(small, ["part", "value"], "left_semi").alias("b"), (F.col("a.part") == F.col("b.part")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.fp") != F.col("b.fp")) & near)
     pairs = met.select(F.least("a.fp", "b.fp").alias("a"), F.greatest("a.fp", "b.fp").alias("b"))
-    crowded = index.join(large, ["part", "value"], "left_semi").union(probes.join(large, ["part", "value"], "left_semi")).select("fp").distinct()
-    shared = crowded.select("fp", _flipped(_ball(list(range(64)), max_bits // 2)).alias("value"))
+    crowded = index.union(probes) if index is not probes else index
+    crowded = crowded.join(large, ["part", "value"], "left_semi")
+    if max_bits != 2:
+        rows = crowded.select("part", "value", "fp").distinct().repartition("part", "value").sortWithinPartitions("part", "value", "fp")
+        return pairs.unionByName(rows.mapInArrow(lambda batches: _forests(batches, max_bits), "a long, b long")).distinct()
+    shared = crowded.select("fp").distinct().select("fp", _flipped(_ball(list(range(64)), 1)).alias("value"))
     stars = shared.groupBy("value").agg(F.min("fp").alias("a"), F.collect_list("fp").alias("all")).where(F.size("all") > 1)
     stars = stars.select("a", F.explode("all").alias("b")).where(F.col("a") != F.col("b"))
     return pairs.unionByName(stars).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2, bucket_rows: int = 64) -> DataFrame:
-    """``rid, doc_id, fp, component_id``: the smallest doc_id that each document is connected with."""
+    """``rid, doc_id, n_words, fp, group, component_id``: the smallest fingerprint and doc_id that each document is connected with."""
     own = written(fingerprints(docs, words))
     fps = written(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(fps, max_bits, bucket_rows))
     linked = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     names = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = linked.join(names, "root").select("fp", "component_id")
-    return own.join(named, "fp").select("rid", "doc_id", "fp", "component_id")
+    named = linked.join(names, "root").select("fp", F.col("root").alias("group"), "component_id")
+    return own.join(named, "fp").select("rid", "doc_id", "n_words", "fp", "group", "component_id")

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .decontaminate import Words, slices
-from .shared import keyed_texts, range_hashes, written
+from .shared import carried_schema, keyed_texts, range_hashes, written
 
 PLACES = 24
 PREFIXES = (4, 5)
@@ -146,8 +146,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, learn_from: Column | Non
     return written(keyed_texts(docs).join(F.broadcast(drawn), "doc_id").select("text", "y"))
 
 
-def score(docs: DataFrame, machine: Machine) -> DataFrame:
-    """``rid, doc_id, score``: one pass over the whole texts."""
+def score(docs: DataFrame, machine: Machine, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``rid, doc_id, score``, and ``carried`` if columns go along: one pass over the whole texts."""
+    rows = keyed_texts(docs, carry)
     held = docs.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,9 +164,9 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
                     doc = term = np.zeros(0, dtype=np.int64)
                 p = 1 / (1 + np.exp(-np.clip(m.margins(doc, term, b - a), -30, 30)))
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(p)], names=["rid", "doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(p), *part.columns[3:]], names=["rid", "doc_id", "score", *part.schema.names[3:]])
 
-    return keyed_texts(docs).mapInArrow(run, "rid long, doc_id long, score double")
+    return rows.mapInArrow(run, "rid long, doc_id long, score double" + carried_schema(rows))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None, sample_rows: int = 8192, **options) -> DataFrame:
