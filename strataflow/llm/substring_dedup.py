@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .decontaminate import slices
-from .shared import keyed_texts, range_hashes, written
+from .shared import keyed_texts, range_hashes
 
 _AT_BITS = 26
 
@@ -79,26 +79,24 @@ def repeated_anchors(texts: DataFrame, length: int, gram: int, hot_rows: int, ta
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int32))], names=["h", "n"])
 
     block_bits = min(20, table_bits)
+    hot_bits = min(24, table_bits)  # few anchors are hot
     counts = texts.mapInArrow(run, "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > 1)
     place = F.col("h").bitwiseAND(F.lit((1 << table_bits) - 1))
     bits = counts.select(F.shiftright(place, block_bits).cast("int").alias("block"), place.bitwiseAND(F.lit((1 << block_bits) - 1)).cast("int").alias("bit"), (F.col("n") > hot_rows).alias("hot"))
 
     def pack(group: pa.Table) -> pa.Table:
-        out = []
-        for mask in (slice(None), group.column("hot").to_numpy()):
-            b = np.zeros(1 << block_bits, dtype=bool)
-            b[group.column("bit").to_numpy()[mask]] = True
-            out.append(np.packbits(b).tobytes() if b.any() else None)
-        return pa.table({"block": [group.column("block")[0].as_py()], "again": pa.array([out[0]], pa.binary()), "hot": pa.array([out[1]], pa.binary())}, schema=pa.schema([("block", pa.int32()), ("again", pa.binary()), ("hot", pa.binary())]))
+        block, again, hot = group.column("block")[0].as_py(), np.zeros(1 << block_bits, dtype=bool), group.filter(group.column("hot"))
+        again[group.column("bit").to_numpy()] = True
+        places = np.unique((block << block_bits | hot.column("bit").to_numpy().astype(np.int64)) & ((1 << hot_bits) - 1))
+        return pa.table([pa.array([block], pa.int32()), pa.array([np.packbits(again).tobytes()], pa.binary()), pa.array([places.astype(np.int32)], pa.list_(pa.int32()))], names=["block", "again", "hot"])
 
     size = 1 << (block_bits - 3)
-    again, hot = np.zeros(1 << (table_bits - 3), dtype=np.uint8), np.zeros(1 << (table_bits - 3), dtype=np.uint8)
-    # The table's size is fixed: 2 ** table_bits bits.
-    for r in bits.groupBy("block").applyInArrow(pack, "block int, again binary, hot binary").toLocalIterator():
-        for table, name in ((again, "again"), (hot, "hot")):
-            if r[name] is not None:
-                table[r["block"] * size : (r["block"] + 1) * size] = np.frombuffer(r[name], dtype=np.uint8)
-    return again, hot
+    again, hot = np.zeros(1 << (table_bits - 3), dtype=np.uint8), np.zeros(1 << hot_bits, dtype=bool)
+    # The tables' sizes are fixed: 2 ** table_bits and 2 ** hot_bits bits.
+    for r in bits.groupBy("block").applyInArrow(pack, "block int, again binary, hot array<int>").toLocalIterator():
+        again[r["block"] * size : (r["block"] + 1) * size] = np.frombuffer(r["again"], dtype=np.uint8)
+        hot[r["hot"]] = True
+    return again, np.packbits(hot)
 
 
 def _is_set(table: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -139,18 +137,20 @@ def repeats(group: np.ndarray, windows: np.ndarray) -> np.ndarray:
     return flags
 
 
-_SENT = "key long, doc long, rid long, start long, context binary"
+_SENT = "key long, doc long, rid long, start long, context binary, end long"
 _RANGE = "rid long, lo long, hi long"
 
 
-def removed_ranges(texts: DataFrame, length: int = 100, gram: int = 32, hot_rows: int = 2000, table_bits: int = 28, seen_rows: int = 150_000, chunk_windows: int = 100_000) -> DataFrame:
+def removed_ranges(texts: DataFrame, length: int = 100, gram: int = 32, hot_rows: int = 2000, table_bits: int = 28, seen_rows: int = 300_000, chunk_windows: int = 100_000) -> DataFrame:
     """``rid, lo, hi``: ranges of bytes of each row that go; they may overlap."""
     tables = texts.sparkSession.sparkContext.broadcast(repeated_anchors(texts, length, gram, hot_rows, table_bits))
     low = -(1 << 63)
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest
+
         again, hot = tables.value
-        seen: dict[bytes, tuple[int, int, int]] = {}
+        seen: dict[bytes, tuple[int, int, int]] = {}  # by digests of 128 bits
         for batch in batches:
             rids, docs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, part in _texts(batch):
@@ -170,22 +170,34 @@ def removed_ranges(texts: DataFrame, length: int = 100, gram: int = 32, hot_rows
                 joined = b"".join(part)
                 base = np.concatenate([[0], np.cumsum(np.fromiter(map(len, part), dtype=np.int64, count=len(part)))])[text]
                 cols: tuple[list, ...] = ([], [], [], [], [], [])
+
+                def add(row: tuple, cols=cols) -> None:
+                    for c, x in zip(cols, row, strict=True):
+                        c.append(x)
+
+                settled: list[int] = []  # rid, start and end of a range that goes and may still grow
                 for key, t, f, e, b in zip(h.view(np.int64).tolist(), text.tolist(), first.tolist(), (last + length).tolist(), base.tolist(), strict=True):
                     doc = docs[a + t]
                     me, context = (low if doc is None else doc, rids[a + t], f - b), joined[f:e]
-                    known = seen.get(context)
-                    gone = known is not None and known < me
-                    if not gone:
+                    digest = xxh3_128_digest(context)
+                    known = seen.get(digest)
+                    if known is None or known > me:
                         if len(seen) >= seen_rows:
                             seen.clear()
-                        seen[context] = me
-                    for c, x in zip(cols, (None if gone else key, me[0], me[1], me[2], None if gone else context, e - f), strict=True):
-                        c.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 4 + [pa.binary(), pa.int64()], strict=True)], names=["key", "doc", "rid", "start", "context", "bytes"])
-
-    sent = written(texts.mapInArrow(contexts, _SENT + ", bytes long"))
-    settled = sent.where(F.col("key").isNull()).select("rid", F.col("start").alias("lo"), (F.col("start") + F.col("bytes")).alias("hi"))
-
+                        seen[digest] = me
+                        add((key, me[0], me[1], me[2], context, None))
+                    elif settled and settled[0] == me[1] and settled[1] <= me[2] <= settled[2]:
+                        settled[2] = max(settled[2], me[2] + e - f)
+                    else:
+                        if settled:
+                            add((None, None, settled[0], settled[1], None, settled[2]))
+                        settled = [me[1], me[2], me[2] + e - f]
+                if settled:
+                    add((None, None, settled[0], settled[1], None, settled[2]))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 4 + [pa.binary(), pa.int64()], strict=True)], names=["key", "doc", "rid", "start", "context", "end"])
+
+    # Rows without a key are ranges that are settled already; they only pass through.
+    sent = texts.mapInArrow(contexts, _SENT)
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: tuple[list, ...] = ([], [], [])
         key, group, waiting, n_windows = None, -1, [], 0
@@ -234,7 +246,10 @@ def removed_ranges(texts: DataFrame, length: int = 100, gram: int = 32, hot_rows
             distinct.clear()
 
         for batch in batches:
-            for k, rid, start, context in zip(*(batch.column(c).to_pylist() for c in ("key", "rid", "start", "context")), strict=True):
+            for k, rid, start, context, end in zip(*(batch.column(c).to_pylist() for c in ("key", "rid", "start", "context", "end")), strict=True):
+                if k is None:
+                    mark(rid, start, end)
+                    continue
                 if k != key:
                     close()
                     key, group = k, group + 1
@@ -248,8 +263,8 @@ def removed_ranges(texts: DataFrame, length: int = 100, gram: int = 32, hot_rows
         take()
         yield flush()
 
-    meeting = sent.where(F.col("key").isNotNull()).select("key", "doc", "rid", "start", "context").repartition("key").sortWithinPartitions("key", "doc", "rid", "start")
-    return settled.unionByName(meeting.mapInArrow(compare, _RANGE))
+    meeting = sent.repartition(F.coalesce("key", "rid")).sortWithinPartitions("key", "doc", "rid", "start")
+    return meeting.mapInArrow(compare, _RANGE)
 
 
 def substring_dedup(docs: DataFrame, length: int = 100, **options) -> DataFrame:
