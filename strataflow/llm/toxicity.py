@@ -62,21 +62,22 @@ def fit(x: np.ndarray, y: np.ndarray, places: np.ndarray, factors: int, epochs:
     rng = np.random.default_rng(seed)
     n, d = x.shape
     prior = (y.sum() + 0.5) / (n + 1)
-    params = [np.array([np.log(prior / (1 - prior))]), np.zeros(d), rng.normal(0, 0.02, (d, factors))]
+    params = [p.astype(np.float32) for p in (np.array([np.log(prior / (1 - prior))]), np.zeros(d), rng.normal(0, 0.02, (d, factors)))]
+    x, y = x.astype(np.float32), y.astype(np.float32)
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in params]
     for step in range(1, epochs + 1):
         bias, w, v = params
         xv = x @ v
         margin = bias + x @ w + 0.5 * ((xv**2).sum(1) - x @ (v**2).sum(1))
-        g = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y) / n
+        g = ((1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y) / n).astype(np.float32)
         xg = x.T @ g
         grads = [np.array([g.sum()]), xg + decay * w, x.T @ (xv * g[:, None]) - v * xg[:, None] + decay * v]
         rate = 0.05 * (1 - 0.9 * step / epochs)
         for p, m, grad in zip(params, moments, grads, strict=True):
             m[0] = 0.9 * m[0] + 0.1 * grad
             m[1] = 0.999 * m[1] + 0.001 * grad**2
-            p -= rate * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.999**step)) + 1e-8)
-    return Machine(places, float(params[0][0]), params[1], params[2])
+            p -= np.float32(rate) * (m[0] / np.float32(1 - 0.9**step)) / (np.sqrt(m[1] / np.float32(1 - 0.999**step)) + np.float32(1e-8))
+    return Machine(places, float(params[0][0]), params[1].astype(np.float64), params[2].astype(np.float64))
 
 
 def _distinct_pairs(words: Words, keep: np.ndarray | None = None, places: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -91,7 +92,7 @@ def _distinct_pairs(words: Words, keep: np.ndarray | None = None, places: np.nda
     return pair // len(places), pair % len(places)
 
 
-def train(labelled: DataFrame, sample_rows: int = 8192, terms: int = 2048, factors: int = 8, epochs: int = 250, decay: float = 2e-5) -> Machine:
+def train(labelled: DataFrame, sample_rows: int = 8192, terms: int = 1024, factors: int = 8, epochs: int = 150, decay: float = 2e-5) -> Machine:
     """labelled: ``text, y`` with at most about sample_rows rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
