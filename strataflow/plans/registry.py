@@ -1,4 +1,422 @@
 """All registered queries of the library and the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..functions import vectors as V
+from ..operators import chunking, context, evaluation, index, keyword, search, tree
+from ..sources import files
+from . import sql as S
+from .config import Config
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+KEY = ["doc_id", "sequence"]
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+# --- scalar text functions ---
+
+
+@query(rf"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(text, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g'), '{S.SPACE}', ' ', 'g'))) AS cleaned FROM documents")
+def txt_clean(spark, sf):
+    return _t(spark, sf, "documents").select("doc_id", F.md5(T.clean(F.col("text"))).alias("cleaned"))
+
+
+@query(rf"SELECT doc_id, md5(substr(trim(regexp_replace(text, '{S.SPACE}', ' ', 'g')), 1, 1024)) AS input FROM documents")
+def txt_embedding_input(spark, sf):
+    return _t(spark, sf, "documents").select("doc_id", F.md5(T.embedding_input(F.col("text"))).alias("input"))
+
+
+@query("SELECT doc_id, length(text) // 2 AS n_tokens FROM documents")
+def txt_token_count(spark, sf):
+    return _t(spark, sf, "documents").select("doc_id", T.token_count(F.col("text")).alias("n_tokens"))
+
+
+@query("SELECT o_orderkey, '关于“orders”中的一个表格数据记录: o_orderkey是“' || o_orderkey || '”, o_orderstatus是“' || o_orderstatus || '”, o_orderpriority是“' || o_orderpriority || '”, missing是“未提供”。' AS sentence FROM orders")
+def txt_row_sentence(spark, sf):
+    rows = _t(spark, sf, "orders")
+    cells = {c: F.col(c) for c in ("o_orderkey", "o_orderstatus", "o_orderpriority")} | {"missing": F.lit(None).cast("string")}
+    return rows.select("o_orderkey", T.row_sentence("orders", cells).alias("sentence"))
+
+
+@query("SELECT conv_id, turn, md5(translate('ＡＢＣ　１２３' || text, 'ＡＢＣ　１２３', 'ABC 123')) AS folded FROM conversations")
+def txt_half_width(spark, sf):
+    return _t(spark, sf, "conversations").select("conv_id", "turn", F.md5(T.half_width(F.concat(F.lit("ＡＢＣ　１２３"), F.col("text")))).alias("folded"))
+
+
+@query(
+    r"""SELECT doc_id, round(length(regexp_replace(text, '[^`a-zA-Z0-9.,'':;/"?<>!()\-]', '', 'g')) / length(text), 6) AS english_share,
+  length(regexp_replace(text, '[^`a-zA-Z0-9.,'':;/"?<>!()\-]', '', 'g')) / length(text) > 0.8 AS english, length(regexp_replace(text, '[^\x{4e00}-\x{9fff}]', '', 'g')) / length(text) > 0.2 AS chinese FROM documents WHERE length(text) > 0"""
+)
+def txt_language(spark, sf):
+    t = F.col("text")
+    return _t(spark, sf, "documents").where(F.length(t) > 0).select("doc_id", F.round(T.english_share(t), 6).alias("english_share"), T.is_english(t).alias("english"), T.is_chinese(t).alias("chinese"))
+
+
+@query(r"SELECT page_id, len(regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1)) AS n, md5(array_to_string(regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1), '|')) AS spans FROM pages")
+def txt_extract_between(spark, sf):
+    spans = T.extract_between(F.col("html"), "<p>", "</p>")
+    return _t(spark, sf, "pages").select("page_id", F.size(spans).cast("long").alias("n"), F.md5(F.array_join(spans, "|")).alias("spans"))
+
+
+@query(r"SELECT page_id, md5(regexp_replace('<table><tr class=\"x\"><td>' || html, '</?(table|td|caption|tr|th)( [^<>]{0,12})?>', ' ', 'g')) AS stripped FROM pages")
+def txt_without_table_tags(spark, sf):
+    return _t(spark, sf, "pages").select("page_id", F.md5(T.without_table_tags(F.concat(F.lit('<table><tr class="x"><td>'), F.col("html")))).alias("stripped"))
+
+
+ORACLE_SQL["txt_without_table_tags"] = ORACLE_SQL["txt_without_table_tags"].replace('\\"', '"')
+
+
+@query(r"SELECT doc_id, substr(replace(text, chr(10), ' '), 1, 100) || '...' AS preview FROM documents")
+def txt_preview(spark, sf):
+    return _t(spark, sf, "documents").select("doc_id", T.preview(F.col("text")).alias("preview"))
+
+
+@query(r"SELECT conv_id, turn, list_filter(list_transform(regexp_split_to_array('1. ' || text, '\n\d*\.?\s*'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '').array_to_string('|') AS lines FROM conversations")
+def txt_query_lines(spark, sf):
+    return _t(spark, sf, "conversations").select("conv_id", "turn", F.array_join(T.query_lines(F.concat(F.lit("1. "), F.col("text"))), "|").alias("lines"))
+
+
+@query("SELECT doc_id, md5('hash:' || text) AS key FROM documents")
+def txt_cache_key(spark, sf):
+    return _t(spark, sf, "documents").select("doc_id", T.cache_key("hash", F.col("text")).alias("key"))
+
+
+@query(
+    r"""SELECT conv_id, turn, NOT regexp_matches(text, '^第[零一二三四五六七八九十百0-9]+条') AND (len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) > 12
+  OR (instr(text, ' ') = 0 AND length(text) >= 32) OR regexp_matches(text, '[,;，。；！!]')) AS not_title, regexp_matches(text, '^(0|[0-9]+ +[0-9~个只-]|[0-9]+\.{2,})') AS not_bullet FROM conversations"""
+)
+def txt_title_tests(spark, sf):
+    return _t(spark, sf, "conversations").select("conv_id", "turn", T.not_title(F.col("text")).alias("not_title"), T.not_bullet(F.col("text")).alias("not_bullet"))
+
+
+# --- chunks ---
+
+
+def _chunks(spark, sf) -> DataFrame:
+    return chunking.chunk_documents(_t(spark, sf, "documents"))
+
+
+@query(S.recursive(S.CHUNKS) + " SELECT doc_id, sequence, doc_id || '_text_' || sequence AS chunk_id_str, content FROM chunks")
+def chunk_greedy(spark, sf):
+    return _chunks(spark, sf)
+
+
+_FAMILY = " UNION ALL ".join(f"SELECT {i} AS f, '^(?:{'|'.join(p)})' AS pattern" for i, p in enumerate(chunking.BULLETS))
+
+
+@query(
+    rf"""WITH fam AS ({_FAMILY}), lines AS (SELECT doc_id, unnest(list_transform(regexp_split_to_array(text, '\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g'))) AS line FROM documents),
+hits AS (SELECT doc_id, f, count(*) FILTER (regexp_matches(line, pattern) AND NOT regexp_matches(line, '^(0|[0-9]+ +[0-9~个只-]|[0-9]+\.{{2,}})')) AS n FROM lines, fam GROUP BY ALL),
+best AS (SELECT doc_id, arg_min(f, -n * 10 + f) AS f, max(n) AS n FROM hits GROUP BY doc_id) SELECT doc_id, CASE WHEN n = 0 THEN -1 ELSE f END AS family FROM best"""
+)
+def chunk_bullet_family(spark, sf):
+    return _t(spark, sf, "documents").select("doc_id", chunking.bullet_family(F.split("text", "\n")).alias("family"))
+
+
+@query(
+    r"""WITH lines AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\n')) AS line FROM documents),
+levels AS (SELECT doc_id, line, regexp_replace(line, '^\s+|\s+$', '', 'g') AS s FROM lines),
+lv AS (SELECT doc_id, CASE WHEN regexp_matches(line, '^(0|[0-9]+ +[0-9~个只-]|[0-9]+\.{2,})') THEN 5 WHEN regexp_matches(s, '^(?:PART (ONE|TWO|THREE|FOUR|FIVE|SIX|SEVEN|EIGHT|NINE|TEN))') THEN 0 WHEN regexp_matches(s, '^(?:Chapter (I+V?|VI*|XI|IX|X))') THEN 1
+ WHEN regexp_matches(s, '^(?:Section [0-9]+)') THEN 2 WHEN regexp_matches(s, '^(?:Article [0-9]+)') THEN 3 ELSE 5 END AS level FROM levels)
+SELECT doc_id, level, count(*) AS n_lines FROM lv GROUP BY ALL"""
+)
+def chunk_heading_levels(spark, sf):
+    lines = _t(spark, sf, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    return lines.select("doc_id", chunking.heading_level(F.col("line"), F.lit(""), 3).alias("level")).groupBy("doc_id", "level").agg(F.count("*").alias("n_lines"))
+
+
+@query("SELECT o_custkey, (o_orderkey // 10) AS batch, string_agg(o_orderpriority, '; ' ORDER BY o_orderkey) AS content, count(*) AS n_rows FROM orders GROUP BY ALL")
+def chunk_row_batches(spark, sf):
+    return chunking.batches(_t(spark, sf, "orders"), ["o_custkey"], "o_orderkey", "o_orderpriority")
+
+
+# --- tables ---
+
+
+@query("SELECT n_nationkey AS sequence, 'nation_table0_row_' || n_nationkey AS chunk_id_str, '关于“nation”中的一个表格数据记录: n_name是“' || n_name || '”, r_name是“' || r_name || '”, suppliers是“' || (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) || '”。' AS content FROM nation JOIN region ON n_regionkey = r_regionkey")
+def table_row_chunks(spark, sf):
+    n = _t(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count("*").alias("suppliers"))
+    rows = _t(spark, sf, "nation").join(_t(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).join(n, "n_nationkey", "left")
+    cells = {"n_name": F.col("n_name"), "r_name": F.col("r_name"), "suppliers": F.coalesce("suppliers", F.lit(0))}
+    return rows.select(F.col("n_nationkey").alias("sequence"), F.concat(F.lit("nation_table0_row_"), F.col("n_nationkey").cast("string")).alias("chunk_id_str"), T.row_sentence("nation", cells).alias("content"))
+
+
+_QUESTION = "SELECT o_orderpriority, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderpriority"
+
+
+@query(_QUESTION)
+def table_question(spark, sf):
+    """A question's SQL over temporary views of the tables."""
+    for name in ("orders", "lineitem"):
+        _t(spark, sf, name).createOrReplaceTempView(name)
+    return spark.sql(_QUESTION)
+
+
+@query("SELECT o_orderstatus, count(*) AS n, count(DISTINCT o_custkey) AS customers, min(o_totalprice) AS low, max(o_totalprice) AS high, round(avg(o_totalprice), 4) AS mean FROM orders GROUP BY ALL")
+def table_summary(spark, sf):
+    price = F.col("o_totalprice")
+    return _t(spark, sf, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.countDistinct("o_custkey").alias("customers"), F.min(price).alias("low"), F.max(price).alias("high"), F.round(F.avg(price), 4).alias("mean"))
+
+
+# --- tokens, keyword statistics, BM25 ---
+
+
+def _posts(spark, sf) -> DataFrame:
+    return keyword.postings(_chunks(spark, sf), KEY)
+
+
+def _counts(chunks: DataFrame) -> DataFrame:
+    return chunks.agg(F.count("*").cast("double").alias("n"))
+
+
+@query(f"SELECT doc_id, len({S.TOKENS.format('text')}) AS n_words, md5(array_to_string({S.TOKENS.format('text')}, ' ')) AS words FROM documents")
+def tok_words(spark, sf):
+    t = T.tokens(F.col("text"))
+    return _t(spark, sf, "documents").select("doc_id", F.size(t).cast("long").alias("n_words"), F.md5(F.array_join(t, " ")).alias("words"))
+
+
+@query(S.recursive(S.CHUNKS, S.KEYWORDS) + " SELECT doc_id, sequence, term, tf FROM tf")
+def kw_postings(spark, sf):
+    return _posts(spark, sf)
+
+
+@query(S.recursive(S.CHUNKS, S.KEYWORDS) + " SELECT term, df, round(idf, 6) AS idf FROM stats")
+def kw_term_stats(spark, sf):
+    chunks = _chunks(spark, sf)
+    return keyword.term_stats(keyword.postings(chunks, KEY), _counts(chunks)).select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query(S.recursive(S.CHUNKS, S.KEYWORDS) + " SELECT count(*) AS n_chunks, sum(dl)::BIGINT AS n_words, round(avg(dl), 6) AS avgdl, max(dl)::BIGINT AS longest FROM lens")
+def kw_lengths(spark, sf):
+    lens = keyword.doc_lengths(_posts(spark, sf), KEY)
+    return lens.agg(F.count("*").alias("n_chunks"), F.sum("dl").alias("n_words"), F.round(F.avg("dl"), 6).alias("avgdl"), F.max("dl").alias("longest"))
+
+
+def _query_terms(spark, sf) -> DataFrame:
+    q = _t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(T.tokens(F.col("text"))).alias("term"))
+    return q.groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+
+
+def _bm25(chunks: DataFrame, spark, sf) -> DataFrame:
+    posts = keyword.postings(chunks, KEY)
+    lens = keyword.doc_lengths(posts, KEY)
+    return keyword.bm25(posts, keyword.term_stats(posts, _counts(chunks)), lens, _query_terms(spark, sf), KEY, lens.agg(F.avg("dl").alias("avgdl")))
+
+
+@query(S.recursive(S.CHUNKS, S.KEYWORDS, S.QUERY_TERMS, S.BM25) + ", r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(kw, 6) DESC, doc_id, sequence) AS rank FROM kw) SELECT query_id, doc_id, sequence, rank, round(kw, 6) AS kw FROM r WHERE rank <= 10")
+def kw_bm25_top10(spark, sf):
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("kw"), *KEY))
+    return _bm25(_chunks(spark, sf), spark, sf).withColumn("kw", F.round("kw", 6)).withColumn("rank", rank).where(F.col("rank") <= 10).select("query_id", *KEY, "rank", "kw")
+
+
+@query(
+    S.recursive(S.CHUNKS, S.KEYWORDS, S.QUERY_TERMS)
+    + ", w AS (SELECT query_id, term, round(qtf * idf, 6) AS weight FROM qtf JOIN stats USING (term)), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, term) AS rank FROM w) SELECT query_id, string_agg(term, ' ' ORDER BY rank) AS expansion FROM r WHERE rank <= 5 GROUP BY query_id"
+)
+def qx_keyword_expansion(spark, sf):
+    chunks = _chunks(spark, sf)
+    stats = keyword.term_stats(keyword.postings(chunks, KEY), _counts(chunks))
+    best = keyword.keywords(_query_terms(spark, sf).withColumnRenamed("qtf", "tf"), stats, ["query_id"])
+    terms = F.array_sort(F.collect_list(F.struct("rank", "term")))
+    return best.groupBy("query_id").agg(F.array_join(F.transform(terms, lambda x: x["term"]), " ").alias("expansion"))
+
+
+# --- vectors ---
+
+_PAIRS = "SELECT q.vec_id AS query_id, v.vec_id, round(list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) / sqrt(list_inner_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]) * list_inner_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])), 9) AS s FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0"
+_TOP = f"WITH p AS ({_PAIRS}), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM p) "
+
+
+def _vector_queries(spark, sf) -> tuple[DataFrame, DataFrame]:
+    vectors = _t(spark, sf, "embeddings")
+    return vectors, vectors.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+@query(_TOP + "SELECT query_id, vec_id, rank, round(s, 6) AS score FROM r WHERE rank <= 25")
+def vec_exact_cosine(spark, sf):
+    vectors, queries = _vector_queries(spark, sf)
+    return search.exact_top_k(vectors, ["vec_id"], queries, 25).withColumn("score", F.round("score", 6))
+
+
+@query(_TOP + "SELECT query_id, vec_id, rank, round(1 / (1 + sqrt(greatest(0, 2 - 2 * s)) + 1e-6), 6) AS score FROM r WHERE rank <= 25")
+def vec_exact_l2(spark, sf):
+    vectors, queries = _vector_queries(spark, sf)
+    return search.exact_top_k(vectors, ["vec_id"], queries, 25).withColumn("score", F.round(V.l2_score(F.col("score")), 6))
+
+
+@query("SELECT vec_id, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5) AS norm, len(embedding) AS dim FROM embeddings")
+def vec_norms(spark, sf):
+    return _t(spark, sf, "embeddings").select("vec_id", F.round(V.norm(F.col("embedding")), 5).alias("norm"), F.size("embedding").cast("long").alias("dim"))
+
+
+@query("SELECT label, count(*) AS n, count(DISTINCT vec_id) AS ids, max(len(embedding)) AS dim FROM embeddings GROUP BY label")
+def vec_stats(spark, sf):
+    return _t(spark, sf, "embeddings").groupBy("label").agg(F.count("*").alias("n"), F.countDistinct("vec_id").alias("ids"), F.max(F.size("embedding")).cast("long").alias("dim"))
+
+
+@query(
+    "WITH p AS (SELECT v.vec_id, q.label, sum(0) OVER () AS z, v.embedding AS e, q.embedding AS qe FROM embeddings v JOIN embeddings q ON v.label = q.label AND q.vec_id % 50 = 0), s AS (SELECT vec_id, label, round(max(list_inner_product(e::DOUBLE[], qe::DOUBLE[])), 6) AS best FROM p GROUP BY ALL) SELECT vec_id, label, best FROM s"
+)
+def vec_best_in_label(spark, sf):
+    """For each row the best dot product with a query of its label: the queries join on the label."""
+    vectors, _ = _vector_queries(spark, sf)
+    q = vectors.where(F.col("vec_id") % 50 == 0).select("label", F.col("embedding").alias("q"))
+    return vectors.join(q, "label").groupBy("vec_id", "label").agg(F.round(F.max(V.dot(F.col("embedding"), F.col("q"))), 6).alias("best"))
+
+
+@query()
+def vec_cells(spark, sf):
+    """Cell-partitioned search of all rows; the recall against exact search is tested."""
+    vectors, queries = _vector_queries(spark, sf)
+    n = max(1, int(vectors.count() ** 0.5))
+    centres = index.fit_cells(vectors, n)
+    return index.search_cells(index.assign_cells(vectors, ["vec_id"], centres), ["vec_id"], index.assign_cells(queries, ["query_id"], centres, probes=max(1, n // 2)), 5)
+
+
+# --- fusion and hybrid search ---
+
+
+@query(
+    _TOP
+    + ", l AS (SELECT query_id, vec_id, 0 AS sub, rank, s FROM r WHERE rank <= 25 UNION ALL SELECT query_id, vec_id, 1, row_number() OVER (PARTITION BY query_id ORDER BY vec_id), s FROM r WHERE rank <= 50), f AS (SELECT query_id, vec_id, sum(1 / (60.0 + rank)) AS rrf, arg_min(s, sub * 1000 + rank) AS v FROM l GROUP BY ALL) SELECT query_id, vec_id, round(rrf, 9) AS rrf, round(v, 6) AS vec_score FROM f"
+)
+def rank_fusion(spark, sf):
+    vectors, queries = _vector_queries(spark, sf)
+    top = search.exact_top_k(vectors, ["vec_id"], queries, 50)
+    by_id = F.row_number().over(W.partitionBy("query_id").orderBy("vec_id"))
+    lists = top.where("rank <= 25").withColumn("sub_idx", F.lit(0)).unionByName(top.withColumn("rank", by_id).withColumn("sub_idx", F.lit(1)))
+    return search.fuse(lists, ["vec_id"]).select("query_id", "vec_id", F.round("rrf", 9).alias("rrf"), F.round("vec_score", 6).alias("vec_score"))
+
+
+ORACLE_SQL["rank_fusion"] = ORACLE_SQL["rank_fusion"].replace("FROM p) , l", "FROM p), l")
+
+
+def _hybrid(spark, sf, config: Config, candidates: int | None = None) -> DataFrame:
+    """Results of all benchmark items: candidates by vector, rescored by keywords."""
+    chunks = tree.kept(_chunks(spark, sf).select(*KEY, "content"))
+    bench = _t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    vectors = search.hash_embeddings(chunks.withColumn("t", T.tokens(F.col("content"))), KEY, "t", config.embed_dim)
+    queries = search.hash_embeddings(bench.withColumn("t", T.tokens(F.col("text"))), ["query_id"], "t", config.embed_dim)
+    hits = tree.kept(search.exact_top_k(vectors, KEY, queries, candidates or 25 * config.top_k))
+    fused = search.fuse(hits.withColumn("sub_idx", F.lit(0)), KEY)
+    # Only candidates are scored; the statistics are those of all chunks.
+    posts = tree.kept(keyword.postings(chunks, KEY))
+    lens = keyword.doc_lengths(posts, KEY)
+    stats = keyword.term_stats(posts, _counts(chunks)).join(_query_terms(spark, sf).select("term").distinct(), "term", "left_semi")
+    wanted = posts.join(hits.select(*KEY).distinct(), KEY, "left_semi")
+    kw = keyword.bm25(wanted, stats, lens, _query_terms(spark, sf), KEY, lens.agg(F.avg("dl").alias("avgdl")))
+    return search.rerank(fused, kw, KEY, config.vec_weight, config.kw_weight, config.threshold, config.top_k)
+
+
+_SEARCH_SQL = S.recursive(S.CHUNKS, S.KEYWORDS, S.QUERY_TERMS, S.BM25, S.SEARCH, S.RERANK("hits", "found"))
+
+
+@query(_SEARCH_SQL + " SELECT query_id, doc_id, sequence, rank, round(score, 6) AS score, round(vec, 6) AS vec_score, round(kws, 6) AS kw_score FROM found")
+def hybrid_search(spark, sf):
+    scores = [F.round(c, 6).alias(c) for c in ("score", "vec_score", "kw_score")]
+    return _hybrid(spark, sf, Config()).select("query_id", *KEY, "rank", *scores)
+
+
+@query(_SEARCH_SQL + " SELECT query_id, count(*) AS total, round(max(score), 6) AS max_score, round(min(score), 6) AS min_score, round(avg(score), 6) AS avg_score FROM found GROUP BY query_id")
+def search_statistics(spark, sf):
+    stats = search.search_stats(_hybrid(spark, sf, Config()))
+    return stats.select("query_id", "total", *(F.round(c, 6).alias(c) for c in ("max_score", "min_score", "avg_score")))
+
+
+# --- context and reports ---
+
+
+@query(
+    S.recursive(S.CHUNKS)
+    + ", n AS (SELECT doc_id, sequence, row_number() OVER (PARTITION BY doc_id ORDER BY sequence) AS rn FROM chunks) SELECT a.doc_id, a.sequence, count(*) AS n_context, string_agg(b.sequence::VARCHAR, ',' ORDER BY b.sequence) AS context FROM n a JOIN n b ON a.doc_id = b.doc_id AND abs(a.rn - b.rn) <= 2 GROUP BY ALL"
+)
+def context_window(spark, sf):
+    return context.context_windows(_chunks(spark, sf))
+
+
+@query(S.recursive(S.CHUNKS) + " SELECT c.doc_id, c.sequence, md5(content) AS content FROM chunks c WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = c.doc_id AND l.quality = 0) AND sequence BETWEEN 1 AND 3")
+def context_neighbours(spark, sf):
+    chosen = _t(spark, sf, "labels").where("quality = 0").select("doc_id", F.lit(2).alias("at"))
+    return context.neighbours(_chunks(spark, sf), chosen).select("doc_id", "sequence", F.md5("content").alias("content"))
+
+
+@query(S.recursive(S.CHUNKS) + " SELECT doc_id, count(*) AS n_chunks, max(sequence) AS last, md5(string_agg(content, chr(10) ORDER BY sequence)) AS report, '原始文档 (文本分块)' AS origin FROM chunks GROUP BY doc_id")
+def document_report(spark, sf):
+    ordered = F.array_sort(F.collect_list(F.struct("sequence", "content")))
+    rows = _chunks(spark, sf).withColumns({"chunking_strategy": F.lit("intelligent_naive_merge"), "element_type": F.lit(None).cast("string")}).withColumn("origin", context.origin())
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.max("sequence").alias("last"), F.md5(F.array_join(F.transform(ordered, lambda x: x["content"]), "\n")).alias("report"), F.min("origin").alias("origin"))
+
+
+_SIMILAR = _TOP + ", o AS (SELECT * FROM r WHERE rank <= 6 AND vec_id <> query_id), k AS (SELECT query_id, vec_id, s, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM o) SELECT query_id, vec_id, rank, round(s, 6) AS score FROM k WHERE rank <= 5"
+
+
+@query(_SIMILAR.replace("FROM p) , o", "FROM p), o"))
+def more_like_this(spark, sf):
+    """The five rows most like each query, itself left out."""
+    vectors, queries = _vector_queries(spark, sf)
+    top = search.exact_top_k(vectors, ["vec_id"], queries, 6).where(F.col("vec_id") != F.col("query_id"))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy("rank"))
+    return top.withColumn("rank", rank).where("rank <= 5").select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
+
+
+# --- evaluation ---
+
+
+@query(
+    S.recursive(S.CHUNKS, S.KEYWORDS, S.QUERY_TERMS, S.BM25, S.SEARCH, S.RERANK("hits", "found"), S.RERANK("ranked", "ideal"))
+    + """, a AS (SELECT query_id, count(*) AS n, sum(score) AS s FROM found GROUP BY 1), i AS (SELECT query_id, count(*) AS n, sum(score) AS s FROM ideal GROUP BY 1),
+b AS (SELECT f.query_id, count(*) AS n FROM found f JOIN ideal USING (query_id, doc_id, sequence) GROUP BY 1)
+SELECT q.query_id, coalesce(a.n, 0) AS retrieved, coalesce(i.n, 0) AS ideal, round(CASE WHEN coalesce(i.n, 0) = 0 THEN 1.0 ELSE coalesce(b.n, 0) / i.n END, 6) AS precision_recall,
+round(CASE WHEN coalesce(i.s, 0) = 0 THEN (CASE WHEN coalesce(a.s, 0) = 0 THEN 1.0 ELSE 0.0 END) ELSE coalesce(a.s, 0) / i.s END, 6) AS relevance_recall FROM queries q LEFT JOIN a USING (query_id) LEFT JOIN i USING (query_id) LEFT JOIN b USING (query_id)"""
+)
+def evaluation_recalls(spark, sf):
+    """The live search against the ideal one, which reranks every chunk that is a candidate of any rank."""
+    queries = _t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"))
+    return evaluation.recalls(_hybrid(spark, sf, Config()), _hybrid(spark, sf, Config(), candidates=1 << 30), queries, KEY)
+
+
+# --- sources and trees ---
+
+
+@query(
+    r"""SELECT page_id, len(regexp_extract_all(html, '<p>')) AS n_p, len(regexp_extract_all(html, '<h1>')) AS n_h1, length(html) AS n_chars FROM pages"""
+)
+def page_tags(spark, sf):
+    n = lambda tag: F.size(F.regexp_extract_all("html", F.lit(tag), F.lit(0))).cast("long")
+    return _t(spark, sf, "pages").select("page_id", n("<p>").alias("n_p"), n("<h1>").alias("n_h1"), F.length("html").cast("long").alias("n_chars"))
+
+
+@query()
+def page_elements(spark, sf):
+    return files.page_elements(_t(spark, sf, "pages"))
+
+
+@query()
+def summary_tree(spark, sf):
+    return tree.summary_tree(_chunks(spark, sf))
+
+
+@query(S.recursive(S.CHUNKS) + " SELECT doc_id, count(*) FILTER (sequence = 1) AS first_chunks, count(*) AS chunks, sum(length(content))::BIGINT AS chars FROM chunks GROUP BY doc_id")
+def chunk_census(spark, sf):
+    return _chunks(spark, sf).groupBy("doc_id").agg(F.count_if(F.col("sequence") == 1).alias("first_chunks"), F.count("*").alias("chunks"), F.sum(F.length("content")).alias("chars"))
