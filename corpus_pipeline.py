@@ -20,6 +20,7 @@ from strataflow.llm.shared import written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 NEAR_BITS = 6
+GONE_ROWS = 2_000_000
 
 #: The trained model and the fingerprints can't be expressed in SQL: the pipeline is tested against brute force.
 ORACLE_SQL = None
@@ -41,12 +42,16 @@ def lines_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, of the smallest doc_id, of each group that the links connect, and all documents without words."""
+    """One document, of the smallest doc_id, of each group that the links connect, and all documents without words.
+
+    What goes is broadcast if it is at most ``GONE_ROWS`` rows of 8 bytes; else the texts are shuffled to meet it.
+    """
     rows = docs.select(*COLUMNS).withColumn("rid", F.monotonically_increasing_id())
-    found = simhash_dedup.near_duplicates(docs, words=5, max_bits=NEAR_BITS)
+    found = written(simhash_dedup.near_duplicates(docs, words=5, max_bits=NEAR_BITS).where(F.col("n_words") > 0).select("rid", "doc_id", "group"))
     first = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("first")).select("first.rid")
-    keep = first.union(found.where(F.col("n_words") == 0).select("rid")).distinct()
-    return rows.join(keep, "rid", "left_semi").select(*COLUMNS)
+    gone = written(found.join(first, "rid", "left_anti").select("rid"))
+    gone = F.broadcast(gone) if gone.count() <= GONE_ROWS else gone
+    return rows.join(gone, "rid", "left_anti").select(*COLUMNS)
 
 
 def leaks_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
