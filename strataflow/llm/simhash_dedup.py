@@ -32,6 +32,10 @@ from .components import components
 from .shared import keyed_texts, written
 
 
+#: Partitions are planned for at least so many fingerprints, so that small tables are dealt as large ones are.
+PLAN_ROWS = 1 << 22
+
+
 def fingerprint(own: list[bytes], words: int = 3) -> int:
     """Of a text's words, as a signed 64-bit number: the majority, bit by bit, of the hashes of all shingles."""
     from xxhash import xxh64_digest
@@ -106,7 +110,7 @@ def _ball(bits: list[int], radius: int) -> list[int]:
     return [x - (x >> 63 << 64) for x in masks]
 
 
-def allocate(sample: np.ndarray, together: np.ndarray, n: int, max_bits: int, row_cost: float = 4.0) -> list[tuple[list[int], int]]:
+def allocate(sample: np.ndarray, together: np.ndarray, n: int, max_bits: int, row_cost: float = 40.0) -> list[tuple[list[int], int]]:
     """(bits, threshold) for each partition that is probed, at the least estimated cost."""
     best: tuple[float, list] = (float("inf"), [])
     a, b = np.triu_indices(len(sample), 1)
@@ -190,7 +194,7 @@ def links(fps: DataFrame, max_bits: int = 2, bucket_rows: int = 64, sample_rows:
     share = min(1.0, sample_rows / n)
     sample = np.array([r["fp"] for r in fps.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int(share * (1 << 30))).collect()], dtype=np.int64)
     index, probes = None, None
-    for k, (bits, t) in enumerate(allocate(sample, together, n, max_bits)):
+    for k, (bits, t) in enumerate(allocate(sample, together / n * max(n, PLAN_ROWS), max(n, PLAN_ROWS), max_bits)):
         mask = _mask(bits) - (_mask(bits) >> 63 << 64)
         part = F.lit(k).alias("part")
         i = fps.select("fp", part, F.col("fp").bitwiseAND(F.lit(mask).cast("long")).alias("value"))
