@@ -78,7 +78,7 @@ class Lookup:
         return at[ok], where[ok]
 
 
-def slices(texts: list, limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def slices(texts: list, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of about limit bytes of text."""
     first, size = 0, 0
     for i, t in enumerate(texts):
