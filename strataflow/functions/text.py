@@ -38,7 +38,7 @@ def half_width(text: Column) -> Column:
 
 
 def english_share(text: Column) -> Column:
-    return F.length(F.regexp_replace(text, r"[^`a-zA-Z0-9.,':;/\"?<>!()\-]", "")) / F.length(text)
+    return F.length(F.regexp_replace(text, r"[^`a-zA-Z0-9.,':;/\"?<>!()\-]", "")) / F.nullif(F.length(text), F.lit(0))
 
 
 def is_english(text: Column) -> Column:

@@ -291,7 +291,7 @@ def vec_cells(spark, sf):
     vectors, queries = _vector_queries(spark, sf)
     n = max(1, int(vectors.count() ** 0.5))
     centres = index.fit_cells(vectors, n)
-    return index.search_cells(index.assign_cells(vectors, ["vec_id"], centres), ["vec_id"], index.assign_cells(queries, ["query_id"], centres, probes=max(1, n // 2)), 5)
+    return index.search_cells(index.assign_cells(vectors, ["vec_id"], centres), ["vec_id"], index.assign_cells(queries, ["query_id"], centres, probes=max(1, 3 * n // 4)), 5)
 
 
 # --- fusion and hybrid search ---
