@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import keyed_texts, written
+from .shared import carried_schema, keyed_texts, written
 
 
 #: Partitions are planned for at least so many fingerprints, so that small tables are dealt as large ones are.
@@ -55,8 +55,9 @@ def fingerprint(own: list[bytes], words: int = 3) -> int:
     return int.from_bytes(np.packbits(bits * 2 > n).tobytes(), "big", signed=True)
 
 
-def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """``rid, doc_id, n_words, fp``."""
+def fingerprints(docs: DataFrame, words: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``rid, doc_id, n_words, fp``, and ``carried`` if columns go along."""
+    texts = keyed_texts(docs, carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -65,9 +66,9 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
                 own = text.encode().lower().split()
                 fps.append(fingerprint(own, words))
                 sizes.append(len(own))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(fps, pa.int64())], names=["rid", "doc_id", "n_words", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(fps, pa.int64()), *batch.columns[3:]], names=["rid", "doc_id", "n_words", "fp", *batch.schema.names[3:]])
 
-    return keyed_texts(docs).mapInArrow(run, "rid long, doc_id long, n_words long, fp long")
+    return texts.mapInArrow(run, "rid long, doc_id long, n_words long, fp long" + carried_schema(texts))
 
 
 def _bit_sums(fps: DataFrame) -> np.ndarray:
@@ -218,12 +219,12 @@ def links(fps: DataFrame, max_bits: int = 2, bucket_rows: int = 64, sample_rows:
     return pairs.unionByName(stars).distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2, bucket_rows: int = 64) -> DataFrame:
-    """``rid, doc_id, n_words, fp, group, component_id``: the smallest fingerprint and doc_id that each document is connected with."""
-    own = written(fingerprints(docs, words))
+def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2, bucket_rows: int = 64, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``rid, doc_id, n_words, fp, group, component_id``, and ``carried`` if columns go along: the smallest fingerprint and doc_id that each document is connected with."""
+    own = written(fingerprints(docs, words, carry))
     fps = written(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(fps, max_bits, bucket_rows))
     linked = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     names = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     named = linked.join(names, "root").select("fp", F.col("root").alias("group"), "component_id")
-    return own.join(named, "fp").select("rid", "doc_id", "n_words", "fp", "group", "component_id")
+    return own.join(named, "fp").select("rid", "doc_id", "n_words", "fp", "group", "component_id", *own.columns[4:])

@@ -4,6 +4,7 @@ import random
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
 from strataflow.llm import bpe_codec
@@ -53,9 +54,9 @@ def test_stages(spark, tables, monkeypatch):
             groups[r] = min(groups.get(r, i), i)
     keep = {*groups.values(), *(i for i, w in zip(ids, words, strict=True) if not w)}
     assert len(keep) < len(ids) - 4
-    for rows in (pipeline.GONE_ROWS, 0):
-        monkeypatch.setattr(pipeline, "GONE_ROWS", rows)
-        near = stages["near_dedup"](spark, docs, d)
+    for limit, rows in ((pipeline.GONE_BYTES, docs), (0, docs), (pipeline.GONE_BYTES, docs.union(docs.limit(0)))):
+        monkeypatch.setattr(pipeline, "GONE_BYTES", limit)
+        near = stages["near_dedup"](spark, rows, d)
         assert near.columns == COLUMNS and {r["doc_id"] for r in near.collect()} == keep
 
     pure = stages["decontamination"](spark, docs, d)
@@ -67,6 +68,35 @@ def test_stages(spark, tables, monkeypatch):
     assert {r["doc_id"]: r["ids"] for r in stages["tokens"](spark, docs, d).collect()} == {i: encoding.encode_ordinary(texts[i] or "") for i in ids}
 
 
+def test_rows_are_told_apart_however_scans_are_cut(spark, tables, monkeypatch):
+    """The scan is cut otherwise, as when an executor is lost, after the rows that go have been written."""
+    d, texts, _ = tables
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    want = {r["doc_id"] for r in pipeline.copies_out(spark, docs, d).collect()}
+    lazy = pipeline.copies_out(spark, docs, d)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        assert {r["doc_id"] for r in lazy.collect()} == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_repeated_rows_and_long_files(spark, tmp_path):
+    """Over 32,768 rows in one file, ids that repeat and null ids: one row of each group stays."""
+    rows = spark.range(40_000).select(
+        F.when(F.col("id") % 1000 == 7, None).otherwise(F.col("id") % 39_000).alias("doc_id"),
+        F.concat_ws(" ", *(F.md5(F.concat((F.col("id") % 30_000).cast("string"), F.lit(f"-{i}"))) for i in range(12))).alias("text"),
+        F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(396).cast("long").alias("n_chars"),
+    )
+    rows.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = pipeline.copies_out(spark, docs, str(tmp_path))
+    assert kept.count() == kept.select("text").distinct().count() == 30_000
+
+
 def test_run(spark, tables, tmp_path):
     d, _, _ = tables
     out = pipeline.run(spark, d)
