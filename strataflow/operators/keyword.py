@@ -27,9 +27,14 @@ def term_stats(posts: DataFrame, n_rows: DataFrame) -> DataFrame:
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, FLOOR * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25(posts: DataFrame, stats: DataFrame, lengths: DataFrame, query_terms: DataFrame, key: list[str], n_avg: DataFrame) -> DataFrame:
-    """``query_id``, key, ``kw``: terms that a query repeats count as often. query_terms: ``query_id, term, qtf``; n_avg: one row, ``avgdl``."""
-    found = posts.join(query_terms, "term").join(stats.select("term", "idf"), "term").join(lengths, key).crossJoin(F.broadcast(n_avg))
+def bm25(candidates: DataFrame, posts: DataFrame, stats: DataFrame, lengths: DataFrame, query_terms: DataFrame, key: list[str], n_avg: DataFrame) -> DataFrame:
+    """``query_id``, key, ``kw`` of the candidates (``query_id``, key) that share a term with their query.
+
+    Terms that a query repeats count as often. query_terms: ``query_id, term, qtf``; n_avg: one row, ``avgdl``. Postings meet the
+    candidates before the query terms, so that a frequent term gives rows for candidates only.
+    """
+    asked = query_terms.join(stats.select("term", "idf"), "term")
+    found = candidates.select("query_id", *key).join(posts, key).join(asked, ["query_id", "term"]).join(lengths, key).crossJoin(F.broadcast(n_avg))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return found.groupBy("query_id", *key).agg(F.sum(part).alias("kw"))
 

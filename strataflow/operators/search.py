@@ -34,7 +34,7 @@ def hash_embeddings(rows: DataFrame, key: list[str], tokens: str, dim: int = 64)
             vectors = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * dim, pa.int32()), pa.array(out.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(key)], vectors], names=[*key, "embedding"])
 
-    chosen = rows.select(*key, tokens)
+    chosen = rows.select(*key, F.col(tokens).alias("_tokens"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in chosen.schema[: len(key)])
     return chosen.mapInArrow(run, f"{schema}, embedding array<double>")
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import chunking, context, evaluation, index, keyword, search, tree
+from ..operators import chunking, context, evaluation, exhaustive, index, keyword, search, tree
 from ..sources import files
 from . import sql as S
 from .config import Config
@@ -218,16 +218,19 @@ def _query_terms(spark, sf) -> DataFrame:
     return q.groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
-def _bm25(chunks: DataFrame, spark, sf) -> DataFrame:
-    posts = keyword.postings(chunks, KEY)
-    lens = keyword.doc_lengths(posts, KEY)
-    return keyword.bm25(posts, keyword.term_stats(posts, _counts(chunks)), lens, _query_terms(spark, sf), KEY, lens.agg(F.avg("dl").alias("avgdl")))
+def _statistics(posts: DataFrame, chunks: DataFrame, query_terms: DataFrame) -> tuple[DataFrame, float]:
+    """``query_id, term, weight`` for the terms that are asked, and the mean length of chunks with terms."""
+    stats = keyword.term_stats(posts, _counts(chunks)).select("term", "idf")
+    weights = query_terms.join(stats, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"))
+    return tree.kept(weights), keyword.doc_lengths(posts, KEY).agg(F.avg("dl")).first()[0] or 0.0
 
 
 @query(S.recursive(S.CHUNKS, S.KEYWORDS, S.QUERY_TERMS, S.BM25) + ", r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(kw, 6) DESC, doc_id, sequence) AS rank FROM kw) SELECT query_id, doc_id, sequence, rank, round(kw, 6) AS kw FROM r WHERE rank <= 10")
 def kw_bm25_top10(spark, sf):
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("kw"), *KEY))
-    return _bm25(_chunks(spark, sf), spark, sf).withColumn("kw", F.round("kw", 6)).withColumn("rank", rank).where(F.col("rank") <= 10).select("query_id", *KEY, "rank", "kw")
+    chunks = _chunks(spark, sf).select(*KEY, "content")
+    weights, avgdl = _statistics(keyword.postings(chunks, KEY), chunks, _query_terms(spark, sf))
+    queries = _t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.lit(None).cast("array<double>").alias("embedding"))
+    return exhaustive.keyword_top_k(chunks.select(*KEY, T.tokens(F.col("content")).alias("words")), KEY, queries, weights, avgdl, 10)
 
 
 @query(
@@ -312,23 +315,37 @@ def rank_fusion(spark, sf):
 ORACLE_SQL["rank_fusion"] = ORACLE_SQL["rank_fusion"].replace("FROM p) , l", "FROM p), l")
 
 
-def _hybrid(spark, sf, config: Config, candidates: int | None = None) -> DataFrame:
+def _embedded(spark, sf, config: Config) -> tuple[DataFrame, DataFrame]:
+    """Chunks with ``words`` and ``embedding``, and the benchmark items as queries with ``embedding``."""
+    chunks = _chunks(spark, sf).select(*KEY, T.tokens(F.col("content")).alias("words"))
+    bench = _t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), T.tokens(F.col("text")).alias("words"))
+    return tree.kept(search.hash_embeddings(chunks, [*KEY, "words"], "words", config.embed_dim)), search.hash_embeddings(bench, ["query_id"], "words", config.embed_dim)
+
+
+def _word_posts(chunks: DataFrame) -> DataFrame:
+    return tree.kept(chunks.select(*KEY, F.explode("words").alias("term")).groupBy(*KEY, "term").agg(F.count("*").alias("tf")))
+
+
+def _hybrid(spark, sf, config: Config) -> DataFrame:
     """Results of all benchmark items: candidates by vector, rescored by keywords."""
-    chunks = tree.kept(_chunks(spark, sf).select(*KEY, "content"))
-    bench = _t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    vectors = search.hash_embeddings(chunks.withColumn("t", T.tokens(F.col("content"))), KEY, "t", config.embed_dim)
-    queries = search.hash_embeddings(bench.withColumn("t", T.tokens(F.col("text"))), ["query_id"], "t", config.embed_dim)
-    hits = tree.kept(search.exact_top_k(vectors, KEY, queries, candidates or 25 * config.top_k))
+    chunks, queries = _embedded(spark, sf, config)
+    hits = tree.kept(search.exact_top_k(chunks, KEY, queries, 25 * config.top_k))
     fused = search.fuse(hits.withColumn("sub_idx", F.lit(0)), KEY)
     # Only candidates are scored; the statistics are those of all chunks.
-    posts = tree.kept(keyword.postings(chunks, KEY))
+    posts, asked = _word_posts(chunks), _query_terms(spark, sf)
     lens = keyword.doc_lengths(posts, KEY)
-    stats = keyword.term_stats(posts, _counts(chunks)).join(_query_terms(spark, sf).select("term").distinct(), "term", "left_semi")
-    wanted = posts.join(hits.select(*KEY).distinct(), KEY, "left_semi")
-    kw = keyword.bm25(wanted, stats, lens, _query_terms(spark, sf), KEY, lens.agg(F.avg("dl").alias("avgdl")))
+    stats = keyword.term_stats(posts, _counts(chunks)).join(asked.select("term").distinct(), "term", "left_semi")
+    kw = keyword.bm25(hits, posts, stats, lens, asked, KEY, lens.agg(F.avg("dl").alias("avgdl")))
     return search.rerank(fused, kw, KEY, config.vec_weight, config.kw_weight, config.threshold, config.top_k)
 
 
+def _ideal(spark, sf, config: Config) -> DataFrame:
+    """The best of all chunks for each benchmark item, none left out by a candidate search."""
+    chunks, queries = _embedded(spark, sf, config)
+    weights, avgdl = _statistics(_word_posts(chunks), chunks, _query_terms(spark, sf))
+    return exhaustive.hybrid_top_k(chunks, KEY, queries, weights, avgdl, config.vec_weight, config.kw_weight, config.threshold, config.top_k)
+
+
 _SEARCH_SQL = S.recursive(S.CHUNKS, S.KEYWORDS, S.QUERY_TERMS, S.BM25, S.SEARCH, S.RERANK("hits", "found"))
 
 
@@ -391,9 +408,9 @@ SELECT q.query_id, coalesce(a.n, 0) AS retrieved, coalesce(i.n, 0) AS ideal, rou
 round(CASE WHEN coalesce(i.s, 0) = 0 THEN (CASE WHEN coalesce(a.s, 0) = 0 THEN 1.0 ELSE 0.0 END) ELSE coalesce(a.s, 0) / i.s END, 6) AS relevance_recall FROM queries q LEFT JOIN a USING (query_id) LEFT JOIN i USING (query_id) LEFT JOIN b USING (query_id)"""
 )
 def evaluation_recalls(spark, sf):
-    """The live search against the ideal one, which reranks every chunk that is a candidate of any rank."""
+    """The live search against the ideal one, which ranks every chunk."""
     queries = _t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"))
-    return evaluation.recalls(_hybrid(spark, sf, Config()), _hybrid(spark, sf, Config(), candidates=1 << 30), queries, KEY)
+    return evaluation.recalls(_hybrid(spark, sf, Config()), _ideal(spark, sf, Config()), queries, KEY)
 
 
 # --- sources and trees ---

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strataflow.functions import text as T
-from strataflow.operators import chunking, context, evaluation, index, keyword, search, tree
+from strataflow.operators import chunking, context, evaluation, exhaustive, index, keyword, search, tree
 from strataflow.plans.config import Config, update_plan
 from strataflow.plans.registry import ORACLE_SQL, QUERIES
 from strataflow.sources import files
@@ -98,7 +98,7 @@ def test_bm25(spark):
     lens = keyword.doc_lengths(posts, ["c"])
     stats = keyword.term_stats(posts, chunks.agg(F.count("*").cast("double").alias("n")))
     q = spark.createDataFrame([(0, "a", 2), (0, "b", 1), (0, "zz", 1)], "query_id long, term string, qtf long")
-    got = {r["c"]: r["kw"] for r in keyword.bm25(posts, stats, lens, q, ["c"], lens.agg(F.avg("dl").alias("avgdl"))).collect()}
+    got = {r["c"]: r["kw"] for r in keyword.bm25(posts.select(F.lit(0).cast("long").alias("query_id"), "c").distinct(), posts, stats, lens, q, ["c"], lens.agg(F.avg("dl").alias("avgdl"))).collect()}
     words = [t.split() for t in texts]
     n, df = len(words), Counter(w for t in words for w in set(t))
     raw = {w: math.log(n - d + 0.5) - math.log(d + 0.5) for w, d in df.items()}
@@ -155,3 +155,37 @@ def test_context(spark):
     chunks = spark.createDataFrame([(1, i, f"c{i}") for i in (1, 2, 4, 5, 6)], "doc_id long, sequence int, content string")
     assert context.neighbours(chunks, spark.createDataFrame([(1, 5)], "doc_id long, at int")).count() == 3
     assert context.by_position(chunks, doc_id=1, sequence=4).first()["content"] == "c4"
+
+
+def test_exhaustive_search_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = [None if i == 5 else [] if i == 6 else [f"w{w}" for w in rng.integers(0, 12, rng.integers(1, 9))] for i in range(700)]
+    vectors = [None if i == 9 else v.tolist() for i, v in enumerate(np.abs(rng.normal(size=(700, 4))))]
+    chunks = spark.createDataFrame(list(zip(range(700), texts, vectors, strict=True)), "c long, words array<string>, embedding array<double>").repartition(3)
+    q = spark.createDataFrame([(i, vectors[i]) for i in range(8)] + [(8, [0.0] * 4)], "query_id long, embedding array<double>")
+    asked = {i: {f"w{i}": 0.5, f"w{i + 3}": 1.5} for i in range(8)}
+    weights = spark.createDataFrame([(i, t, w) for i, own in asked.items() for t, w in own.items()] + [(99, "w1", 1.0)], "query_id long, term string, weight double")
+    avg = 4.0
+    raw = {(i, j): sum(w * t.count(x) * 2.5 / (t.count(x) + 1.5 * (0.25 + 0.75 * len(t) / avg)) for x, w in asked.get(i, {}).items()) for i in range(9) for j, t in enumerate(t or [] for t in texts)}
+    unit = [np.zeros(4) if v is None else np.array(v) / np.linalg.norm(v) for v in vectors]
+    qunit = [*unit[:8], np.zeros(4)]
+    words, both = {}, {}
+    for i in range(9):
+        matched = [j for j in range(700) if set(texts[j] or []) & set(asked.get(i, {}))]
+        words[i] = sorted(matched, key=lambda j, i=i: (-round(raw[i, j], 6), j))[:4]
+        span = max(raw[i, j] for j in range(700))
+        score = {j: round(round(float(qunit[i] @ unit[j]), 9) * 0.8 + (raw[i, j] / span if span else 0) * 0.2, 9) for j in range(700)}
+        both[i] = sorted((j for j in score if score[j] >= 0.6), key=lambda j, i=i, score=score: (-score[j], -round(float(qunit[i] @ unit[j]), 9), j))[:4]
+
+    def found(df):
+        out = {i: [] for i in range(9)}
+        for r in df.orderBy("query_id", "rank").collect():
+            out[r["query_id"]].append(r["c"])
+        return out
+
+    for size in (32 << 20, 100):
+        monkeypatch.setattr(exhaustive, "BLOCK_BYTES", size)
+        assert found(exhaustive.keyword_top_k(chunks, ["c"], q, weights, avg, 4)) == words
+        assert found(exhaustive.hybrid_top_k(chunks, ["c"], q, weights, avg, 0.8, 0.2, 0.6, 4)) == both
+    assert exhaustive.hybrid_top_k(chunks, ["c"], q.limit(0), weights, avg, 0.8, 0.2, 0.6, 4).count() == 0
+    assert exhaustive.keyword_top_k(chunks.limit(0), ["c"], q, weights, avg, 4).count() == 0
