@@ -30,13 +30,16 @@ def term_stats(posts: DataFrame, n_rows: DataFrame) -> DataFrame:
 def bm25(candidates: DataFrame, posts: DataFrame, stats: DataFrame, lengths: DataFrame, query_terms: DataFrame, key: list[str], n_avg: DataFrame) -> DataFrame:
     """``query_id``, key, ``kw`` of the candidates (``query_id``, key) that share a term with their query.
 
-    Terms that a query repeats count as often. query_terms: ``query_id, term, qtf``; n_avg: one row, ``avgdl``. Postings meet the
-    candidates before the query terms, so that a frequent term gives rows for candidates only.
+    Terms that a query repeats count as often. query_terms: ``query_id, term, qtf``, and ``sub_idx`` where a query has several parts, of
+    which the best counts; n_avg: one row, ``avgdl``. Postings meet the candidates before the query terms, so that a frequent term gives
+    rows for candidates only.
     """
+    sub = [c for c in ("sub_idx",) if c in query_terms.columns]
     asked = query_terms.join(stats.select("term", "idf"), "term")
     found = candidates.select("query_id", *key).join(posts, key).join(asked, ["query_id", "term"]).join(lengths, key).crossJoin(F.broadcast(n_avg))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return found.groupBy("query_id", *key).agg(F.sum(part).alias("kw"))
+    scores = found.groupBy("query_id", *key, *sub).agg(F.sum(part).alias("kw"))
+    return scores.groupBy("query_id", *key).agg(F.max("kw").alias("kw")) if sub else scores
 
 
 def keywords(posts: DataFrame, stats: DataFrame, key: list[str], k: int = 5) -> DataFrame:

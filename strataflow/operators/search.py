@@ -39,21 +39,22 @@ def hash_embeddings(rows: DataFrame, key: list[str], tokens: str, dim: int = 64)
     return chosen.mapInArrow(run, f"{schema}, embedding array<double>")
 
 
-def exact_top_k(vectors: DataFrame, key: list[str], queries: DataFrame, k: int) -> DataFrame:
-    """``query_id``, key, ``rank, score``: the k rows with the highest cosine for each query, ties in order of the key.
+def exact_top_k(vectors: DataFrame, key: list[str], queries: DataFrame, k: int, by: list[str] | None = None) -> DataFrame:
+    """by (``query_id``), key, ``rank, score``: the k rows with the highest cosine for each query, ties in order of the key.
 
-    vectors: key and ``embedding``; queries: ``query_id, embedding``. Queries go through in blocks of bounded size: each task takes one
+    vectors: key and ``embedding``; queries: by and ``embedding``. Queries go through in blocks of bounded size: each task takes one
     matrix product per batch and keeps its own k best, so that k rows for each query and task meet in the final ranking.
     """
+    by = by or ["query_id"]
     n, dim = queries.count(), len((queries.select("embedding").first() or [[]])[0])
     per_block = max(1, QUERY_BLOCK_BYTES // (8 * max(1, dim)))
     found = None
     for block in range(-(-n // per_block) or 1):
-        own = queries if n <= per_block else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(-(-n // per_block))) == block)
-        part = _block_top_k(vectors, key, own.select("query_id", "embedding").toPandas(), k)
+        own = queries if n <= per_block else queries.where(F.pmod(F.xxhash64(*by), F.lit(-(-n // per_block))) == block)
+        part = _block_top_k(vectors, key, own.select(*by, "embedding"), k, by)
         found = part if found is None else found.unionByName(part)
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), *key))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", *key, "rank", "score")
+    rank = F.row_number().over(W.partitionBy(*by).orderBy(F.desc("score"), *key))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select(*by, *key, "rank", "score")
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -61,25 +62,26 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, n, out=m.copy(), where=n > 0)
 
 
-def _block_top_k(vectors: DataFrame, key: list[str], queries, k: int) -> DataFrame:
-    ids = queries["query_id"].to_numpy()
+def _block_top_k(vectors: DataFrame, key: list[str], block: DataFrame, k: int, by: list[str]) -> DataFrame:
+    queries = block.toPandas()  # bounded by QUERY_BLOCK_BYTES
+    ids = [queries[c].to_numpy() for c in by]
     q = _unit(np.array(queries["embedding"].tolist(), dtype=np.float64)) if len(queries) else np.zeros((0, 1))
     held = vectors.sparkSession.sparkContext.broadcast((ids, q))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in vectors.select(*key).schema)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in [*block.select(*by).schema, *vectors.select(*key).schema])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = held.value
         for batch in batches:
-            if not batch.num_rows or not len(ids):
+            if not batch.num_rows or not len(q):
                 continue
             m = _unit(np.array(batch.column(len(key)).to_pylist(), dtype=np.float64))
             s = np.round(q @ m.T, 9)
             # All that reach the k-th best score, so that ties are settled by the key later.
             kth = np.partition(s, max(0, s.shape[1] - k), axis=1)[:, max(0, s.shape[1] - k)]
             a, b = np.nonzero(s >= kth[:, None])
-            yield pa.RecordBatch.from_arrays([pa.array(ids[a]), *(c.take(pa.array(b)) for c in batch.columns[: len(key)]), pa.array(s[a, b])], names=["query_id", *key, "score"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c[a]) for c in ids), *(c.take(pa.array(b)) for c in batch.columns[: len(key)]), pa.array(s[a, b])], names=[*by, *key, "score"])
 
-    return vectors.select(*key, "embedding").mapInArrow(run, f"query_id long, {schema}, score double")
+    return vectors.select(*key, "embedding").mapInArrow(run, f"{schema}, score double")
 
 
 def fuse(hits: DataFrame, key: list[str], k0: int = 60) -> DataFrame:
@@ -108,5 +110,20 @@ def rerank(fused: DataFrame, kw: DataFrame, key: list[str], vec_weight: float, k
     return (rows if top_k is None else rows.where(F.col("rank") <= top_k)).select("query_id", *key, "rank", "score", "vec_score", "kw_score")
 
 
+def by_fusion(fused: DataFrame, key: list[str]) -> DataFrame:
+    """All fused rows in order of their fused score."""
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(F.round("rrf", 12)), "seen", *key))
+    return fused.select("query_id", *key, rank.alias("rank"), F.col("rrf").alias("score"), "vec_score", F.lit(None).cast("double").alias("kw_score"))
+
+
+def by_vector(fused: DataFrame, key: list[str], threshold: float, top_k: int | None, parity: bool = False) -> DataFrame:
+    """Rows by their vector score alone; with parity the threshold is held against the fused score, as where keywords have no weight."""
+    rows = fused.where(F.col("rrf" if parity else "vec_score") >= threshold)
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("rrf" if parity else "vec_score"), F.desc(F.round("rrf", 12)), "seen", *key))
+    rows = rows.withColumn("rank", rank)
+    rows = rows if top_k is None else rows.where(F.col("rank") <= top_k)
+    return rows.select("query_id", *key, "rank", F.col("rrf" if parity else "vec_score").alias("score"), "vec_score", F.lit(None).cast("double").alias("kw_score"))
+
+
 def search_stats(results: DataFrame) -> DataFrame:
     return results.groupBy("query_id").agg(F.count("*").alias("total"), F.max("score").alias("max_score"), F.min("score").alias("min_score"), F.avg("score").alias("avg_score"))

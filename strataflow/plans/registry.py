@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import chunking, context, evaluation, exhaustive, index, keyword, search, tree
+from ..operators import chunking, context, evaluation, exhaustive, index, keyword, retrieval, search, tree
 from ..sources import files
 from . import sql as S
 from .config import Config
@@ -256,10 +256,10 @@ def _vector_queries(spark, sf) -> tuple[DataFrame, DataFrame]:
     return vectors, vectors.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
 
 
-@query(_TOP + "SELECT query_id, vec_id, rank, round(s, 6) AS score FROM r WHERE rank <= 25")
+@query(_TOP + "SELECT query_id, vec_id, rank, s AS score FROM r WHERE rank <= 25")
 def vec_exact_cosine(spark, sf):
     vectors, queries = _vector_queries(spark, sf)
-    return search.exact_top_k(vectors, ["vec_id"], queries, 25).withColumn("score", F.round("score", 6))
+    return search.exact_top_k(vectors, ["vec_id"], queries, 25)
 
 
 @query(_TOP + "SELECT query_id, vec_id, rank, round(1 / (1 + sqrt(greatest(0, 2 - 2 * s)) + 1e-6), 6) AS score FROM r WHERE rank <= 25")
@@ -302,63 +302,71 @@ def vec_cells(spark, sf):
 
 @query(
     _TOP
-    + ", l AS (SELECT query_id, vec_id, 0 AS sub, rank, s FROM r WHERE rank <= 25 UNION ALL SELECT query_id, vec_id, 1, row_number() OVER (PARTITION BY query_id ORDER BY vec_id), s FROM r WHERE rank <= 50), f AS (SELECT query_id, vec_id, sum(1 / (60.0 + rank)) AS rrf, arg_min(s, sub * 1000 + rank) AS v FROM l GROUP BY ALL) SELECT query_id, vec_id, round(rrf, 9) AS rrf, round(v, 6) AS vec_score FROM f"
+    + ", l AS (SELECT query_id, vec_id, 0 AS sub, rank, s FROM r WHERE rank <= 25 UNION ALL SELECT query_id, vec_id, 1, row_number() OVER (PARTITION BY query_id ORDER BY vec_id), s FROM r WHERE rank <= 50), f AS (SELECT query_id, vec_id, sum(1 / (60.0 + rank)) AS rrf, arg_min(s, sub * 1000 + rank) AS v FROM l GROUP BY ALL) SELECT query_id, vec_id, round(rrf, 9) AS rrf, v AS vec_score FROM f"
 )
 def rank_fusion(spark, sf):
     vectors, queries = _vector_queries(spark, sf)
     top = search.exact_top_k(vectors, ["vec_id"], queries, 50)
     by_id = F.row_number().over(W.partitionBy("query_id").orderBy("vec_id"))
     lists = top.where("rank <= 25").withColumn("sub_idx", F.lit(0)).unionByName(top.withColumn("rank", by_id).withColumn("sub_idx", F.lit(1)))
-    return search.fuse(lists, ["vec_id"]).select("query_id", "vec_id", F.round("rrf", 9).alias("rrf"), F.round("vec_score", 6).alias("vec_score"))
+    return search.fuse(lists, ["vec_id"]).select("query_id", "vec_id", F.round("rrf", 9).alias("rrf"), "vec_score")
 
 
 ORACLE_SQL["rank_fusion"] = ORACLE_SQL["rank_fusion"].replace("FROM p) , l", "FROM p), l")
 
 
-def _embedded(spark, sf, config: Config) -> tuple[DataFrame, DataFrame]:
-    """Chunks with ``words`` and ``embedding``, and the benchmark items as queries with ``embedding``."""
-    chunks = _chunks(spark, sf).select(*KEY, T.tokens(F.col("content")).alias("words"))
-    bench = _t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), T.tokens(F.col("text")).alias("words"))
-    return tree.kept(search.hash_embeddings(chunks, [*KEY, "words"], "words", config.embed_dim)), search.hash_embeddings(bench, ["query_id"], "words", config.embed_dim)
+def _index(spark, sf, config: Config) -> retrieval.Index:
+    return retrieval.index_of(_chunks(spark, sf).select(*KEY, "content"), KEY, config.embed_dim)
 
 
-def _word_posts(chunks: DataFrame) -> DataFrame:
-    return tree.kept(chunks.select(*KEY, F.explode("words").alias("term")).groupBy(*KEY, "term").agg(F.count("*").alias("tf")))
+def _items(spark, sf) -> DataFrame:
+    return _t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-def _hybrid(spark, sf, config: Config) -> DataFrame:
-    """Results of all benchmark items: candidates by vector, rescored by keywords."""
-    chunks, queries = _embedded(spark, sf, config)
-    hits = tree.kept(search.exact_top_k(chunks, KEY, queries, 25 * config.top_k))
-    fused = search.fuse(hits.withColumn("sub_idx", F.lit(0)), KEY)
-    # Only candidates are scored; the statistics are those of all chunks.
-    posts, asked = _word_posts(chunks), _query_terms(spark, sf)
-    lens = keyword.doc_lengths(posts, KEY)
-    stats = keyword.term_stats(posts, _counts(chunks)).join(asked.select("term").distinct(), "term", "left_semi")
-    kw = keyword.bm25(hits, posts, stats, lens, asked, KEY, lens.agg(F.avg("dl").alias("avgdl")))
-    return search.rerank(fused, kw, KEY, config.vec_weight, config.kw_weight, config.threshold, config.top_k)
+def _rounded(results: DataFrame) -> DataFrame:
+    """Scores by vectors have 9 digits and stay as they are: to round them again would split hairs at the halves."""
+    return results.select("query_id", *KEY, "rank", "score", "vec_score", F.round("kw_score", 6).alias("kw_score"))
 
 
-def _ideal(spark, sf, config: Config) -> DataFrame:
-    """The best of all chunks for each benchmark item, none left out by a candidate search."""
-    chunks, queries = _embedded(spark, sf, config)
-    weights, avgdl = _statistics(_word_posts(chunks), chunks, _query_terms(spark, sf))
-    return exhaustive.hybrid_top_k(chunks, KEY, queries, weights, avgdl, config.vec_weight, config.kw_weight, config.threshold, config.top_k)
+def _hybrid(spark, sf, config: Config) -> DataFrame:
+    """Results of all benchmark items: candidates by vector, rescored by keywords."""
+    return retrieval.hybrid_search(_index(spark, sf, config), retrieval.sub_queries(_items(spark, sf)), config)
 
 
 _SEARCH_SQL = S.recursive(S.CHUNKS, S.KEYWORDS, S.QUERY_TERMS, S.BM25, S.SEARCH, S.RERANK("hits", "found"))
 
 
-@query(_SEARCH_SQL + " SELECT query_id, doc_id, sequence, rank, round(score, 6) AS score, round(vec, 6) AS vec_score, round(kws, 6) AS kw_score FROM found")
+@query(_SEARCH_SQL + " SELECT query_id, doc_id, sequence, rank, score, vec AS vec_score, round(kws, 6) AS kw_score FROM found")
 def hybrid_search(spark, sf):
-    scores = [F.round(c, 6).alias(c) for c in ("score", "vec_score", "kw_score")]
-    return _hybrid(spark, sf, Config()).select("query_id", *KEY, "rank", *scores)
+    return _rounded(_hybrid(spark, sf, Config()))
+
+
+@query(
+    S.recursive(S.CHUNKS, S.KEYWORDS, S.QUERY_TERMS, S.SUB_QUERIES, S.RERANK("hits", "found"))
+    + " SELECT query_id, doc_id, sequence, rank, score, vec AS vec_score, round(kws, 6) AS kw_score FROM found"
+)
+def hybrid_search_expanded(spark, sf):
+    """Each item and its five keywords as two sub-queries, whose lists are fused."""
+    index = _index(spark, sf, Config())
+    return _rounded(retrieval.hybrid_search(index, retrieval.sub_queries(_items(spark, sf), index.term_stats), Config()))
 
 
-@query(_SEARCH_SQL + " SELECT query_id, count(*) AS total, round(max(score), 6) AS max_score, round(min(score), 6) AS min_score, round(avg(score), 6) AS avg_score FROM found GROUP BY query_id")
+@query(_SEARCH_SQL + ", v AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY vec DESC, r) AS rank FROM hits WHERE vec >= 0.6) SELECT query_id, doc_id, sequence, rank, vec AS score, vec AS vec_score, NULL::DOUBLE AS kw_score FROM v WHERE rank <= 5")
+def search_vector_only(spark, sf):
+    return _rounded(_hybrid(spark, sf, Config(vec_weight=1.0, kw_weight=0.0)))
+
+
+@query(_SEARCH_SQL + " SELECT query_id, doc_id, sequence, r AS rank, round(1 / (60.0 + r), 12) AS score, vec AS vec_score, NULL::DOUBLE AS kw_score FROM hits")
+def search_without_rerank(spark, sf):
+    config = Config()
+    found = retrieval.hybrid_search(_index(spark, sf, config), retrieval.sub_queries(_items(spark, sf)), config, use_rerank=False)
+    return _rounded(found.withColumn("score", F.round("score", 12)))
+
+
+@query(_SEARCH_SQL + " SELECT query_id, count(*) AS total, max(score) AS max_score, min(score) AS min_score, round(avg(score), 6) AS avg_score FROM found GROUP BY query_id")
 def search_statistics(spark, sf):
     stats = search.search_stats(_hybrid(spark, sf, Config()))
-    return stats.select("query_id", "total", *(F.round(c, 6).alias(c) for c in ("max_score", "min_score", "avg_score")))
+    return stats.select("query_id", "total", "max_score", "min_score", F.round("avg_score", 6).alias("avg_score"))
 
 
 # --- context and reports ---
@@ -385,7 +393,7 @@ def document_report(spark, sf):
     return rows.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.max("sequence").alias("last"), F.md5(F.array_join(F.transform(ordered, lambda x: x["content"]), "\n")).alias("report"), F.min("origin").alias("origin"))
 
 
-_SIMILAR = _TOP + ", o AS (SELECT * FROM r WHERE rank <= 6 AND vec_id <> query_id), k AS (SELECT query_id, vec_id, s, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM o) SELECT query_id, vec_id, rank, round(s, 6) AS score FROM k WHERE rank <= 5"
+_SIMILAR = _TOP + ", o AS (SELECT * FROM r WHERE rank <= 6 AND vec_id <> query_id), k AS (SELECT query_id, vec_id, s, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM o) SELECT query_id, vec_id, rank, s AS score FROM k WHERE rank <= 5"
 
 
 @query(_SIMILAR.replace("FROM p) , o", "FROM p), o"))
@@ -394,7 +402,7 @@ def more_like_this(spark, sf):
     vectors, queries = _vector_queries(spark, sf)
     top = search.exact_top_k(vectors, ["vec_id"], queries, 6).where(F.col("vec_id") != F.col("query_id"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("rank"))
-    return top.withColumn("rank", rank).where("rank <= 5").select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
+    return top.withColumn("rank", rank).where("rank <= 5").select("query_id", "vec_id", "rank", "score")
 
 
 # --- evaluation ---
@@ -409,8 +417,18 @@ round(CASE WHEN coalesce(i.s, 0) = 0 THEN (CASE WHEN coalesce(a.s, 0) = 0 THEN 1
 )
 def evaluation_recalls(spark, sf):
     """The live search against the ideal one, which ranks every chunk."""
-    queries = _t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"))
-    return evaluation.recalls(_hybrid(spark, sf, Config()), _ideal(spark, sf, Config()), queries, KEY)
+    return _recalls(spark, sf)
+
+
+def _recalls(spark, sf) -> DataFrame:
+    index, items = _index(spark, sf, Config()), _items(spark, sf)
+    found, ideal = retrieval.hybrid_search(index, retrieval.sub_queries(items), Config()), retrieval.ideal_search(index, items, Config())
+    return evaluation.recalls(found, ideal, items.select("query_id"), KEY)
+
+
+@query(ORACLE_SQL["evaluation_recalls"].replace("SELECT q.query_id, coalesce", "SELECT 'default' AS mode, count(*) AS n_queries, round(avg(precision_recall), 6) AS mean_precision, round(avg(relevance_recall), 6) AS mean_relevance, sum(retrieved)::BIGINT AS retrieved FROM (SELECT q.query_id, coalesce") + ")")
+def evaluation_batch(spark, sf):
+    return evaluation.batch_means(_recalls(spark, sf).withColumn("mode", F.lit("default")))
 
 
 # --- sources and trees ---

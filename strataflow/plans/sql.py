@@ -63,6 +63,33 @@ cosines AS (
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY vec DESC, doc_id, sequence) AS r FROM cosines),
 hits AS (SELECT * FROM ranked WHERE r <= 125)"""
 
+#: The same with two sub-queries, the query and its five keywords; hits are fused, kw is the better of both.
+SUB_QUERIES = """
+xw AS (SELECT query_id, term, round(qtf * idf, 6) AS weight FROM qtf JOIN stats USING (term)),
+xr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, term) AS rank FROM xw),
+sq AS (SELECT query_id, 0 AS sub, term, qtf FROM qtf UNION ALL SELECT query_id, 1, term, 1 FROM xr WHERE rank <= 5),
+subs AS (SELECT item_id AS query_id, 0 AS sub FROM benchmark UNION SELECT query_id, sub FROM sq),
+cb AS (SELECT doc_id, sequence, ('0x' || substr(md5(term), 1, 8))::BIGINT % 64 AS b, sum(tf)::DOUBLE AS v FROM tf GROUP BY ALL),
+cn AS (SELECT doc_id, sequence, sqrt(sum(v * v)) AS norm FROM cb GROUP BY ALL),
+qb AS (SELECT query_id, sub, ('0x' || substr(md5(term), 1, 8))::BIGINT % 64 AS b, sum(qtf)::DOUBLE AS v FROM sq GROUP BY ALL),
+qn AS (SELECT query_id, sub, sqrt(sum(v * v)) AS norm FROM qb GROUP BY ALL),
+dots AS (SELECT query_id, sub, doc_id, sequence, sum(qb.v * cb.v) AS d FROM qb JOIN cb USING (b) GROUP BY ALL),
+cosines AS (
+  SELECT q.query_id, q.sub, c.doc_id, c.sequence, round(coalesce(d / (qn.norm * cn.norm), 0), 9) AS vec
+  FROM subs q CROSS JOIN chunks c LEFT JOIN dots USING (query_id, sub, doc_id, sequence) LEFT JOIN qn USING (query_id, sub) LEFT JOIN cn USING (doc_id, sequence)
+),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id, sub ORDER BY vec DESC, doc_id, sequence) AS r FROM cosines),
+fused AS (
+  SELECT query_id, doc_id, sequence, arg_min(vec, sub * 1000 + r) AS vec, round(sum(1 / (60.0 + r)), 12) AS rrf, min(sub * 1000 + r) AS seen
+  FROM ranked WHERE r <= 125 GROUP BY ALL
+),
+hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, seen) AS r FROM fused),
+kws AS (
+  SELECT query_id, sub, doc_id, sequence, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))) AS kw
+  FROM tf JOIN sq USING (term) JOIN stats USING (term) JOIN lens USING (doc_id, sequence), avgdl GROUP BY ALL
+),
+kw AS (SELECT query_id, doc_id, sequence, max(kw) AS kw FROM kws GROUP BY ALL)"""
+
 
 def RERANK(source: str, name: str) -> str:  # noqa: N802
     return f"""
