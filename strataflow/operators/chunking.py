@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import DELIMITERS, delimiter_regex, not_bullet, not_title, token_count
@@ -73,3 +74,138 @@ def batches(rows: DataFrame, key: list[str], order: str, text: str, size: int =
     batch = F.floor(F.col(order) / size).cast("long").alias("batch")
     lines = F.array_sort(F.collect_list(F.struct(order, text)))
     return rows.groupBy(*key, batch).agg(F.array_join(F.transform(lines, lambda x: x[text]), separator).alias("content"), F.count("*").alias("n_rows"))
+
+
+# The patterns of numbered questions.
+QUESTIONS = (
+    r"第([零一二三四五六七八九十百0-9]+)问",
+    r"第([零一二三四五六七八九十百0-9]+)条",
+    r"[\(（]([零一二三四五六七八九十百]+)[\)）]",
+    r"第([0-9]+)问",
+    r"第([0-9]+)条",
+    r"([0-9]{1,2})[\. 、]",
+    r"([零一二三四五六七八九十百]+)[ 、]",
+    r"[\(（]([0-9]{1,2})[\)）]",
+    r"QUESTION (ONE|TWO|THREE|FOUR|FIVE|SIX|SEVEN|EIGHT|NINE|TEN)",
+    r"QUESTION (I+V?|VI*|XI|IX|X)",
+    r"QUESTION ([0-9]+)",
+)
+
+
+def question_pattern(sections: Column) -> Column:
+    """The place of the first question pattern that any section matches; -1 if none does."""
+
+    def hit(pattern: str) -> Column:
+        return F.exists(sections, lambda s: s.rlike(f"^(?:{pattern})") & ~not_bullet(s))
+
+    hits = [hit(p) for p in QUESTIONS]
+    out = F.lit(-1)
+    for i in reversed(range(len(hits))):
+        out = F.when(hits[i], i).otherwise(out)
+    return out
+
+
+def frequent_level(levels: DataFrame, key: list[str], order: str, n_patterns: int) -> DataFrame:
+    """key, ``level``: the most frequent level of headings, of equals the one seen first; n_patterns + 1 where all is plain text."""
+    counted = levels.groupBy(*key, "level").agg(F.count("*").alias("n"), F.min(order).alias("first"))
+    heading = F.when(F.col("level") <= n_patterns, F.struct(-F.col("n"), "first"))
+    return counted.groupBy(*key).agg(F.coalesce(F.min_by("level", heading), F.lit(n_patterns + 1)).alias("level"))
+
+
+def paragraph_level(style: Column, text: Column, family: int) -> Column:
+    """The level of a word processor's paragraph: its heading style's number, else by the family's patterns (from 1)."""
+    line = _strip(F.translate(text, "　", " "))
+    level = F.lit(0 if family < 0 else len(BULLETS[family]))
+    for i in reversed(range(len(BULLETS[family]) if family >= 0 else 0)):
+        level = F.when(line.rlike("^(?:" + BULLETS[family][i] + ")"), i + 1).otherwise(level)
+    return F.when(style.startswith("Heading"), F.try_to_number(F.element_at(F.split(style, " "), -1), F.lit("99")).cast("int")).otherwise(level)
+
+
+def greedy_merge_parts(parts: Column, size: int = 256, delimiters: str = DELIMITERS) -> Column:
+    """Chunks ``text, images`` of parts ``text, image, position``, merged as texts are.
+
+    A chunk keeps references to the images of its pieces in order. A piece of 8 tokens or more adds its position where its chunk
+    doesn't have it. Nulls: no text, no image, no position.
+    """
+    pattern = delimiter_regex(delimiters)
+    pieces = F.flatten(F.transform(parts, lambda p: F.transform(F.split(F.coalesce(p["text"], F.lit("")), pattern), lambda t: F.struct(t.alias("text"), p["image"].alias("image"), F.coalesce(p["position"], F.lit("")).alias("position")))))
+    chunk = "struct<text: string, images: array<string>>"
+    none = F.lit(None).cast(chunk)
+    empty = F.struct(F.array().cast(f"array<{chunk}>").alias("done"), none.alias("open"), F.lit(0).cast("long").alias("n"))
+
+    def step(acc: Column, piece: Column) -> Column:
+        close = acc["open"].isNull() | (acc["open"]["text"] == "") | (acc["n"] > size)
+        n, before = token_count(piece["text"]), F.when(close, piece["text"]).otherwise(acc["open"]["text"])
+        position = F.when((n >= 8) & (F.instr(before, piece["position"]) == 0), piece["position"]).otherwise("")
+        image = F.filter(F.array(piece["image"]), lambda x: x.isNotNull())
+        images = F.when(close, image).otherwise(F.concat(acc["open"]["images"], image))
+        text = F.concat(F.when(close, F.lit("")).otherwise(acc["open"]["text"]), piece["text"], position)
+        return F.struct(
+            F.when(close & acc["open"].isNotNull(), F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"]).alias("done"),
+            F.struct(text.alias("text"), images.alias("images")).cast(chunk).alias("open"),
+            F.when(close, n).otherwise(acc["n"] + n).alias("n"),
+        )
+
+    return F.aggregate(pieces, empty, step, lambda acc: F.when(acc["open"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))))
+
+
+def positions(boxes: Column) -> Column:
+    """Boxes ``page, left, right, top, bottom`` as whole numbers, pages from 1."""
+    return F.transform(boxes, lambda b: F.struct((b["page"] + 1).cast("int").alias("page"), *(b[c].cast("int").alias(c) for c in ("left", "right", "top", "bottom"))))
+
+
+# Headings of tables of contents, without their spaces.
+CONTENTS = r"^(contents|目录|目次|tableofcontents|致谢|acknowledge)$"
+
+
+def without_contents(sections: DataFrame, reach: int = 128) -> DataFrame:
+    """``doc_id, at, text`` without tables of contents: a heading, and what follows up to where its first entry comes again.
+
+    The first entry is the next section that isn't blank; it comes again where a section begins with its first three characters, at most
+    reach sections on. If it doesn't, the heading and the first entry go alone. Only a document's first heading counts.
+    """
+    doc = W.partitionBy("doc_id")
+    line = _strip(F.col("text"))
+    rows = sections.withColumn("heading", F.regexp_replace(line, "[ 　]+", "").rlike(CONTENTS))
+    rows = rows.withColumn("h", F.min(F.when(F.col("heading"), F.col("at"))).over(doc))
+    rows = rows.withColumn("e", F.min(F.when((F.col("at") > F.col("h")) & (line != ""), F.col("at"))).over(doc))
+    rows = rows.withColumn("prefix", F.min(F.when(F.col("at") == F.col("e"), F.substring(line, 1, 3))).over(doc))
+    again = (F.col("at") > F.col("e")) & (F.col("at") <= F.col("e") + reach) & F.startswith(line, F.col("prefix"))
+    rows = rows.withColumn("again", F.min(F.when(again, F.col("at"))).over(doc))
+    gone = (F.col("at") >= F.col("h")) & (F.col("at") < F.coalesce("again", F.col("e") + 1, F.col("h") + 1))
+    return rows.where(~F.coalesce(gone, F.lit(False))).select("doc_id", "at", "text")
+
+
+def heading_paths(levels: DataFrame, key: str = "doc_id", n_patterns: int = 4) -> DataFrame:
+    """key, ``at, level, text, path``: each section with the headings (``at, text``) above it, from the outermost.
+
+    levels: key, ``at, level, text``; levels up to n_patterns are headings, smaller ones further out. A heading holds for what follows
+    until one as far out or further comes: for each level the nearest one before is found in a window, and goes if a heading further out
+    lies between.
+    """
+    before = W.partitionBy(key).orderBy("at").rowsBetween(W.unboundedPreceding, -1)
+    rows, above = levels, []
+    for i in range(n_patterns + 1):
+        rows = rows.withColumn(f"_{i}", F.last(F.when(F.col("level") == i, F.struct("at", "text")), ignorenulls=True).over(before))
+        between = F.lit(False)
+        for j in range(i):
+            between = between | F.coalesce(F.col(f"_{j}")["at"] > F.col(f"_{i}")["at"], F.lit(False))
+        above.append(F.when((F.col("level") > i) & ~between, F.col(f"_{i}")))
+    return rows.select(key, "at", "level", "text", F.filter(F.array(*above), lambda x: x.isNotNull()).alias("path"))
+
+
+def hierarchical_merge(levels: DataFrame, key: str = "doc_id", n_patterns: int = 4, size: int = 218) -> DataFrame:
+    """key, ``at, content``: sections below the headings above them, a line each; those under the same headings are packed together.
+
+    A pack takes the sections that begin within its stretch of size tokens. A heading with nothing below it is a chunk of its own.
+    """
+    paths = heading_paths(levels, key, n_patterns)
+    bare = F.coalesce(F.lead("level").over(W.partitionBy(key).orderBy("at")) <= F.col("level"), F.lit(True))
+    leaves = paths.withColumn("heading", F.col("level") <= n_patterns).withColumn("bare", bare).where(~F.col("heading") | F.col("bare"))
+    # A bare heading is packed with none: its place stands for its group.
+    leaves = leaves.withColumn("alone", F.when(F.col("heading"), F.col("at")))
+    n = token_count(F.coalesce("text", F.lit("")))
+    own = W.partitionBy(key, "path", "alone").orderBy("at").rowsBetween(W.unboundedPreceding, W.currentRow)
+    packed = leaves.withColumn("pack", F.floor((F.sum(n).over(own) - n) / size)).groupBy(key, "path", "alone", "pack")
+    packed = packed.agg(F.min("at").alias("at"), F.array_sort(F.collect_list(F.struct("at", "text"))).alias("own"))
+    return packed.select(key, "at", F.concat_ws("\n", F.transform("path", lambda x: x["text"]), F.transform("own", lambda x: x["text"])).alias("content"))

@@ -151,6 +151,48 @@ def chunk_row_batches(spark, sf):
     return chunking.batches(_t(spark, sf, "orders"), ["o_custkey"], "o_orderkey", "o_orderpriority")
 
 
+_ASKED = " ".join(f"WHEN len(list_filter(lines, lambda x: regexp_matches(x, '^(?:{p})') AND NOT regexp_matches(x, '^(0|[0-9]+ +[0-9~个只-]|[0-9]+\\.{{2,}})'))) > 0 THEN {i}" for i, p in enumerate(chunking.QUESTIONS))
+
+
+@query(rf"WITH l AS (SELECT doc_id, regexp_split_to_array(text, '\n') AS lines FROM documents) SELECT doc_id, CASE {_ASKED} ELSE -1 END AS pattern FROM l")
+def chunk_question_pattern(spark, sf):
+    return _t(spark, sf, "documents").select("doc_id", chunking.question_pattern(F.split("text", "\n")).alias("pattern"))
+
+
+def _levels(spark, sf) -> DataFrame:
+    lines = _t(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "text"))
+    return lines.withColumn("level", chunking.heading_level(F.col("text"), F.lit(""), 3))
+
+
+@query(
+    ORACLE_SQL["chunk_heading_levels"].replace("unnest(regexp_split_to_array(text, '\\n')) AS line", "unnest(regexp_split_to_array(text, '\\n')) AS line, generate_subscripts(regexp_split_to_array(text, '\\n'), 1) AS place").replace("SELECT doc_id, line, regexp", "SELECT doc_id, place, line, regexp").replace("SELECT doc_id, CASE", "SELECT doc_id, place, CASE").split("SELECT doc_id, level, count(*)")[0]
+    + ", c AS (SELECT doc_id, level, count(*) AS n, min(place) AS first FROM lv GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY level > 4, n DESC, first) AS k FROM c) SELECT doc_id, level FROM r WHERE k = 1"
+)
+def chunk_frequent_level(spark, sf):
+    return chunking.frequent_level(_levels(spark, sf), ["doc_id"], "at", 4)
+
+
+@query()
+def chunk_hierarchical(spark, sf):
+    return chunking.hierarchical_merge(_levels(spark, sf))
+
+
+@query()
+def chunk_without_contents(spark, sf):
+    lines = _t(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "text"))
+    return chunking.without_contents(lines)
+
+
+_WORDS = ", ".join(f"('{w}', {n})" for n in range(100) for w in T._number_words(n))
+
+
+@query(f"WITH n(w, v) AS (VALUES {_WORDS}), l AS (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS word FROM conversations), p AS (SELECT conv_id, turn, trim(word) AS word FROM l) SELECT conv_id, turn, sum(greatest(coalesce(try_cast(CASE WHEN regexp_full_match(p.word, '[+-]?[0-9]+') THEN p.word END AS INT), a.v, b.v, -1), 0))::BIGINT AS total FROM p LEFT JOIN n a ON a.w = lower(p.word) LEFT JOIN n b ON b.w = p.word GROUP BY ALL")
+def txt_numbers(spark, sf):
+    """The sum of the numbers that each turn says, in digits or words."""
+    words = _t(spark, sf, "conversations").select("conv_id", "turn", F.explode(F.split("text", " ")).alias("word"))
+    return words.groupBy("conv_id", "turn").agg(F.sum(F.greatest(T.number(F.col("word")), F.lit(0))).alias("total"))
+
+
 # --- tables ---
 
 

@@ -8,12 +8,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from strataflow.engine import NOTHING_FOUND, Engine
 from strataflow.functions import text as T
 from strataflow.operators import chunking, context, evaluation, exhaustive, index, keyword, search, tree
 from strataflow.plans.config import Config, update_plan
 from strataflow.plans.registry import ORACLE_SQL, QUERIES
 from strataflow.sources import files
 from strataflow.sources.store import IndexStore
+from strataflow.streaming import updates
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -189,3 +191,63 @@ def test_exhaustive_search_in_blocks(spark, monkeypatch):
         assert found(exhaustive.hybrid_top_k(chunks, ["c"], q, weights, avg, 0.8, 0.2, 0.6, 4)) == both
     assert exhaustive.hybrid_top_k(chunks, ["c"], q.limit(0), weights, avg, 0.8, 0.2, 0.6, 4).count() == 0
     assert exhaustive.keyword_top_k(chunks.limit(0), ["c"], q, weights, avg, 4).count() == 0
+
+
+def test_more_text_functions(spark):
+    words = {"7": 7, " 12 ": 12, "seven": 7, "七": 7, "VII": 7, "ninety-nine": 99, "二十一": 21, "xyz": -1, "": -1}
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    assert {r["w"]: r["n"] for r in df.select("w", T.number(F.col("w")).alias("n")).collect()} == words
+    assert [one(spark, T.char_class(F.col("c")), c=c) for c in "中5x?"] == ["chinese", "digit", "letter", None]
+    assert one(spark, T.spaced_words(F.array(*map(F.lit, ["ab", "cd", "中", "e"])))) == ["ab", " ", "cd", "中", "e"]
+    assert one(spark, T.language_runs(F.col("t")), t="hello 中文abc, x") == ["hello", "中文", "abc", "x"]
+    assert len(one(spark, T.random_choices(F.array(*map(F.lit, range(9))), 4))) == 4
+
+
+def test_more_chunking(spark):
+    parts = spark.createDataFrame([(1, [("aa\nbb", "i1", "@@1"), ("c" * 600, "i2", "@@2"), ("d" * 20, None, None)]), (2, [])], "id int, parts array<struct<text string, image string, position string>>")
+    got = {r["id"]: [(c["text"], c["images"]) for c in r["c"]] for r in parts.select("id", chunking.greedy_merge_parts(F.col("parts")).alias("c")).collect()}
+    assert got == {1: [("aabb" + "c" * 600 + "@@2", ["i1", "i1", "i2"]), ("d" * 20, [])], 2: []}
+    lines = ["Title", "contents", "", "Intro .. 1", "Other .. 2", "Intro", "body"]
+    sections = spark.createDataFrame([(1, i, t) for i, t in enumerate(lines)] + [(2, 0, "x"), (3, 0, "contents"), (4, 0, None)], "doc_id long, at int, text string")
+    kept = [(r["doc_id"], r["text"]) for r in chunking.without_contents(sections).orderBy("doc_id", "at").collect()]
+    assert kept == [(1, "Title"), (1, "Intro"), (1, "body"), (2, "x"), (4, None)]
+    marks = [(0, "P"), (1, "C"), (6, "a"), (6, "b"), (1, "C"), (2, "S"), (6, "c" * 440), (6, "d"), (0, "Q"), (6, "e"), (1, "R")]
+    levels = spark.createDataFrame([(1, i, level, t) for i, (level, t) in enumerate(marks)], "doc_id long, at int, level int, text string")
+    merged = [r["content"].split("\n") for r in chunking.hierarchical_merge(levels).orderBy("at").collect()]
+    assert merged == [["P", "C", "a", "b"], ["P", "C", "S", "c" * 440], ["P", "C", "S", "d"], ["Q", "e"], ["Q", "R"]]
+    assert chunking.frequent_level(levels, ["doc_id"], "at", 4).first()["level"] == 1
+    styled = [one(spark, chunking.paragraph_level(F.col("s"), F.col("t"), 3), s=s, t=t) for s, t in (("Heading 2", "x"), ("Normal", "Chapter II"), ("Normal", "y"))]
+    assert styled == [2, 2, 4]
+    box = F.array(F.struct(F.lit(0).alias("page"), *(F.lit(1.7).alias(c) for c in ("left", "right", "top", "bottom"))))
+    assert [tuple(p) for p in one(spark, chunking.positions(box))] == [(1, 1, 1, 1, 1)]
+
+
+def test_engine(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "red apples grow on trees"), (2, "blue whales swim in seas"), (3, None)], "doc_id long, text string")
+    queries = spark.createDataFrame([(7, "red apples grow on trees"), (8, "zzz")], "query_id long, text string")
+    engine = Engine(spark, str(tmp_path), lambda q, texts: f"{len(texts)}: {texts[0][:3]}")
+    config = Config(threshold=0.7)
+    engine.ensure("a", docs, config)
+    with pytest.raises(FileExistsError):
+        engine.build("a", docs, config)
+    assert [(r["query_id"], r["doc_id"]) for r in engine.search("a", queries).collect()] == [(7, 1)]
+    rewrites = spark.createDataFrame([(8, 1, "blue whales swim in seas"), (8, 2, "zzz")], "query_id long, place int, text string")
+    assert engine.search("a", queries, rewrites=rewrites, use_rerank=False).where("query_id = 8").count() == 2
+    assert engine.search("a", queries, keywords=True, threshold=0.0).where("query_id = 7").count() == 2
+    assert {r["query_id"]: r["answer"] for r in engine.ask("a", queries).collect()} == {7: "1: red", 8: NOTHING_FOUND}
+    assert {r["query_id"]: r["precision_recall"] for r in engine.evaluate("a", queries).collect()} == {7: 1.0, 8: 1.0}
+    assert engine.update("a", docs, config.updated(top_k=1)) == "hot" and engine.load("a")[1].top_k == 1
+    assert engine.update("a", docs, config.updated(chunk_size=9)) == "rebuild"
+    assert [r["mode"] for r in engine.compare(["a"], queries).collect()] == ["a"]
+    assert [r["name"] for r in engine.missing(spark.createDataFrame([("a",), ("b",)], "name string")).collect()] == ["b"]
+    assert tuple(engine.info("a").first()) == ("a", 2, 2, 64)
+
+
+def test_followed_documents(spark, tmp_path):
+    source, root = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "doc_id long, text string"
+    for i, rows_ in enumerate([[(1, "one"), (2, "two")], [(1, "changed"), (2, None), (3, "three")]]):
+        spark.createDataFrame(rows_, schema).coalesce(1).write.mode("append").parquet(source)
+        updates.follow(spark.readStream.schema(schema).parquet(source), root, str(tmp_path / "checkpoint")).awaitTermination(60)
+        got = {r["doc_id"]: r["content"] for r in updates.current(spark, root).collect()}
+        assert got == ({1: "one", 2: "two"} if i == 0 else {1: "changed", 3: "three"})
