@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe_codec, chat_tree, decontaminate, hmm_lm, line_dedup, mjpeg, simhash_dedup, substring_dedup, token_counts, toxicity
+from .oracle import ORACLE_SQL
 from .shared import documents
 
-_FOLD = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5))
+def _fold() -> Column:
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5))
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,8 +21,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = toxicity.toxicity(documents(spark, sf_dir), _table(spark, sf_dir, "labels"), learn_from=_FOLD != 0)
-    return scored.select("doc_id", (_FOLD == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    scored = toxicity.toxicity(documents(spark, sf_dir), _table(spark, sf_dir, "labels"), learn_from=_fold() != 0)
+    return scored.select("doc_id", (_fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,8 +42,8 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = hmm_lm.score_texts(documents(spark, sf_dir), train_on=_FOLD != 1)
-    return scored.select("doc_id", F.coalesce(_FOLD == 1, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    scored = hmm_lm.score_texts(documents(spark, sf_dir), train_on=_fold() != 1)
+    return scored.select("doc_id", F.coalesce(_fold() == 1, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op5_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,4 +82,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_toxicity, op2_token_counts, op3_decontaminate, op4_hmm_lm, op5_chat_tree, op6_mjpeg, op7_substring_dedup, op8_line_dedup, op9_simhash_dedup, op10_bpe_codec)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
