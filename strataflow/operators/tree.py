@@ -54,8 +54,7 @@ def summary_tree(chunks: DataFrame, summarise: Callable[[list[str]], str] = firs
     schema = "doc_id long, level int, node string, at long, content string, children array<string>"
     out = level
     for depth in range(1, max_levels + 1):
-        embedded = level.join(hash_embeddings(level.withColumn("t", tokens(F.col("content"))), ["doc_id", "node"], "t"), ["doc_id", "node"])
-
+        embedded = hash_embeddings(level.withColumn("t", tokens(F.col("content"))), level.columns, "t")
         summarised = _level_function(depth, summarise, max_clusters)
         level = kept(embedded.groupBy("doc_id").applyInPandas(summarised, schema))
         if level.isEmpty():
