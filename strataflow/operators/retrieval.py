@@ -5,9 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import cache_key, tokens
 from ..plans.config import Config
 from . import exhaustive, keyword, search
 from .tree import kept
@@ -86,3 +87,27 @@ def ideal_search(index: Index, queries: DataFrame, config: Config) -> DataFrame:
     weights = kept(terms_of(subs).join(index.term_stats, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight")))
     avgdl = index.doc_len.agg(F.avg("dl")).first()[0] or 0.0
     return exhaustive.hybrid_top_k(index.chunks, index.key, vectors, weights, avgdl, config.vec_weight, config.kw_weight, config.threshold, config.top_k)
+
+
+def encode(rows: DataFrame, cache: DataFrame, model: str, dim: int, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(rows with ``cache_key, embedding``, what the cache lacked). cache: ``cache_key, embedding``, a row for each key.
+
+    Each text that the cache lacks is embedded once, however often it comes. A null text has the key of an empty one.
+    """
+    keyed = rows.withColumn("cache_key", cache_key(model, F.coalesce(text, F.lit(""))))
+    lacking = keyed.groupBy("cache_key").agg(F.first(text).alias("t")).join(cache, "cache_key", "left_anti")
+    made = kept(search.hash_embeddings(lacking.select("cache_key", tokens(F.col("t")).alias("t")), ["cache_key"], "t", dim))
+    return keyed.join(cache.select("cache_key", "embedding").unionByName(made), "cache_key", "left"), made
+
+
+def dense_ids(rows: DataFrame, key: list[str], start: int = 0, buckets: int = 4096) -> DataFrame:
+    """rows with ``id``: start, start + 1 and so on, for keys that don't repeat; the same rows get the same ids.
+
+    Rows are numbered within buckets by a hash of the key, whose sizes (a row for each bucket) are summed up before.
+    """
+    placed = rows.withColumn("_bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)))
+    sizes = placed.groupBy("_bucket").agg(F.count("*").alias("n"))
+    base = F.sum("n").over(W.partitionBy(F.lit(0)).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1))
+    sizes = sizes.select("_bucket", F.coalesce(base, F.lit(0)).alias("_base"))
+    within = F.row_number().over(W.partitionBy("_bucket").orderBy(*key))
+    return placed.withColumn("_row", within).join(F.broadcast(sizes), "_bucket").withColumn("id", F.col("_base") + F.col("_row") + (start - 1)).drop("_bucket", "_base", "_row")

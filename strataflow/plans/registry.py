@@ -287,6 +287,21 @@ def qx_keyword_expansion(spark, sf):
     return best.groupBy("query_id").agg(F.array_join(F.transform(terms, lambda x: x["term"]), " ").alias("expansion"))
 
 
+@query("SELECT DISTINCT md5('hash:' || text) AS cache_key FROM documents WHERE text NOT IN (SELECT text FROM documents JOIN labels USING (doc_id))")
+def emb_cache_misses(spark, sf):
+    """The texts that have to be embedded where those of labelled documents already are."""
+    docs = _t(spark, sf, "documents").select("doc_id", "text")
+    cached = docs.join(_t(spark, sf, "labels"), "doc_id", "left_semi")
+    empty = spark.createDataFrame([], "cache_key string, embedding array<double>")
+    _, cache = retrieval.encode(cached, empty, "hash", Config().embed_dim)
+    return retrieval.encode(docs, cache, "hash", Config().embed_dim)[1].select("cache_key")
+
+
+@query()
+def vec_dense_ids(spark, sf):
+    return retrieval.dense_ids(_t(spark, sf, "embeddings").select("vec_id"), ["vec_id"])
+
+
 # --- vectors ---
 
 _PAIRS = "SELECT q.vec_id AS query_id, v.vec_id, round(list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) / sqrt(list_inner_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]) * list_inner_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])), 9) AS s FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0"

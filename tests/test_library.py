@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from strataflow.engine import NOTHING_FOUND, Engine
 from strataflow.functions import text as T
-from strataflow.operators import chunking, context, evaluation, exhaustive, index, keyword, search, tree
+from strataflow.operators import chunking, context, evaluation, exhaustive, index, keyword, retrieval, search, tree
 from strataflow.plans.config import Config, update_plan
 from strataflow.plans.registry import ORACLE_SQL, QUERIES
 from strataflow.sources import files
@@ -251,3 +251,16 @@ def test_followed_documents(spark, tmp_path):
         updates.follow(spark.readStream.schema(schema).parquet(source), root, str(tmp_path / "checkpoint")).awaitTermination(60)
         got = {r["doc_id"]: r["content"] for r in updates.current(spark, root).collect()}
         assert got == ({1: "one", 2: "two"} if i == 0 else {1: "changed", 3: "three"})
+
+
+def test_cache_and_ids(spark):
+    rows_ = spark.createDataFrame([(1, "a b"), (2, "a b"), (3, None), (4, "c")], "k long, text string")
+    none = spark.createDataFrame([], "cache_key string, embedding array<double>")
+    first, made = retrieval.encode(rows_, none, "m", 8)
+    assert made.count() == 3 and first.where("embedding is null").count() == 0 and first.count() == 4
+    again, more = retrieval.encode(rows_, made, "m", 8)
+    assert more.count() == 0 and again.where("embedding is null").count() == 0
+    for buckets in (1, 7):
+        got = retrieval.dense_ids(spark.range(50).withColumnRenamed("id", "k").repartition(3), ["k"], 10, buckets)
+        assert sorted(r["id"] for r in got.collect()) == list(range(10, 60))
+    assert retrieval.dense_ids(rows_.limit(0), ["k"]).count() == 0
