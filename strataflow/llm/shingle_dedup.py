@@ -1,0 +1,225 @@
+"""Groups of texts whose sets of shingles have a Jaccard similarity of 0.8 or more, exactly (the pipeline's near-duplicate stage).
+
+1. Each text gives its set of shingles, as 64-bit hashes in one order for all texts: those that are frequent in a sample
+   come last, by their count. The order steers the cost only. Texts with equal sets (64 bits of them) are one node.
+2. Two sets of a similarity of 0.8 or more share a shingle among the first ``n - ceil(0.8 n) + 1`` of each (prefix
+   filter), and at the first that they share enough are left for the overlap that is needed.
+3. Nodes meet by these shingles. In a bucket of up to ``bucket_rows`` all pairs are verified by their whole sets. In a larger one
+   all are verified against one node, another in each bucket, ``ROUNDS`` times (the first as they meet); then all pairs that the links so far leave apart.
+   Of those, pairs go whose sketches (parities of 512 classes of shingles) differ in more bits than the sets may in shingles.
+4. The links' connected components are found by alternating stars.
+
+Texts without words have no shingles: they are in no group.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .components import components
+from .shared import carried_schema, head_threshold, keyed_texts, mixed, written
+
+#: Documents that frequent shingles are looked for in, and how many shingles are kept as frequent at most.
+SAMPLE_ROWS, FREQUENT = 1 << 14, 1 << 18
+#: Up to so many nodes are broadcast to find their sets; beyond it the sets are shuffled.
+BROADCAST_NODES = 1 << 21
+ROUNDS = 3
+
+
+def shingles(own: list[bytes], words: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles, sorted; a text of fewer words is one shingle."""
+    from xxhash import xxh64_digest
+
+    parts = [b" ".join(own)] if len(own) <= words else map(b" ".join, zip(*(own[i:] for i in range(words)), strict=False))
+    return np.unique(np.frombuffer(b"".join([xxh64_digest(p, 42) for p in parts]), dtype=np.uint64))
+
+
+def prefix_size(n):
+    """How many of the first shingles of a set of n may hold the first that it shares with one of a similarity of 0.8."""
+    return n - (4 * n + 4) // 5 + 1
+
+
+def sketch(s: np.ndarray) -> list[int]:
+    """512 bits: whether an odd number of shingles falls in each class. Two differ in no more bits than their sets in shingles."""
+    odd = np.bincount((s >> np.uint64(55)).astype(np.int64), minlength=512) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
+def frequent_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several documents of a sample have, sorted, and their counts."""
+    share = min(1.0, SAMPLE_ROWS / max(1, docs.count()))
+    texts = docs.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30))).select("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                if own := (text or "").encode().lower().split():
+                    yield pa.RecordBatch.from_arrays([pa.array(shingles(own, words).view(np.int64))], names=["token"])
+
+    counts = written(texts.distinct().mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > 2))
+    rows = counts.where(F.col("n") >= head_threshold(counts, "n", FREQUENT)).toPandas()
+    tokens, n = rows["token"].to_numpy(dtype=np.int64).view(np.uint64), rows["n"].to_numpy(dtype=np.int64)
+    order = np.argsort(tokens)
+    return tokens[order], n[order]
+
+
+def shingled(docs: DataFrame, words: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``rid, doc_id, node, set, sketch``, and ``carried`` if columns go along, of the texts with words."""
+    texts = keyed_texts(docs, carry)
+    held = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, words))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_64_intdigest
+
+        tokens, counts = held.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                nodes, sets, sketches, rows = [], [], [], []
+                for i, text in enumerate(part.column(2).to_pylist()):
+                    if not (own := text.encode().lower().split()):
+                        continue
+                    s = shingles(own, words)
+                    sketches.append(sketch(s))
+                    node = xxh3_64_intdigest(s.tobytes())
+                    if len(tokens):
+                        near = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
+                        s = s[np.argsort(np.where(tokens[near] == s, counts[near], 0), kind="stable")]
+                    nodes.append(node - (node >> 63 << 64))
+                    sets.append(s.tobytes())
+                    rows.append(i)
+                if rows:
+                    part = part.take(pa.array(rows))
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(nodes, pa.int64()), pa.array(sets, pa.binary()), pa.array(sketches, pa.list_(pa.int64())), *part.columns[3:]], names=["rid", "doc_id", "node", "set", "sketch", *part.schema.names[3:]])
+
+    return texts.mapInArrow(run, "rid long, doc_id long, node long, set binary, sketch array<long>" + carried_schema(texts))
+
+
+def prefixes(own: DataFrame) -> DataFrame:
+    """``token, node, n, at``: the first shingles of each set and their places; a task gives those of equal sets once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            tokens, nodes, sizes, places = [], [], [], []
+            for node, s in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if node in seen:
+                    continue
+                seen.add(node)
+                n = len(s.as_buffer()) // 8
+                tokens.append(np.frombuffer(s.as_buffer(), dtype=np.int64, count=prefix_size(n)))
+                nodes.append(node)
+                sizes.append(n)
+            if nodes:
+                many = [len(t) for t in tokens]
+                places = np.concatenate([np.arange(k, dtype=np.int32) for k in many])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.repeat(np.array(nodes, dtype=np.int64), many)), pa.array(np.repeat(np.array(sizes, dtype=np.int32), many)), pa.array(places)], names=["token", "node", "n", "at"])
+
+    return own.select("node", "set").mapInArrow(run, "token long, node long, n int, at int")
+
+
+def _may_reach(n, at, m, bt):
+    """Whether sets of n and m shingles that first share those at places at and bt may have a similarity of 0.8."""
+    least = np.minimum(n - at, m - bt) if isinstance(n, np.ndarray) else F.least(n - at, m - bt)
+    return (9 * least >= 4 * (n + m)) & (5 * n >= 4 * m) & (5 * m >= 4 * n)
+
+
+def _met(batches: Iterator[pa.RecordBatch], bucket_rows: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by token and node to pairs (a token of null), and to the rows of larger buckets."""
+
+    def found(token, node, n, at) -> Iterator[pa.RecordBatch]:
+        new = np.ones(len(token), dtype=bool)
+        new[1:] = (np.diff(token) != 0) | (np.diff(node) != 0)
+        token, node, n, at = (x[new] for x in (token, node, n, at))
+        start = np.flatnonzero(np.concatenate([[True], np.diff(token) != 0]))
+        size = np.diff(np.append(start, len(token)))
+        small, left, right = np.repeat(size <= bucket_rows, size), [], []
+        for d in range(1, min(bucket_rows, int(size.max()))):
+            i = np.flatnonzero((token[:-d] == token[d:]) & small[d:])
+            left.append(i)
+            right.append(i + d)
+        for s, k in zip(start[size > bucket_rows].tolist(), size[size > bucket_rows].tolist(), strict=True):
+            centre = s + int(np.argmin(mixed((node[s : s + k] ^ token[s]).view(np.uint64))))
+            left.append(np.full(k, centre))
+            right.append(np.arange(s, s + k))
+        if left:
+            i, j = np.concatenate(left), np.concatenate(right)
+            good = (i != j) & _may_reach(n[i].astype(np.int64), at[i], n[j].astype(np.int64), at[j])
+            a, b = node[i[good]], node[j[good]]
+            none = pa.nulls(len(a), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), none, none], names=["token", "a", "b", "n", "at"])
+        if not small.all():
+            large = ~small
+            yield pa.RecordBatch.from_arrays([pa.array(token[large]), pa.array(node[large]), pa.nulls(int(large.sum()), pa.int64()), pa.array(n[large]), pa.array(at[large])], names=["token", "a", "b", "n", "at"])
+
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        own = [batch.column(i).to_numpy() for i in range(4)]
+        if not len(own[0]):
+            continue
+        last = int(np.searchsorted(own[0], own[0][-1]))
+        if last or (held and held[-1][0][-1] != own[0][0]):
+            cut = last if last else 0
+            held.append([x[:cut] for x in own])
+            yield from found(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            held = []
+        held.append([x[last:] for x in own])
+    if held:
+        yield from found(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+
+def verified(pairs: DataFrame, own: DataFrame, first: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` of nodes whose sets have a similarity of 0.8 or more. first: ``node, rid``, one row that has its set."""
+    need = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(first, "node").select("rid"))
+    few = need.count() <= BROADCAST_NODES
+    sets = written(own.join(F.broadcast(need) if few else need, "rid", "left_semi").select("node", "set"))
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = (np.frombuffer(s.as_buffer(), dtype=np.uint64) for s in (x, y))
+                good.append(9 * len(np.intersect1d(x, y, assume_unique=True)) >= 4 * (len(x) + len(y)))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def _open_pairs(x: DataFrame, y: DataFrame, once: bool) -> DataFrame:
+    """``a, b``: the pairs of a bucket, with once where x and y are the same rows, that no links connect and that may have a similarity of 0.8."""
+    x, y = x.alias("x"), y.alias("y")
+    apart = sum((F.bit_count(F.col("x.sketch")[i].bitwiseXOR(F.col("y.sketch")[i])) for i in range(8)), F.lit(0))
+    may = _may_reach(*(F.col(c) for c in ("x.n", "x.at", "y.n", "y.at"))) & (9 * apart <= F.col("x.n") + F.col("y.n"))
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & ((F.col("x.root") < F.col("y.root")) if once else (F.col("x.root") != F.col("y.root"))) & may)
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, bucket_rows: int = 16, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``rid, doc_id, group``, and ``carried`` if columns go along: of each text with words, the least node that it is connected with."""
+    own = written(shingled(docs, words, carry))
+    first = written(own.groupBy("node").agg(F.min("rid").alias("rid")))
+    met = written(prefixes(own).repartition("token").sortWithinPartitions("token", "node").mapInArrow(lambda batches: _met(batches, bucket_rows), "token long, a long, b long, n int, at int"))
+    pairs = written(met.where(F.col("token").isNull()).select("a", "b").distinct())
+    links = written(verified(pairs, own, first))
+    roots = written(components(links))
+    crowded = met.where(F.col("token").isNotNull()).select("token", F.col("a").alias("node"), "n", "at")
+    if not crowded.isEmpty():
+        sketches = own.join(crowded.select("node").distinct().join(first, "node").select("rid"), "rid", "left_semi").select("node", "sketch")
+        crowded = written(crowded.join(sketches, "node"))
+        for k in range(1, ROUNDS + 1):
+            rooted = crowded.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            several = rooted.groupBy("token").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.min(F.struct(F.xxhash64("node", "token", F.lit(k)), "node")).alias("centre")).where(F.col("least") != F.col("most"))
+            rooted = written(rooted.join(several.select("token", "centre.node").withColumnRenamed("node", "centre"), "token"))
+            found = _open_pairs(rooted.where(F.col("node") == F.col("centre")) if k < ROUNDS else rooted, rooted, once=k == ROUNDS)
+            found = written(found.join(pairs, ["a", "b"], "left_anti"))
+            more = written(verified(found, own, first))
+            pairs, links = pairs.unionByName(found), links.unionByName(more)
+            roots = written(components(links))
+    group = F.coalesce("root", own["node"]).alias("group")
+    return own.join(roots, own["node"] == roots["node"], "left").select("rid", "doc_id", group, *own.columns[5:])

@@ -1,0 +1,75 @@
+"""The pipeline's near-duplicate stage against all pairs by exact similarity."""
+
+import random
+from itertools import combinations
+
+import pytest
+
+import corpus_pipeline as pipeline
+from strataflow.llm import shingle_dedup
+
+from .test_text_operators import brute_fingerprint
+
+
+def shingle_set(text):
+    own = (text or "").encode().lower().split()
+    return {b" ".join(own[i : i + 5]) for i in range(max(1, len(own) - 4))} if own else set()
+
+
+def brute_groups(texts):
+    sets, root = [shingle_set(t) for t in texts], list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in combinations(range(len(texts)), 2):
+        if sets[i] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+            a, b = find(i), find(j)
+            root[max(a, b)] = min(a, b)
+    return [find(i) if sets[i] else None for i in range(len(texts))]
+
+
+@pytest.fixture(scope="module")
+def copies(texts):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+
+    def changed(own, n):
+        own = list(own)
+        for i in rng.sample(range(len(own)), n):
+            own[i] = word()
+        return own
+
+    base = [[word() for _ in range(rng.choice([40, 90, 200]))] for _ in range(40)]
+    out = [b if not k else changed(b, k) for b in base for k in (0, 1, 2, 3, len(b) // 45, len(b) // 40)]
+    hot = [word() for _ in range(120)]
+    out += [changed(hot, rng.randint(0, 4)) for _ in range(90)]
+    out += [hot[:20] + [word() for _ in range(rng.randint(3, 60))] for _ in range(40)]
+    return [*texts, *(" ".join(o) for o in out)]
+
+
+@pytest.mark.parametrize("bucket_rows", [2, 16, 1000])
+def test_groups(spark, copies, bucket_rows):
+    docs = spark.createDataFrame(list(enumerate(copies)), "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r["group"] for r in shingle_dedup.near_duplicates(docs, bucket_rows=bucket_rows).collect()}
+    want = {i: g for i, g in enumerate(brute_groups(copies)) if g is not None}
+    assert got.keys() == want.keys()
+    assert len(set(got.values())) == len(set(want.values())) == len(set(zip(got.values(), (want[i] for i in got), strict=True)))
+
+
+def test_stage_keeps_one_of_each_group(spark, copies):
+    """Also of pairs that are similar by 0.8 to 0.9, of which many lie beyond 6 bits."""
+    rows = [(i, t, "en", "s", None if t is None else len(t)) for i, t in enumerate(copies)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    want = {i for i, g in enumerate(brute_groups(copies)) if g is None or g == i}
+    assert {r["doc_id"] for r in pipeline.copies_out(spark, docs, "").collect()} == want
+    fps = [brute_fingerprint(t, 5) for t in copies]
+    far = [(i, j) for i, j in combinations(range(len(copies)), 2) if 5 * len(shingle_set(copies[i]) & shingle_set(copies[j])) >= 4 * len(shingle_set(copies[i]) | shingle_set(copies[j])) and ((fps[i] ^ fps[j]) & (1 << 64) - 1).bit_count() > 6]
+    assert len(far) > 20
+
+
+def test_nothing(spark):
+    docs = spark.createDataFrame([(1, None), (2, " ")], "doc_id long, text string")
+    assert shingle_dedup.near_duplicates(docs).count() == shingle_dedup.near_duplicates(docs.limit(0)).count() == 0
