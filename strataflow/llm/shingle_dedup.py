@@ -6,7 +6,7 @@
    filter), and at the first that they share enough are left for the overlap that is needed.
 3. Nodes meet by these shingles. In a bucket of up to ``bucket_rows`` all pairs are verified by their whole sets. In a larger one
    all are verified against one node, another in each bucket, ``ROUNDS`` times (the first as they meet); then all pairs that the links so far leave apart.
-   Of those, pairs go whose sketches (parities of 512 classes of shingles) differ in more bits than the sets may in shingles.
+   Before sets are compared, pairs go whose sketches (parities of 512 classes of shingles) differ in more bits than the sets may in shingles.
 4. The links' connected components are found by alternating stars.
 
 Texts without words have no shingles: they are in no group.
@@ -173,11 +173,19 @@ def _met(batches: Iterator[pa.RecordBatch], bucket_rows: int) -> Iterator[pa.Rec
         yield from found(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
+def _near(x: str, y: str, n):
+    """Whether sketches let two sets, of n shingles together, have a similarity of 0.8."""
+    apart = sum((F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(8)), F.lit(0))
+    return 9 * apart <= n
+
+
 def verified(pairs: DataFrame, own: DataFrame, first: DataFrame) -> DataFrame:
     """The pairs ``a, b`` of nodes whose sets have a similarity of 0.8 or more. first: ``node, rid``, one row that has its set."""
     need = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(first, "node").select("rid"))
     few = need.count() <= BROADCAST_NODES
-    sets = written(own.join(F.broadcast(need) if few else need, "rid", "left_semi").select("node", "set"))
+    sets = written(own.join(F.broadcast(need) if few else need, "rid", "left_semi").select("node", "set", "sketch", (F.length("set") / 8).cast("int").alias("n")))
+    x, y = (sets.select(F.col("node").alias(c), *(F.col(f).alias(f"{f}_{c}") for f in ("n", "sketch"))) for c in "ab")
+    pairs = written(pairs.join(x, "a").join(y, "b").where(_near("sketch_a", "sketch_b", F.col("n_a") + F.col("n_b"))).select("a", "b"))
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,8 +202,7 @@ def verified(pairs: DataFrame, own: DataFrame, first: DataFrame) -> DataFrame:
 def _open_pairs(x: DataFrame, y: DataFrame, once: bool) -> DataFrame:
     """``a, b``: the pairs of a bucket, with once where x and y are the same rows, that no links connect and that may have a similarity of 0.8."""
     x, y = x.alias("x"), y.alias("y")
-    apart = sum((F.bit_count(F.col("x.sketch")[i].bitwiseXOR(F.col("y.sketch")[i])) for i in range(8)), F.lit(0))
-    may = _may_reach(*(F.col(c) for c in ("x.n", "x.at", "y.n", "y.at"))) & (9 * apart <= F.col("x.n") + F.col("y.n"))
+    may = _may_reach(*(F.col(c) for c in ("x.n", "x.at", "y.n", "y.at"))) & _near("x.sketch", "y.sketch", F.col("x.n") + F.col("y.n"))
     met = x.join(y, (F.col("x.token") == F.col("y.token")) & ((F.col("x.root") < F.col("y.root")) if once else (F.col("x.root") != F.col("y.root"))) & may)
     return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
