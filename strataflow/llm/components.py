@@ -20,7 +20,7 @@ def _state(edges: DataFrame) -> tuple:
 def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """``node, root``: for each node of an edge (``a, b``), the smallest node that it is connected with.
 
-    Nodes without an edge to another node have no row. Repeated edges and edges in both directions don't matter.
+    Nodes without an edge to another node have no row. Repeated edges and edges in both directions don't matter. What isn't settled after max_rounds is an error.
     """
     e = written(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     state = _state(e)
@@ -36,4 +36,6 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         e, (old, state) = new, (state, _state(new))
         if state == old:
             break
+    else:
+        raise RuntimeError(f"components are not settled after {max_rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import count
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -44,7 +45,7 @@ def first_words(texts: list[str]) -> str:
     return "这些文档的核心内容是关于：" + texts[0][:150] + "..."
 
 
-def summary_tree(chunks: DataFrame, summarise: Callable[[list[str]], str] = first_words, max_clusters: int = 10, max_levels: int = 8) -> DataFrame:
+def summary_tree(chunks: DataFrame, summarise: Callable[[list[str]], str] = first_words, max_clusters: int = 10) -> DataFrame:
     """``doc_id, level, node, content, children``: level 0 are the chunks; each further level summarises clusters of the one below.
 
     A document stops at one node. Blank summaries are dropped. One job for a level, over all documents; a group is one document's nodes.
@@ -53,7 +54,7 @@ def summary_tree(chunks: DataFrame, summarise: Callable[[list[str]], str] = firs
     level = chunks.select("doc_id", F.lit(0).alias("level"), node.alias("node"), F.col("sequence").cast("long").alias("at"), "content", F.array().cast("array<string>").alias("children"))
     schema = "doc_id long, level int, node string, at long, content string, children array<string>"
     out = level
-    for depth in range(1, max_levels + 1):
+    for depth in count(1):  # from level 2 on each has fewer nodes
         embedded = hash_embeddings(level.withColumn("t", tokens(F.col("content"))), level.columns, "t")
         summarised = _level_function(depth, summarise, max_clusters)
         level = kept(embedded.groupBy("doc_id").applyInPandas(summarised, schema))
