@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import carried_schema, keyed_texts, mixed, range_hashes, word_ranges
+from .shared import LETTERS_AND_DIGITS, carried_schema, keyed_texts, mixed, range_hashes, word_ranges
 
 _HIT = "rid long, doc_id long, n_words long, starts array<int>, ends array<int>, items array<string>"
 
@@ -34,10 +34,10 @@ _HIT = "rid long, doc_id long, n_words long, starts array<int>, ends array<int>,
 class Words:
     """The words of some texts, as ranges of one buffer of lower-cased bytes."""
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], of_word: np.ndarray = LETTERS_AND_DIGITS):
         self.raw = b"\n".join(texts).lower()
         buf = np.frombuffer(self.raw, dtype=np.uint8)
-        self.start, self.end = word_ranges(buf)
+        self.start, self.end = word_ranges(buf, of_word)
         lengths = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
         self.bounds = np.searchsorted(self.start, np.concatenate([[0], np.cumsum(lengths)]))
         self.hashes = range_hashes(buf, self.start, self.end)

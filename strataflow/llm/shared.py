@@ -66,6 +66,16 @@ def head_threshold(counts: DataFrame, column: str, at_most: int) -> int:
     return least
 
 
+def join_dealt(rows: DataFrame, table: DataFrame, key: str, n_rows: int, per: int = 10_000) -> DataFrame:
+    """rows joined with a table that has one row a key, and the key's number of rows as ``weight``.
+
+    Keys of more than one in ``per`` of all rows, of which there are fewer than ``per``, are broadcast, so that no task gathers the rows of one.
+    """
+    hot = written(table.where(F.col("weight") * per > n_rows))
+    dealt = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.where(F.col("weight") * per <= n_rows), key)
+    return dealt.unionByName(rows.join(F.broadcast(hot), key))
+
+
 # --- words and rolling hashes over a buffer of bytes ---
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
@@ -112,17 +122,14 @@ def range_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
 
 
-def _word_bytes() -> np.ndarray:
-    if "word" not in _tables:
-        t = np.zeros(256, dtype=bool)
-        t[0x80:] = t[0x30:0x3A] = t[0x61:0x7B] = True
-        _tables["word"] = t
-    return _tables["word"]
+#: Bytes of words, once lower-cased: 0-9, a-z and characters beyond ASCII; or all but the space and 0x09 to 0x0D.
+LETTERS_AND_DIGITS = np.array([b >= 0x80 or 0x30 <= b < 0x3A or 0x61 <= b < 0x7B for b in range(256)])
+BLANK_SEPARATED = np.array([b != 0x20 and not 0x09 <= b <= 0x0D for b in range(256)])
 
 
-def word_ranges(lowered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the runs of bytes that are 0-9, a-z or part of a character beyond ASCII."""
+def word_ranges(lowered: np.ndarray, of_word: np.ndarray = LETTERS_AND_DIGITS) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of bytes that words are made of."""
     is_word = np.zeros(len(lowered) + 2, dtype=np.int8)
-    is_word[1:-1] = _word_bytes()[lowered]
+    is_word[1:-1] = of_word[lowered]
     step = np.diff(is_word)
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1)

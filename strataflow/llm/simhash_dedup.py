@@ -1,39 +1,42 @@
-"""SimHash near-dedup by the generalised pigeonhole principle (operator 9).
-
-1. Each text gives a 64-bit fingerprint; equal fingerprints become one row, so that copies cost nothing further.
-2. Bits that go together (by their correlation over all fingerprints) share a partition. For every number of
-   partitions, dynamic programming deals the partitions' thresholds, which sum to ``max_bits - partitions + 1`` (-1
-   leaves a partition out), at the least estimated cost: signatures sent plus candidate pairs. Two fingerprints within
-   max_bits agree within its threshold on at least one partition. The estimates only steer the cost.
-3. Fingerprints meet by partition value (with all values within the threshold on one side) and are verified.
-   Fingerprints in a bucket of more than ``bucket_rows`` go another exact way instead of being paired. For 2 bits each
-   gives the 65 values within 1 bit of it: fingerprints that share one of those are within 2 bits of each other, and any
-   two within 2 bits share one, so each group (65 rows at most) needs only a link to its least row. For more bits the
-   bucket is searched from one fingerprint after another, each taking those within reach that none has taken before,
-   which gives a spanning forest and no other pairs.
-4. The links' connected components are found by alternating stars.
-
-Null text: as empty, with fingerprint zero, which links like any other. Repeated rows: one output row each. Empty
-table: no rows. A component of null doc_ids only has a null component_id.
+"""SimHash near-dedup by the generalised pigeonhole principle (operator 9; partitions and candidates are in ``pigeonhole``).
+
+``near_duplicates`` links texts whose 64-bit fingerprints differ in at most ``max_bits`` bits:
+
+1. Each text gives a fingerprint; equal ones become one row, so that copies cost nothing further.
+2. Fingerprints meet by partition value and are verified. A bucket of more than ``bucket_rows`` goes another exact way for 2
+   bits: each of its fingerprints gives the 65 values within 1 bit of it; those that share one are within 2 bits of each other,
+   and any two within 2 bits share one, so each group (65 rows at most) needs only a link to its least row.
+3. The links' connected components are found by alternating stars.
+
+``near_copies`` links texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Its fingerprints have ten
+independent words of 64 bits, the majorities over a text's distinct words (which near copies share more of than shingles). Each
+word is probed within 1 bit, by two partitions of 32 bits; candidates are at most ``FAR_BITS`` of the 640 bits apart and are verified by
+their whole sets of shingles. Every text sends 20 signatures, whatever the table's size. No pair is linked wrongly; pairs that
+share no partition's value are missed (README has the recall by similarity).
+
+Null text: as empty, with fingerprint zero, which links like any other; ``near_copies`` has no row for a text without words.
+Very long texts: one row of a batch, whose words take some 100 bytes each while it is hashed. Repeated rows: one output row each.
+Empty table: no rows. A component of null doc_ids only has a null component_id. Columns of docs are not kept but for those named in carry,
+which go along in one struct, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
-from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import carried_schema, keyed_texts, written
+from .decontaminate import Words, slices
+from .pigeonhole import ball, connecting_links, flipped, meetings, pairs_inside, plan, with_share_of
+from .shared import BLANK_SEPARATED, carried_schema, join_dealt, keyed_texts, mixed, written
 
-
-#: Partitions are planned for at least so many fingerprints, so that small tables are dealt as large ones are.
-PLAN_ROWS = 1 << 22
+WORDS_64, FAR_BITS = 10, 96
+#: Up to so many ids of rows are broadcast to find their sets of shingles (some 64 MB); beyond it they are joined by a shuffle.
+BROADCAST_ROWS = 1 << 21
 
 
 def fingerprint(own: list[bytes], words: int = 3) -> int:
@@ -71,160 +74,107 @@ def fingerprints(docs: DataFrame, words: int = 3, carry: tuple[str, ...] = ()) -
     return texts.mapInArrow(run, "rid long, doc_id long, n_words long, fp long" + carried_schema(texts))
 
 
-def _bit_sums(fps: DataFrame) -> np.ndarray:
-    """How many fingerprints have bits i and j, for all i and j; summed in Spark."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((64, 64))
-        for batch in batches:
-            for at in range(0, batch.num_rows, 50_000):
-                b = np.unpackbits(batch.column(0).slice(at, 50_000).to_numpy(zero_copy_only=False).astype(">i8").view(np.uint8).reshape(-1, 8), axis=1).astype(np.float32)
-                total += b.T @ b
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(4096), pa.int32()), pa.array(total.ravel(), pa.float64())], names=["cell", "n"])
-
-    out = np.zeros(4096)
-    for r in fps.select("fp").mapInArrow(run, "cell int, n double").groupBy("cell").agg(F.sum("n").alias("n")).collect():
-        out[r["cell"]] = r["n"]
-    return out.reshape(64, 64)
-
-
-def partitions_of_bits(together: np.ndarray, n: int, m: int) -> list[list[int]]:
-    """Bits 0 (highest) to 63 in m groups of nearly equal size, each grown by the bit that correlates most with it."""
-    p = np.diag(together) / n
-    cov = np.abs(together / n - np.outer(p, p)) / np.sqrt(np.outer(p * (1 - p) + 1e-9, p * (1 - p) + 1e-9))
-    left, out = list(range(64)), []
-    for k in range(m):
-        own = [left.pop(0)]
-        while len(own) < (64 * (k + 1)) // m - (64 * k) // m:
-            own.append(left.pop(int(np.argmax(cov[np.ix_(own, left)].sum(axis=0)))))
-        out.append(sorted(own))
-    return out
-
-
-def _mask(bits: list[int]) -> int:
-    return sum(1 << (63 - b) for b in bits)
-
-
-def _ball(bits: list[int], radius: int) -> list[int]:
-    """Signed masks that flip at most radius of the bits."""
-    masks = [_mask(list(c)) for r in range(radius + 1) for c in combinations(bits, r)]
-    return [x - (x >> 63 << 64) for x in masks]
-
-
-def allocate(sample: np.ndarray, together: np.ndarray, n: int, max_bits: int, row_cost: float = 40.0) -> list[tuple[list[int], int]]:
-    """(bits, threshold) for each partition that is probed, at the least estimated cost."""
-    best: tuple[float, list] = (float("inf"), [])
-    a, b = np.triu_indices(len(sample), 1)
-    apart = sample.view(np.uint64)[a] ^ sample.view(np.uint64)[b]
-    for m in range(1, max_bits + 2):
-        groups = partitions_of_bits(together, n, m)
-        options = []
-        for bits in groups:
-            distance = np.bitwise_count(apart & np.uint64(_mask(bits)))
-            costs = {-1: 0.0}
-            for t in range(max_bits + 1):
-                ball = sum(comb(len(bits), r) for r in range(t + 1))
-                share = max(ball / 2.0 ** len(bits), float((distance <= t).mean()) if len(distance) else 0.0)
-                costs[t] = row_cost * n * ball + share * n * n / 2
-            options.append(costs)
-        # deal[s]: the least cost of thresholds for the partitions so far that sum to s
-        deal: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
-        for costs in options:
-            nxt: dict[int, tuple[float, list[int]]] = {}
-            for s, (c, ts) in deal.items():
-                for t, extra in costs.items():
-                    if (c + extra, ts + [t]) < nxt.get(s + t, (float("inf"), [])):
-                        nxt[s + t] = (c + extra, ts + [t])
-            deal = nxt
-        cost, ts = deal[max_bits - m + 1]
-        if cost < best[0]:
-            best = (cost, [(bits, t) for bits, t in zip(groups, ts, strict=True) if t >= 0])
-    return best[1]
-
-
-def _flipped(masks: list[int]):
-    return F.explode(F.transform(F.array(*[F.lit(x).cast("long") for x in masks]), lambda x: F.col("fp").bitwiseXOR(x)))
-
-
-def forest(fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a spanning forest of the fingerprints within max_bits of each other."""
-    left, a, b = fps.view(np.uint64), [], []
-    while len(left):
-        queue, left = [left[0]], left[1:]
-        while queue and len(left):
-            x = queue.pop()
-            near = np.bitwise_count(left ^ x) <= max_bits
-            if near.any():
-                found = left[near]
-                a.append(np.full(len(found), x))
-                b.append(found)
-                queue.extend(found)
-                left = left[~near]
-    none = np.zeros(0, dtype=np.uint64)
-    return np.concatenate([none, *a]).view(np.int64), np.concatenate([none, *b]).view(np.int64)
-
-
-def _forests(batches: Iterator[pa.RecordBatch], max_bits: int) -> Iterator[pa.RecordBatch]:
-    """Sorted rows of buckets to links."""
-    key, own = None, []
-
-    def take() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in forest(np.concatenate(own), max_bits)], names=["a", "b"])
-
-    for batch in batches:
-        part, value, fps = (batch.column(i).to_numpy() for i in range(3))
-        cuts = [0, *(np.flatnonzero((np.diff(part) != 0) | (np.diff(value) != 0)) + 1).tolist(), len(fps)]
-        for s, e in zip(cuts, cuts[1:], strict=False):
-            if s == e:
-                continue
-            if (part[s], value[s]) != key:
-                if own:
-                    yield take()
-                key, own = (part[s], value[s]), []
-            own.append(fps[s:e])
-    if own:
-        yield take()
+def within(max_bits: int, x: Column, y: Column, n_words: int = 1) -> Column:
+    """Whether two nodes' fingerprints differ in at most max_bits bits."""
+    return sum((F.bit_count(x["f"][w].bitwiseXOR(y["f"][w])) for w in range(n_words)), F.lit(0)) <= max_bits
 
 
 def links(fps: DataFrame, max_bits: int = 2, bucket_rows: int = 64, sample_rows: int = 2000) -> DataFrame:
     """``a, b``: links among distinct fingerprints (column fp) that connect all those within max_bits bits."""
-    together = _bit_sums(fps)
-    n = fps.count()
-    if not n:
+    nodes = fps.select(F.col("fp").alias("node"), F.array("fp").alias("f"))
+    parts = plan(nodes, 1, max_bits, sample_rows)
+    if not parts:
         return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b"))
-    share = min(1.0, sample_rows / n)
-    sample = np.array([r["fp"] for r in fps.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int(share * (1 << 30))).collect()], dtype=np.int64)
-    index, probes = None, None
-    for k, (bits, t) in enumerate(allocate(sample, together / n * max(n, PLAN_ROWS), max(n, PLAN_ROWS), max_bits)):
-        mask = _mask(bits) - (_mask(bits) >> 63 << 64)
-        part = F.lit(k).alias("part")
-        i = fps.select("fp", part, F.col("fp").bitwiseAND(F.lit(mask).cast("long")).alias("value"))
-        p = fps.select("fp", part, _flipped(_ball(bits, t)).alias("value")).withColumn("value", F.col("value").bitwiseAND(F.lit(mask).cast("long"))) if t else i
-        index, probes = (i, p) if index is None else (index.unionByName(i), probes.unionByName(p))
-    sizes = index.groupBy("part", "value").agg(F.count("*").alias("rows"), F.min("fp").alias("one"))
-    several = written(sizes.where(F.col("rows") > 1) if index is probes else sizes)
-    small, large = (several.where(c).select("part", "value") for c in (F.col("rows") <= bucket_rows, F.col("rows") > bucket_rows))
-    inside = index.join(small, ["part", "value"], "left_semi")
-    near = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= max_bits
-    met = inside.alias("a").join(probes.join(small, ["part", "value"], "left_semi").alias("b"), (F.col("a.part") == F.col("b.part")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.fp") != F.col("b.fp")) & near)
-    pairs = met.select(F.least("a.fp", "b.fp").alias("a"), F.greatest("a.fp", "b.fp").alias("b"))
-    crowded = index.union(probes) if index is not probes else index
-    crowded = crowded.join(large, ["part", "value"], "left_semi")
+    near = lambda x, y: within(max_bits, x, y)
     if max_bits != 2:
-        rows = crowded.select("part", "value", "fp").distinct().repartition("part", "value").sortWithinPartitions("part", "value", "fp")
-        return pairs.unionByName(rows.mapInArrow(lambda batches: _forests(batches, max_bits), "a long, b long")).distinct()
-    shared = crowded.select("fp").distinct().select("fp", _flipped(_ball(list(range(64)), 1)).alias("value"))
+        return connecting_links(nodes, parts, near, bucket_rows)
+    met = meetings(nodes, parts)
+    shared = met.where(F.col("rows") > bucket_rows).select(F.col("x.node").alias("fp")).distinct()
+    shared = shared.select("fp", F.explode(flipped(F.col("fp"), ball(list(range(64)), 1))).alias("value"))
     stars = shared.groupBy("value").agg(F.min("fp").alias("a"), F.collect_list("fp").alias("all")).where(F.size("all") > 1)
     stars = stars.select("a", F.explode("all").alias("b")).where(F.col("a") != F.col("b"))
-    return pairs.unionByName(stars).distinct()
+    return pairs_inside(met, near, bucket_rows).select("a", "b").unionByName(stars).distinct()
+
+
+def _grouped(nodes: DataFrame, found: DataFrame, least: Column) -> DataFrame:
+    """``node, group, component_id``: the root that each node is connected with by the links, and the least value there."""
+    n = nodes.count()
+    roots = nodes.join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    names = roots.groupBy("root").agg(F.min(least).alias("component_id"), F.count("*").alias("weight"))
+    return join_dealt(written(roots.select("node", "root", "weight_of_node")), names, "root", n).select("node", F.col("root").alias("group"), "component_id", F.col("weight_of_node").alias("weight"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2, bucket_rows: int = 64, carry: tuple[str, ...] = ()) -> DataFrame:
     """``rid, doc_id, n_words, fp, group, component_id``, and ``carried`` if columns go along: the smallest fingerprint and doc_id that each document is connected with."""
     own = written(fingerprints(docs, words, carry))
-    fps = written(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(fps, max_bits, bucket_rows))
-    linked = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    names = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = linked.join(names, "root").select("fp", F.col("root").alias("group"), "component_id")
-    return own.join(named, "fp").select("rid", "doc_id", "n_words", "fp", "group", "component_id", *own.columns[4:])
+    fps = written(own.groupBy(F.col("fp").alias("node")).agg(F.min("doc_id").alias("least"), F.count("*").alias("weight_of_node")))
+    named = _grouped(fps, links(fps.select(F.col("node").alias("fp")), max_bits, bucket_rows), F.col("least"))
+    return join_dealt(own.withColumn("node", F.col("fp")), written(named), "node", own.count()).select("rid", "doc_id", "n_words", "fp", "group", "component_id", *own.columns[4:])
+
+
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """WORDS_64 words: for each bit the majority over the distinct hashes, each spread over all bits."""
+    salts = mixed(np.arange(1, WORDS_64 + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    votes = np.zeros(64 * WORDS_64, dtype=np.int64)
+    for at in range(0, len(hashes), 4096):
+        bits = np.unpackbits(mixed(hashes[at : at + 4096, None] ^ salts).view(np.uint8), axis=1)
+        # 255 rows of zeros and ones add up inside bytes, eight at a time.
+        for i in range(0, len(bits), 255):
+            votes += bits[i : i + 255].view(np.uint64).sum(axis=0, dtype=np.uint64).view(np.uint8)
+    return np.packbits(votes * 2 > len(hashes)).view(np.int64)
+
+
+def profiles(docs: DataFrame, words: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``rid, doc_id, node, f, n, shingles`` of the texts with words; node: a hash of the set of shingles."""
+    texts = keyed_texts(docs, carry)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_64_intdigest
+
+        for batch in batches:
+            column = batch.column(2).cast(pa.binary()).to_pylist()
+            for first, last in slices(column):
+                every = Words(column[first:last], BLANK_SEPARATED)
+                runs, bounds = every.shingles(words), every.bounds.tolist()
+                rows, nodes, fps, sets = [], [], [], []
+                for i, (s, e) in enumerate(zip(bounds, bounds[1:], strict=False)):
+                    if s == e:
+                        continue
+                    # A text of fewer words is one shingle.
+                    own = np.unique(runs[s : e - words + 1]) if e - s >= words else Words([b" ".join(every.words(s, e - s))], BLANK_SEPARATED).shingles(e - s)
+                    rows.append(i)
+                    nodes.append(xxh3_64_intdigest(own.tobytes()))
+                    sets.append(own.view(np.int64))
+                    fps.append(wide_fingerprint(np.unique(every.hashes[s:e])))
+                part = batch.slice(first, last - first).take(pa.array(rows, pa.int64()))
+                longs = pa.list_(pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(fps, longs), pa.array([len(x) for x in sets], pa.int32()), pa.array(sets, longs), *part.columns[3:]],
+                    names=["rid", "doc_id", "node", "f", "n", "shingles", *part.schema.names[3:]],
+                )
+
+    return texts.mapInArrow(run, "rid long, doc_id long, node long, f array<long>, n int, shingles array<long>" + carried_schema(texts))
+
+
+def near_copies(docs: DataFrame, words: int = 5, bucket_rows: int = 64, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``rid, doc_id, group``, and ``carried`` if columns go along, of the texts with words: equal groups where links of a similarity of 0.8 or more connect."""
+    own = written(profiles(docs, words, carry))
+    nodes = written(own.groupBy("node").agg(F.min("rid").alias("rid"), F.first("f").alias("f"), F.first("n").alias("n"), F.count("*").alias("weight_of_node")))
+
+    def near(x: Column, y: Column) -> Column:
+        return (5 * F.least(x["n"], y["n"]) >= 4 * F.greatest(x["n"], y["n"])) & within(FAR_BITS, x, y, WORDS_64)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select("a", "reach_a").union(pairs.select("b", "reach_b")).toDF("node", "reach").distinct()
+        wanted = written(ends.join(nodes.select("node", "rid"), "node"))
+        few = wanted.count() <= BROADCAST_ROWS
+        sets = own.select("rid", "shingles").join(F.broadcast(wanted) if few else wanted, "rid").select("node", "reach", "shingles")
+        both = with_share_of(with_share_of(pairs, "a", sets, "shingles"), "b", sets, "shingles")
+        shared = F.size(F.array_intersect("shingles_a", "shingles_b"))
+        return both.where(9 * shared >= 4 * (F.size("shingles_a") + F.size("shingles_b"))).select("a", "b")
+
+    parts = plan(nodes, WORDS_64, 1)
+    if not parts:
+        return own.select("rid", "doc_id", F.col("node").alias("group"), *own.columns[6:])
+    named = _grouped(nodes.select("node", "weight_of_node"), connecting_links(nodes.select("node", "f", "n"), parts, near, bucket_rows, verified), F.col("node"))
+    return join_dealt(own.drop("shingles", "f", "n"), written(named), "node", own.count()).select("rid", "doc_id", "group", *own.columns[6:])

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline as pipeline
 from strataflow.llm import bpe_codec
 
-from .test_text_operators import brute_components, brute_contamination, brute_fingerprint, brute_lines
+from .test_near_copies import brute_groups
+from .test_text_operators import brute_contamination, brute_lines
 
 COLUMNS = list(pipeline.COLUMNS)
 
@@ -46,13 +47,8 @@ def test_stages(spark, tables, monkeypatch):
     assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in got.values()) and got[[i for i, t in texts.items() if t is None][0]]["text"] is None
 
     ids = list(texts)
-    words = [(texts[i] or "").encode().lower().split() for i in ids]
-    roots = brute_components([brute_fingerprint(texts[i], 5) for i in ids], pipeline.NEAR_BITS)
-    groups: dict = {}
-    for i, w, r in zip(ids, words, roots, strict=True):
-        if w:
-            groups[r] = min(groups.get(r, i), i)
-    keep = {*groups.values(), *(i for i, w in zip(ids, words, strict=True) if not w)}
+    groups = brute_groups([texts[i] for i in ids])
+    keep = {i for k, i in enumerate(ids) if groups[k] is None or groups[k] == k}
     assert len(keep) < len(ids) - 4
     for limit, rows in ((pipeline.GONE_BYTES, docs), (0, docs), (pipeline.GONE_BYTES, docs.union(docs.limit(0)))):
         monkeypatch.setattr(pipeline, "GONE_BYTES", limit)

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from strataflow.llm import bpe_codec, decontaminate, hmm_lm, line_dedup, simhash_dedup, substring_dedup, token_counts, toxicity
+from strataflow.llm import bpe_codec, decontaminate, hmm_lm, line_dedup, pigeonhole, simhash_dedup, substring_dedup, token_counts, toxicity
 
 JSON = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -178,9 +178,9 @@ def test_thresholds_for_many_fingerprints():
     sample = np.random.default_rng(0).integers(-(1 << 63), 1 << 63, 500)
     together = np.full((64, 64), 0.25) + np.eye(64) * 0.25
     for n in (10**3, 10**6, 10**9, 10**12):
-        parts = simhash_dedup.allocate(sample, together * n, n, 2)
+        parts = pigeonhole.allocate(sample, together * n, n, 2)
         assert len({b for bits, _ in parts for b in bits}) == sum(len(bits) for bits, _ in parts)
-    few, many = (simhash_dedup.allocate(sample, together * n, n, 2) for n in (10**3, 10**11))
+    few, many = (pigeonhole.allocate(sample, together * n, n, 2) for n in (10**3, 10**11))
     assert [t for _, t in few] == [0, 0, 0] and sum(t for _, t in many) >= 1
 
 
