@@ -3,8 +3,11 @@
 toxicity: documents that the model rejects go. line_dedup: lines that recur go, but for the last document's. near_dedup: one document
 of each group stays, that of the smallest doc_id. decontamination: documents with benchmark words go. tokens: ids of the texts.
 
-The near-duplicate stage takes shingles of five words and links all texts whose sets have a Jaccard similarity of 0.8 or more.
-A document without words has nothing to be a copy of: the near-duplicate stage keeps it.
+The near-duplicate stage links texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more: SimHash fingerprints
+find the candidates, the whole sets verify them. A document without words has nothing to be a copy of: that stage keeps it.
+
+Null texts stay null until tokens, where they have no ids. Rows are told apart by file and row, so repeated rows are copies of each other and
+null ids are kept like others (of a group, the smallest id stays; null comes last). Empty tables: no rows.
 """
 
 from __future__ import annotations
@@ -16,12 +19,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataflow.llm import bpe_codec, decontaminate, line_dedup, shingle_dedup, toxicity
+from strataflow.llm import bpe_codec, decontaminate, line_dedup, simhash_dedup, toxicity
 from strataflow.llm.shared import BROADCAST_BYTES, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: The bits of 64 that SimHash fingerprints of the copies in the tests lie within; the stage itself compares the shingles.
-NEAR_BITS = 6
 #: Bitmaps of 32,768 rows; they are broadcast up to so many bytes, which is half a billion documents.
 BITMAP_BYTES = 4096
 GONE_BYTES = BROADCAST_BYTES
@@ -63,7 +64,7 @@ def copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The rows that go are broadcast as bitmaps of at most ``GONE_BYTES``; if there are more, the texts are shuffled to meet them.
     """
     rows = placed(docs)
-    found = shingle_dedup.near_duplicates(rows, words=5, carry=("file", "row"))
+    found = simhash_dedup.near_copies(rows, words=5, carry=("file", "row"))
     found = written(found.select("carried.file", "carried.row", "doc_id", "group"))
     first = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "file", "row")).alias("first")).select("first.file", "first.row")
     gone = written(found.join(first, ["file", "row"], "left_anti").select("file", "row"))
