@@ -1,9 +1,12 @@
 """Byte-level BPE encoding and decoding with a local rank file (operator 10).
 
-``encode`` runs the tiktoken library inside tasks, one row at a time, without a shuffle. A text longer than
-``chunk_chars`` is cut only between a word character and a space: no match of the split pattern holds a
-space after another character, and none looks behind, so the matches are those of the whole text.
-Null text: as an empty one, with no ids. Repeated rows: one output row each. Empty table: no rows.
+``encode`` runs the tiktoken library inside tasks, one row at a time, without a shuffle. A text longer than ``chunk_chars``
+is cut only where no match of the split pattern can reach over, and none looks: between a word character and a space, and
+around long runs of white space. Of such a run all but the last character are one match, or all of it at the end of the text; that match goes to the
+library as a piece of its own, as the library's regular expressions can't take a million of them.
+
+Null text: as an empty one, with no ids. Very long texts: in parts, as above; one match of any length stays one.
+Repeated rows: one output row each. Empty table: no rows. Other columns of docs are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,6 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _SAFE = re.compile(r"(?<=\w)(?= )")
+#: White space as the library's expressions have it, in runs that are taken apart.
+_BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_LONG_BLANK = re.compile(f"[{_BLANK}]{{10000,}}")
 
 
 def load_encoding(ranks_path: str, pattern: str):
@@ -39,6 +45,23 @@ def safe_parts(text: str, chunk_chars: int) -> Iterator[str]:
     yield text[start:]
 
 
+def ids_of(encoding, text: str, chunk_chars: int) -> list[int]:
+    """The ids of the whole text."""
+    if len(text) <= chunk_chars:
+        return encoding.encode_ordinary(text)
+    out: list[int] = []
+    start = 0
+    for run in _LONG_BLANK.finditer(text):
+        for part in safe_parts(text[start : run.start()], chunk_chars):
+            out += encoding.encode_ordinary(part)
+        # What follows a run takes its last character along.
+        start = run.end() if run.end() == len(text) else run.end() - 1
+        out += encoding._encode_single_piece(text[run.start() : start])
+    for part in safe_parts(text[start:], chunk_chars):
+        out += encoding.encode_ordinary(part)
+    return out
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk_chars: int = 50_000, rows_per_batch: int = 500) -> DataFrame:
     """``doc_id, ids array<int>, decoded binary``: the ids of each text and the bytes that they stand for."""
 
@@ -49,9 +72,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk_chars: int = 50
                 batch = whole.slice(at, rows_per_batch)
                 ids, decoded = [], []
                 for text in batch.column(1).to_pylist():
-                    own: list[int] = []
-                    for part in safe_parts(text, chunk_chars):
-                        own += encoding.encode_ordinary(part)
+                    own = ids_of(encoding, text, chunk_chars)
                     ids.append(own)
                     decoded.append(encoding.decode_bytes(own))
                 yield pa.RecordBatch.from_arrays(
