@@ -6,11 +6,13 @@ no other, so any JPEG decoder gives v for all its pixels. The frame's Huffman ta
 less its size, so that each block takes 10 bits (with 1 for the end of block) and whole batches are coded by array operations.
 
 ``decode`` parses the RIFF chunks, takes the frames from the index (idx1), decodes them, and finds shots: a frame
-begins one if the distance of its histogram from the frame's before exceeds the mean plus ``deviations`` standard deviations of
-the distances in the ``memory`` frames before it, and ``least``. ``clips`` gives a row for each shot, with its times.
+begins one if the distance of its histogram from the frame's before exceeds ``least``, and the mean plus ``deviations`` standard
+deviations of the last ``memory`` distances within shots. ``clips`` gives a row for each shot, with its times. Files of other makers are
+decoded too (``jpeg``: baseline frames of any tables, sampling and size); their samples are all grey values, frame by frame.
 
-Null or empty text: one frame of the padding value. Repeated rows: one output row each. Empty table: no rows. A
-file that isn't of this form gives a null payload and an error message.
+Null or empty text: one frame of the padding value. Very long texts: a file is in memory as a whole, one at a time. Repeated rows: one output
+row each. Empty table: no rows. A file that can't be decoded gives a null payload and an error message, and doesn't affect others. Columns of
+docs other than doc_id and text are left out, whatever their names; ``decode`` keeps those of its input.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .jpeg import grey_values
+
 SIDE, FPS, PAD = 24, 24, 255
 FRAME = SIDE * SIDE
 _SCAN = FRAME * 10 // 8
@@ -97,80 +101,86 @@ def _chunks(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
         at += 8 + size + (size & 1)
 
 
-def frames_of(data: bytes) -> list[bytes]:
-    """The frames that the index names."""
+def _seconds(data: bytes, at: int, end: int) -> float | None:
+    """Seconds of a frame, from the first video stream's header."""
+    for name, a, b in _chunks(data, at, end):
+        if name == b"LIST" and (found := _seconds(data, a + 4, b)):
+            return found
+        if name == b"strh" and data[a : a + 4] == b"vids":
+            scale, rate = struct.unpack_from("<2I", data, a + 20)
+            return scale / rate if scale and rate else None
+    return None
+
+
+def frames_of(data: bytes) -> tuple[list[bytes], float]:
+    """The frames that the index names, and the seconds of each."""
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
-    movi, index = 0, b""
+    movi, index, seconds = 0, b"", None
     for name, a, b in _chunks(data, 12, 8 + struct.unpack_from("<I", data, 4)[0]):
         if name == b"LIST" and data[a : a + 4] == b"movi":
             movi = a
+        elif name == b"LIST" and data[a : a + 4] == b"hdrl":
+            seconds = _seconds(data, a + 4, b)
         elif name == b"idx1":
             index = data[a:b]
     if not movi or not index:
         raise ValueError("no movi list or no index")
     out = []
     for name, _, at, size in struct.iter_unpack("<4s3I", index):
-        if name == b"00dc":
-            out.append(data[movi + at + 8 : movi + at + 8 + size])
-    return out
-
-
-def _scan_of(frame: bytes, known: set[bytes]) -> bytes:
-    """The entropy-coded bytes without stuffing, after the headers have been parsed (those in known have been before)."""
-    head = frame[: len(HEADER)]
-    if head not in known:
-        if frame[:2] != b"\xff\xd8":
-            raise ValueError("not a JPEG frame")
-        at, seen = 2, {}
-        while frame[at + 1] != 0xDA:
-            marker, size = frame[at + 1], struct.unpack_from(">H", frame, at + 2)[0]
-            seen.setdefault(marker, []).append(frame[at + 4 : at + 2 + size])
-            at += 2 + size
-        tables = sorted(seen.get(0xC4, []))
-        if 0xC0 not in seen or seen[0xC0][0] != struct.pack(">BHHB3B", 8, SIDE * 8, SIDE * 8, 1, 1, 0x11, 0) or seen.get(0xDB, [b""])[0][1:2] != b"\x08":
-            raise ValueError("frames of another size, depth or quantiser")
-        if [t[:1] for t in tables] != [b"\x00", b"\x10"] or tables[0][1:] != bytes([1] * 9 + [0] * 7) + bytes(range(8, -1, -1)) or tables[1][1:] != bytes([1] + [0] * 15) + b"\x00":
-            raise ValueError("other Huffman tables")
-        if at + 2 + struct.unpack_from(">H", frame, at + 2)[0] != len(HEADER):
-            raise ValueError("headers of another length")
-        known.add(head)
-    if frame[-2:] != b"\xff\xd9":
-        raise ValueError("no end of image")
+        # Video chunks; some makers count from the file's beginning instead of the list's. A frame of no bytes repeats the one before.
+        if name[2:] in (b"dc", b"db"):
+            at += 8 + (movi if data[movi + at : movi + at + 4] == name else 0)
+            out.append(data[at : at + size] if size or not out else out[-1])
+    if not out:
+        raise ValueError("no frames")
+    return out, seconds or 1 / FPS
+
+
+def _scan_of(frame: bytes) -> bytes | None:
+    """The entropy-coded bytes, without stuffing, of a frame of this module's form; None for those of other makers."""
+    if not frame.startswith(HEADER):
+        return None
     scan = frame[len(HEADER) : -2].replace(b"\xff\x00", b"\xff")
-    if len(scan) != _SCAN:
+    if len(scan) != _SCAN or frame[-2:] != b"\xff\xd9":
         raise ValueError("a scan of another length")
     return scan
 
 
-def samples(scan_bytes: bytes) -> np.ndarray:
-    """The samples (frame x block) of scans that follow each other."""
+def samples(scan_bytes: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The samples (frame x block) of scans that follow each other, and which frames have only codes of ``encode``."""
     b = np.frombuffer(scan_bytes, dtype=np.uint8).reshape(-1, 5)
     wide = np.zeros((len(b), 8), dtype=np.uint8)
     wide[:, 3:] = b
     w = wide.view(">u8").ravel().astype(np.uint64)
     codes = np.stack([w >> np.uint64(30), w >> np.uint64(20), w >> np.uint64(10), w], axis=1).astype(np.int64) & 1023
-    diff = _DIFFS[codes].reshape(-1, FRAME)
-    values = np.cumsum(diff, axis=1) + 128
-    if values.size and (values.min() < 0 or values.max() > 255):
-        raise ValueError("samples beyond 8 bits")
-    return values.astype(np.uint8)
+    values = np.cumsum(_DIFFS[codes].reshape(-1, FRAME), axis=1) + 128
+    good = ((values >= 0) & (values <= 255)).all(axis=1)
+    return values.astype(np.uint8), good
 
 
 def shot_starts(hist: np.ndarray, memory: int = 8, deviations: float = 2.0, least: float = 0.1) -> list[int]:
-    """hist: frame x bin. The first frame of each shot."""
-    d = np.abs(np.diff(hist, axis=0)).sum(axis=1) / (2 * FRAME)
-    starts = [0]
-    if len(d) > 1:
-        s, q = np.concatenate([[0], np.cumsum(d)]), np.concatenate([[0], np.cumsum(d * d)])
-        t = np.arange(1, len(d))
-        low = np.maximum(0, t - memory)
-        mean = (s[t] - s[low]) / (t - low)
-        spread = np.sqrt(np.maximum(0, (q[t] - q[low]) / (t - low) - mean**2))
-        starts += (t[(d[t] > mean + deviations * spread + 1e-9) & (d[t] > least)] + 1).tolist()
+    """hist: frame x bin, as shares. The first frame of each shot."""
+    starts, recent = [0], []
+    for t, d in enumerate((np.abs(np.diff(hist, axis=0)).sum(axis=1) / 2).tolist(), 1):
+        limit = least
+        if recent:
+            mean = sum(recent) / len(recent)
+            limit = max(least, mean + deviations * (sum((x - mean) ** 2 for x in recent) / len(recent)) ** 0.5 + 1e-9)
+        if d > limit:
+            starts.append(t)
+        else:
+            recent = [*recent[1 - memory :], d]
     return starts
 
 
+def _histograms(values: np.ndarray) -> np.ndarray:
+    """Shares of 16 bins in each row of samples."""
+    n = len(values)
+    bins = (values >> 4).astype(np.int64) + 16 * np.arange(n)[:, None]
+    return np.bincount(bins.ravel(), minlength=16 * n).reshape(n, 16) / max(1, values.shape[1])
+
+
 def _groups(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
     first, total = 0, 0
     for i, n in enumerate(sizes):
@@ -201,52 +211,66 @@ def encode(rows: DataFrame, batch_bytes: int = 2 << 20) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-_SHOTS = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
+_SHOTS = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("start_s", pa.float64()), ("end_s", pa.float64())]))
+
+
+def _decoded(frames: list[bytes]) -> tuple[bytes, np.ndarray]:
+    """All grey values and the histograms of the frames of any maker."""
+    planes = [grey_values(f) for f in frames]
+    return b"".join(p.tobytes() for p in planes), np.concatenate([_histograms(p.reshape(1, -1)) for p in planes])
 
 
 def decode(media: DataFrame, batch_bytes: int = 4 << 20) -> DataFrame:
-    """media with more columns: ``payload binary, n_frames, shots array<struct<first,last>>, error``."""
+    """media with more columns: ``payload binary, n_frames, shots array<struct<first,last,start_s,end_s>>, error``."""
     own = media.schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: set[bytes] = set()
         for batch in batches:
             files = batch.column(own.index("media")).to_pylist()
             for a, b in _groups([len(f or b"") for f in files], batch_bytes):
-                found, errors = [], []
+                payloads, sizes, shots, errors, scans_of = [], [], [], [], []
+                # Frames of this module's form are decoded together.
                 for f in files[a:b]:
                     try:
-                        found.append([_scan_of(x, known) for x in frames_of(f or b"")])
-                        errors.append(None)
+                        found, seconds = frames_of(f or b"")
+                        scans_of.append((found, seconds, [_scan_of(x) for x in found], None))
                     except (ValueError, IndexError, struct.error) as e:
-                        found.append([])
-                        errors.append(str(e) or "damaged file")
-                values = samples(b"".join(s for x in found for s in x))
-                n = len(values)
-                bins = (values >> 4).astype(np.int64) + 16 * np.arange(n)[:, None]
-                hist = np.bincount(bins.ravel(), minlength=16 * n).reshape(n, 16).astype(np.int64)
-                payloads, shots, at = [], [], 0
-                for x, error in zip(found, errors, strict=True):
-                    k = len(x)
-                    payloads.append(None if error else values[at : at + k].tobytes())
-                    starts = shot_starts(hist[at : at + k]) if k else []
-                    shots.append([{"first": s, "last": e - 1} for s, e in zip(starts, [*starts[1:], k][: len(starts)], strict=True)])
-                    at += k
+                        scans_of.append(([], 0.0, [], str(e) or "damaged file"))
+                quick = [None not in s and not error for _, _, s, error in scans_of]
+                values, good = samples(b"".join(x for (_, _, s, _), q in zip(scans_of, quick, strict=True) if q for x in s))
+                hist, at = _histograms(values), 0
+                for (found, seconds, s, error), q in zip(scans_of, quick, strict=True):
+                    payload, own_hist, k = None, None, len(found)
+                    if q:
+                        payload, own_hist = values[at : at + k].tobytes(), hist[at : at + k]
+                        if not good[at : at + k].all():
+                            payload, error = None, "samples beyond 8 bits or unknown codes"
+                        at += k
+                    elif not error:
+                        try:
+                            payload, own_hist = _decoded(found)
+                        except (ValueError, IndexError, KeyError, struct.error) as e:
+                            error = str(e) or "damaged frame"
+                    starts = [] if payload is None else shot_starts(own_hist)
+                    payloads.append(payload)
+                    errors.append(error)
+                    sizes.append(0 if payload is None else k)
+                    shots.append([{"first": x, "last": y - 1, "start_s": x * seconds, "end_s": y * seconds} for x, y in zip(starts, [*starts[1:], k][: len(starts)], strict=True)])
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(payloads, pa.binary()), pa.array([len(x) for x in found], pa.int64()), pa.array(shots, _SHOTS), pa.array(errors, pa.string())], names=[*own, "payload", "n_frames", "shots", "error"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(payloads, pa.binary()), pa.array(sizes, pa.int64()), pa.array(shots, _SHOTS), pa.array(errors, pa.string())], names=[*own, "payload", "n_frames", "shots", "error"])
 
-    schema = media.schema.simpleString()[7:-1] + ",payload:binary,n_frames:bigint,shots:array<struct<first:int,last:int>>,error:string"
+    schema = media.schema.simpleString()[7:-1] + ",payload:binary,n_frames:bigint,shots:array<struct<first:int,last:int,start_s:double,end_s:double>>,error:string"
     return media.mapInArrow(run, schema)
 
 
 def clips(decoded: DataFrame) -> DataFrame:
     """``doc_id, clip, first, last, start_s, end_s``: a row for each shot."""
-    rows = decoded.select("doc_id", F.posexplode("shots").alias("clip", "s")).select("doc_id", "clip", "s.first", "s.last")
-    return rows.withColumns({"start_s": F.col("first") / F.lit(float(FPS)), "end_s": (F.col("last") + 1) / F.lit(float(FPS))})
+    return decoded.select("doc_id", F.posexplode("shots").alias("clip", "s")).select("doc_id", "clip", "s.*")
 
 
 def digests(decoded: DataFrame) -> DataFrame:
-    feature = F.concat(F.col("n_frames").cast("string"), F.lit(" frames, shots at "), F.array_join(F.transform("shots", lambda s: s["first"].cast("string")), ","))
+    """What op6 returns; its feature has the clips' times."""
+    times = F.transform("shots", lambda s: F.format_string("%.3f-%.3f", s["start_s"], s["end_s"]))
     return decoded.select(
         "doc_id",
         "n_bytes",
@@ -255,5 +279,6 @@ def digests(decoded: DataFrame) -> DataFrame:
         F.crc32(F.expr("substring(payload, -32, 32)")).alias("tail_crc32"),
         F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
-        feature.alias("feature"),
+        F.concat(F.col("n_frames").cast("string"), F.lit(" frames, clips "), F.array_join(times, ",")).alias("feature"),
+        F.size("shots").cast("long").alias("n_clips"),
     )
