@@ -6,8 +6,8 @@ estimated cost: signatures sent plus candidate pairs. Two fingerprints within ma
 least one partition. The estimates only steer the cost.
 
 Fingerprints meet by partition value (with all values within the threshold from one side). In a bucket of at most ``bucket_rows`` all
-pairs are candidates. In a crowded one each is paired with the bucket's hub first, the fingerprint that meets the most others; after those pairs
-are verified, what their links leave apart is compared pair by pair, a bucket's rows dealt over many tasks.
+pairs are candidates. In a crowded one each is paired with the bucket's hubs first: the fingerprint that meets the most others, and three at
+random; after those pairs are verified, what their links leave apart is compared pair by pair, a bucket's rows dealt over many tasks.
 """
 
 from __future__ import annotations
@@ -30,21 +30,23 @@ DEAL_ROWS, DEAL_PAIRS = 512, 2048
 Part = tuple[int, list[int], int]
 
 
-def bit_sums(words: DataFrame) -> np.ndarray:
-    """How many rows of a column of 64-bit words have bits i and j, for all i and j; summed in Spark."""
+def bit_sums(fingerprints: DataFrame, n_words: int) -> np.ndarray:
+    """For each of the words of a column ``f array<long>``: how many rows have bits i and j, for all i and j; summed in Spark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((64, 64))
+        total = np.zeros((n_words, 64, 64))
         for batch in batches:
-            for at in range(0, batch.num_rows, 50_000):
-                b = np.unpackbits(batch.column(0).slice(at, 50_000).to_numpy(zero_copy_only=False).astype(">i8").view(np.uint8).reshape(-1, 8), axis=1).astype(np.float32)
-                total += b.T @ b
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(4096), pa.int32()), pa.array(total.ravel(), pa.float64())], names=["cell", "n"])
+            words = batch.column(0).flatten().to_numpy().reshape(-1, n_words)
+            for at in range(0, len(words), 10_000):
+                for w in range(n_words):
+                    b = np.unpackbits(words[at : at + 10_000, w].astype(">i8").view(np.uint8).reshape(-1, 8), axis=1).astype(np.float32)
+                    total[w] += b.T @ b
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size), pa.int32()), pa.array(total.ravel(), pa.float64())], names=["cell", "n"])
 
-    out = np.zeros(4096)
-    for r in words.mapInArrow(run, "cell int, n double").groupBy("cell").agg(F.sum("n").alias("n")).collect():
-        out[r["cell"]] = r["n"]
-    return out.reshape(64, 64)
+    sums = fingerprints.select("f").mapInArrow(run, "cell int, n double").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(n_words * 4096)
+    out[sums["cell"]] = sums["n"]
+    return out.reshape(n_words, 64, 64)
 
 
 def partitions_of_bits(together: np.ndarray, n: int, m: int) -> list[list[int]]:
@@ -111,7 +113,8 @@ def plan(nodes: DataFrame, n_words: int, max_bits: int, sample_rows: int = 2000)
         return []
     share = min(1.0, sample_rows / n)
     sample = np.array([r["f"] for r in nodes.where(F.pmod(F.xxhash64("f"), F.lit(1 << 30)) < int(share * (1 << 30))).select("f").collect()], dtype=np.int64).reshape(-1, n_words)
-    return [(w, bits, t) for w in range(n_words) for bits, t in allocate(np.ascontiguousarray(sample[:, w]), bit_sums(nodes.select(F.col("f")[w])), n, max_bits)]
+    together = bit_sums(nodes, n_words)
+    return [(w, bits, t) for w in range(n_words) for bits, t in allocate(np.ascontiguousarray(sample[:, w]), together[w], n, max_bits)]
 
 
 def flipped(value: Column, masks: list[int]) -> Column:
@@ -171,11 +174,13 @@ def pairs_inside(met: DataFrame, near: Near, bucket_rows: int) -> DataFrame:
 
 
 def pairs_with_hubs(crowded: DataFrame, near: Near) -> DataFrame:
-    """The near pairs of each crowded bucket's members with the one of them that meets most."""
-    hubs = crowded.groupBy("part", "value").agg(F.max(F.struct("x.reach", "x.node", "x")).alias("hub"), F.first("rows").alias("rows"))
-    hubs = hubs.select("part", "value", F.col("hub.x").alias("hub"), _each_share(_shares(F.col("rows"), DEAL_PAIRS)).alias("share"))
+    """The near pairs of each crowded bucket's members with its hubs."""
+    at_random = [F.max(F.struct(F.xxhash64("x.node", "part", F.lit(k)), "x"))["x"] for k in range(3)]
+    hubs = crowded.groupBy("part", "value").agg(F.array(F.max(F.struct("x.reach", "x"))["x"], *at_random).alias("hubs"), F.first("rows").alias("rows"))
+    hubs = hubs.select("part", "value", "hubs", _each_share(_shares(F.col("rows"), DEAL_PAIRS)).alias("share"))
     members = crowded.withColumn("share", _share_of(F.col("x.node"), _shares(F.col("rows"), DEAL_PAIRS)))
-    met = members.join(hubs, ["part", "value", "share"]).where((F.col("x.node") != F.col("hub.node")) & near(F.col("x"), F.col("hub")))
+    close = F.filter("hubs", lambda hub: (hub["node"] != F.col("x.node")) & near(F.col("x"), hub))
+    met = members.join(hubs, ["part", "value", "share"]).select("x", F.explode(close).alias("hub"))
     return met.select(*_pair("x", "hub")).distinct()
 
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,15 +34,39 @@ def keyed_texts(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
+def scanned(docs: DataFrame) -> DataFrame:
+    """docs, if its rows are known by their files and their places in these; what isn't read from Parquet files is written first."""
+    try:
+        docs.select("_metadata.row_index")
+        return docs
+    except AnalysisException:
+        return written(docs)
+
+
+def placed(docs: DataFrame, *columns) -> DataFrame:
+    """``file, rid`` and the columns: a hash of the file that each row is read from, and its place there.
+
+    Several scans know rows by these: they stay the same when executors come or go and scans are cut otherwise.
+    """
+    return scanned(docs).select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("rid"), *columns)
+
+
+def placed_texts(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``file, rid, doc_id, text``, and ``carried``: keyed texts for several scans."""
+    return placed(docs, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *([F.struct(*carry).alias("carried")] if carry else []))
+
+
 def carried_schema(texts: DataFrame) -> str:
     """What a function over keyed texts adds to its schema for the columns that go along."""
     return f", carried {texts.schema['carried'].dataType.simpleString()}" if "carried" in texts.columns else ""
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a temporary one only where the session names none."""
+    """The folder that the driver and all executors share; a temporary one only where all run in one process and the session names none."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="strataflow-")
         spark.sparkContext.setCheckpointDir(named)
     return named

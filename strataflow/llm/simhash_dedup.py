@@ -10,9 +10,10 @@
 
 ``near_copies`` links texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Its fingerprints have ten
 independent words of 64 bits, the majorities over a text's distinct words (which near copies share more of than shingles). Each
-word is probed within 1 bit, by two partitions of 32 bits; candidates are at most ``FAR_BITS`` of the 640 bits apart and are verified by
-their whole sets of shingles. Every text sends 20 signatures, whatever the table's size. No pair is linked wrongly; pairs that
-share no partition's value are missed (README has the recall by similarity).
+word is probed within 1 bit, by two partitions of 32 bits; candidates are at most ``FAR_BITS`` of the 640 bits apart. Those whose sketches
+(parities of 512 classes of shingles) differ in more bits than the sets may in shingles go; the others are verified by their whole
+sets. Every text sends 20 signatures, whatever the table's size. No pair is linked wrongly; pairs that share no partition's
+value are missed (README has the recall by similarity).
 
 Null text: as empty, with fingerprint zero, which links like any other; ``near_copies`` has no row for a text without words.
 Very long texts: one row of a batch, whose words take some 100 bytes each while it is hashed. Repeated rows: one output row each.
@@ -32,11 +33,11 @@ from pyspark.sql import functions as F
 from .components import components
 from .decontaminate import Words, slices
 from .pigeonhole import ball, connecting_links, flipped, meetings, pairs_inside, plan, with_share_of
-from .shared import BLANK_SEPARATED, carried_schema, join_dealt, keyed_texts, mixed, written
+from .shared import BLANK_SEPARATED, carried_schema, join_dealt, keyed_texts, mixed, placed_texts, scanned, written
 
 WORDS_64, FAR_BITS = 10, 96
-#: Up to so many ids of rows are broadcast to find their sets of shingles (some 64 MB); beyond it they are joined by a shuffle.
-BROADCAST_ROWS = 1 << 21
+#: Up to so many rows' places are broadcast to find their texts (some 64 MB); beyond it they are joined by a shuffle.
+BROADCAST_ROWS = 1 << 20
 
 
 def fingerprint(own: list[bytes], words: int = 3) -> int:
@@ -74,9 +75,13 @@ def fingerprints(docs: DataFrame, words: int = 3, carry: tuple[str, ...] = ()) -
     return texts.mapInArrow(run, "rid long, doc_id long, n_words long, fp long" + carried_schema(texts))
 
 
+def _differing(x: Column, y: Column, field: str, n_words: int) -> Column:
+    return sum((F.bit_count(x[field][w].bitwiseXOR(y[field][w])) for w in range(n_words)), F.lit(0))
+
+
 def within(max_bits: int, x: Column, y: Column, n_words: int = 1) -> Column:
     """Whether two nodes' fingerprints differ in at most max_bits bits."""
-    return sum((F.bit_count(x["f"][w].bitwiseXOR(y["f"][w])) for w in range(n_words)), F.lit(0)) <= max_bits
+    return _differing(x, y, "f", n_words) <= max_bits
 
 
 def links(fps: DataFrame, max_bits: int = 2, bucket_rows: int = 64, sample_rows: int = 2000) -> DataFrame:
@@ -124,57 +129,89 @@ def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(votes * 2 > len(hashes)).view(np.int64)
 
 
-def profiles(docs: DataFrame, words: int, carry: tuple[str, ...] = ()) -> DataFrame:
-    """``rid, doc_id, node, f, n, shingles`` of the texts with words; node: a hash of the set of shingles."""
-    texts = keyed_texts(docs, carry)
+def _shingle_sets(every: Words, words: int) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    """Place, first word, last word and distinct shingles of each text that has words; one of fewer words is one shingle."""
+    runs, bounds = every.shingles(words), every.bounds.tolist()
+    for i, (s, e) in enumerate(zip(bounds, bounds[1:], strict=False)):
+        if e - s >= words:
+            yield i, s, e, np.unique(runs[s : e - words + 1])
+        elif e > s:
+            yield i, s, e, Words([b" ".join(every.words(s, e - s))], BLANK_SEPARATED).shingles(e - s)
+
+
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """512 bits: whether an odd number of shingles falls in each class. Two differ in no more bits than their sets in shingles."""
+    odd = np.bincount((shingles >> np.uint64(55)).astype(np.int64), minlength=512) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def profiles(docs: DataFrame, words: int = 5, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``file, rid, doc_id, node, f, n, sketch`` of the texts with words; node: a hash of the set of shingles, n: its size."""
+    texts = placed_texts(docs, carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest
 
+        longs = pa.list_(pa.int64())
         for batch in batches:
-            column = batch.column(2).cast(pa.binary()).to_pylist()
+            column = batch.column(3).cast(pa.binary()).to_pylist()
             for first, last in slices(column):
                 every = Words(column[first:last], BLANK_SEPARATED)
-                runs, bounds = every.shingles(words), every.bounds.tolist()
-                rows, nodes, fps, sets = [], [], [], []
-                for i, (s, e) in enumerate(zip(bounds, bounds[1:], strict=False)):
-                    if s == e:
-                        continue
-                    # A text of fewer words is one shingle.
-                    own = np.unique(runs[s : e - words + 1]) if e - s >= words else Words([b" ".join(every.words(s, e - s))], BLANK_SEPARATED).shingles(e - s)
+                rows, nodes, fps, sizes, sketches = [], [], [], [], []
+                for i, s, e, own in _shingle_sets(every, words):
                     rows.append(i)
                     nodes.append(xxh3_64_intdigest(own.tobytes()))
-                    sets.append(own.view(np.int64))
                     fps.append(wide_fingerprint(np.unique(every.hashes[s:e])))
+                    sizes.append(len(own))
+                    sketches.append(sketch(own))
                 part = batch.slice(first, last - first).take(pa.array(rows, pa.int64()))
-                longs = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(fps, longs), pa.array([len(x) for x in sets], pa.int32()), pa.array(sets, longs), *part.columns[3:]],
-                    names=["rid", "doc_id", "node", "f", "n", "shingles", *part.schema.names[3:]],
+                    [*part.columns[:3], pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(fps, longs), pa.array(sizes, pa.int32()), pa.array(sketches, longs), *part.columns[4:]],
+                    names=["file", "rid", "doc_id", "node", "f", "n", "sketch", *part.schema.names[4:]],
                 )
 
-    return texts.mapInArrow(run, "rid long, doc_id long, node long, f array<long>, n int, shingles array<long>" + carried_schema(texts))
+    return texts.mapInArrow(run, "file long, rid long, doc_id long, node long, f array<long>, n int, sketch array<long>" + carried_schema(texts))
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """``node, reach, shingles`` of the texts at the places ``file, rid`` of wanted."""
+    few = wanted.count() <= BROADCAST_ROWS
+    rows = placed_texts(docs).select("file", "rid", "text").join(F.broadcast(wanted) if few else wanted, ["file", "rid"]).select("node", "reach", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(2).cast(pa.binary()).to_pylist()
+            for first, last in slices(column):
+                sets = [own.view(np.int64) for _, _, _, own in _shingle_sets(Words(column[first:last], BLANK_SEPARATED), words)]
+                part = batch.slice(first, last - first)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sets, pa.list_(pa.int64()))], names=["node", "reach", "shingles"])
+
+    return rows.mapInArrow(run, "node long, reach long, shingles array<long>")
 
 
 def near_copies(docs: DataFrame, words: int = 5, bucket_rows: int = 64, carry: tuple[str, ...] = ()) -> DataFrame:
-    """``rid, doc_id, group``, and ``carried`` if columns go along, of the texts with words: equal groups where links of a similarity of 0.8 or more connect."""
+    """``file, rid, doc_id, group``, and ``carried`` if columns go along, of the texts with words: equal groups where links of a similarity of 0.8 or more connect."""
+    docs = scanned(docs)
     own = written(profiles(docs, words, carry))
-    nodes = written(own.groupBy("node").agg(F.min("rid").alias("rid"), F.first("f").alias("f"), F.first("n").alias("n"), F.count("*").alias("weight_of_node")))
+    nodes = written(own.groupBy("node").agg(F.min(F.struct("file", "rid")).alias("place"), *(F.first(c).alias(c) for c in ("f", "n", "sketch")), F.count("*").alias("weight_of_node")))
 
     def near(x: Column, y: Column) -> Column:
-        return (5 * F.least(x["n"], y["n"]) >= 4 * F.greatest(x["n"], y["n"])) & within(FAR_BITS, x, y, WORDS_64)
+        # A similarity of 0.8 or more: the sets differ in at most a ninth of both sizes' sum.
+        sizes = 5 * F.least(x["n"], y["n"]) >= 4 * F.greatest(x["n"], y["n"])
+        return sizes & (9 * _differing(x, y, "sketch", 8) <= x["n"] + y["n"]) & within(FAR_BITS, x, y, WORDS_64)
 
     def verified(pairs: DataFrame) -> DataFrame:
         ends = pairs.select("a", "reach_a").union(pairs.select("b", "reach_b")).toDF("node", "reach").distinct()
-        wanted = written(ends.join(nodes.select("node", "rid"), "node"))
-        few = wanted.count() <= BROADCAST_ROWS
-        sets = own.select("rid", "shingles").join(F.broadcast(wanted) if few else wanted, "rid").select("node", "reach", "shingles")
+        wanted = written(ends.join(nodes.select("node", "place.file", "place.rid"), "node"))
+        sets = written(shingle_sets(docs, wanted, words))
         both = with_share_of(with_share_of(pairs, "a", sets, "shingles"), "b", sets, "shingles")
         shared = F.size(F.array_intersect("shingles_a", "shingles_b"))
         return both.where(9 * shared >= 4 * (F.size("shingles_a") + F.size("shingles_b"))).select("a", "b")
 
     parts = plan(nodes, WORDS_64, 1)
+    rest = own.columns[7:]
     if not parts:
-        return own.select("rid", "doc_id", F.col("node").alias("group"), *own.columns[6:])
-    named = _grouped(nodes.select("node", "weight_of_node"), connecting_links(nodes.select("node", "f", "n"), parts, near, bucket_rows, verified), F.col("node"))
-    return join_dealt(own.drop("shingles", "f", "n"), written(named), "node", own.count()).select("rid", "doc_id", "group", *own.columns[6:])
+        return own.select("file", "rid", "doc_id", F.col("node").alias("group"), *rest)
+    linked = connecting_links(nodes.select("node", "f", "n", "sketch"), parts, near, bucket_rows, verified)
+    named = _grouped(nodes.select("node", "weight_of_node"), linked, F.col("node"))
+    return join_dealt(own.select("file", "rid", "doc_id", "node", *rest), written(named), "node", own.count()).select("file", "rid", "doc_id", "group", *rest)

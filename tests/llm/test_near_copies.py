@@ -57,10 +57,10 @@ def same_groups(got, want):
 def test_groups(spark, copies, bucket_rows):
     """Exactly the groups of the verified candidates: texts that share a partition's value and are within FAR_BITS."""
     docs = spark.createDataFrame(list(enumerate(copies)), "doc_id long, text string").repartition(5)
-    nodes = simhash_dedup.profiles(docs, 5).dropDuplicates(["node"])
+    nodes = simhash_dedup.profiles(docs).dropDuplicates(["node"])
     parts = plan(nodes, simhash_dedup.WORDS_64, 1)
     assert len(parts) == 20 and all(t == 0 and len(bits) == 32 for _, bits, t in parts)
-    fps = {r["doc_id"]: [x & (1 << 64) - 1 for x in r["f"]] for r in simhash_dedup.profiles(docs, 5).collect()}
+    fps = {r["doc_id"]: [x & (1 << 64) - 1 for x in r["f"]] for r in simhash_dedup.profiles(docs).collect()}
     masks = [(w, sum(1 << 63 - b for b in bits)) for w, bits, _ in parts]
 
     def may_meet(i, j):
