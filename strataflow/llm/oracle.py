@@ -28,14 +28,17 @@ CHAT = r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
-), m AS (SELECT *, CASE WHEN role = 'assistant' THEN text ELSE '' END AS said, role || text AS shown FROM c),
+), m AS (
+  SELECT *, CASE WHEN role = 'assistant' THEN text ELSE '' END AS said,
+    8 + length(role || text) + len(regexp_extract_all(role, '\\|\n|</?s>|\[/?INST\]')) + len(regexp_extract_all(text, '\\|</?s>|\[/?INST\]')) AS n
+  FROM c
+), p AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS position FROM m),
 g AS (
   SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
-    string_agg(said, '' ORDER BY turn NULLS FIRST, role, text) AS loss,
-    sum(8 + length(shown) + len(regexp_extract_all(role, '\\|</?s>|\[/?INST\]')) + len(regexp_extract_all(text, '\\|</?s>|\[/?INST\]')))::BIGINT AS formatted_chars
-  FROM m GROUP BY conv_id
+    string_agg(said, '' ORDER BY turn NULLS FIRST, role, text) AS loss, string_agg(position::VARCHAR, ',' ORDER BY turn NULLS FIRST, role, text) AS positions, sum(n)::BIGINT AS formatted_chars
+  FROM p GROUP BY conv_id
 )
-SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g"""
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars, sha256(positions) AS positions_sha256 FROM g"""
 
 LINES = rf"""
 WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
