@@ -9,7 +9,9 @@
    arrays, and stream past them.
 
 A document is a row; a null text is one empty line; a repeated row counts as one more document.
-Ties: lines of equal key in the largest doc_id all stay; a null doc_id is smaller than any other. Empty table: no rows.
+Ties: lines of equal key in the largest doc_id all stay; a null doc_id is smaller than any other. Very long texts: a text and its lines are in
+memory together, one batch of at most 1000 texts. Empty table: no rows. Columns of docs are left out but for those named in carry, which go along in
+one struct, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_BYTES, carried_schema, keyed_texts, mixed, written
+from .shared import BROADCAST_BYTES, carried_schema, keyed_texts, mixed, placed_texts, written
 
 STRIP = " \t\n\x0b\x0c\r"
 _LOWER = {c: c + 32 for c in range(65, 91)}
@@ -40,31 +42,39 @@ def _hash(key: str) -> tuple[int, int]:
     return (h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63)
 
 
-def build_shard(keys: np.ndarray, prints: np.ndarray, counts: np.ndarray, last: np.ndarray, gamma: float = 1.6) -> dict[str, np.ndarray]:
-    """Arrays of a minimal perfect hash over distinct keys and of what it indexes."""
-    left, levels, sizes = keys.astype(np.uint64), [], []
+def _slots(h1: np.ndarray, h2: np.ndarray, level: int, size: int) -> np.ndarray:
+    """A place at a level; both halves count, so that keys which agree in one part at some level."""
+    step = np.uint64(level * 0x9E3779B9)
+    return (mixed(h2.view(np.uint64) + step ^ mixed(h1.view(np.uint64) + step)) % np.uint64(size)).astype(np.int64)
+
+
+def build_shard(h1: np.ndarray, h2: np.ndarray, counts: np.ndarray, last: np.ndarray, gamma: float = 1.6) -> dict[str, np.ndarray]:
+    """Arrays of a minimal perfect hash over distinct keys (two halves) and of what it indexes."""
+    left, levels, sizes = np.arange(len(h1)), [], []
     while len(left):
+        if len(sizes) > 200:
+            raise ValueError("keys that repeat have no perfect hash")
         size = max(64, int(gamma * len(left)) + 63 & ~63)
-        at = (mixed(left + np.uint64(len(sizes) * 0x9E3779B9)) % np.uint64(size)).astype(np.int64)
+        at = _slots(h1[left], h2[left], len(sizes), size)
         alone = np.bincount(at, minlength=size) == 1
         levels.append(alone)
         sizes.append(size)
         left = left[~alone[at]]
     bits = np.concatenate(levels) if levels else np.zeros(0, dtype=bool)
     shard = {"sizes": np.array(sizes, dtype=np.int64), "bits": np.packbits(bits), "n_bits": np.array([len(bits)])}
-    order = np.empty(len(keys), dtype=np.int64)
-    order[shard_index(shard, keys)] = np.arange(len(keys))
-    return shard | {"prints": prints[order], "counts": counts[order], "last": last[order]}
+    order = np.empty(len(h1), dtype=np.int64)
+    order[shard_index(shard, h1, h2)] = np.arange(len(h1))
+    return shard | {"prints": h1[order], "counts": counts[order], "last": last[order]}
 
 
-def shard_index(shard: dict[str, np.ndarray], keys: np.ndarray) -> np.ndarray:
+def shard_index(shard: dict[str, np.ndarray], h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
     """The place of each key; -1 for some, and any place for others, of the keys that aren't in the shard."""
     if "ranks" not in shard:
         shard["flat"] = np.unpackbits(shard["bits"], count=int(shard["n_bits"][0])).astype(bool)
         shard["ranks"] = np.cumsum(shard["flat"], dtype=np.int64) - 1
-    out, open_, base = np.full(len(keys), -1, dtype=np.int64), np.arange(len(keys)), 0
+    out, open_, base = np.full(len(h1), -1, dtype=np.int64), np.arange(len(h1)), 0
     for level, size in enumerate(shard["sizes"].tolist()):
-        at = base + (mixed(keys[open_].astype(np.uint64) + np.uint64(level * 0x9E3779B9)) % np.uint64(size)).astype(np.int64)
+        at = base + _slots(h1[open_], h2[open_], level, size)
         hit = shard["flat"][at]
         out[open_[hit]] = shard["ranks"][at[hit]]
         open_, base = open_[~hit], base + size
@@ -79,7 +89,7 @@ def probe(shards: dict[int, dict[str, np.ndarray]], n_shards: int, h1: np.ndarra
         if s not in shards:
             continue
         rows = np.flatnonzero(own == s)
-        at = shard_index(shards[s], h2[rows].view(np.uint64))
+        at = shard_index(shards[s], h1[rows], h2[rows])
         found = at >= 0
         found[found] = shards[s]["prints"][at[found]] == h1[rows[found]]
         out[rows[found]] = shards[s]["last"][at[found]]
@@ -124,7 +134,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, keys_per
 
     def build(group: pa.Table) -> pa.Table:
         h1, h2, n, last = (group.column(c).to_numpy() for c in ("h1", "h2", "n", "last"))
-        shard = build_shard(h2.view(np.uint64), h1, np.minimum(n, 2**31 - 1).astype(np.int32), last)
+        shard = build_shard(h1, h2, np.minimum(n, 2**31 - 1).astype(np.int32), last)
         return pa.table({"shard": pa.array([int(group.column("shard")[0].as_py())], pa.int32()), "arrays": pa.array([packed(shard)], pa.binary())})
 
     shard_of = _shard_column("h1", n_shards)
@@ -132,7 +142,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, keys_per
     if n_keys * 24 <= broadcast_bytes:
         held = docs.sparkSession.sparkContext.broadcast({r["shard"]: r["arrays"] for r in shards.collect()})
         return _drop_lines(texts, min_chars, lambda: _Held(held.value, n_shards))
-    return _drop_routed(texts, written(shards), n_shards, min_chars, salts)
+    return _drop_routed(placed_texts(docs, carry), written(shards), n_shards, min_chars, salts)
 
 
 def _shard_column(name: str, n_shards: int):
@@ -202,11 +212,11 @@ def _drop_routed(texts: DataFrame, shards: DataFrame, n_shards: int, min_chars:
 
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rids, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            _, at, h1, h2 = _lines(batch.column(2).to_pylist(), min_chars)
+            files, rids, ids = (batch.column(i).to_pylist() for i in range(3))
+            _, at, h1, h2 = _lines(batch.column(3).to_pylist(), min_chars)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([rids[i] for i, _ in at], pa.int64()), pa.array([_NO_DOC + 1 if ids[i] is None else ids[i] for i, _ in at], pa.int64()), pa.array([j for _, j in at], pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64())],
-                names=["rid", "doc", "line", "h1", "h2"],
+                [*(pa.array([x[i] for i, _ in at], pa.int64()) for x in (files, rids)), pa.array([_NO_DOC + 1 if ids[i] is None else ids[i] for i, _ in at], pa.int64()), pa.array([j for _, j in at], pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64())],
+                names=["file", "rid", "doc", "line", "h1", "h2"],
             )
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,18 +229,20 @@ def _drop_routed(texts: DataFrame, shards: DataFrame, n_shards: int, min_chars:
             h1, h2, doc = (rows.column(c).to_numpy() for c in ("h1", "h2", "doc"))
             last = probe(held, n_shards, h1, h2)
             hit = pa.array((last != _NO_DOC) & (last != doc))
-            yield rows.select(["rid", "line"]).filter(hit)
+            yield rows.select(["file", "rid", "line"]).filter(hit)
             newest = int(own[-1]) if len(own) else -1
             held = {k: v for k, v in held.items() if k >= newest}
 
-    sent = texts.mapInArrow(probes, "rid long, doc long, line int, h1 long, h2 long")
-    sent = sent.select(F.lit(1).alias("kind"), _shard_column("h1", n_shards).alias("shard"), F.pmod("rid", F.lit(salts)).cast("int").alias("salt"), "rid", "doc", "line", "h1", "h2", F.lit(None).cast("binary").alias("arrays"))
-    copies = shards.select(F.lit(0).alias("kind"), "shard", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), *(F.lit(None).cast(t).alias(c) for c, t in (("rid", "long"), ("doc", "long"), ("line", "int"), ("h1", "long"), ("h2", "long"))), "arrays")
-    dropped = sent.unionByName(copies).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind").mapInArrow(stream, "rid long, line int")
-    dropped = dropped.groupBy("rid").agg(F.collect_set("line").alias("lines"))
+    sent = texts.mapInArrow(probes, "file long, rid long, doc long, line int, h1 long, h2 long")
+    salt = F.pmod(F.col("rid") + F.col("file"), F.lit(salts)).cast("int").alias("salt")
+    sent = sent.select(F.lit(1).alias("kind"), _shard_column("h1", n_shards).alias("shard"), salt, "file", "rid", "doc", "line", "h1", "h2", F.lit(None).cast("binary").alias("arrays"))
+    empty = (("file", "long"), ("rid", "long"), ("doc", "long"), ("line", "int"), ("h1", "long"), ("h2", "long"))
+    copies = shards.select(F.lit(0).alias("kind"), "shard", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), *(F.lit(None).cast(t).alias(c) for c, t in empty), "arrays")
+    dropped = sent.unionByName(copies).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind").mapInArrow(stream, "file long, rid long, line int")
+    dropped = dropped.groupBy("file", "rid").agg(F.collect_set("line").alias("lines"))
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield _kept(batch.column(1).to_pylist(), [t.split("\n") for t in batch.column(2).to_pylist()], [set(x or ()) for x in batch.column(3).to_pylist()], batch.columns[4:])
 
-    return texts.join(dropped, "rid", "left").select("rid", "doc_id", "text", "lines", *texts.columns[3:]).mapInArrow(rebuild, _OUT + carried_schema(texts))
+    return texts.join(dropped, ["file", "rid"], "left").select("rid", "doc_id", "text", "lines", *texts.columns[4:]).mapInArrow(rebuild, _OUT + carried_schema(texts))
