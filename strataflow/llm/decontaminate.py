@@ -3,22 +3,23 @@
 An item's windows are its runs of ``window`` words (an item of fewer words is one window). A window occurs in a
 document only if all of its shingles (``shingle`` words) do, so one shingle is a sufficient prefix to join on.
 
-1. A pass over all documents counts how often each item shingle occurs; each window's prefix is its rarest shingle.
+1. Items become a table of distinct windows with their shingles and items; one pass over all documents counts how often each
+   item shingle occurs. Each window's prefix is its rarest shingle, by a grouped minimum; windows with a shingle that no document has go.
 2. A second pass looks up prefix shingles in each document. The place of a match fixes where the window would have to
    start (positional bound) and that it must end inside the document (length bound); what is left is compared
    word for word.
 
-Items are dealt to blocks of at most ``block_bytes`` of text; each block is broadcast and joined in passes of its own, so
-what is broadcast doesn't grow with the benchmark. Nothing but counts and hits is shuffled.
+Items are dealt to blocks of at most ``block_bytes`` of text; each block's shingles and windows are broadcast as arrays and joined in passes of
+their own, so what is broadcast doesn't grow with the benchmark. Nothing but counts and hits is shuffled.
 
 Null texts and texts without words have no words and no hits; an item without words has no window; a null item_id is listed
-as ``null``. Items of equal text are each listed; repeated rows of a document give one output row each. Empty tables:
-no rows, or rows without hits.
+as ``null``. Very long texts: one slice of a batch, whose words take some 100 bytes each. Items of equal text are each listed; repeated rows of a
+document give one output row each. Empty tables: no rows, or rows without hits. Columns of docs are left out but for those named in carry,
+which go along in one struct, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,10 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import LETTERS_AND_DIGITS, carried_schema, keyed_texts, mixed, range_hashes, word_ranges
-
-_HIT = "rid long, doc_id long, n_words long, starts array<int>, ends array<int>, items array<string>"
-
+from .shared import LETTERS_AND_DIGITS, carried_schema, keyed_texts, mixed, placed_texts, range_hashes, word_ranges, written
 
 class Words:
     """The words of some texts, as ranges of one buffer of lower-cased bytes."""
@@ -90,23 +88,30 @@ def slices(texts: list, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
         yield first, len(texts)
 
 
-def windows_of(items: list[tuple[str, bytes]], window: int) -> dict[tuple[bytes, ...], set[str]]:
-    """The items of each distinct window."""
-    out: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
-    for item_id, text in items:
-        words = Words([text])
-        n = len(words.start)
-        for at in range(max(1, n - window + 1) if n else 0):
-            out[words.words(at, min(window, n))].add(item_id)
-    return out
+def windows_of(items: DataFrame, window: int, shingle: int) -> DataFrame:
+    """``win, n, size, hashes, items``: each distinct window's words (joined by spaces), the hashes of its shingles of size words, and its items."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                words = Words([text])
+                n = min(window, len(words.start))
+                if not n:
+                    continue
+                size, every = min(shingle, n), words.words(0, len(words.start))
+                hashes = np.lib.stride_tricks.sliding_window_view(words.shingles(size).view(np.int64), n - size + 1)
+                wins = [b" ".join(every[at : at + n]) for at in range(len(hashes))]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(wins, pa.binary()), pa.array([n] * len(wins), pa.int32()), pa.array([size] * len(wins), pa.int32()), pa.array(list(hashes), pa.list_(pa.int64())), pa.array([item_id] * len(wins), pa.string())],
+                    names=["win", "n", "size", "hashes", "item_id"],
+                )
 
-def _shingles_of(window: tuple[bytes, ...], size: int) -> np.ndarray:
-    return Words([b" ".join(window)]).shingles(min(size, len(window)))
+    rows = items.mapInArrow(run, "win binary, n int, size int, hashes array<long>, item_id string")
+    return rows.groupBy("win").agg(*(F.first(c).alias(c) for c in ("n", "size", "hashes")), F.array_sort(F.collect_set("item_id")).alias("items"))
 
 
-def shingle_counts(texts: DataFrame, by_size: dict[int, np.ndarray]) -> dict[int, int]:
-    """How often each of the given shingles occurs in all texts."""
+def shingle_counts(texts: DataFrame, by_size: dict[int, np.ndarray]) -> DataFrame:
+    """``size, h, occurs``: how often each of the given shingles (sorted hashes) occurs in all texts, if it does."""
     held = texts.sparkSession.sparkContext.broadcast(by_size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,68 +126,88 @@ def shingle_counts(texts: DataFrame, by_size: dict[int, np.ndarray]) -> dict[int
                     counts[size] += np.bincount(which[at + size <= words.last[at]], minlength=len(lookup.sorted))
         for size, lookup in lookups.items():
             seen = counts[size] > 0
-            yield pa.RecordBatch.from_arrays([pa.array(lookup.sorted[seen].view(np.int64)), pa.array(counts[size][seen])], names=["h", "n"])
-
-    rows = texts.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).collect()
-    return {r["h"] & ((1 << 64) - 1): r["n"] for r in rows}
-
-
-def _block_hits(texts: DataFrame, items: list[tuple[str, bytes]], window: int, shingle: int) -> DataFrame:
-    windows = windows_of(items, window)
-    own = {w: _shingles_of(w, shingle) for w in windows}
-    by_size = {size: np.unique(np.concatenate([h for w, h in own.items() if min(shingle, len(w)) == size])) for size in {min(shingle, len(w)) for w in windows}}
-    counts = shingle_counts(texts, by_size) if by_size else {}
-    # size of the shingle -> its hash -> the windows that it is the prefix of, and its place in them
-    prefixes: dict[int, dict[int, list]] = defaultdict(lambda: defaultdict(list))
-    for w, hashes in own.items():
-        n, offset, h = min((counts.get(int(h), 0), i, int(h)) for i, h in enumerate(hashes))
-        if n:
-            prefixes[min(shingle, len(w))][h].append((offset, w, sorted(windows[w])))
-    held = texts.sparkSession.sparkContext.broadcast({size: dict(x) for size, x in prefixes.items()})
+            yield pa.RecordBatch.from_arrays([pa.array([size] * int(seen.sum()), pa.int32()), pa.array(lookup.sorted[seen].view(np.int64)), pa.array(counts[size][seen])], names=["size", "h", "occurs"])
+
+    return texts.select("text").mapInArrow(run, "size int, h long, occurs long").groupBy("size", "h").agg(F.sum("occurs").alias("occurs"))
+
+
+class Prefixes:
+    """The windows of a block by their prefix shingles of one size, as arrays."""
+
+    def __init__(self, rows: pa.Table):
+        h = rows.column("h").to_numpy().view(np.uint64)
+        order = np.argsort(h, kind="stable")
+        self.lookup, rows = Lookup(h), rows.take(pa.array(order))
+        self.bounds = np.searchsorted(h[order], self.lookup.sorted, side="left")
+        self.bounds = np.append(self.bounds, len(h))
+        self.offset, self.n = rows.column("offset").to_numpy(), rows.column("n").to_numpy()
+        self.win, self.items = rows.column("win").combine_chunks(), rows.column("items").combine_chunks()
+
+    def hits(self, words: Words, size: int) -> Iterator[tuple[int, int, int, list[str]]]:
+        """(text, first word, words, items) of each window that occurs."""
+        at, which = self.lookup.find(words.shingles(size))
+        n = self.bounds[which + 1] - self.bounds[which]
+        at, text = np.repeat(at, n), np.repeat(words.text_of(at), n)
+        target = np.repeat(self.bounds[which], n) + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+        start = at - self.offset[target]
+        inside = (start >= words.bounds[text]) & (start + self.n[target] <= words.bounds[text + 1])
+        for t, s, k in zip(text[inside].tolist(), start[inside].tolist(), target[inside].tolist(), strict=True):
+            length = int(self.n[k])
+            if b" ".join(words.words(s, length)) == self.win[k].as_py():
+                yield t, s - int(words.bounds[t]), length, self.items[k].as_py()
+
+
+def _block_hits(texts: DataFrame, items: DataFrame, window: int, shingle: int) -> DataFrame:
+    windows = written(windows_of(items, window, shingle))
+    # At most as many shingles and windows as the block has words.
+    shingles = windows.select("size", F.explode("hashes").alias("h")).distinct().toPandas()
+    by_size = {int(size): np.sort(own["h"].to_numpy(dtype=np.int64).view(np.uint64)) for size, own in shingles.groupby("size")}
+    counts = written(shingle_counts(texts, by_size))
+    each = windows.select("win", "size", F.posexplode("hashes").alias("offset", "h")).join(counts, ["size", "h"], "left")
+    rarest = each.groupBy("win").agg(F.min(F.struct(F.coalesce("occurs", F.lit(0)).alias("occurs"), "offset", "h")).alias("r")).where(F.col("r.occurs") > 0)
+    prefixes = windows.join(rarest, "win").select("win", "n", "size", "items", "r.offset", "r.h").toArrow()
+    held = texts.sparkSession.sparkContext.broadcast(prefixes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = {size: (Lookup(np.array(sorted(x), dtype=np.uint64)), [x[h] for h in sorted(x)]) for size, x in held.value.items()}
+        sizes = held.value.column("size").to_numpy()
+        tables = {int(size): Prefixes(held.value.filter(pa.array(sizes == size))) for size in np.unique(sizes)}
         for batch in batches:
-            column = batch.column(2).cast(pa.binary()).to_pylist()
+            where = batch.schema.get_field_index("text")
+            column = batch.column(where).cast(pa.binary()).to_pylist()
             for a, b in slices(column):
                 words = Words(column[a:b])
                 starts, ends, found = ([[] for _ in range(b - a)], [[] for _ in range(b - a)], [set() for _ in range(b - a)])
-                for size, (lookup, targets) in tables.items():
-                    at, which = lookup.find(words.shingles(size))
-                    for place, k, doc in zip(at.tolist(), which.tolist(), words.text_of(at).tolist(), strict=True):
-                        first, last = int(words.bounds[doc]), int(words.bounds[doc + 1])
-                        for offset, w, ids in targets[k]:
-                            start = place - offset
-                            if start >= first and start + len(w) <= last and words.words(start, len(w)) == w:
-                                starts[doc].append(start - first)
-                                ends[doc].append(start - first + len(w))
-                                found[doc].update(ids)
-                part = batch.slice(a, b - a)
-                ints = pa.list_(pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(np.diff(words.bounds), pa.int64()), pa.array(starts, ints), pa.array(ends, ints), pa.array([sorted(x) for x in found], pa.list_(pa.string())), *part.columns[3:]],
-                    names=["rid", "doc_id", "n_words", "starts", "ends", "items", *part.schema.names[3:]],
-                )
+                for size, table in tables.items():
+                    for doc, start, n, ids in table.hits(words, size):
+                        starts[doc].append(start)
+                        ends[doc].append(start + n)
+                        found[doc].update(ids)
+                part, ints = batch.slice(a, b - a), pa.list_(pa.int32())
+                made = [pa.array(np.diff(words.bounds), pa.int64()), pa.array(starts, ints), pa.array(ends, ints), pa.array([sorted(x) for x in found], pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([*part.columns[:where], *made, *part.columns[where + 1 :]], names=[*part.schema.names[:where], "n_words", "starts", "ends", "items", *part.schema.names[where + 1 :]])
 
-    return texts.mapInArrow(run, _HIT + carried_schema(texts))
+    keys = "file long, " if "file" in texts.columns else ""
+    return texts.mapInArrow(run, f"{keys}rid long, doc_id long, n_words long, starts array<int>, ends array<int>, items array<string>" + carried_schema(texts))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 5, block_bytes: int = 16 << 20, carry: tuple[str, ...] = ()) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 5, block_bytes: int = 4 << 20, carry: tuple[str, ...] = ()) -> DataFrame:
     """``rid, doc_id, n_words, n_hit, items``, and ``carried`` if columns go along: the words inside benchmark windows and the items (as strings, sorted) they are of."""
-    texts = keyed_texts(docs, carry)
     items = benchmark.where(F.col("text").isNotNull()).select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), "text")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = 1 + size // block_bytes
+    # The passes of several blocks meet again by file and row.
+    texts = keyed_texts(docs, carry) if n_blocks == 1 else placed_texts(docs, carry)
     hits = None
     for block in range(n_blocks):
         own = items if n_blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block)
-        part = _block_hits(texts, [(r["item_id"], r["text"].encode()) for r in own.toLocalIterator()], window, shingle)
+        part = _block_hits(texts, own, window, shingle)
         hits = part if hits is None else hits.unionByName(part)
+    rest = [c for c in texts.columns if c == "carried"]
     if n_blocks > 1:
         lists = [F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends")]
-        hits = hits.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), *lists, F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), *(F.first(c).alias(c) for c in texts.columns[3:]))
+        hits = hits.groupBy("file", "rid").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), *lists, F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), *(F.first(c).alias(c) for c in rest))
     # Words covered: in order of their starts, each range adds what reaches beyond the furthest end so far.
     ranges = F.array_sort(F.arrays_zip("starts", "ends"))
     step = lambda s, r: F.struct((s["n"] + F.greatest(F.lit(0), r["ends"] - F.greatest(r["starts"], s["far"]))).alias("n"), F.greatest(s["far"], r["ends"]).alias("far"))
     covered = F.aggregate(ranges, F.struct(F.lit(0).alias("n"), F.lit(0).alias("far")), step, lambda s: s["n"])
-    return hits.select("rid", "doc_id", "n_words", covered.cast("long").alias("n_hit"), "items", *texts.columns[3:])
+    return hits.select("rid", "doc_id", "n_words", covered.cast("long").alias("n_hit"), "items", *rest)
