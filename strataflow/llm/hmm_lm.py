@@ -1,23 +1,26 @@
 """Hidden Markov language model (operator 4).
 
-1. A pass counts the training tokens: combined in each task, then by a grouped sum over the whole vocabulary.
-2. The most frequent tokens (at most ``head_rows``, whatever the input's size) are symbols of their own; any other token's
-   symbol is a class of its last bytes, inside which it has its share of the class's counts. So the model gives every
-   token, known or not, a probability, and the probabilities of all tokens sum to one.
-3. Baum-Welch: each task runs scaled forward and backward recursions over its training texts, in runs of at most
-   ``run_tokens`` tokens, and adds up expected counts; Spark sums them over all tasks (symbols x states numbers).
-4. Scoring: the scaled forward recursion over each whole text gives the exact likelihood of its symbols. What depends on
+1. A pass counts the training tokens: combined in each task, then by a grouped sum over the whole vocabulary. A token is known by
+   a hash of 64 bits.
+2. Emissions are tied: the ``own_symbols`` most frequent tokens are symbols of their own; any other token's symbol is a class by
+   its last bytes, inside which it has its share of the class's counts. own_symbols is a parameter of the model (README
+   has its cost in likelihood), so what a round gathers is bounded. The model gives every token, known or not, a probability, and the
+   probabilities of all tokens sum to one.
+3. Texts are split into tokens once more and written as symbols; all that follows reads numbers.
+4. Baum-Welch: each task runs scaled forward and backward recursions over its whole training texts and adds up expected
+   counts; Spark sums them over all tasks (symbols x states numbers). Texts of more than ``SEGMENT`` tokens are cut for speed only:
+   the products of a segment's matrices carry the forward and backward vectors over each cut, exactly.
+5. Scoring: the same forward recursion over each whole text gives the exact likelihood of its symbols. What depends on
    infrequent tokens (their counts, for the base score and their share of a class) comes by a shuffled join with
    the vocabulary; frequent tokens are looked up in a broadcast table.
 
-Null or empty text: its tokens are the end token alone. Repeated rows: each counts and is scored. Rows with null doc_id
-train and are scored as rows that are not held out. Empty table: no rows.
+Null or empty text: its tokens are the end token alone. Very long texts: a text's symbols (4 bytes each) and segments'
+matrices are in memory, never its whole recursion. Repeated rows: each counts and is scored. Rows with null doc_id
+train and are scored as rows that are not held out. Empty table: no rows. Other columns of docs don't matter, whatever their names.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 from math import log10
 
@@ -26,47 +29,68 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import head_threshold, keyed_texts, written
+from .decontaminate import Words, slices
+from .shared import BLANK_SEPARATED, head_threshold, keyed_texts, mixed, written
 
-#: A token of its own: no word holds a line break.
-END = "\n"
-CLASSES = 512
+#: The end token's hash, and the classes of infrequent tokens.
+END, CLASSES = 0, 512
+#: Tokens of a segment, cells (tokens x segments, with padding) that one recursion holds, and tokens of texts taken together.
+SEGMENT, CELLS, TOGETHER = 1024, 1 << 18, 1 << 18
 
 
-def tokens(text: str) -> list[bytes]:
-    return [*text.encode().lower().split(), b"\n"]
-
-
-def tail_class(token: bytes) -> int:
-    return zlib.crc32(token[-3:]) % CLASSES
+def _classes(words: Words) -> np.ndarray:
+    """For each token a class by its last three bytes (or fewer)."""
+    buf = np.frombuffer(words.raw, dtype=np.uint8).astype(np.uint64)
+    tail = np.zeros(len(words.end), dtype=np.uint64)
+    for back in (3, 2, 1):
+        at = words.end - back
+        inside = at >= words.start
+        tail[inside] = tail[inside] << np.uint64(8) | buf[at[inside]]
+    return (mixed(tail) % np.uint64(CLASSES)).astype(np.int32)
 
 
 def count_tokens(texts: DataFrame, flush_at: int = 400_000) -> DataFrame:
-    """``token, c``."""
+    """``h, k, c``: hash, class and count of each distinct token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        waiting: list[tuple[np.ndarray, ...]] = []
+        ends = size = 0
 
-        def flushed() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()).cast(pa.string()), pa.array(counts.values(), pa.int64())], names=["token", "c"])
-            counts.clear()
-            return out
+        def merged() -> tuple[np.ndarray, ...]:
+            h, k, c = (np.concatenate(x) for x in zip(*waiting, strict=True))
+            found, first, where = np.unique(h, return_index=True, return_inverse=True)
+            return found, k[first], np.bincount(where, c, len(found)).astype(np.int64)
 
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                counts.update(tokens(text))
-                if len(counts) > flush_at:
-                    yield flushed()
-        yield flushed()
+        def batch_of(h: np.ndarray, k: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(k, pa.int32()), pa.array(c, pa.int64())], names=["h", "k", "c"])
 
-    return texts.select("text").mapInArrow(run, "token string, c long").groupBy("token").agg(F.sum("c").alias("c"))
+        for batch in batches:
+            column = batch.column(0).cast(pa.binary()).to_pylist()
+            ends += len(column)
+            for a, b in slices(column):
+                words = Words(column[a:b], BLANK_SEPARATED)
+                found, first, c = np.unique(words.hashes, return_index=True, return_counts=True)
+                waiting.append((found, _classes(words)[first], c))
+                size += len(found)
+                if size > flush_at:
+                    waiting[:] = [merged()]
+                    size = len(waiting[0][0])
+                    if 2 * size > flush_at:
+                        yield batch_of(*waiting.pop())
+                        size = 0
+        if waiting:
+            yield batch_of(*merged())
+        if ends:
+            yield batch_of(np.array([END], dtype=np.uint64), np.array([0]), np.array([ends]))
+
+    return texts.select("text").mapInArrow(run, "h long, k int, c long").groupBy("h").agg(F.first("k").alias("k"), F.sum("c").alias("c"))
 
 
 class Model:
     """start (S), move (S x S), emit (symbols x S)."""
 
-    def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray):
-        self.start, self.move, self.emit = start.astype(np.float32), move.astype(np.float32), emit.astype(np.float32)
+    def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray, dtype: type = np.float32):
+        self.start, self.move, self.emit = start.astype(dtype), move.astype(dtype), emit.astype(dtype)
 
 
 def initial(symbol_counts: np.ndarray, states: int, seed: int = 3) -> Model:
@@ -74,189 +98,266 @@ def initial(symbol_counts: np.ndarray, states: int, seed: int = 3) -> Model:
     rng = np.random.default_rng(seed)
     emit = (symbol_counts[:, None] + 0.5) * rng.uniform(0.5, 1.5, (len(symbol_counts), states))
     move = np.full((states, states), 0.05 / max(1, states - 1)) + np.eye(states) * (0.95 - 0.05 / max(1, states - 1))
-    return Model(np.full(states, 1 / states), move / move.sum(1, keepdims=True), emit / emit.sum(0))
-
-
-def _padded(runs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Runs, longest first, as a matrix (time x run), and how many are active at each time."""
-    lengths = np.array([len(r) for r in runs])
-    out = np.zeros((lengths[0] if len(runs) else 0, len(runs)), dtype=np.int32)
-    for i, r in enumerate(runs):
-        out[: len(r), i] = r
-    return out, (lengths[None, :] > np.arange(len(out))[:, None]).sum(1)
-
-
-def forward(model: Model, runs: list[np.ndarray]) -> np.ndarray:
-    """log10 of the likelihood of each sequence of symbols, exactly, by the scaled recursion."""
-    order = sorted(range(len(runs)), key=lambda i: -len(runs[i]))
-    x, active = _padded([runs[i] for i in order])
-    total, alpha = np.zeros(len(runs)), np.zeros((len(runs), len(model.start)), dtype=np.float32)
-    for t in range(len(x)):
-        k = active[t]
-        a = model.emit[x[t, :k]] * (alpha[:k] @ model.move if t else model.start)
-        scale = a.sum(1)
-        total[:k] += np.log10(scale, dtype=np.float64)
-        alpha[:k] = a / scale[:, None]
-    out = np.empty(len(runs))
-    out[order] = total
-    return out
-
-
-def expected_counts(model: Model, runs: list[np.ndarray], firsts: np.ndarray, emits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Expected starts (of the runs that begin a text) and moves; expected emissions are added to emits."""
-    order = sorted(range(len(runs)), key=lambda i: -len(runs[i]))
-    runs, firsts = [runs[i] for i in order], firsts[order]
-    x, active = _padded(runs)
+    return Model(np.full(states, 1 / states), move / move.sum(1, keepdims=True), emit / emit.sum(0), np.float64)
+
+
+class Segments:
+    """Texts of symbols cut into segments, which the recursions take in groups of like length."""
+
+    def __init__(self, texts: list[np.ndarray], longest: int):
+        sizes = np.array([len(t) for t in texts], dtype=np.int64)
+        pieces = -(-sizes // longest)
+        self.flat = np.concatenate([np.zeros(0, dtype=np.int32), *texts])
+        self.text = np.repeat(np.arange(len(texts)), pieces)
+        self.nth = np.arange(len(self.text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        self.start = (np.cumsum(sizes) - sizes)[self.text] + self.nth * longest
+        self.size = np.minimum(longest, sizes[self.text] - self.nth * longest)
+        self.cut = np.flatnonzero(self.nth > 0)  # segments that continue a text
+
+    def groups(self, which: np.ndarray, cells: int) -> Iterator[np.ndarray]:
+        """Segments in groups whose longest one times their number is at most about ``cells``; longest first in each."""
+        which = which[np.argsort(self.size[which], kind="stable")]
+        at = 0
+        while at < len(which):
+            # The group's last segment is its longest.
+            fits = self.size[which[at:]] * np.arange(1, len(which) - at + 1) <= cells
+            n = max(1, int(np.argmin(fits)) if not fits.all() else len(fits))
+            yield which[at : at + n][::-1]
+            at += n
+
+    def padded(self, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols (time x segment), and how many segments are active at each time."""
+        size = self.size[group]
+        inside = np.arange(size[0])[None, :] < size[:, None]
+        x = np.zeros(inside.shape, dtype=np.int32)
+        x[inside] = self.flat[(self.start[group][:, None] + np.arange(size[0])[None, :])[inside]]
+        return np.ascontiguousarray(x.T), inside.sum(0)
+
+
+def _ends(model: Model, seg: Segments, which: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
+    """For segments that begin a text: the scaled forward vector after each, and log10 of its likelihood."""
+    states = len(model.start)
+    out, logs = np.zeros((len(seg.size), states)), np.zeros(len(seg.size))
+    for group in seg.groups(which, cells):
+        x, active = seg.padded(group)
+        alpha, total = np.zeros((len(group), states), dtype=model.emit.dtype), np.zeros(len(group))
+        for t in range(len(x)):
+            k = active[t]
+            a = model.emit[x[t, :k]] * (alpha[:k] @ model.move if t else model.start)
+            scale = a.sum(1)
+            total[:k] += np.log10(scale, dtype=np.float64)
+            alpha[:k] = a / scale[:, None]
+        out[group], logs[group] = alpha, total
+    return out, logs
+
+
+def _products(model: Model, seg: Segments, cells: int) -> tuple[np.ndarray, np.ndarray]:
+    """For segments that continue a text: the scaled product of their matrices (state before x state after), and log10 of its scale."""
     states = len(model.start)
-    alpha, scale = np.zeros((*x.shape, states), dtype=np.float32), np.ones(x.shape, dtype=np.float32)
-    for t in range(len(x)):
-        k = active[t]
-        # A run inside a text starts from what the model expects anywhere.
-        a = model.emit[x[t, :k]] * (alpha[t - 1, :k] @ model.move if t else model.start)
-        scale[t, :k] = a.sum(1)
-        alpha[t, :k] = a / scale[t, :k, None]
-    beta = np.ones((x.shape[1], states), dtype=np.float32)
-    moves = np.zeros((states, states))
-    for t in range(len(x) - 1, -1, -1):
-        k, after = active[t], active[t + 1] if t + 1 < len(x) else 0
-        if after:
-            ahead = model.emit[x[t + 1, :after]] * beta[:after] / scale[t + 1, :after, None]
-            moves += alpha[t, :after].T @ ahead * model.move
-            beta[:after] = ahead @ model.move.T
-        alpha[t, :k] *= beta[:k]
-    starts = alpha[0][firsts].sum(0) if len(x) else np.zeros(states)
-    mask = np.arange(x.shape[1])[None, :] < active[:, None]
-    flat, gamma = x[mask], alpha[mask]
-    for s in range(states):
-        emits[:, s] += np.bincount(flat, gamma[:, s], len(emits))
-    return starts, moves
-
-
-def symbols(text_tokens: list[bytes], head: dict[bytes, int]) -> np.ndarray:
-    known = head.get
-    own = [known(t, -1) for t in text_tokens]
-    return np.array([len(head) + tail_class(t) if s < 0 else s for s, t in zip(own, text_tokens, strict=True)], dtype=np.int32)
-
-
-def baum_welch(texts: DataFrame, model: Model, head, run_tokens: int = 512, batch_tokens: int = 300_000) -> Model:
-    """One round: expected counts of every task, summed by Spark, make the next model."""
+    out, logs = np.zeros((len(seg.size), states, states)), np.zeros(len(seg.size))
+    for group in seg.groups(seg.cut, cells // states):
+        x, active = seg.padded(group)
+        m = np.tile(np.eye(states, dtype=model.emit.dtype), (len(group), 1, 1))
+        total = np.zeros(len(group))
+        for t in range(len(x)):
+            k = active[t]
+            a = (m[:k].reshape(-1, states) @ model.move).reshape(k, states, states) * model.emit[x[t, :k]][:, None, :]
+            scale = a.sum((1, 2))
+            total[:k] += np.log10(scale, dtype=np.float64)
+            m[:k] = a / scale[:, None, None]
+        out[group], logs[group] = m, total
+    return out, logs
+
+
+def _carried(model: Model, seg: Segments, cells: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The forward vector that each segment starts from (for those that continue a text), their products, and log10 of each text's likelihood."""
+    first = np.flatnonzero(seg.nth == 0)
+    ends, logs = _ends(model, seg, first, cells)
+    products, more = _products(model, seg, cells) if len(seg.cut) else (ends, logs)
+    before = np.zeros((len(seg.size), len(model.start)))
+    for i in seg.cut:
+        before[i] = ends[i - 1]
+        after = before[i] @ products[i]
+        total = after.sum()
+        ends[i], logs[i] = after / total, more[i] + np.log10(total)
+    return before, products, np.bincount(seg.text, logs) if len(logs) else np.zeros(0)
+
+
+def forward(model: Model, texts: list[np.ndarray], longest: int = SEGMENT, cells: int = CELLS) -> np.ndarray:
+    """log10 of the likelihood of each sequence of symbols (of one at least), exactly, by the scaled recursion."""
+    return _carried(model, Segments(texts, longest), cells)[2]
+
+
+def expected_counts(model: Model, texts: list[np.ndarray], emits: np.ndarray, longest: int = SEGMENT, cells: int = CELLS) -> tuple[np.ndarray, np.ndarray, float]:
+    """Expected starts and moves, and log10 of the likelihood of all; expected emissions are added to emits."""
+    seg, states = Segments(texts, longest), len(model.start)
+    if len(seg.cut):
+        before, products, logs = _carried(model, seg, cells)
+    # The backward vector after each segment.
+    after = np.ones((len(seg.size), states))
+    for i in seg.cut[::-1]:
+        b = products[i] @ after[i]
+        after[i - 1] = b / b.sum()
+    starts, moves, likelihood = np.zeros(states), np.zeros((states, states)), float(logs.sum()) if len(seg.cut) else 0.0
+    for group in seg.groups(np.arange(len(seg.size)), cells):
+        x, active = seg.padded(group)
+        begins = seg.nth[group] == 0
+        came = before[group].astype(model.emit.dtype) if len(seg.cut) else None
+        first = np.where(begins[:, None], model.start, came @ model.move) if came is not None else model.start
+        alpha, scale = np.zeros((*x.shape, states), dtype=model.emit.dtype), np.ones(x.shape, dtype=model.emit.dtype)
+        for t in range(len(x)):
+            k = active[t]
+            a = model.emit[x[t, :k]] * (alpha[t - 1, :k] @ model.move if t else first)
+            scale[t, :k] = a.sum(1)
+            alpha[t, :k] = a / scale[t, :k, None]
+        if not len(seg.cut):
+            likelihood += float(np.log10(scale, dtype=np.float64).sum())
+        # Scaled so that forward times backward sums to one at the last token, and so at all.
+        last = alpha[seg.size[group] - 1, np.arange(len(group))]
+        beta = after[group].astype(model.emit.dtype)
+        beta /= (last * beta).sum(1)[:, None]
+        for t in range(len(x) - 1, -1, -1):
+            k, later = active[t], active[t + 1] if t + 1 < len(x) else 0
+            if later:
+                ahead = model.emit[x[t + 1, :later]] * beta[:later] / scale[t + 1, :later, None]
+                moves += alpha[t, :later].T @ ahead * model.move
+                beta[:later] = ahead @ model.move.T
+            alpha[t, :k] *= beta[:k]
+        if came is not None:
+            ahead = model.emit[x[0]] * beta / scale[0][:, None]
+            moves += came[~begins].T @ ahead[~begins] * model.move
+        starts += alpha[0][begins].sum(0)
+        inside = np.arange(x.shape[1])[None, :] < active[:, None]
+        flat, gamma = x[inside], alpha[inside]
+        for s in range(states):
+            emits[:, s] += np.bincount(flat, gamma[:, s], len(emits))
+    return starts, moves, likelihood
+
+
+def _in_turn(column: pa.Array, together: int) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Lists of symbols, some texts at a time, and the first one's place."""
+    offsets, values = column.offsets.to_numpy(), column.values.to_numpy()
+    at = 0
+    while at < len(column):
+        until = max(at + 1, int(np.searchsorted(offsets, offsets[at] + together, side="right")) - 1)
+        until = min(until, len(column))
+        yield at, [values[offsets[i] : offsets[i + 1]] for i in range(at, until)]
+        at = until
+
+
+def baum_welch(coded: DataFrame, model: Model, together: int = TOGETHER) -> tuple[Model, float]:
+    """One round: expected counts of every task, summed by Spark, make the next model; also log10 of the likelihood under the given one."""
     n_symbols, states = model.emit.shape
-    held = texts.sparkSession.sparkContext.broadcast(model)
+    held = coded.sparkSession.sparkContext.broadcast(Model(model.start, model.move, model.emit))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, known = held.value, head.value
-        emits, starts, moves = np.zeros((n_symbols, states)), np.zeros(states), np.zeros((states, states))
-        waiting, first, size = [], [], 0
-
-        def take() -> None:
-            nonlocal starts, moves, size
-            if waiting:
-                a, b = expected_counts(m, waiting, np.array(first), emits)
-                starts, moves, size = starts + a, moves + b, 0
-                waiting.clear()
-                first.clear()
-
+        emits, starts, moves, likelihood = np.zeros((n_symbols, states)), np.zeros(states), np.zeros((states, states)), 0.0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                own = symbols(tokens(text), known)
-                for at in range(0, len(own), run_tokens):
-                    waiting.append(own[at : at + run_tokens])
-                    first.append(at == 0)
-                size += len(own)
-                if size > batch_tokens:
-                    take()
-        take()
+            for _, texts in _in_turn(batch.column(0), together):
+                a, b, c = expected_counts(held.value, texts, emits)
+                starts, moves, likelihood = starts + a, moves + b, likelihood + c
         seen = np.flatnonzero(emits.sum(1) > 0)
-        rows = np.concatenate([emits[seen], moves, starts[None, :]])
-        keys = np.concatenate([seen, -1 - np.arange(states), [-1 - states]])
+        rows = np.concatenate([emits[seen], moves, starts[None, :], np.full((1, states), likelihood)])
+        keys = np.concatenate([seen, -1 - np.arange(states + 2)])
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), *(pa.array(rows[:, s], pa.float64()) for s in range(states))], names=["k", *(f"s{s}" for s in range(states))])
 
     schema = "k int, " + ", ".join(f"s{s} double" for s in range(states))
-    summed = texts.select("text").mapInArrow(run, schema).groupBy("k").agg(*(F.sum(f"s{s}").alias(f"s{s}") for s in range(states))).collect()
+    summed = coded.select("symbols").mapInArrow(run, schema).groupBy("k").agg(*(F.sum(f"s{s}").alias(f"s{s}") for s in range(states))).toPandas().to_numpy(dtype=np.float64)
+    k, values = summed[:, 0].astype(np.int64), summed[:, 1:]
     emit, move, start = np.full((n_symbols, states), 0.01), np.full((states, states), 0.1), np.full(states, 0.1)
-    for r in summed:
-        k, values = r["k"], np.array(r[1:])
-        if k >= 0:
-            emit[k] += values
-        elif k >= -states:
-            move[-1 - k] += values
-        else:
-            start += values
-    return Model(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
-
-
-def score_texts(docs: DataFrame, train_on: Column, states: int = 8, rounds: int = 3, head_rows: int = 1 << 16, batch_tokens: int = 400_000) -> DataFrame:
+    emit[k[k >= 0]] += values[k >= 0]
+    inner = (k < 0) & (k >= -states)
+    move[-1 - k[inner]] += values[inner]
+    start += values[k == -1 - states].sum(0)
+    return Model(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0), np.float64), float(values[k == -2 - states, 0].sum())
+
+
+_CODED = "rid long, doc_id long, train boolean, n_tokens long, known long, logs double, shares double, symbols array<int>, rare_h array<long>, rare_n array<int>"
+
+
+def coded_texts(texts: DataFrame, head: np.ndarray, head_counts: np.ndarray, class_sums: np.ndarray, class_kinds: np.ndarray) -> DataFrame:
+    """Each text's symbols, its infrequent tokens, and what the frequent ones (``head``, sorted hashes) and classes give to its scores."""
+    # Inside its class a token has (c + 0.5) / (sums + 0.5 (kinds + 1)), where all unknown tokens share one place.
+    held = texts.sparkSession.sparkContext.broadcast((head, head_counts, np.log10(class_sums + 0.5 * (class_kinds + 1))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, counts, class_logs = held.value
+        n_head, end = len(hashes), int(np.searchsorted(hashes, np.uint64(END)))
+        count_logs = np.log10(counts + 0.5)
+        for batch in batches:
+            column = batch.column(3).cast(pa.binary()).to_pylist()
+            for a, b in slices(column):
+                words, n = Words(column[a:b], BLANK_SEPARATED), b - a
+                found, where = np.unique(words.hashes, return_inverse=True)
+                at = np.searchsorted(hashes, found)
+                at[at == n_head] = 0
+                own = np.where(hashes[at] == found, at, -1).astype(np.int32)[where]
+                rare = np.flatnonzero(own < 0)
+                kinds = _classes(words)[rare]
+                own[rare] = n_head + kinds
+                text = words.text_of(np.arange(len(own)))
+                # Each text's end token follows its words.
+                bounds = words.bounds + np.arange(n + 1)
+                symbols = np.full(len(own) + n, end, dtype=np.int32)
+                symbols[np.arange(len(own)) + text] = own
+                owner = np.repeat(np.arange(n), np.diff(bounds))
+                frequent = symbols < n_head
+                known = np.bincount(owner[frequent], counts[symbols[frequent]] > 0, n).astype(np.int64)
+                logs = np.bincount(owner[frequent], count_logs[symbols[frequent]], n)
+                shares = -np.bincount(text[rare], class_logs[kinds], n).astype(np.float64)
+                # Distinct pairs of a text and an infrequent token; where: places in found, so the order is by text, then hash.
+                pair, times = np.unique(text[rare] * len(found) + where[rare], return_counts=True)
+                cuts = np.searchsorted(pair, np.arange(n + 1) * len(found))
+                part = batch.slice(a, n)
+                lists = lambda values, offsets: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *part.columns[:3], pa.array(np.diff(bounds), pa.int64()), pa.array(known), pa.array(logs), pa.array(shares), lists(pa.array(symbols), bounds),
+                        lists(pa.array(found[pair % max(1, len(found))].view(np.int64)), cuts), lists(pa.array(times, pa.int32()), cuts),
+                    ],
+                    names=[c.split()[0] for c in _CODED.split(", ")],
+                )
+
+    return texts.select("rid", "doc_id", "train", "text").mapInArrow(run, _CODED)
+
+
+def score_texts(docs: DataFrame, train_on: Column, states: int = 8, rounds: int = 3, own_symbols: int = 1 << 16) -> DataFrame:
     """``rid, doc_id, n_tokens, n_known, train_tokens, base_score, score``; train_on: a condition on doc_id."""
-    spark, texts = docs.sparkSession, keyed_texts(docs)
-    training = texts.where(F.coalesce(train_on, F.lit(True)))
-    vocabulary = written(count_tokens(training))
-    least = head_threshold(vocabulary, "c", head_rows)
+    texts = keyed_texts(docs).withColumn("train", F.coalesce(train_on, F.lit(True)))
+    vocabulary = written(count_tokens(texts.where("train")))
+    least = head_threshold(vocabulary, "c", own_symbols)
     totals = vocabulary.agg(F.count("*").alias("v"), F.sum("c").alias("n")).first()
     n, v = totals["n"] or 0, totals["v"]
-    counts = {r["token"].encode(): r["c"] for r in vocabulary.where((F.col("c") >= least) | (F.col("token") == END)).toLocalIterator()}
-    counts.setdefault(b"\n", 0)  # the end token is a symbol of its own, learned or not
-    order = {t: i for i, t in enumerate(sorted(counts))}
-
-    def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds, sums = np.zeros(CLASSES, dtype=np.int64), np.zeros(CLASSES, dtype=np.int64)
-        for batch in batches:
-            own = np.fromiter((tail_class(t) for t in batch.column(0).cast(pa.binary()).to_pylist()), dtype=np.int64, count=batch.num_rows)
-            kinds += np.bincount(own, minlength=CLASSES)
-            sums += np.bincount(own, batch.column(1).to_numpy(), CLASSES).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES), pa.int32()), pa.array(kinds), pa.array(sums)], names=["k", "kinds", "sums"])
-
-    tail = vocabulary.where((F.col("c") < least) & (F.col("token") != END))
-    tail_kinds, tail_sums = np.zeros(CLASSES), np.zeros(CLASSES)
-    for r in tail.mapInArrow(classes, "k int, kinds long, sums long").groupBy("k").agg(F.sum("kinds").alias("kinds"), F.sum("sums").alias("sums")).collect():
-        tail_kinds[r["k"]], tail_sums[r["k"]] = r["kinds"], r["sums"]
-    head_counts = np.array([counts[t] for t in sorted(counts)], dtype=np.float64)
-    head = spark.sparkContext.broadcast(order)
-    model = initial(np.concatenate([head_counts, tail_sums]), states)
+    frequent = (F.col("c") >= least) | (F.col("h") == END)
+    # At most own_symbols rows; the end token is a symbol of its own, learned or not.
+    rows = {END: 0} | {r["h"] & (1 << 64) - 1: r["c"] for r in vocabulary.where(frequent).select("h", "c").collect()}
+    head = np.array(sorted(rows), dtype=np.uint64)
+    head_counts = np.array([rows[h] for h in head.tolist()], dtype=np.float64)
+    tail = vocabulary.where(~frequent)
+    kinds, sums = np.zeros(CLASSES), np.zeros(CLASSES)
+    for r in tail.groupBy("k").agg(F.count("*").alias("kinds"), F.sum("c").alias("sums")).collect():
+        kinds[r["k"]], sums[r["k"]] = r["kinds"], r["sums"]
+    coded = written(coded_texts(texts, head, head_counts, sums, kinds))
+    model = initial(np.concatenate([head_counts, sums]), states)
     for _ in range(rounds):
-        model = baum_welch(training, model, head)
-
-    # Inside its class a token has (c + 0.5) / (sums + 0.5 (kinds + 1)), where all unknown tokens share one place.
-    held = spark.sparkContext.broadcast((model, np.log10(head_counts + 0.5), head_counts > 0, np.log10(tail_sums + 0.5 * (tail_kinds + 1))))
-    n_head = len(order)
-    names = ["rid", "doc_id", "n_tokens", "known", "logs", "fwd", "token", "k"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.string(), pa.int64()]
+        model, _ = baum_welch(coded.where("train"), model)
+    held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (m, logs, is_known, class_logs), known = held.value, head.value
-        for whole in batches:
-            every = whole.column(2).to_pylist()
-            rids, ids = whole.column(0).to_pylist(), whole.column(1).to_pylist()
-            # Texts of like length go through the recursion together.
-            by_length = sorted(range(len(every)), key=lambda i: len(every[i]))
-            at = 0
-            while at < len(by_length):
-                runs, rows, size = [], [], 0
-                while at < len(by_length) and size < batch_tokens:
-                    i = by_length[at]
-                    own = tokens(every[i])
-                    own_symbols = symbols(own, known)
-                    runs.append(own_symbols)
-                    size += len(own)
-                    in_head = own_symbols[own_symbols < n_head]
-                    rare = own_symbols[own_symbols >= n_head] - n_head
-                    rows.append((rids[i], ids[i], len(own), int(is_known[in_head].sum()), float(logs[in_head].sum()), -float(class_logs[rare].sum()), f"\n{rids[i]}", None))
-                    rows += [(rids[i], None, None, None, None, None, t.decode(), k) for t, k in Counter(t for t in own if t not in known).items()]
-                    at += 1
-                likelihoods = iter(forward(m, runs).tolist())
-                rows = [(*r[:5], r[5] + next(likelihoods), *r[6:]) if r[7] is None else r for r in rows]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
-
-    parts = texts.mapInArrow(run, "rid long, doc_id long, n_tokens long, known long, logs double, fwd double, token string, k long")
-    # A row of a document's infrequent token is known by its k; the document's own row has a key that is no token.
-    joined = parts.join(tail, "token", "left")
-    rare = F.col("k").isNotNull()
-    rare_log = F.when(rare, F.col("k") * F.log10(F.coalesce(F.col("c"), F.lit(0)) + 0.5))
-    out = joined.groupBy("rid").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.max("n_tokens").alias("n_tokens"),
-        F.sum(F.coalesce(F.when(rare & F.col("c").isNotNull(), F.col("k")), F.col("known"), F.lit(0))).alias("n_known"),
-        F.sum(F.coalesce("logs", rare_log)).alias("logs"),
-        F.sum(F.coalesce("fwd", rare_log)).alias("score"),
-    )
+        for batch in batches:
+            likelihoods = np.zeros(batch.num_rows)
+            for at, own in _in_turn(batch.column(0), TOGETHER):
+                likelihoods[at : at + len(own)] = forward(held.value, own)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(likelihoods)], names=[*batch.schema.names[1:], "forward"])
+
+    numbers = ("rid", "doc_id", "n_tokens", "known", "logs", "shares")
+    whole = coded.select("symbols", *numbers).mapInArrow(run, "rid long, doc_id long, n_tokens long, known long, logs double, shares double, forward double")
+    whole = whole.select("rid", "doc_id", "n_tokens", "known", "logs", (F.col("shares") + F.col("forward")).alias("score"))
+    rare = coded.select("rid", F.explode(F.arrays_zip("rare_h", "rare_n")).alias("t")).select("rid", F.col("t.rare_h").alias("h"), F.col("t.rare_n").alias("times"))
+    seen = F.col("c").isNotNull()
+    log = F.col("times") * F.log10(F.coalesce(F.col("c"), F.lit(0)) + 0.5)
+    rare = rare.join(tail.select("h", "c"), "h", "left").select("rid", F.when(seen, F.col("times")).otherwise(0).cast("long").alias("known"), log.alias("logs"))
+    parts = whole.unionByName(rare.withColumn("score", F.col("logs")), allowMissingColumns=True)
+    out = parts.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("logs").alias("logs"), F.sum("score").alias("score"))
     each = log10(n + 0.5 * (v + 1))
     return out.select("rid", "doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), (F.col("logs") - F.col("n_tokens") * each).alias("base_score"), "score")
