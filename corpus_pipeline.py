@@ -15,12 +15,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataflow.llm import bpe_codec, decontaminate, line_dedup, simhash_dedup, toxicity
-from strataflow.llm.shared import BROADCAST_BYTES, written
+from strataflow.llm.shared import BROADCAST_BYTES, placed, scanned, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Bitmaps of 32,768 rows; they are broadcast up to so many bytes, which is half a billion documents.
@@ -46,32 +45,20 @@ def lines_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", text.alias("text"), "carried.lang", "carried.source", n_chars.alias("n_chars"))
 
 
-def placed(docs: DataFrame) -> DataFrame:
-    """The columns of documents, with the ``file`` (a hash of its path) and ``row`` (from 1) that each is read from.
-
-    Several jobs use these: unlike ids by partition they stay the same when executors come or go and scans are cut otherwise.
-    What isn't read from Parquet files is written first.
-    """
-    try:
-        return docs.select(*COLUMNS, F.xxhash64("_metadata.file_path").alias("file"), (F.col("_metadata.row_index") + 1).alias("row"))
-    except AnalysisException:
-        return placed(written(docs.select(*COLUMNS)))
-
-
 def copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, of the smallest doc_id, of each group that the links connect, and all documents without words.
 
     The rows that go are broadcast as bitmaps of at most ``GONE_BYTES``; if there are more, the texts are shuffled to meet them.
     """
-    rows = placed(docs)
-    found = simhash_dedup.near_copies(rows, words=5, carry=("file", "row"))
-    found = written(found.select("carried.file", "carried.row", "doc_id", "group"))
-    first = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "file", "row")).alias("first")).select("first.file", "first.row")
-    gone = written(found.join(first, ["file", "row"], "left_anti").select("file", "row"))
-    block, bit = F.bitmap_bucket_number("row").alias("block"), F.bitmap_bit_position("row")
+    docs = scanned(docs.select(*COLUMNS))
+    found = written(simhash_dedup.near_copies(docs, words=5))
+    first = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "file", "rid")).alias("first")).select("first.file", "first.rid")
+    gone = written(found.join(first, ["file", "rid"], "left_anti").select("file", "rid"))
+    rows = placed(docs, *COLUMNS)
+    block, bit = F.bitmap_bucket_number(F.col("rid") + 1).alias("block"), F.bitmap_bit_position(F.col("rid") + 1)
     bitmaps = written(gone.groupBy("file", block).agg(F.bitmap_construct_agg(bit).alias("bits")))
     if bitmaps.count() * BITMAP_BYTES > GONE_BYTES:
-        return rows.join(gone, ["file", "row"], "left_anti").select(*COLUMNS)
+        return rows.join(gone, ["file", "rid"], "left_anti").select(*COLUMNS)
     byte = F.conv(F.hex(F.substring("bits", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     is_gone = F.col("bits").isNotNull() & (byte.bitwiseAND(F.pow(F.lit(2), bit % 8).cast("int")) != 0)
     return rows.withColumn("block", block).join(F.broadcast(bitmaps), ["file", "block"], "left").where(~is_gone).select(*COLUMNS)
