@@ -13,6 +13,8 @@ import xxhash
 from pyspark.sql import functions as F
 
 from strataflow.llm import bpe_codec, decontaminate, hmm_lm, line_dedup, pigeonhole, simhash_dedup, substring_dedup, token_counts, toxicity
+from strataflow.llm.decontaminate import Words
+from strataflow.llm.shared import BLANK_SEPARATED
 
 JSON = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -35,6 +37,25 @@ def test_bpe_round_trip(docs, texts):
             assert bytes(got[i][1]) == (t or "").encode()
 
 
+def test_bpe_long_white_space(spark):
+    """Runs that the library takes have its ids; longer ones those of the pattern's matches, taken one by one."""
+    encoding = bpe_codec.load_encoding(RANKS, public_tokenizers.PATTERN)
+    middle = ["a" + " " * 60_000 + "b c", "word\n" * 9 + "\n" * 30_000 + " x" + " \t\u2003" * 9_000, " " * 20_001, "x" + "\u00a0" * 15_000 + "y", "z " + " \n" * 40_000 + "end" + " " * 12_000 + "\x1c" * 20 + "q"]
+    for text in middle:
+        for chunk in (100, 50_000):
+            assert bpe_codec.ids_of(encoding, text, chunk) == encoding.encode_ordinary(text)
+    n = 2_000_000
+    long = {"spaces": "a" + " " * n + "b", "lines": "a" + "\n" * n + "b", "mixed": "a" + " \n\t" * (n // 3) + " b", "end": "a " + " " * n, "blank": " " * n}
+    docs = spark.createDataFrame(list(enumerate(long.values())), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in bpe_codec.encode(docs, RANKS, public_tokenizers.PATTERN).collect()}
+    for i, text in enumerate(long.values()):
+        assert bytes(got[i]["decoded"]) == text.encode()
+    pieces = [long["spaces"][1:n], " b"], [long["lines"][1:n], "\n", "b"], [("a" + " \n\t" * (n // 3))[1:], " b"], [long["end"][1:]], [long["blank"]]
+    for i, own in enumerate(pieces):
+        want = [t for x in (["a"] if i < 4 else []) + own for t in encoding._encode_single_piece(x)]
+        assert got[i]["ids"] == want
+
+
 @pytest.mark.parametrize("head_rows", [1 << 18, 40, 0])
 def test_token_counts(docs, texts, head_rows):
     from tokenizers import Tokenizer
@@ -111,10 +132,15 @@ def test_line_dedup(docs, texts, broadcast_bytes, sizes):
 
 
 def test_perfect_hash_is_minimal():
-    keys = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 20_000, dtype=np.uint64))
-    shard = line_dedup.build_shard(keys, keys.view(np.int64), np.ones(len(keys), np.int32), np.arange(len(keys)))
-    assert sorted(line_dedup.shard_index(shard, keys).tolist()) == list(range(len(keys)))
-    assert (shard["last"][line_dedup.shard_index(shard, keys)] == np.arange(len(keys))).all()
+    """Also of keys that agree in one of their halves."""
+    rng = np.random.default_rng(1)
+    h1, h2 = (rng.integers(-(1 << 63), 1 << 63, 20_000) for _ in range(2))
+    h2[:50], h1[50:90] = 7, 9
+    shard = line_dedup.build_shard(h1, h2, np.ones(len(h1), np.int32), np.arange(len(h1)))
+    at = line_dedup.shard_index(shard, h1, h2)
+    assert sorted(at.tolist()) == list(range(len(h1))) and (shard["last"][at] == np.arange(len(h1))).all()
+    with pytest.raises(ValueError):
+        line_dedup.build_shard(h1[[0, 0]], h2[[0, 0]], np.ones(2, np.int32), np.arange(2))
 
 
 def brute_fingerprint(text, n=3):
@@ -199,32 +225,101 @@ def brute_substrings(texts, n=100):
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"hot_rows": 1}, {"hot_rows": 3, "seen_rows": 2, "chunk_windows": 50, "table_bits": 8}])
-def test_substrings(docs, texts, options):
+@pytest.mark.parametrize("options", [{}, {"hot_rows": 1}, {"hot_rows": 3, "seen_rows": 2, "chunk_windows": 50, "table_bits": 20}, {"table_bits": 8}, {"hot_rows": 2, "table_bits": 4, "piece": 300}, {"piece": 150}])
+def test_substrings(docs, texts, options, monkeypatch):
+    """Also with tables that are too full, so that anchors are joined, and with texts cut into small pieces."""
+    options = dict(options)
+    monkeypatch.setattr(substring_dedup, "PIECE", options.pop("piece", 1 << 20))
     got = by_id(substring_dedup.substring_dedup(docs, **options), "n_bytes", "n_removed", "n_spans", "kept")
     want = brute_substrings(texts)
     assert [(a, b, c, bytes(d)) for a, b, c, d in (got[i] for i in range(len(texts)))] == want
     assert sum(x[1] for x in want) > 1000
 
 
+def test_substrings_beyond_a_piece(spark):
+    """A passage at both ends of a text of several pieces, and over a cut."""
+    rng = np.random.default_rng(8)
+    letters = lambda n: rng.choice(list(b"abcdefghij "), n).astype(np.uint8).tobytes().decode()
+    passage, n = letters(500), substring_dedup.PIECE
+    texts = [letters(999) + "A" + passage + "B" + letters(n - 1702) + "C" + passage[:300] + "D" + letters(2 * n) + "E" + passage, passage, letters(299) + "F" + passage[100:400]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = by_id(substring_dedup.substring_dedup(docs), "n_bytes", "n_removed", "n_spans")
+    assert got == {0: (len(texts[0]), 800, 2), 1: (500, 500, 1), 2: (600, 300, 1)}
+
+
+def test_longest_previous_factors():
+    rng = np.random.default_rng(3)
+    suffixes, group = rng.integers(97, 99, (60, 21)).astype(np.uint8), np.sort(rng.integers(0, 3, 60))
+    suffixes[30:40] = suffixes[:10]
+    shared = lambda a, b: next((k for k in range(21) if a[k] != b[k]), 21)
+    want = [max([shared(suffixes[i], suffixes[j]) for j in range(i) if group[j] == group[i]], default=0) for i in range(60)]
+    assert substring_dedup.longest_previous_factors(group, suffixes).tolist() == want
+
+
 def test_previous_smaller():
     v = np.random.default_rng(2).permutation(500)
     want = [max([j for j in range(i) if v[j] < v[i]], default=-1) for i in range(500)]
     assert substring_dedup.previous_smaller(v).tolist() == want
 
 
-def test_hmm_scores(docs, texts):
+def naive_forward_backward(start, move, emit, x):
+    """Gammas, expected moves and log10 of the likelihood of one sequence, step by step over the whole of it."""
+    alpha, scale = [], []
+    for t, symbol in enumerate(x):
+        a = (start if t == 0 else alpha[-1] @ move) * emit[symbol]
+        scale.append(a.sum())
+        alpha.append(a / a.sum())
+    beta, moves = np.ones(len(start)), np.zeros((len(start), len(start)))
+    gammas = [alpha[-1]]
+    for t in range(len(x) - 2, -1, -1):
+        ahead = emit[x[t + 1]] * beta / scale[t + 1]
+        moves += np.outer(alpha[t], ahead) * move
+        beta = move @ ahead
+        gammas.append(alpha[t] * beta)
+    return gammas[::-1], moves, float(np.log10(scale).sum())
+
+
+@pytest.mark.parametrize("own_symbols", [1 << 16, 20])
+def test_hmm_scores(docs, texts, own_symbols):
+    """All numbers, the model's score too, against a plain model trained text by text."""
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5))
     tokens = [re.findall(r"[^\x20\x09-\x0D]+", lower(t)) + ["\n"] for t in texts]
     held = [zlib.crc32(str(i).encode()) % 5 == 1 for i in range(len(texts))]
     c = Counter(t for own, h in zip(tokens, held, strict=True) if not h for t in own)
     n, v = sum(c.values()), len(c)
-    for head_rows in (1 << 16, 20):
-        got = by_id(hmm_lm.score_texts(docs, fold != 1, states=3, rounds=2, head_rows=head_rows), "n_tokens", "n_known", "train_tokens", "base_score", "score")
-        for i, own in enumerate(tokens):
-            assert got[i][:3] == (len(own), sum(c[t] > 0 for t in own), n)
-            assert got[i][3] == pytest.approx(sum(log10((c[t] + 0.5) / (n + 0.5 * (v + 1))) for t in own), rel=1e-9)
-            assert got[i][4] < 0
+    sizes = Counter(x.bit_length() - 1 for x in c.values())
+    least = 1 << min((b for b in sizes if sum(k for a, k in sizes.items() if a >= b) <= own_symbols), default=62)
+    one = lambda t: Words([t.encode()], BLANK_SEPARATED)
+    code = {t: 0 if t == "\n" else int(one(t).hashes[0]) for own in tokens for t in own}
+    kind = {t: int(hmm_lm._classes(one(t))[0]) for t in code if t != "\n"}
+    head = sorted(t for t in {"\n", *c} if t == "\n" or c[t] >= least)
+    head.sort(key=code.get)
+    place = {t: i for i, t in enumerate(head)}
+    tail = [t for t in c if t not in place]
+    assert bool(tail) == (own_symbols == 20)
+    sums, kinds = Counter(), Counter()
+    for t in tail:
+        sums[kind[t]] += c[t]
+        kinds[kind[t]] += 1
+    counts = np.array([c[t] for t in head] + [sums[k] for k in range(hmm_lm.CLASSES)], dtype=float)
+    x = [[place[t] if t in place else len(head) + kind[t] for t in own] for own in tokens]
+    m = hmm_lm.initial(counts, 3)
+    start, move, emit = m.start, m.move, m.emit
+    for _ in range(2):
+        starts, moves, emits = np.full(3, 0.1), np.full((3, 3), 0.1), np.full(emit.shape, 0.01)
+        for own, h in zip(x, held, strict=True):
+            if not h:
+                gammas, more, _ = naive_forward_backward(start, move, emit, own)
+                starts, moves = starts + gammas[0], moves + more
+                for s, g in zip(own, gammas, strict=True):
+                    emits[s] += g
+        start, move, emit = starts / starts.sum(), moves / moves.sum(1, keepdims=True), emits / emits.sum(0)
+    got = by_id(hmm_lm.score_texts(docs, fold != 1, states=3, rounds=2, own_symbols=own_symbols), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    for i, own in enumerate(tokens):
+        assert got[i][:3] == (len(own), sum(c[t] > 0 for t in own), n)
+        assert got[i][3] == pytest.approx(sum(log10((c[t] + 0.5) / (n + 0.5 * (v + 1))) for t in own), rel=1e-9)
+        share = sum(log10((c[t] + 0.5) / (sums[kind[t]] + 0.5 * (kinds[kind[t]] + 1))) for t in own if t not in place)
+        assert got[i][4] == pytest.approx(naive_forward_backward(start, move, emit, x[i])[2] + share, rel=2e-4)
 
 
 def test_forward_is_the_sum_over_paths():
@@ -243,12 +338,42 @@ def test_forward_is_the_sum_over_paths():
                 p *= m.move[path[t - 1], path[t]] * m.emit[run[t], path[t]]
             total += p
         assert got == pytest.approx(np.log10(total), rel=1e-5)
-    # Expected emissions sum to the tokens, and rounds of training don't lower the likelihood.
-    emits = np.zeros((k, s))
-    starts, moves = hmm_lm.expected_counts(m, runs, np.ones(4, dtype=bool), emits)
-    assert emits.sum() == pytest.approx(13, rel=1e-5) and starts.sum() == pytest.approx(4, rel=1e-5) and moves.sum() == pytest.approx(9, rel=1e-5)
-    better = hmm_lm.Model(norm(starts, 0), norm(moves, 1), norm(emits, 0))
-    assert hmm_lm.forward(better, runs).sum() > hmm_lm.forward(m, runs).sum()
+
+
+@pytest.mark.parametrize(("longest", "cells"), [(1000, 1 << 18), (4, 1 << 18), (3, 20), (1, 1)])
+def test_counts_of_cut_texts_are_those_of_whole_texts(longest, cells):
+    rng = np.random.default_rng(6)
+    s, k = 3, 7
+    norm = lambda x, a: x / x.sum(a, keepdims=True)
+    m = hmm_lm.Model(norm(rng.random(s), 0), norm(rng.random((s, s)), 1), norm(rng.random((k, s)), 0), np.float64)
+    runs = [rng.integers(0, k, n).astype(np.int32) for n in (1, 40, 3, 8, 9, 1, 100, 4)]
+    want = [naive_forward_backward(m.start, m.move, m.emit, r) for r in runs]
+    emits, by_symbol = np.zeros((k, s)), np.zeros((k, s))
+    starts, moves, likelihood = hmm_lm.expected_counts(m, runs, emits, longest, cells)
+    for r, (gammas, _, _) in zip(runs, want, strict=True):
+        np.add.at(by_symbol, r, gammas)
+    assert np.allclose(emits, by_symbol) and np.allclose(moves, sum(w[1] for w in want)) and np.allclose(starts, sum(w[0][0] for w in want))
+    assert likelihood == pytest.approx(sum(w[2] for w in want)) and np.allclose(hmm_lm.forward(m, runs, longest, cells), [w[2] for w in want])
+
+
+def test_likelihood_does_not_fall_and_a_long_text_among_short_ones(spark):
+    """A text of a million tokens, many short and empty ones; each round's likelihood is that before it, or more."""
+    rng = np.random.default_rng(3)
+    topics = [[f"{a}{i}" for i in range(40)] for a in "abc"]
+    prose = lambda n: " ".join(w for i in range(0, n, 50) for w in rng.choice(topics[rng.integers(3)], 50))
+    rows = [(0, prose(1_000_000)), *((i, prose(50 * int(rng.integers(1, 40)))) for i in range(1, 60)), *((i, "") for i in range(60, 6000))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    known = Words([" ".join(w for t in topics for w in t).encode()], BLANK_SEPARATED)
+    head = np.unique(np.append(known.hashes, np.uint64(hmm_lm.END)))
+    none = np.zeros(hmm_lm.CLASSES)
+    coded = hmm_lm.coded_texts(docs.select(F.col("doc_id").alias("rid"), "doc_id", F.lit(True).alias("train"), "text"), head, np.ones(len(head)), none, none).cache()
+    model, seen = hmm_lm.initial(np.concatenate([np.ones(len(head)), none]), 3), []
+    for _ in range(4):
+        model, likelihood = hmm_lm.baum_welch(coded, model)
+        seen.append(likelihood)
+    assert all(b >= a * (1 + 1e-6) for a, b in zip(seen, seen[1:], strict=False)) and seen[-1] > seen[0]
+    scores = by_id(hmm_lm.score_texts(docs, F.lit(True), states=3, rounds=1), "n_tokens", "score")
+    assert scores[0][0] == 1_000_001 and all(np.isfinite(s) for _, s in scores.values())
 
 
 def test_toxicity_learns_pairs_and_handles_no_labels(spark, docs, no_docs):
@@ -272,6 +397,47 @@ def test_toxicity_learns_pairs_and_handles_no_labels(spark, docs, no_docs):
     assert toxicity.toxicity(no_docs, known).count() == 0
 
 
+def test_toxicity_of_a_pair_whose_parts_say_nothing(spark):
+    """Exactly one of two words makes a text toxic: no additive model of the words can be right in more than three of four cases."""
+    import random
+
+    rng = random.Random(2)
+    rows, labels = [], []
+    filler = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(300)]
+    for i in range(2000):
+        insult, group = rng.random() < 0.5, rng.random() < 0.5
+        words = [rng.choice(filler) for _ in range(30)] + ["insult"] * insult + ["group"] * group
+        rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(insult != group)))
+    own, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = by_id(toxicity.toxicity(own, known, learn_from=F.col("doc_id") % 4 != 0), "score")
+    assert sum((got[i][0] >= 0.5) == bool(t) for i, t in labels if i % 4 == 0) >= 480
+
+
+def test_margins_are_the_sum_over_pairs():
+    from itertools import combinations
+
+    rng = np.random.default_rng(1)
+    m = toxicity.Machine(np.arange(9), 0.3, rng.normal(size=9), rng.normal(size=(9, 4)))
+    docs = [[0, 3, 8], [], [5], [1, 2, 4, 6, 7]]
+    pairs = [(i, t) for i, own in enumerate(docs) for t in own]
+    got = m.margins(np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs]), len(docs))
+    want = [0.3 + sum(m.w[t] for t in own) + sum(m.v[a] @ m.v[b] for a, b in combinations(own, 2)) for own in docs]
+    assert np.allclose(got, want)
+
+
+def test_toxicity_scores_whole_long_texts_and_rows_of_null_ids(spark, odd_docs):
+    rows = [(i, f"clean words number {i}" if i % 2 else f"nastyword here {i}") for i in range(200)]
+    rows += [(200, "plain " * 500_000 + "nastyword"), (201, "plain " * 500_000)]
+    own, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, 1 - i % 2) for i in range(200)], "doc_id long, toxic int")
+    machine = toxicity.train(toxicity.labelled_sample(own, known))
+    got = by_id(toxicity.score(own, machine), "score")
+    assert got[200][0] > 0.5 > got[201][0]
+    odd = toxicity.score(odd_docs, machine).collect()
+    assert len(odd) == 5 and sorted(r["doc_id"] or -1 for r in odd) == [-1, -1, -1, 3, 3] and len({round(r["score"], 9) for r in odd}) == 1
+
+
 def test_odd_and_empty_tables(spark, odd_docs, no_docs):
     bench = spark.createDataFrame([(1, "two three four")], "item_id long, text string")
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5))
