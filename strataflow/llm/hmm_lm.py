@@ -35,7 +35,7 @@ from .shared import BLANK_SEPARATED, head_threshold, keyed_texts, mixed, written
 #: The end token's hash, and the classes of infrequent tokens.
 END, CLASSES = 0, 512
 #: Tokens of a segment, cells (tokens x segments, with padding) that one recursion holds, and tokens of texts taken together.
-SEGMENT, CELLS, TOGETHER = 1024, 1 << 18, 1 << 18
+SEGMENT, CELLS, TOGETHER = 256, 1 << 18, 1 << 20
 
 
 def _classes(words: Words) -> np.ndarray:
@@ -91,6 +91,13 @@ class Model:
 
     def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray, dtype: type = np.float32):
         self.start, self.move, self.emit = start.astype(dtype), move.astype(dtype), emit.astype(dtype)
+        self._rows: np.ndarray | None = None
+
+    def by_state(self) -> np.ndarray:
+        """Emissions with a row for each state, made once in a process."""
+        if self._rows is None:
+            self._rows = np.ascontiguousarray(self.emit.T)
+        return self._rows
 
 
 def initial(symbol_counts: np.ndarray, states: int, seed: int = 3) -> Model:
@@ -136,43 +143,48 @@ class Segments:
 
 def _ends(model: Model, seg: Segments, which: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
     """For segments that begin a text: the scaled forward vector after each, and log10 of its likelihood."""
-    states = len(model.start)
+    states, emit, move = len(model.start), model.by_state(), model.move.T
     out, logs = np.zeros((len(seg.size), states)), np.zeros(len(seg.size))
     for group in seg.groups(which, cells):
         x, active = seg.padded(group)
-        alpha, total = np.zeros((len(group), states), dtype=model.emit.dtype), np.zeros(len(group))
+        # Vectors are columns: sums over states are sums of rows.
+        alpha, total = np.zeros((states, len(group)), dtype=emit.dtype), np.zeros(len(group))
         for t in range(len(x)):
             k = active[t]
-            a = model.emit[x[t, :k]] * (alpha[:k] @ model.move if t else model.start)
-            scale = a.sum(1)
+            a = emit.take(x[t, :k], axis=1)
+            a *= move @ alpha[:, :k] if t else model.start[:, None]
+            scale = a.sum(0)
             total[:k] += np.log10(scale, dtype=np.float64)
-            alpha[:k] = a / scale[:, None]
-        out[group], logs[group] = alpha, total
+            np.divide(a, scale, out=alpha[:, :k])
+        out[group], logs[group] = alpha.T, total
     return out, logs
 
 
 def _products(model: Model, seg: Segments, cells: int) -> tuple[np.ndarray, np.ndarray]:
     """For segments that continue a text: the scaled product of their matrices (state before x state after), and log10 of its scale."""
-    states = len(model.start)
+    states, emit, move = len(model.start), model.by_state(), np.ascontiguousarray(model.move.T)
     out, logs = np.zeros((len(seg.size), states, states)), np.zeros(len(seg.size))
     for group in seg.groups(seg.cut, cells // states):
         x, active = seg.padded(group)
-        m = np.tile(np.eye(states, dtype=model.emit.dtype), (len(group), 1, 1))
+        m = np.repeat(np.eye(states, dtype=emit.dtype)[:, :, None], len(group), axis=2)
         total = np.zeros(len(group))
         for t in range(len(x)):
             k = active[t]
-            a = (m[:k].reshape(-1, states) @ model.move).reshape(k, states, states) * model.emit[x[t, :k]][:, None, :]
-            scale = a.sum((1, 2))
+            a = move @ m[:, :, :k]
+            a *= emit.take(x[t, :k], axis=1)
+            scale = a.sum(0).sum(0)
             total[:k] += np.log10(scale, dtype=np.float64)
-            m[:k] = a / scale[:, None, None]
-        out[group], logs[group] = m, total
+            np.divide(a, scale, out=m[:, :, :k])
+        out[group], logs[group] = m.transpose(2, 0, 1), total
     return out, logs
 
 
-def _carried(model: Model, seg: Segments, cells: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The forward vector that each segment starts from (for those that continue a text), their products, and log10 of each text's likelihood."""
-    first = np.flatnonzero(seg.nth == 0)
-    ends, logs = _ends(model, seg, first, cells)
+def _carried(model: Model, seg: Segments, cells: int, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The forward vector that each segment starts from (for those that continue a text), their products, and log10 of each text's likelihood.
+
+    which: the first segments that count; those of texts that are cut must be among them.
+    """
+    ends, logs = _ends(model, seg, which, cells)
     products, more = _products(model, seg, cells) if len(seg.cut) else (ends, logs)
     before = np.zeros((len(seg.size), len(model.start)))
     for i in seg.cut:
@@ -185,14 +197,18 @@ def _carried(model: Model, seg: Segments, cells: int) -> tuple[np.ndarray, np.nd
 
 def forward(model: Model, texts: list[np.ndarray], longest: int = SEGMENT, cells: int = CELLS) -> np.ndarray:
     """log10 of the likelihood of each sequence of symbols (of one at least), exactly, by the scaled recursion."""
-    return _carried(model, Segments(texts, longest), cells)[2]
+    seg = Segments(texts, longest)
+    return _carried(model, seg, cells, np.flatnonzero(seg.nth == 0))[2]
 
 
 def expected_counts(model: Model, texts: list[np.ndarray], emits: np.ndarray, longest: int = SEGMENT, cells: int = CELLS) -> tuple[np.ndarray, np.ndarray, float]:
     """Expected starts and moves, and log10 of the likelihood of all; expected emissions are added to emits."""
-    seg, states = Segments(texts, longest), len(model.start)
+    seg, states, emit, move = Segments(texts, longest), len(model.start), model.by_state(), np.ascontiguousarray(model.move.T)
+    is_cut = np.zeros(len(seg.size), dtype=bool)
     if len(seg.cut):
-        before, products, logs = _carried(model, seg, cells)
+        firsts = seg.cut[seg.nth[seg.cut] == 1] - 1
+        before, products, logs = _carried(model, seg, cells, firsts)
+        is_cut[seg.cut] = is_cut[firsts] = True
     # The backward vector after each segment.
     after = np.ones((len(seg.size), states))
     for i in seg.cut[::-1]:
@@ -202,35 +218,37 @@ def expected_counts(model: Model, texts: list[np.ndarray], emits: np.ndarray, lo
     for group in seg.groups(np.arange(len(seg.size)), cells):
         x, active = seg.padded(group)
         begins = seg.nth[group] == 0
-        came = before[group].astype(model.emit.dtype) if len(seg.cut) else None
-        first = np.where(begins[:, None], model.start, came @ model.move) if came is not None else model.start
-        alpha, scale = np.zeros((*x.shape, states), dtype=model.emit.dtype), np.ones(x.shape, dtype=model.emit.dtype)
+        came = before[group].T.astype(emit.dtype) if len(seg.cut) else None
+        first = model.start[:, None] if came is None else np.where(begins, model.start[:, None], move @ came)
+        alpha = np.zeros((len(x), states, len(group)), dtype=emit.dtype)
+        shown, scale = np.zeros_like(alpha), np.ones(x.shape, dtype=emit.dtype)
         for t in range(len(x)):
             k = active[t]
-            a = model.emit[x[t, :k]] * (alpha[t - 1, :k] @ model.move if t else first)
-            scale[t, :k] = a.sum(1)
-            alpha[t, :k] = a / scale[t, :k, None]
-        if not len(seg.cut):
-            likelihood += float(np.log10(scale, dtype=np.float64).sum())
+            e = shown[t, :, :k] = emit.take(x[t, :k], axis=1)
+            a = e * (move @ alpha[t - 1, :, :k] if t else first)
+            scale[t, :k] = a.sum(0)
+            np.divide(a, scale[t, :k], out=alpha[t, :, :k])
+        likelihood += float(np.log10(scale[:, ~is_cut[group]], dtype=np.float64).sum())
         # Scaled so that forward times backward sums to one at the last token, and so at all.
-        last = alpha[seg.size[group] - 1, np.arange(len(group))]
-        beta = after[group].astype(model.emit.dtype)
-        beta /= (last * beta).sum(1)[:, None]
+        last = alpha[seg.size[group] - 1, :, np.arange(len(group))].T
+        beta = after[group].T.astype(emit.dtype)
+        beta /= (last * beta).sum(0)
         for t in range(len(x) - 1, -1, -1):
             k, later = active[t], active[t + 1] if t + 1 < len(x) else 0
             if later:
-                ahead = model.emit[x[t + 1, :later]] * beta[:later] / scale[t + 1, :later, None]
-                moves += alpha[t, :later].T @ ahead * model.move
-                beta[:later] = ahead @ model.move.T
-            alpha[t, :k] *= beta[:k]
+                ahead = shown[t + 1, :, :later] * beta[:, :later]
+                ahead /= scale[t + 1, :later]
+                moves += alpha[t, :, :later] @ ahead.T * model.move
+                np.matmul(model.move, ahead, out=beta[:, :later])
+            alpha[t, :, :k] *= beta[:, :k]
         if came is not None:
-            ahead = model.emit[x[0]] * beta / scale[0][:, None]
-            moves += came[~begins].T @ ahead[~begins] * model.move
-        starts += alpha[0][begins].sum(0)
+            ahead = shown[0] * beta / scale[0]
+            moves += came[:, ~begins] @ ahead[:, ~begins].T * model.move
+        starts += alpha[0][:, begins].sum(1)
         inside = np.arange(x.shape[1])[None, :] < active[:, None]
-        flat, gamma = x[inside], alpha[inside]
+        flat = x[inside]
         for s in range(states):
-            emits[:, s] += np.bincount(flat, gamma[:, s], len(emits))
+            emits[:, s] += np.bincount(flat, alpha[:, s][inside], len(emits))
     return starts, moves, likelihood
 
 
