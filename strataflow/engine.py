@@ -2,32 +2,50 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .operators import chunking, evaluation, retrieval
+from .operators import chunking, context, evaluation, retrieval, search, tree
+from .operators import index as cells
 from .plans.config import Config, update_plan
 from .sources.store import IndexStore
+from .sources.stored import kept
 
 KEY = ["doc_id", "sequence"]
 # What is said without hits, and without a language model.
-NOTHING_FOUND, NO_MODEL = "未找到相关信息", "未配置语言模型"
+NOTHING_FOUND, NO_MODEL = "抱歉，在知识库中找不到与您问题相关的信息。", "未配置语言模型"
 
 
 class Engine:
     """All state is in the store; a name can be built, searched and dropped from any session."""
 
-    def __init__(self, spark: SparkSession, root: str, answer: Callable[[str, list[str]], str] | None = None):
-        self.spark, self.store, self.answer = spark, IndexStore(spark, root), answer
+    def __init__(self, spark: SparkSession, root: str, answer: Callable[[str, list[str]], str] | None = None, embed: retrieval.Embedder = search.hash_embeddings, summarise: Callable[[list[str]], str] = tree.first_words):
+        """answer: a question and texts to an answer; embed: the embedding of rows of words; summarise: texts to a summary."""
+        self.spark, self.store, self.answer, self.embed, self.summarise = spark, IndexStore(spark, root), answer, embed, summarise
 
     def build(self, name: str, docs: DataFrame, config: Config, replace: bool = False) -> None:
         """docs: ``doc_id, text``. An index that exists is only replaced if asked to."""
         if not replace and self.exists(name):
             raise FileExistsError(f"there is an index named {name}")
-        index = retrieval.index_of(chunking.chunk_documents(docs, config.chunk_size).select(*KEY, "content"), KEY, config.embed_dim)
-        self.store.save(name, {"chunks": index.chunks, "postings": index.posts, "doc_len": index.doc_len, "term_stats": index.term_stats})
+        chunks = chunking.chunk_documents(docs, config.proc_chunk_token_size).select(*KEY, F.lit(0).alias("level"), "content")
+        if config.proc_enable_raptor:
+            chunks = kept(chunks)
+            nodes = tree.summary_tree(chunks, self.summarise, config.proc_raptor_max_clusters).where("level > 0")
+            # Summaries come before the document's chunks: their sequence numbers are negative, the further up the smaller.
+            order = F.row_number().over(W.partitionBy("doc_id").orderBy("level", "node"))
+            chunks = chunks.unionByName(nodes.select("doc_id", (-order).alias("sequence"), "level", "content"))
+        index = retrieval.index_of(chunks, KEY, config.embed_dim, embed=self.embed)
+        tables = {"chunks": index.chunks, "postings": index.posts, "doc_len": index.doc_len, "term_stats": index.term_stats}
+        if config.index_type == "IVF":
+            centres = cells.fit_cells(index.chunks, config.ivf_nlist)
+            tables["cells"] = cells.assign_cells(index.chunks, KEY, centres).repartitionByRange("cell").sortWithinPartitions("cell")
+            tables["centres"] = self.spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "cell int, centre array<double>")
+        self.store.save(name, tables)
         self._settle(name, config)
 
     def _settle(self, name: str, config: Config) -> None:
@@ -43,9 +61,15 @@ class Engine:
 
     def load(self, name: str) -> tuple[retrieval.Index, Config]:
         t = self.store.load(name)
-        if missing := {"postings", "doc_len", "term_stats", "meta"} - set(t):
-            raise FileNotFoundError(f"the index {name} has no {', '.join(sorted(missing))}")
-        return retrieval.Index(KEY, t["chunks"], t["postings"], t["doc_len"], t["term_stats"]), Config.from_json(t["meta"].first()["config"])
+        meta = t["meta"].first() if "meta" in t else None
+        if meta is None:
+            raise FileNotFoundError(f"no index named {name}")
+        config = Config.from_json(meta["config"])
+        # Without keyword tables an index is searched by vectors alone.
+        words = [t.get(c) for c in ("postings", "doc_len", "term_stats")]
+        words = words if all(w is not None for w in words) else [None] * 3
+        own, centres = (t["cells"], np.array([r["centre"] for r in t["centres"].orderBy("cell").collect()])) if config.index_type == "IVF" else (None, None)
+        return retrieval.Index(KEY, t["chunks"], *words, own, centres), config
 
     def ensure(self, name: str, docs: DataFrame, config: Config) -> None:
         """Builds what doesn't exist."""
@@ -72,26 +96,31 @@ class Engine:
         """
         index, config = self.load(name)
         subs = retrieval.sub_queries(queries, index.term_stats if keywords else None, rewrites)
-        found = retrieval.hybrid_search(index, subs, config.updated(**changes), use_rerank)
+        found = retrieval.hybrid_search(index, subs, config.updated(**changes), use_rerank, embed=self.embed)
         return found.join(index.chunks.select(*KEY, "content"), KEY)
 
     def ask(self, name: str, queries: DataFrame, **options) -> DataFrame:
         """``query_id, answer, sources``: the texts of a query's results (at most top_k) go to the language model together."""
         found = self.search(name, queries, **options).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "sequence", "content"))).alias("sources"))
         rows = queries.select("query_id", "text").join(found, "query_id", "left")
-        model = self.answer
-        if model is None:
-            said = F.lit(NO_MODEL)
-        else:
-            from pyspark.sql.types import StringType
+        if self.answer is None:
+            return rows.select("query_id", F.when(F.col("sources").isNull(), NOTHING_FOUND).otherwise(NO_MODEL).alias("answer"), "sources")
+        model, query_type = self.answer, queries.schema["query_id"].dataType.simpleString()
+        asked = kept(rows.select("query_id", "text", context.prompt_texts(F.col("sources")).alias("texts"), "sources"))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                said = [model(q, texts) if texts else NOTHING_FOUND for q, texts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(said, pa.string())], names=["query_id", "answer"])
 
-            said = F.udf(lambda q, texts: model(q, texts) if texts else None, StringType())("text", F.transform("sources", lambda s: s["content"]))
-        return rows.select("query_id", F.when(F.col("sources").isNull(), NOTHING_FOUND).otherwise(said).alias("answer"), "sources")
+        # A query is a call of the model: few to a task.
+        answers = asked.select("query_id", "text", "texts").mapInArrow(run, f"query_id {query_type}, answer string")
+        return answers.join(asked.select("query_id", "sources"), "query_id")
 
     def evaluate(self, name: str, queries: DataFrame) -> DataFrame:
         index, config = self.load(name)
-        found = retrieval.hybrid_search(index, retrieval.sub_queries(queries), config)
-        return evaluation.recalls(found, retrieval.ideal_search(index, queries, config), queries, KEY)
+        found = retrieval.hybrid_search(index, retrieval.sub_queries(queries), config, embed=self.embed)
+        return evaluation.recalls(found, retrieval.ideal_search(index, queries, config, self.embed), queries, KEY)
 
     def compare(self, names: list[str], queries: DataFrame) -> DataFrame:
         """Mean recalls of several indexes, the most precise first."""
@@ -101,6 +130,14 @@ class Engine:
             rows = own if rows is None else rows.unionByName(own)
         return evaluation.batch_means(rows)
 
+    def delete(self, name: str) -> bool:
+        """Whether there was such an index."""
+        return self.store.delete(name)
+
+    def clear(self) -> int:
+        """Deletes all indexes; their number."""
+        return self.store.clear()
+
     def info(self, name: str) -> DataFrame:
         """One row: ``name, n_chunks, n_docs, dim``."""
         chunks = self.load(name)[0].chunks

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,29 +21,48 @@ BULLETS = (
 )
 
 
-def greedy_merge(text: Column, size: int = 256, delimiters: str = DELIMITERS) -> Column:
-    """Pieces between delimiters, put together; a chunk closes once its tokens exceed size, or while it is empty.
+def greedy_merge(pieces: list[str], size: int = 256) -> list[str]:
+    """Pieces put together; a chunk closes once its tokens (half its characters) exceed size, or while it is empty.
 
-    The array's places are the chunks' sequence numbers from 1; blank chunks keep theirs.
+    The list's places are the chunks' sequence numbers from 1; blank chunks keep theirs.
     """
-    empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"), F.lit(0).cast("long").alias("n"), F.lit(False).alias("begun"))
-
-    def step(acc: Column, piece: Column) -> Column:
-        close = (acc["open"] == "") | (acc["n"] > size)
-        return F.struct(
-            F.when(close & acc["begun"], F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"]).alias("done"),
-            F.when(close, piece).otherwise(F.concat(acc["open"], piece)).alias("open"),
-            F.when(close, token_count(piece)).otherwise(acc["n"] + token_count(piece)).alias("n"),
-            F.lit(True).alias("begun"),
-        )
-
-    return F.aggregate(F.split(text, delimiter_regex(delimiters)), empty, step, lambda acc: F.concat(acc["done"], F.array(acc["open"])))
-
-
-def chunk_documents(docs: DataFrame, size: int = 256) -> DataFrame:
+    out: list[list[str]] = []
+    chars = n = 0
+    for piece in pieces:
+        if not out or not chars or n > size:
+            out.append([])
+            chars = n = 0
+        out[-1].append(piece)
+        chars, n = chars + len(piece), n + len(piece) // 2
+    return ["".join(own) for own in out]
+
+
+def chunk_documents(docs: DataFrame, size: int = 256, delimiters: str = DELIMITERS) -> DataFrame:
     """``doc_id, sequence, chunk_id_str, content``; blank chunks are left out, documents of null text have none."""
-    rows = docs.select("doc_id", F.posexplode(greedy_merge(F.col("text"), size)).alias("at", "content")).where(F.col("content").rlike(r"\S"))
-    return rows.select("doc_id", (F.col("at") + 1).alias("sequence"), F.concat(F.col("doc_id").cast("string"), F.lit("_text_"), (F.col("at") + 1).cast("string")).alias("chunk_id_str"), "content")
+    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull())
+    cut = re.compile(delimiter_regex(delimiters))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, sequence, content = [], [], []
+
+            def made(batch=batch, at=at, sequence=sequence, content=content) -> pa.RecordBatch:
+                out = pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(sequence, pa.int32()), pa.array(content, pa.string())], names=["doc_id", "sequence", "content"])
+                for x in (at, sequence, content):
+                    x.clear()
+                return out
+
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                for k, chunk in enumerate(greedy_merge(cut.split(text), size), 1):
+                    at.append(i)
+                    sequence.append(k)
+                    content.append(chunk)
+                if len(at) > 10_000:
+                    yield made()
+            yield made()
+
+    chunks = rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, sequence int, content string").where(F.col("content").rlike(r"\S"))
+    return chunks.select("doc_id", "sequence", F.concat(F.col("doc_id").cast("string"), F.lit("_text_"), F.col("sequence").cast("string")).alias("chunk_id_str"), "content")
 
 
 def _strip(line: Column) -> Column:

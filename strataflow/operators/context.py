@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -34,3 +34,9 @@ def origin(strategy: str = "chunking_strategy", element: str = "element_type"):
         .when(F.col(strategy) == "tabular_row_based_semantic", "表格行转换 (程序化语义)")
         .otherwise("原始文档 (文本分块)")
     )
+
+
+def prompt_texts(sources: Column, path: str = "未知路径") -> Column:
+    """What a language model is given of each source (``rank, doc_id, sequence, content``): its document, path and text."""
+    # The labels, and what stands for a path that isn't known.
+    return F.transform(sources, lambda s: F.concat(F.lit("来源文档: "), s["doc_id"].cast("string"), F.lit(f"\n文件路径: {path}\n内容: "), s["content"]))

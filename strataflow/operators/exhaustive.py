@@ -1,7 +1,7 @@
 """Keyword and combined scores of every row for a stated query set, without pairs or postings in a shuffle.
 
 The queries go through in blocks whose matrices have a bounded size. A task scores its rows against a block as two matrix products and
-hands on its own k best, so that k rows for each query and batch (and those that tie with the last) meet in the final ranking.
+hands on its own k best, so that k rows for each query and task meet in the final ranking.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .keyword import B, K1
-from .search import _unit
+from .search import _unit, best_rows
 
 #: The matrices of a block, which is broadcast, take about so many bytes each.
 BLOCK_BYTES = 32 << 20
@@ -68,8 +68,11 @@ def _keyword_scores(block: Block, words: list[list[str] | None], avgdl: float) -
             at = block.columns.get(term)
             if at is not None:
                 tf[at, j] = n
+    # Few of the terms that are asked occur in a slice.
+    seen = np.flatnonzero(tf.any(axis=1))
+    tf, weights = tf[seen], block.weights[:, seen]
     saturated = np.divide(tf * (K1 + 1), tf + K1 * (1 - B + B * dl / (avgdl or 1.0)), out=np.zeros_like(tf), where=tf > 0)
-    return block.weights @ saturated, ((block.weights != 0).astype(np.float32) @ (tf > 0).astype(np.float32)) > 0
+    return weights @ saturated, ((weights != 0).astype(np.float32) @ (tf > 0).astype(np.float32)) > 0
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,14 +81,6 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, SLICE)
 
 
-def _reaching(scores: np.ndarray, allowed: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the allowed scores that reach the k-th best of their row."""
-    s = np.where(allowed, scores, -np.inf)
-    last = max(0, s.shape[1] - k)
-    kth = np.partition(s, last, axis=1)[:, last]
-    return np.nonzero(allowed & (s >= kth[:, None]))
-
-
 def _fields(rows: DataFrame, key: list[str]) -> str:
     return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*key).schema)
 
@@ -111,11 +106,14 @@ def keyword_top_k(rows: DataFrame, key: list[str], queries: DataFrame, weights:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             b = held.value
-            for part in _slices(batches):
-                raw, shared = _keyword_scores(b, part.column(len(key)).to_pylist(), avgdl)
-                raw = np.round(raw, 6)
-                q, r = _reaching(raw, shared, k)
-                yield pa.RecordBatch.from_arrays([pa.array(b.ids[q]), *(c.take(pa.array(r)) for c in part.columns[: len(key)]), pa.array(raw[q, r])], names=["query_id", *key, "kw"])
+
+            def parts():
+                for part in _slices(batches):
+                    raw, shared = _keyword_scores(b, part.column(len(key)).to_pylist(), avgdl)
+                    yield part.columns[: len(key)], {"kw": np.round(raw, 6)}, shared
+
+            for best in best_rows(parts(), key, k, len(b.ids)):
+                yield pa.RecordBatch.from_arrays([pa.array(b.ids[best.column(0).to_numpy()]), *best.columns[1:]], names=["query_id", *key, "kw"])
 
         return rows.select(*key, "words").mapInArrow(run, schema)
 
@@ -124,7 +122,7 @@ def keyword_top_k(rows: DataFrame, key: list[str], queries: DataFrame, weights:
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", *key, "rank", "kw")
 
 
-def hybrid_top_k(rows: DataFrame, key: list[str], queries: DataFrame, weights: DataFrame, avgdl: float, vec_weight: float, kw_weight: float, threshold: float, k: int) -> DataFrame:
+def hybrid_top_k(rows: DataFrame, key: list[str], queries: DataFrame, weights: DataFrame, avgdl: float, vec_weight: float, kw_weight: float, threshold: float, k: int, metric: str = "cosine") -> DataFrame:
     """``query_id``, key, ``rank, score, vec_score, kw_score``: the k best of all rows at or above the threshold.
 
     rows: key, ``words, embedding``. Keyword scores are scaled to 0..1 over all rows of a query: a first pass finds their range.
@@ -155,15 +153,21 @@ def hybrid_top_k(rows: DataFrame, key: list[str], queries: DataFrame, weights: D
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             b = held.value
             flat = np.where(b.span > 1e-6, b.span, np.inf)[:, None]
-            for part in _slices(batches):
-                raw = np.maximum(_keyword_scores(b, part.column(len(key)).to_pylist(), avgdl)[0], 0.0)
-                kw = (raw - b.low[:, None]) / flat
-                m = np.array([v if v is not None else [0.0] * b.vectors.shape[1] for v in part.column(len(key) + 1).to_pylist()], dtype=np.float64)
-                vec = np.round(b.vectors @ _unit(m).T, 9)
-                score = np.round(vec * vec_weight + kw * kw_weight, 9)
-                q, r = _reaching(score, score >= threshold, k)
-                values = (score[q, r], vec[q, r], kw[q, r])
-                yield pa.RecordBatch.from_arrays([pa.array(b.ids[q]), *(c.take(pa.array(r)) for c in part.columns[: len(key)]), *map(pa.array, values)], names=["query_id", *key, "score", "vec_score", "kw_score"])
+
+            def parts():
+                for part in _slices(batches):
+                    raw = np.maximum(_keyword_scores(b, part.column(len(key)).to_pylist(), avgdl)[0], 0.0)
+                    kw = (raw - b.low[:, None]) / flat
+                    m = np.array([v if v is not None else [0.0] * b.vectors.shape[1] for v in part.column(len(key) + 1).to_pylist()], dtype=np.float64)
+                    vec = b.vectors @ _unit(m).T
+                    if metric == "l2":
+                        vec = 1 / (1 + np.sqrt(np.maximum(0.0, 2 - 2 * vec)) + 1e-6)
+                    vec = np.round(vec, 9)
+                    score = np.round(vec * vec_weight + kw * kw_weight, 9)
+                    yield part.columns[: len(key)], {"score": score, "vec_score": vec, "kw_score": kw}, score >= threshold
+
+            for best in best_rows(parts(), key, k, len(b.ids)):
+                yield pa.RecordBatch.from_arrays([pa.array(b.ids[best.column(0).to_numpy()]), *best.columns[1:]], names=["query_id", *key, "score", "vec_score", "kw_score"])
 
         return chosen.mapInArrow(run, schema)
 

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.vectors import dot
-from .search import _unit
+from ..sources.stored import kept
+from .search import QUERY_BLOCK_BYTES, _unit, best_rows
 
 
 def fit_cells(vectors: DataFrame, n_cells: int, sample_rows: int = 20_000, rounds: int = 15, seed: int = 1) -> np.ndarray:
@@ -49,9 +49,52 @@ def assign_cells(vectors: DataFrame, key: list[str], centres: np.ndarray, probes
     return vectors.select(*key, "embedding").mapInArrow(run, f"{schema}, embedding array<double>, cell int")
 
 
-def search_cells(index: DataFrame, key: list[str], probed: DataFrame, k: int) -> DataFrame:
-    """``query_id``, key, ``rank, score``: an equi-join on the cell, then a ranking. probed: ``query_id, embedding, cell``."""
-    q = probed.select("query_id", F.col("embedding").alias("q"), "cell")
-    scored = index.join(q, "cell").select("query_id", *key, F.round(dot(F.col("embedding"), F.col("q")), 9).alias("score"))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), *key))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+def search_cells(index: DataFrame, key: list[str], probed: DataFrame, k: int, by: list[str] | None = None) -> DataFrame:
+    """by (``query_id``), key, ``rank, score``: the k rows with the highest cosine of those in the cells that a query probes.
+
+    probed: by, ``embedding, cell``. Queries are broadcast in blocks of bounded size, each task takes a matrix product of a cell's rows with
+    the queries that probe it, and keeps its own k best; rows of other cells aren't read where the index is sorted by cell.
+    """
+    by = by or ["query_id"]
+    queries = kept(probed.groupBy(*by).agg(F.first("embedding").alias("embedding"), F.collect_set("cell").alias("cells")))
+    n, dim = queries.count(), len((queries.select("embedding").first() or [[]])[0])
+    blocks = max(1, -(-8 * n * dim // QUERY_BLOCK_BYTES))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in [*queries.select(*by).schema, *index.select(*key).schema])
+    found = None
+    for block in range(blocks):
+        own = (queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(*by), F.lit(blocks)) == block)).toPandas()
+        part = _searched(index, key, own, k, by, schema)
+        found = part if found is None else found.unionByName(part)
+    rank = F.row_number().over(W.partitionBy(*by).orderBy(F.desc("score"), *key))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select(*by, *key, "rank", "score")
+
+
+def _searched(index: DataFrame, key: list[str], queries, k: int, by: list[str], schema: str) -> DataFrame:
+    ids, q = [queries[c].to_numpy() for c in by], np.array(queries["embedding"].tolist(), dtype=np.float64).reshape(len(queries), -1)
+    probing: dict[int, list[int]] = {}
+    for i, cells in enumerate(queries["cells"]):
+        for c in cells:
+            probing.setdefault(int(c), []).append(i)
+    held = index.sparkSession.sparkContext.broadcast((ids, q, {c: np.array(x) for c, x in probing.items()}))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q, probing = held.value
+
+        def parts():
+            for batch in batches:
+                cells = batch.column(len(key)).to_numpy()
+                for c in np.unique(cells).tolist():
+                    if c not in probing:
+                        continue
+                    own = np.flatnonzero(cells == c)
+                    m = np.array(batch.column(len(key) + 1).take(pa.array(own)).to_pylist(), dtype=np.float64)
+                    score = np.full((len(q), len(own)), -np.inf)
+                    score[probing[c]] = np.round(q[probing[c]] @ m.T, 9)
+                    yield [x.take(pa.array(own)) for x in batch.columns[: len(key)]], {"score": score}, score > -np.inf
+
+        for rows in best_rows(parts(), key, k, len(q)):
+            at = rows.column(0).to_numpy()
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[at]) for x in ids), *rows.columns[1:]], names=[*by, *key, "score"])
+
+    cells = index if len(probing) > 1000 else index.where(F.col("cell").isin(*probing))
+    return cells.select(*key, "cell", "embedding").mapInArrow(run, f"{schema}, score double")

@@ -15,6 +15,11 @@ def postings(rows: DataFrame, key: list[str], text: str = "content") -> DataFram
     return rows.select(*key, F.explode(tokens(F.col(text))).alias("term")).groupBy(*key, "term").agg(F.count("*").alias("tf"))
 
 
+def postings_of_words(rows: DataFrame, key: list[str], words: str = "words") -> DataFrame:
+    """key, ``term, tf`` of rows that have their words."""
+    return rows.select(*key, F.explode(words).alias("term")).groupBy(*key, "term").agg(F.count("*").alias("tf"))
+
+
 def doc_lengths(posts: DataFrame, key: list[str]) -> DataFrame:
     return posts.groupBy(*key).agg(F.sum("tf").alias("dl"))
 

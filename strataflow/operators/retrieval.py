@@ -2,33 +2,46 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import cache_key, tokens
+from ..functions.vectors import l2_score
 from ..plans.config import Config
+from ..sources.stored import kept
 from . import exhaustive, keyword, search
-from .tree import kept
+from .index import assign_cells, search_cells
 
 
 @dataclass(frozen=True)
 class Index:
-    """chunks: key, ``words, embedding`` and further columns; posts: key, ``term, tf``; doc_len: key, ``dl``; term_stats: ``term, df, idf``."""
+    """chunks: key, ``words, embedding`` and further columns; posts: key, ``term, tf``; doc_len: key, ``dl``; term_stats: ``term, df, idf``.
+
+    The last three are null where there are no keywords. cells: key, ``embedding, cell``, with the cells' centres, where an index has them.
+    """
 
     key: list[str]
     chunks: DataFrame
-    posts: DataFrame
-    doc_len: DataFrame
-    term_stats: DataFrame
+    posts: DataFrame | None
+    doc_len: DataFrame | None
+    term_stats: DataFrame | None
+    cells: DataFrame | None = None
+    centres: np.ndarray | None = None
+
+
+#: Rows with key columns and a column of words to the same key with ``embedding array<double>``: (rows, key, words, dimension).
+Embedder = Callable[[DataFrame, list[str], str, int], DataFrame]
 
 
-def index_of(chunks: DataFrame, key: list[str], dim: int, text: str = "content") -> Index:
+def index_of(chunks: DataFrame, key: list[str], dim: int, text: str = "content", embed: Embedder = search.hash_embeddings) -> Index:
     """An index of the chunks, with their other columns, each table computed once."""
     words = chunks.withColumn("words", tokens(F.col(text)))
-    embedded = kept(search.hash_embeddings(words, words.columns, "words", dim))
+    embedded = kept(embed(words, words.columns, "words", dim))
     posts = kept(embedded.select(*key, F.explode("words").alias("term")).groupBy(*key, "term").agg(F.count("*").alias("tf")))
     stats = keyword.term_stats(posts, embedded.agg(F.count("*").cast("double").alias("n")))
     return Index(key, embedded, posts, keyword.doc_lengths(posts, key), kept(stats))
@@ -56,37 +69,44 @@ def terms_of(subs: DataFrame) -> DataFrame:
     return subs.select("query_id", "sub_idx", F.explode("words").alias("term")).groupBy("query_id", "sub_idx", "term").agg(F.count("*").alias("qtf"))
 
 
-def fused_hits(index: Index, subs: DataFrame, config: Config) -> DataFrame:
-    """The candidates of all sub-queries, fused."""
-    by = ["query_id", "sub_idx"]
-    vectors = search.hash_embeddings(subs, by, "words", config.embed_dim)
-    return kept(search.fuse(search.exact_top_k(index.chunks, index.key, vectors, 25 * config.top_k, by), index.key))
+def fused_hits(index: Index, subs: DataFrame, config: Config, embed: Embedder = search.hash_embeddings) -> DataFrame:
+    """The candidates of all sub-queries, fused: of all rows, or of the cells that a sub-query probes where the index has cells."""
+    by, k = ["query_id", "sub_idx"], 25 * config.top_k
+    vectors = embed(subs, by, "words", config.embed_dim)
+    if index.cells is None:
+        hits = search.exact_top_k(index.chunks, index.key, vectors, k, by)
+    else:
+        hits = search_cells(index.cells, index.key, assign_cells(vectors, by, index.centres, config.ivf_nprobe), k, by)
+    if config.metric == "l2":
+        hits = hits.withColumn("score", F.round(l2_score(F.col("score")), 9))
+    return kept(search.fuse(hits, index.key))
 
 
-def hybrid_search(index: Index, subs: DataFrame, config: Config, use_rerank: bool = True) -> DataFrame:
+def hybrid_search(index: Index, subs: DataFrame, config: Config, use_rerank: bool = True, parity: bool = False, embed: Embedder = search.hash_embeddings) -> DataFrame:
     """``query_id``, key, ``rank, score, vec_score, kw_score`` (null where keywords don't count).
 
     Without use_rerank all fused rows are returned by their fused score, without threshold or limit. Without a weight on keywords the
-    score is that of the vectors.
+    score is that of the vectors, or with parity the fused one, which the threshold is held against then. An index without keywords is
+    searched by vectors alone.
     """
-    fused = fused_hits(index, subs, config)
+    fused = fused_hits(index, subs, config, embed)
     if not use_rerank:
         return search.by_fusion(fused, index.key)
-    if config.kw_weight == 0:
-        return search.by_vector(fused, index.key, config.threshold, config.top_k)
+    if config.kw_weight == 0 or index.posts is None:
+        return search.by_vector(fused, index.key, config.threshold, config.top_k, parity and config.kw_weight == 0)
     asked = kept(terms_of(subs))
     stats = index.term_stats.join(asked.select("term").distinct(), "term", "left_semi")
     kw = keyword.bm25(fused, index.posts, stats, index.doc_len, asked, index.key, index.doc_len.agg(F.avg("dl").alias("avgdl")))
     return search.rerank(fused, kw, index.key, config.vec_weight, config.kw_weight, config.threshold, config.top_k)
 
 
-def ideal_search(index: Index, queries: DataFrame, config: Config) -> DataFrame:
+def ideal_search(index: Index, queries: DataFrame, config: Config, embed: Embedder = search.hash_embeddings) -> DataFrame:
     """The best of all chunks for each query, none left out by a candidate search."""
     subs = sub_queries(queries)
-    vectors = search.hash_embeddings(subs, ["query_id"], "words", config.embed_dim)
+    vectors = embed(subs, ["query_id"], "words", config.embed_dim)
     weights = kept(terms_of(subs).join(index.term_stats, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight")))
     avgdl = index.doc_len.agg(F.avg("dl")).first()[0] or 0.0
-    return exhaustive.hybrid_top_k(index.chunks, index.key, vectors, weights, avgdl, config.vec_weight, config.kw_weight, config.threshold, config.top_k)
+    return exhaustive.hybrid_top_k(index.chunks, index.key, vectors, weights, avgdl, config.vec_weight, config.kw_weight, config.threshold, config.top_k, config.metric)
 
 
 def encode(rows: DataFrame, cache: DataFrame, model: str, dim: int, text: str = "text") -> tuple[DataFrame, DataFrame]:

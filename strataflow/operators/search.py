@@ -62,28 +62,96 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, n, out=m.copy(), where=n > 0)
 
 
+def best_rows(parts: Iterator[tuple[list[pa.Array], dict[str, np.ndarray], np.ndarray | None]], key: list[str], k: int, n_queries: int) -> Iterator[pa.RecordBatch]:
+    """The k best rows of each query over all parts of a task: ``q`` (the query's place), key and the values.
+
+    A part has the key columns of its rows, values (query x row), the first of which is the score, and which rows count for which query.
+    Ties are in order of the further values, then of the key. What is held stays within a few times k rows for each query.
+    """
+    held, size, least, order = [], 0, np.full(n_queries, -np.inf), []
+
+    def pruned() -> pa.Table:
+        rows = pa.concat_tables(held).sort_by(order)
+        q = rows.column("q").to_numpy()
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        rows, q, score = rows.filter(pa.array(place < k)), q[place == k - 1], rows.column(order[1][0]).to_numpy()[place == k - 1]
+        least[q] = score
+        return rows
+
+    for columns, values, counts in parts:
+        score = next(iter(values.values()))
+        order = [("q", "ascending"), *((n, "descending") for n in values), *((c, "ascending") for c in key)]
+        ok = score >= least[:, None] if counts is None else counts & (score >= least[:, None])
+        if score.shape[1] > k:
+            # Of the part's own rows, too, only those that reach its k-th best can be among the best.
+            last = score.shape[1] - k
+            ok &= score >= np.partition(np.where(ok, score, -np.inf), last, axis=1)[:, last][:, None]
+        q, r = np.nonzero(ok)
+        take = pa.array(r)
+        held.append(pa.table([pa.array(q), *(c.take(take) for c in columns), *(pa.array(v[q, r]) for v in values.values())], names=["q", *key, *values]))
+        size += len(q)
+        if size > 4 * k * n_queries + 50_000:
+            held[:] = [pruned()]
+            size = held[0].num_rows
+    if held:
+        yield from pruned().combine_chunks().to_batches(max_chunksize=10_000)
+
+
+def _schema(*columns) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in columns)
+
+
 def _block_top_k(vectors: DataFrame, key: list[str], block: DataFrame, k: int, by: list[str]) -> DataFrame:
     queries = block.toPandas()  # bounded by QUERY_BLOCK_BYTES
     ids = [queries[c].to_numpy() for c in by]
     q = _unit(np.array(queries["embedding"].tolist(), dtype=np.float64)) if len(queries) else np.zeros((0, 1))
     held = vectors.sparkSession.sparkContext.broadcast((ids, q))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in [*block.select(*by).schema, *vectors.select(*key).schema])
+    schema = _schema(*block.select(*by).schema, *vectors.select(*key).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = held.value
-        for batch in batches:
-            if not batch.num_rows or not len(q):
-                continue
-            m = _unit(np.array(batch.column(len(key)).to_pylist(), dtype=np.float64))
-            s = np.round(q @ m.T, 9)
-            # All that reach the k-th best score, so that ties are settled by the key later.
-            kth = np.partition(s, max(0, s.shape[1] - k), axis=1)[:, max(0, s.shape[1] - k)]
-            a, b = np.nonzero(s >= kth[:, None])
-            yield pa.RecordBatch.from_arrays([*(pa.array(c[a]) for c in ids), *(c.take(pa.array(b)) for c in batch.columns[: len(key)]), pa.array(s[a, b])], names=[*by, *key, "score"])
+
+        def parts():
+            for batch in batches:
+                for at in range(0, batch.num_rows if len(q) else 0, 2048):
+                    part = batch.slice(at, 2048)
+                    m = _unit(np.array(part.column(len(key)).to_pylist(), dtype=np.float64))
+                    yield part.columns[: len(key)], {"score": np.round(q @ m.T, 9)}, None
+
+        for rows in best_rows(parts(), key, k, len(q)):
+            at = rows.column(0).to_numpy()
+            yield pa.RecordBatch.from_arrays([*(pa.array(c[at]) for c in ids), *rows.columns[1:]], names=[*by, *key, "score"])
 
     return vectors.select(*key, "embedding").mapInArrow(run, f"{schema}, score double")
 
 
+def best_dot(vectors: DataFrame, key: list[str], queries: DataFrame, group: str) -> DataFrame:
+    """key, ``best``: for each row the greatest dot product with a query of its group; rows whose group has none are left out.
+
+    queries: group and ``embedding``; they are broadcast in blocks of bounded size, so a group may have any share of the rows.
+    """
+    n, dim = queries.count(), len((queries.select("embedding").first() or [[]])[0])
+    blocks, found = max(1, -(-8 * n * dim // QUERY_BLOCK_BYTES)), None
+    for block in range(blocks):
+        own = (queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("embedding"), F.lit(blocks)) == block)).toPandas()
+        by_group = {g: np.array(rows["embedding"].tolist(), dtype=np.float64) for g, rows in own.groupby(group)}
+        held = vectors.sparkSession.sparkContext.broadcast(by_group)
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                groups, best = batch.column(len(key)).to_pylist(), np.full(batch.num_rows, -np.inf)
+                for g in set(groups) & set(held.value):
+                    rows = np.flatnonzero([x == g for x in groups])
+                    m = np.array(batch.column(len(key) + 1).take(pa.array(rows)).to_pylist(), dtype=np.float64)
+                    best[rows] = (m @ held.value[g].T).max(axis=1)
+                keep = pa.array(np.flatnonzero(best > -np.inf))
+                yield pa.RecordBatch.from_arrays([*(c.take(keep) for c in batch.columns[: len(key)]), pa.array(best).take(keep)], names=[*key, "best"])
+
+        part = vectors.select(*key, F.col(group).alias("_group"), "embedding").mapInArrow(run, f"{_schema(*vectors.select(*key).schema)}, best double")
+        found = part if found is None else found.unionByName(part)
+    return found if blocks == 1 else found.groupBy(*key).agg(F.max("best").alias("best"))
+
+
 def fuse(hits: DataFrame, key: list[str], k0: int = 60) -> DataFrame:
     """Reciprocal rank fusion over ``query_id, sub_idx``, key, ``rank`` (from 1), ``score``.
 

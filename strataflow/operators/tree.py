@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..sources.stored import kept
 from .search import hash_embeddings
 
 
@@ -82,15 +83,3 @@ def _level_function(depth: int, summarise: Callable[[list[str]], str], max_clust
         return pd.DataFrame(rows, columns=["doc_id", "level", "node", "at", "content", "children"])
 
     return summarised
-
-
-def kept(df: DataFrame) -> DataFrame:
-    """df computed once, in the folder that the session names for checkpoints (a temporary one where it names none)."""
-    sc = df.sparkSession.sparkContext
-    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
-        import tempfile
-
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="strataflow-"))
-    elif not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir"))
-    return df.checkpoint()

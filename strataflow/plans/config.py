@@ -3,57 +3,75 @@
 from __future__ import annotations
 
 import json
+import warnings
 from dataclasses import asdict, dataclass, fields, replace
 
 INDEX_TYPES, METRICS = ("Flat", "IVF", "HNSW"), ("cosine", "l2")
-#: A change of one of these asks for a new index; others apply at once.
-REBUILD = ("index_type", "metric", "embed_dim", "chunk_size", "enable_tree", "tree_max_clusters", "hnsw_m", "hnsw_ef_con", "ivf_nlist", "embed_model", "use_code_space")
+
+# Public names of settings that have no effect here, as Spark does or doesn't need what they are about.
+#   A search of index type HNSW goes over all rows, in blocks: it gives what a graph approximates, so a graph's settings don't matter.
+#   Models, their clients, caches, folders, devices and threads belong to the session and to the functions that are passed in.
+GRAPH = ("hnsw_m", "hnsw_ef_con", "hnsw_ef")
+OTHERS = ("llm_api_key", "llm_base_url", "llm_model_name", "embed_model_source", "embed_len", "batch_size", "unstructured_strategy", "storage", "cache", "data", "mode_dir", "use_gpu", "threads")
 
 
 @dataclass(frozen=True)
 class Config:
-    mode_name: str = "default"
+    """Names and defaults are fixed values, as blueprints have them."""
+
+    # what chunks are made of
+    proc_chunk_token_size: int = 256
+    proc_enable_raptor: bool = False
+    proc_raptor_max_clusters: int = 10
+    use_code_space: bool = True
+    # what stands for a chunk
+    embed_model: str = "hash"
+    embed_dim: int = 64
+    # how rows are found
     index_type: str = "HNSW"
     metric: str = "cosine"
-    hnsw_m: int = 64
-    hnsw_ef_con: int = 200
-    hnsw_ef: int = 128
     ivf_nlist: int = 100
     ivf_nprobe: int = 10
-    embed_model: str = "hash"
-    embed_dim: int = 64
+    # how they are ranked
     vec_weight: float = 0.8
     kw_weight: float = 0.2
     top_k: int = 5
     threshold: float = 0.6
-    chunk_size: int = 256
-    enable_tree: bool = False
-    tree_max_clusters: int = 10
-    use_code_space: bool = True
+    mode_name: str = "default"
 
     def __post_init__(self) -> None:
         if abs(self.vec_weight + self.kw_weight - 1) > 1e-6 or not 0 <= self.vec_weight <= 1:
             raise ValueError("the weights must be between 0 and 1 and sum to 1")
         if self.index_type not in INDEX_TYPES or self.metric not in METRICS:
             raise ValueError(f"index_type is one of {INDEX_TYPES}, metric of {METRICS}")
-        if self.top_k < 1 or self.chunk_size < 1:
-            raise ValueError("top_k and chunk_size must be positive")
+        if min(self.top_k, self.proc_chunk_token_size, self.embed_dim, self.ivf_nlist, self.ivf_nprobe, self.proc_raptor_max_clusters) < 1:
+            raise ValueError("counts and sizes must be positive")
 
     def to_json(self) -> str:
         return json.dumps(asdict(self), indent=2, ensure_ascii=False)
 
     @classmethod
     def from_json(cls, text: str) -> Config:
-        """Unknown names are left out."""
+        """A blueprint. Settings without effect here are left out, and so are unknown names, which give a warning."""
+        given = json.loads(text)
         known = {f.name for f in fields(cls)}
-        return cls(**{k: v for k, v in json.loads(text).items() if k in known})
+        if unknown := sorted(set(given) - known - {*GRAPH, *OTHERS}):
+            warnings.warn(f"unknown settings: {', '.join(unknown)}", stacklevel=2)
+        return cls(**{k: v for k, v in given.items() if k in known})
 
     def updated(self, **changes) -> Config:
         return replace(self, **changes)
 
 
+def rebuild_names(config: Config) -> tuple[str, ...]:
+    """The settings whose change asks for a new index; others apply at once."""
+    cells = ("ivf_nlist",) if config.index_type == "IVF" else ()
+    trees = ("proc_raptor_max_clusters",) if config.proc_enable_raptor else ()
+    return ("index_type", "embed_model", "embed_dim", "proc_chunk_token_size", "proc_enable_raptor", "use_code_space", *cells, *trees)
+
+
 def update_plan(loaded: Config | None, new: Config) -> str:
-    """``rebuild`` or ``hot``."""
-    if loaded is None or any(getattr(loaded, f) != getattr(new, f) for f in REBUILD):
+    """``rebuild`` or ``hot``. Both metrics rank unit vectors alike, so that a change of metric applies at once."""
+    if loaded is None or any(getattr(loaded, f) != getattr(new, f) for f in rebuild_names(new)):
         return "rebuild"
     return "hot"

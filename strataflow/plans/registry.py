@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import chunking, context, evaluation, exhaustive, index, keyword, retrieval, search, tree
+from ..operators import chunking, context, evaluation, exhaustive, index, keyword, retrieval, search, tables, tree
 from ..sources import files
+from ..sources.stored import kept, shared_dir
 from . import sql as S
 from .config import Config
 
@@ -117,6 +119,11 @@ def _chunks(spark, sf) -> DataFrame:
     return chunking.chunk_documents(_t(spark, sf, "documents"))
 
 
+def _worded(spark, sf) -> DataFrame:
+    """Chunks as their words, computed once for several statistics."""
+    return kept(_chunks(spark, sf).select(*KEY, T.tokens(F.col("content")).alias("words")))
+
+
 @query(S.recursive(S.CHUNKS) + " SELECT doc_id, sequence, doc_id || '_text_' || sequence AS chunk_id_str, content FROM chunks")
 def chunk_greedy(spark, sf):
     return _chunks(spark, sf)
@@ -196,23 +203,51 @@ def txt_numbers(spark, sf):
 # --- tables ---
 
 
-@query("SELECT n_nationkey AS sequence, 'nation_table0_row_' || n_nationkey AS chunk_id_str, '关于“nation”中的一个表格数据记录: n_name是“' || n_name || '”, r_name是“' || r_name || '”, suppliers是“' || (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) || '”。' AS content FROM nation JOIN region ON n_regionkey = r_regionkey")
+_ROWS = "SELECT \'orders\' AS doc_id, row_number() OVER (ORDER BY o_orderkey) - 1 AS sequence, 0 AS level, \'关于“orders”中的一个表格数据记录: o_orderkey是“\' || o_orderkey || \'”, o_orderstatus是“\' || o_orderstatus || \'”, o_orderpriority是“\' || coalesce(nullif(o_orderpriority, \'5-LOW\'), \'未提供\') || \'”。\' AS content FROM orders"
+
+
+@query(f"SELECT *, 'orders_table0_row_' || sequence AS chunk_id_str FROM ({_ROWS})")
 def table_row_chunks(spark, sf):
-    n = _t(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count("*").alias("suppliers"))
-    rows = _t(spark, sf, "nation").join(_t(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).join(n, "n_nationkey", "left")
-    cells = {"n_name": F.col("n_name"), "r_name": F.col("r_name"), "suppliers": F.coalesce("suppliers", F.lit(0))}
-    return rows.select(F.col("n_nationkey").alias("sequence"), F.concat(F.lit("nation_table0_row_"), F.col("n_nationkey").cast("string")).alias("chunk_id_str"), T.row_sentence("nation", cells).alias("content"))
+    """Every order as a sentence; the lowest priority counts as missing."""
+    rows = _t(spark, sf, "orders").withColumn("o_orderpriority", F.nullif("o_orderpriority", F.lit("5-LOW")))
+    return tables.row_chunks(rows, "orders", ["o_orderkey"], ["o_orderkey", "o_orderstatus", "o_orderpriority"])
+
+
+@query(
+    "SELECT 'nation' AS doc_id, 0::BIGINT AS sequence, -1 AS level, 'nation_table0_summary_0' AS chunk_id_str, '表格“nation”有' || count(*) || '行, 列为: n_nationkey, n_name, n_regionkey。' || chr(10) || chr(10) || '--- 技术元数据 ---' || chr(10) || '来源: 提取自文档''nation''的第1个表格' || chr(10) || '表格结构(Schema): n_nationkey, n_name, n_regionkey' || chr(10) || '数据样本:' || chr(10) || "
+    "string_agg('n_nationkey: ' || n_nationkey || ', n_name: ' || n_name || ', n_regionkey: ' || n_regionkey, chr(10) ORDER BY n_nationkey) FILTER (n_nationkey < 3) AS content FROM nation"
+)
+def table_summary_chunk(spark, sf):
+    return tables.table_chunks(_t(spark, sf, "nation"), "nation", ["n_nationkey"])
+
+
+@query("SELECT c_custkey, c_name, c_nationkey, round(c_acctbal, 2) AS c_acctbal, c_mktsegment FROM customer")
+def table_from_csv(spark, sf):
+    """The customers, written as CSV files and read as a table again."""
+    path = f"{shared_dir(spark).rstrip('/')}/csv-{uuid.uuid4().hex}"
+    _t(spark, sf, "customer").write.csv(path, header=True, escape='"')
+    rows = files.read_table(spark, path)
+    return rows.select(F.col("c_custkey").cast("long").alias("c_custkey"), "c_name", F.col("c_nationkey").cast("int").alias("c_nationkey"), F.round(F.col("c_acctbal").cast("double"), 2).alias("c_acctbal"), "c_mktsegment")
 
 
-_QUESTION = "SELECT o_orderpriority, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderpriority"
+@query("SELECT n_name AS doc_id, row_number() OVER (PARTITION BY n_name ORDER BY s_suppkey) - 1 AS sequence, 0 AS level, n_name || '_table0_row_' || (row_number() OVER (PARTITION BY n_name ORDER BY s_suppkey) - 1) AS chunk_id_str, '关于“' || n_name || '”中的一个表格数据记录: s_suppkey是“' || s_suppkey || '”, s_name是“' || s_name || '”。' AS content FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def table_files(spark, sf):
+    """Suppliers in a CSV file for each nation, which are found by their suffix and become rows of tables."""
+    path = f"{shared_dir(spark).rstrip('/')}/csv-{uuid.uuid4().hex}"
+    rows = _t(spark, sf, "supplier").join(_t(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("n_name", "s_suppkey", "s_name")
+    for name in [r["n_name"] for r in rows.select("n_name").distinct().collect()]:  # a row for each nation
+        rows.where(F.col("n_name") == name).select("s_suppkey", "s_name").orderBy("s_suppkey").coalesce(1).write.csv(f"{path}/{name}", header=True)
+    found = files.load_tables(spark, path, doc_id=r"([^/]*)/[^/]*$")
+    return tables.cell_sentences(found)
 
 
-@query(_QUESTION)
+_QUESTION = "SELECT o_orderpriority, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey GROUP BY o_orderpriority"
+
+
+@query("WITH l AS (SELECT l_orderkey, count(*) AS k, sum(l_extendedprice * (1 - l_discount)) AS r FROM lineitem GROUP BY 1) SELECT o_orderpriority, sum(k)::BIGINT AS n, round(sum(r), 2) AS revenue FROM orders JOIN l ON o_orderkey = l_orderkey GROUP BY 1")
 def table_question(spark, sf):
-    """A question's SQL over temporary views of the tables."""
-    for name in ("orders", "lineitem"):
-        _t(spark, sf, name).createOrReplaceTempView(name)
-    return spark.sql(_QUESTION)
+    """A question's SQL over the tables that it names."""
+    return tables.answer_by_sql(_QUESTION, orders=_t(spark, sf, "orders"), lineitem=_t(spark, sf, "lineitem"))
 
 
 @query("SELECT o_orderstatus, count(*) AS n, count(DISTINCT o_custkey) AS customers, min(o_totalprice) AS low, max(o_totalprice) AS high, round(avg(o_totalprice), 4) AS mean FROM orders GROUP BY ALL")
@@ -224,8 +259,9 @@ def table_summary(spark, sf):
 # --- tokens, keyword statistics, BM25 ---
 
 
-def _posts(spark, sf) -> DataFrame:
-    return keyword.postings(_chunks(spark, sf), KEY)
+def _posts(chunks: DataFrame) -> DataFrame:
+    """Postings of chunks as words, computed once."""
+    return kept(keyword.postings_of_words(chunks, KEY))
 
 
 def _counts(chunks: DataFrame) -> DataFrame:
@@ -240,18 +276,18 @@ def tok_words(spark, sf):
 
 @query(S.recursive(S.CHUNKS, S.KEYWORDS) + " SELECT doc_id, sequence, term, tf FROM tf")
 def kw_postings(spark, sf):
-    return _posts(spark, sf)
+    return keyword.postings(_chunks(spark, sf), KEY)
 
 
 @query(S.recursive(S.CHUNKS, S.KEYWORDS) + " SELECT term, df, round(idf, 6) AS idf FROM stats")
 def kw_term_stats(spark, sf):
-    chunks = _chunks(spark, sf)
-    return keyword.term_stats(keyword.postings(chunks, KEY), _counts(chunks)).select("term", "df", F.round("idf", 6).alias("idf"))
+    chunks = _worded(spark, sf)
+    return keyword.term_stats(_posts(chunks), _counts(chunks)).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(S.recursive(S.CHUNKS, S.KEYWORDS) + " SELECT count(*) AS n_chunks, sum(dl)::BIGINT AS n_words, round(avg(dl), 6) AS avgdl, max(dl)::BIGINT AS longest FROM lens")
 def kw_lengths(spark, sf):
-    lens = keyword.doc_lengths(_posts(spark, sf), KEY)
+    lens = keyword.doc_lengths(keyword.postings(_chunks(spark, sf), KEY), KEY)
     return lens.agg(F.count("*").alias("n_chunks"), F.sum("dl").alias("n_words"), F.round(F.avg("dl"), 6).alias("avgdl"), F.max("dl").alias("longest"))
 
 
@@ -264,15 +300,15 @@ def _statistics(posts: DataFrame, chunks: DataFrame, query_terms: DataFrame) ->
     """``query_id, term, weight`` for the terms that are asked, and the mean length of chunks with terms."""
     stats = keyword.term_stats(posts, _counts(chunks)).select("term", "idf")
     weights = query_terms.join(stats, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"))
-    return tree.kept(weights), keyword.doc_lengths(posts, KEY).agg(F.avg("dl")).first()[0] or 0.0
+    return kept(weights), keyword.doc_lengths(posts, KEY).agg(F.avg("dl")).first()[0] or 0.0
 
 
 @query(S.recursive(S.CHUNKS, S.KEYWORDS, S.QUERY_TERMS, S.BM25) + ", r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(kw, 6) DESC, doc_id, sequence) AS rank FROM kw) SELECT query_id, doc_id, sequence, rank, round(kw, 6) AS kw FROM r WHERE rank <= 10")
 def kw_bm25_top10(spark, sf):
-    chunks = _chunks(spark, sf).select(*KEY, "content")
-    weights, avgdl = _statistics(keyword.postings(chunks, KEY), chunks, _query_terms(spark, sf))
+    chunks = _worded(spark, sf)
+    weights, avgdl = _statistics(_posts(chunks), chunks, _query_terms(spark, sf))
     queries = _t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.lit(None).cast("array<double>").alias("embedding"))
-    return exhaustive.keyword_top_k(chunks.select(*KEY, T.tokens(F.col("content")).alias("words")), KEY, queries, weights, avgdl, 10)
+    return exhaustive.keyword_top_k(chunks, KEY, queries, weights, avgdl, 10)
 
 
 @query(
@@ -280,8 +316,8 @@ def kw_bm25_top10(spark, sf):
     + ", w AS (SELECT query_id, term, round(qtf * idf, 6) AS weight FROM qtf JOIN stats USING (term)), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, term) AS rank FROM w) SELECT query_id, string_agg(term, ' ' ORDER BY rank) AS expansion FROM r WHERE rank <= 5 GROUP BY query_id"
 )
 def qx_keyword_expansion(spark, sf):
-    chunks = _chunks(spark, sf)
-    stats = keyword.term_stats(keyword.postings(chunks, KEY), _counts(chunks))
+    chunks = _worded(spark, sf)
+    stats = keyword.term_stats(_posts(chunks), _counts(chunks))
     best = keyword.keywords(_query_terms(spark, sf).withColumnRenamed("qtf", "tf"), stats, ["query_id"])
     terms = F.array_sort(F.collect_list(F.struct("rank", "term")))
     return best.groupBy("query_id").agg(F.array_join(F.transform(terms, lambda x: x["term"]), " ").alias("expansion"))
@@ -339,10 +375,10 @@ def vec_stats(spark, sf):
     "WITH p AS (SELECT v.vec_id, q.label, sum(0) OVER () AS z, v.embedding AS e, q.embedding AS qe FROM embeddings v JOIN embeddings q ON v.label = q.label AND q.vec_id % 50 = 0), s AS (SELECT vec_id, label, round(max(list_inner_product(e::DOUBLE[], qe::DOUBLE[])), 6) AS best FROM p GROUP BY ALL) SELECT vec_id, label, best FROM s"
 )
 def vec_best_in_label(spark, sf):
-    """For each row the best dot product with a query of its label: the queries join on the label."""
+    """For each row the best dot product with a query of its label; the queries go through in blocks, without a join."""
     vectors, _ = _vector_queries(spark, sf)
-    q = vectors.where(F.col("vec_id") % 50 == 0).select("label", F.col("embedding").alias("q"))
-    return vectors.join(q, "label").groupBy("vec_id", "label").agg(F.round(F.max(V.dot(F.col("embedding"), F.col("q"))), 6).alias("best"))
+    q = vectors.where(F.col("vec_id") % 50 == 0).select("label", "embedding")
+    return search.best_dot(vectors.select("vec_id", "label", "embedding"), ["vec_id", "label"], q, "label").withColumn("best", F.round("best", 6))
 
 
 @query()
@@ -413,6 +449,22 @@ def search_vector_only(spark, sf):
     return _rounded(_hybrid(spark, sf, Config(vec_weight=1.0, kw_weight=0.0)))
 
 
+@query(_SEARCH_SQL + " SELECT query_id, doc_id, sequence, r AS rank, 1 / (60.0 + r) AS score, vec AS vec_score, NULL::DOUBLE AS kw_score FROM hits WHERE 1 / (60.0 + r) >= 0.016 AND r <= 5")
+def search_fused_threshold(spark, sf):
+    """Without a weight on keywords, as a chain of fusion and reranking has it: the threshold is held against the fused score."""
+    config = Config(vec_weight=1.0, kw_weight=0.0, threshold=0.016)
+    return _rounded(retrieval.hybrid_search(_index(spark, sf, config), retrieval.sub_queries(_items(spark, sf)), config, parity=True))
+
+
+_L2_SQL = _SEARCH_SQL.replace("FROM hits h LEFT JOIN kw", "FROM (SELECT * REPLACE (round(1 / (1 + sqrt(greatest(0, 2 - 2 * vec)) + 1e-6), 9) AS vec) FROM hits) h LEFT JOIN kw").replace("WHERE score >= 0.6", "WHERE score >= 0.4")
+
+
+@query(_L2_SQL + " SELECT query_id, doc_id, sequence, rank, score, vec AS vec_score, round(kws, 6) AS kw_score FROM found")
+def hybrid_search_l2(spark, sf):
+    """Scores by Euclidean distance, with a threshold on their scale."""
+    return _rounded(_hybrid(spark, sf, Config(metric="l2", threshold=0.4)))
+
+
 @query(_SEARCH_SQL + " SELECT query_id, doc_id, sequence, r AS rank, round(1 / (60.0 + r), 12) AS score, vec AS vec_score, NULL::DOUBLE AS kw_score FROM hits")
 def search_without_rerank(spark, sf):
     config = Config()

@@ -2,33 +2,85 @@
 
 from __future__ import annotations
 
+import csv
+import io
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import clean
+from ..operators import tables
+from ..operators.chunking import chunk_documents
 
-# The suffixes that are read, and the codecs that are tried in turn.
-SUFFIXES = (".txt", ".md", ".pdf", ".docx", ".doc", ".xlsx", ".xls", ".csv", ".pptx", ".ppt", ".html", ".htm", ".json")
-CODECS = ("utf-8", "gb2312", "gbk", "utf_16", "ascii", "big5", "latin_1")
+# The suffixes of texts, tables and formats that need a parser of their own, and the codecs that are tried in turn.
+TEXTS, TABLES, BINARY = (".txt", ".md", ".html", ".htm", ".json"), (".csv",), (".pdf", ".docx", ".doc", ".pptx", ".ppt", ".xlsx", ".xls")
+CODECS = ("utf-8", "gb2312", "gbk", "gb18030", "utf_16", "ascii", "big5", "latin_1")
+#: Files beyond it aren't read whole: they belong into a table of their own (``spark.read.text``, ``read_table``).
+MOST_BYTES = 256 << 20
 
 
 def decode(data: bytes) -> str:
-    for codec in CODECS:
+    """By the first codec that fits; bytes with many zeros are no text in the last one."""
+    for codec in CODECS[:-1]:
         try:
             return data.decode(codec)
         except (UnicodeDecodeError, LookupError):
             continue
-    return data.decode("utf-8", errors="replace")
+    return data.decode("utf-8", errors="replace") if b"\x00" in data else data.decode(CODECS[-1])
 
 
-def load_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """``doc_id, text, path, name, size`` of all files with a known suffix under folder; those that can't be read are left out."""
+def _files(spark: SparkSession, folder: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    files = files.where(F.regexp_extract("path", r"(\.[^./]*)$", 1).isin(*SUFFIXES))
+    return files.withColumn("suffix", F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1)))
+
+
+def _doc_id() -> Column:
+    return F.regexp_replace(F.regexp_extract("path", r"([^/]*)$", 1), r"\.[^.]*$", "")
+
+
+def left_out(spark: SparkSession, folder: str) -> DataFrame:
+    """``path, reason`` of the files that neither load_documents nor load_tables reads."""
+    reason = F.when(F.col("suffix").isin(*BINARY), "its format needs a parser").when(~F.col("suffix").isin(*TEXTS, *TABLES), "unknown suffix").when(F.col("length") > MOST_BYTES, "too large")
+    return _files(spark, folder).select("path", reason.alias("reason")).where(F.col("reason").isNotNull())
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """One table of any size: a CSV file or folder of them, the first row naming the columns."""
+    return spark.read.csv(path, header=True, inferSchema=True, multiLine=False, escape='"')
+
+
+def load_tables(spark: SparkSession, folder: str, doc_id: str = r"([^/]*)\.[^./]*$") -> DataFrame:
+    """``doc_id, sequence, cells array<struct<name, value>>`` of the rows of all CSV files under folder, each with columns of its own; empty cells are null.
+
+    doc_id: a pattern of the path whose group names the document.
+    """
+    files = _files(spark, folder).where(F.col("suffix").isin(*TABLES) & (F.col("length") <= MOST_BYTES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))
+        for batch in batches:
+            for doc_id, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                lines = csv.reader(io.StringIO(decode(data).removeprefix("\ufeff"), newline=""))
+                names, rows = next(lines, []), []
+                rows = [[{"name": n, "value": row[i] if i < len(row) and row[i] else None} for i, n in enumerate(names)] for row in lines if row]
+                yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(rows), pa.string()), pa.array(range(len(rows)), pa.int64()), pa.array(rows, kind)], names=["doc_id", "sequence", "cells"])
+
+    return files.select(F.regexp_extract("path", doc_id, 1).alias("doc_id"), "content").mapInArrow(run, "doc_id string, sequence long, cells array<struct<name: string, value: string>>")
+
+
+def file_chunks(spark: SparkSession, folder: str, size: int = 256, use_code_space: bool = True) -> DataFrame:
+    """``doc_id, sequence, level, chunk_id_str, content`` of all files under folder: texts as merged pieces, tables as summaries or as rows."""
+    texts = chunk_documents(load_documents(spark, folder).select("doc_id", "text"), size).withColumn("level", F.lit(0)).withColumn("sequence", F.col("sequence").cast("long"))
+    rows = load_tables(spark, folder)
+    return texts.unionByName(tables.cell_summaries(rows) if use_code_space else tables.cell_sentences(rows))
+
+
+def load_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """``doc_id, text, path, name, size`` of all text files under folder; ``left_out`` tells which others there are."""
+    files = _files(spark, folder).where(F.col("suffix").isin(*TEXTS) & (F.col("length") <= MOST_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,4 +170,7 @@ def table_rows(elements: DataFrame, key: str = "page_id") -> DataFrame:
     """key, ``elem_idx, row_idx, column, value``: the cells of tables, the first row naming the columns."""
     tables = elements.where(F.col("kind") == "table").withColumn("rows", F.transform(F.split("text", "\n"), lambda r: F.split(r, "\t")))
     body = tables.select(key, "elem_idx", F.element_at("rows", 1).alias("names"), F.posexplode(F.slice("rows", 2, F.greatest(F.lit(0), F.size("rows") - 1))).alias("row_idx", "cells"))
-    return body.select(key, "elem_idx", "row_idx", F.explode(F.arrays_zip(F.col("names").alias("column"), F.col("cells").alias("value"))).alias("c")).select(key, "elem_idx", "row_idx", "c.*")
+    # A ragged row's missing cells are null; cells beyond the names have numbers for names.
+    width = F.greatest(F.size("names"), F.size("cells"))
+    cell = lambda i: F.struct(F.coalesce(F.get("names", i), F.concat(F.lit("column"), i.cast("string"))).alias("column"), F.get("cells", i).alias("value"))
+    return body.select(key, "elem_idx", "row_idx", F.explode(F.transform(F.sequence(F.lit(0), width - 1), cell)).alias("c")).select(key, "elem_idx", "row_idx", "c.*")

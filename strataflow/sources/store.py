@@ -7,7 +7,10 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TABLES = ("chunks", "postings", "doc_len", "term_stats", "embeddings", "meta")
+TABLES = ("chunks", "postings", "doc_len", "term_stats", "cells", "centres", "meta")
+
+#: What the registry says of an index that is no more.
+DELETED = "{}"
 
 
 class IndexStore:
@@ -42,8 +45,28 @@ class IndexStore:
         self.spark.createDataFrame(row, "name string, info string").withColumn("created", F.current_timestamp()).write.mode("append").parquet(f"{self.root}/registry")
 
     def list(self) -> DataFrame:
-        """``name, info, created``: the last entry of each name."""
+        """``name, info, created``: the last entry of each name that hasn't been deleted since."""
         entries = self._read(f"{self.root}/registry")
         if entries is None:
             return self.spark.createDataFrame([], "name string, info string, created timestamp")
-        return entries.groupBy("name").agg(F.max_by("info", "created").alias("info"), F.max("created").alias("created"))
+        last = entries.groupBy("name").agg(F.max_by("info", "created").alias("info"), F.max("created").alias("created"))
+        return last.where(F.col("info") != DELETED)
+
+    def dump(self, name: str) -> DataFrame:
+        """All chunks with their keywords' lengths: what an index holds, for a look or a copy."""
+        tables = self.load(name)
+        return tables["chunks"].drop("embedding", "words")
+
+    def delete(self, name: str) -> bool:
+        """Whether there was such an index. Its tables become empty and its registry entry is closed; files go with the next overwrite."""
+        found = {t: df for t in TABLES if (df := self._read(f"{self.root}/{name}/{t}")) is not None}
+        for table, df in found.items():
+            self.spark.createDataFrame([], df.schema).write.mode("overwrite").parquet(f"{self.root}/{name}/{table}")
+        if found:
+            entry = self.spark.createDataFrame([(name, DELETED)], "name string, info string").withColumn("created", F.current_timestamp())
+            entry.write.mode("append").parquet(f"{self.root}/registry")
+        return bool(found)
+
+    def clear(self) -> int:
+        """Deletes all indexes; their number."""
+        return sum(self.delete(r["name"]) for r in self.list().select("name").toLocalIterator())

@@ -46,7 +46,16 @@ def one(spark, column, **values):
 
 @pytest.mark.parametrize(("text", "size", "want"), [("甲甲。乙乙；丙丙", 0, ["甲甲", "乙乙", "丙丙"]), ("a" * 400 + "\n" + "b" * 400 + "\n" + "c" * 20, 256, ["a" * 400 + "b" * 400, "c" * 20]), ("no delimiters", 256, ["no delimiters"]), ("", 256, [""]), ("a" * 600 + "\n\n" + "b", 256, ["a" * 600, "", "b"])])
 def test_greedy_merge(spark, text, size, want):
-    assert one(spark, chunking.greedy_merge(F.col("t"), size), t=text) == want
+    docs = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
+    got = {r["sequence"]: r["content"] for r in chunking.chunk_documents(docs, size).collect()}
+    assert got == {i: c for i, c in enumerate(want, 1) if c.strip()}
+
+
+def test_a_long_text_in_chunks(spark):
+    """In time that grows with its length."""
+    text = "\n".join(f"line {i} of a text" for i in range(300_000))
+    chunks = chunking.chunk_documents(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    assert chunks.agg(F.sum(F.length("content"))).first()[0] == len(text.replace("\n", "")) and chunks.count() > 5000
 
 
 def test_text_functions(spark):
@@ -135,7 +144,19 @@ def test_pages_and_files(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes("héllo \n wörld".encode())
     (tmp_path / "sub/b.md").write_bytes("你好".encode("gbk"))
     (tmp_path / "c.bin").write_bytes(b"no")
+    (tmp_path / "d.pdf").write_bytes(b"%PDF-1.4 \x00")
+    (tmp_path / "t.csv").write_text('k,"v, w"\n1,"x ""y"""\n2,\n3,z,extra\n')
+    (tmp_path / "u.csv").write_text("other\n\n5\n")
     assert {r["doc_id"]: r["text"] for r in files.load_documents(spark, str(tmp_path)).collect()} == {"a": "héllo wörld", "b": "你好"}
+    assert {r["path"].split("/")[-1]: r["reason"] for r in files.left_out(spark, str(tmp_path)).collect()} == {"c.bin": "unknown suffix", "d.pdf": "its format needs a parser"}
+    cells = {(r["doc_id"], r["sequence"]): [(c["name"], c["value"]) for c in r["cells"]] for r in files.load_tables(spark, str(tmp_path)).collect()}
+    assert cells == {("t", 0): [("k", "1"), ("v, w", 'x "y"')], ("t", 1): [("k", "2"), ("v, w", None)], ("t", 2): [("k", "3"), ("v, w", "z")], ("u", 0): [("other", "5")]}
+    rows_ = {r["chunk_id_str"]: r["content"] for r in files.file_chunks(spark, str(tmp_path), use_code_space=False).collect()}
+    assert rows_.keys() == {"a_text_1", "b_text_1", "t_table0_row_0", "t_table0_row_1", "t_table0_row_2", "u_table0_row_0"} and rows_["t_table0_row_1"] == "关于“t”中的一个表格数据记录: k是“2”, v, w是“未提供”。"
+    whole = {r["chunk_id_str"]: (r["level"], r["content"]) for r in files.file_chunks(spark, str(tmp_path)).collect()}
+    assert whole["u_table0_summary_0"] == (-1, "表格“u”有1行, 列为: other。\n\n--- 技术元数据 ---\n来源: 提取自文档'u'的第1个表格\n表格结构(Schema): other\n数据样本:\nother: 5")
+    ragged = spark.createDataFrame([(1, 0, "table", "a\tb\n1\n2\t3\t4")], "page_id long, elem_idx int, kind string, text string")
+    assert [(r["row_idx"], r["column"], r["value"]) for r in files.table_rows(ragged).collect()] == [(0, "a", "1"), (0, "b", None), (1, "a", "2"), (1, "b", "3"), (1, "column2", "4")]
 
 
 def test_store_and_config(spark, tmp_path):
@@ -147,8 +168,11 @@ def test_store_and_config(spark, tmp_path):
     store.register("one", metric="cosine")
     assert store.load("one")["chunks"].count() == 3 and store.list().first()["name"] == "one"
     c = Config()
-    assert Config.from_json(c.to_json()[:-2] + ', "unknown": 1}') == c
-    assert update_plan(c, c.updated(top_k=9)) == "hot" and update_plan(c, c.updated(chunk_size=9)) == "rebuild" and update_plan(None, c) == "rebuild"
+    with pytest.warns(UserWarning, match="unknown"):
+        assert Config.from_json(c.to_json()[:-2] + ', "unknown": 1}') == c
+    blueprint = Config.from_json('{"mode_name": "m", "proc_chunk_token_size": 200, "proc_enable_raptor": true, "proc_raptor_max_clusters": 12, "use_code_space": false, "hnsw_m": 32, "llm_model_name": "x"}')
+    assert (blueprint.proc_chunk_token_size, blueprint.proc_enable_raptor, blueprint.proc_raptor_max_clusters) == (200, True, 12)
+    assert update_plan(c, c.updated(top_k=9)) == "hot" and update_plan(c, c.updated(proc_chunk_token_size=9)) == "rebuild" and update_plan(c, c.updated(metric="l2")) == "hot" and update_plan(None, c) == "rebuild"
     with pytest.raises(ValueError):
         Config(vec_weight=0.9)
 
@@ -225,7 +249,7 @@ def test_more_chunking(spark):
 def test_engine(spark, tmp_path):
     docs = spark.createDataFrame([(1, "red apples grow on trees"), (2, "blue whales swim in seas"), (3, None)], "doc_id long, text string")
     queries = spark.createDataFrame([(7, "red apples grow on trees"), (8, "zzz")], "query_id long, text string")
-    engine = Engine(spark, str(tmp_path), lambda q, texts: f"{len(texts)}: {texts[0][:3]}")
+    engine = Engine(spark, str(tmp_path), lambda q, texts: f"{len(texts)}: {texts[0].splitlines()[0]}")
     config = Config(threshold=0.7)
     engine.ensure("a", docs, config)
     with pytest.raises(FileExistsError):
@@ -234,15 +258,41 @@ def test_engine(spark, tmp_path):
     rewrites = spark.createDataFrame([(8, 1, "blue whales swim in seas"), (8, 2, "zzz")], "query_id long, place int, text string")
     assert engine.search("a", queries, rewrites=rewrites, use_rerank=False).where("query_id = 8").count() == 2
     assert engine.search("a", queries, keywords=True, threshold=0.0).where("query_id = 7").count() == 2
-    assert {r["query_id"]: r["answer"] for r in engine.ask("a", queries).collect()} == {7: "1: red", 8: NOTHING_FOUND}
+    assert {r["query_id"]: r["answer"] for r in engine.ask("a", queries).collect()} == {7: "1: 来源文档: 1", 8: NOTHING_FOUND}
     assert {r["query_id"]: r["precision_recall"] for r in engine.evaluate("a", queries).collect()} == {7: 1.0, 8: 1.0}
     assert engine.update("a", docs, config.updated(top_k=1)) == "hot" and engine.load("a")[1].top_k == 1
-    assert engine.update("a", docs, config.updated(chunk_size=9)) == "rebuild"
+    assert engine.update("a", docs, config.updated(proc_chunk_token_size=9)) == "rebuild"
     assert [r["mode"] for r in engine.compare(["a"], queries).collect()] == ["a"]
     assert [r["name"] for r in engine.missing(spark.createDataFrame([("a",), ("b",)], "name string")).collect()] == ["b"]
     assert tuple(engine.info("a").first()) == ("a", 2, 2, 64)
 
 
+def test_engine_settings_have_effect(spark, tmp_path):
+    words = [f"w{i}" for i in range(60)]
+    rng = np.random.default_rng(5)
+    docs = spark.createDataFrame([(i, "\n".join(" ".join(rng.choice(words[i % 3 * 20 : i % 3 * 20 + 20], 30)) for _ in range(12))) for i in range(12)], "doc_id long, text string")
+    queries = spark.createDataFrame([(i, " ".join(words[i * 20 : i * 20 + 8])) for i in range(3)], "query_id long, text string")
+    engine = Engine(spark, str(tmp_path))
+    config = Config(threshold=0.0, proc_chunk_token_size=100, index_type="Flat")
+    engine.build("flat", docs, config)
+    engine.build("cells", docs, config.updated(index_type="IVF", ivf_nlist=6, ivf_nprobe=6))
+    found = lambda name, **more: {(r["query_id"], r["doc_id"], r["sequence"], r["rank"]): r["vec_score"] for r in engine.search(name, queries, **more).collect()}
+    flat = found("flat")
+    assert found("cells") == flat and set(found("cells", ivf_nprobe=1)) != set()
+    l2 = found("flat", metric="l2")
+    want = {k: round(1 / (1 + math.sqrt(max(0, 2 - 2 * v)) + 1e-6), 9) for k, v in flat.items()}
+    assert all(l2[k] == pytest.approx(want[k], abs=1e-6) for k in set(l2) & set(want)) and set(l2) & set(want)
+    engine.build("trees", docs, config.updated(proc_enable_raptor=True))
+    levels = {r["level"] for r in engine.load("trees")[0].chunks.select("level").distinct().collect()}
+    assert {0, 1} <= levels and {r["level"] for r in engine.load("flat")[0].chunks.select("level").distinct().collect()} == {0}
+    index, config = engine.load("flat")
+    alone = retrieval.Index(index.key, index.chunks, None, None, None)
+    by_vectors = retrieval.hybrid_search(alone, retrieval.sub_queries(queries), config).collect()
+    assert by_vectors and all(r["kw_score"] is None and r["score"] == r["vec_score"] for r in by_vectors)
+    assert engine.delete("flat") and not engine.exists("flat") and not engine.delete("none")
+    assert sorted(r["name"] for r in engine.store.list().collect()) == ["cells", "trees"] and engine.clear() == 2 and engine.store.list().count() == 0
+
+
 def test_followed_documents(spark, tmp_path):
     source, root = str(tmp_path / "in"), str(tmp_path / "out")
     schema = "doc_id long, text string"
