@@ -132,6 +132,15 @@ def number(word: Column) -> Column:
     return F.coalesce(plain.try_cast("int"), F.try_element_at(table, F.lower(plain)), F.try_element_at(table, plain), F.lit(-1))
 
 
+def whole_number(word: str) -> int:
+    """The same for one word."""
+    said = word.strip()
+    if re.fullmatch(r"[+-]?[0-9]+", said):
+        return int(said)
+    table = {w: n for n in range(100) for w in _number_words(n)}
+    return table.get(said.lower(), table.get(said, -1))
+
+
 def char_class(char: Column) -> Column:
     """``chinese``, ``digit`` or ``letter`` for one character of these, else null."""
     return F.when(char.rlike(r"^[\x{4e00}-\x{9fa5}]$"), "chinese").when(char.rlike("^[0-9]$"), "digit").when(char.rlike("^[a-zA-Z]$"), "letter")

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import DELIMITERS, delimiter_regex, not_bullet, not_title, token_count
+from ..functions.text import DELIMITERS, delimiter_regex, not_bullet, not_title, token_count, whole_number
 
 # The families of heading patterns, each from the highest level down.
 BULLETS = (
@@ -177,58 +177,150 @@ def positions(boxes: Column) -> Column:
     return F.transform(boxes, lambda b: F.struct((b["page"] + 1).cast("int").alias("page"), *(b[c].cast("int").alias(c) for c in ("left", "right", "top", "bottom"))))
 
 
-# Headings of tables of contents, without their spaces.
-CONTENTS = r"^(contents|目录|目次|tableofcontents|致谢|acknowledge)$"
+# Headings of tables of contents, held against lines without their spaces.
+CONTENTS = r"(contents|目录|目次|table of contents|致谢|acknowledge)$"
 
 
-def without_contents(sections: DataFrame, reach: int = 128) -> DataFrame:
-    """``doc_id, at, text`` without tables of contents: a heading, and what follows up to where its first entry comes again.
+ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
 
-    The first entry is the next section that isn't blank; it comes again where a section begins with its first three characters, at most
-    reach sections on. If it doesn't, the heading and the first entry go alone. Only a document's first heading counts.
+
+def _by_document(rows: DataFrame, columns: tuple[str, ...], schema: str, f: Callable[..., list[tuple]]) -> DataFrame:
+    """Rows that f makes of the columns' lists, in order of ``at``, of each document, whose lines are together in a task."""
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    lists = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", *columns))).alias("own"))
+    names = ["doc_id", *(c.strip().split()[0] for c in schema.split(","))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc_id, own in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                made = f([r["at"] for r in own], *([r[c] for r in own] for c in columns))
+                yield pa.RecordBatch.from_pylist([{"doc_id": doc_id.as_py(), **dict(zip(names[1:], r, strict=True))} for r in made], schema=out)
+
+    out = pa.schema([pa.field(n, ARROW[t]) for n, t in zip(names, [kind, *(c.strip().split()[1] for c in schema.split(","))], strict=True)])
+    return lists.mapInArrow(run, f"doc_id {kind}, {schema}")
+
+
+def lines_without_contents(lines: list[str], english: bool = False, reach: int = 128) -> list[int]:
+    """The places of the lines that aren't part of a table of contents.
+
+    One begins at a heading; its first entry is the next line that isn't blank, and it ends where a line begins as that entry does (three
+    characters, or two words of English), at most reach lines on. If none does, the heading and its first entry go alone.
     """
-    doc = W.partitionBy("doc_id")
-    line = _strip(F.col("text"))
-    rows = sections.withColumn("heading", F.regexp_replace(line, "[ 　]+", "").rlike(CONTENTS))
-    rows = rows.withColumn("h", F.min(F.when(F.col("heading"), F.col("at"))).over(doc))
-    rows = rows.withColumn("e", F.min(F.when((F.col("at") > F.col("h")) & (line != ""), F.col("at"))).over(doc))
-    rows = rows.withColumn("prefix", F.min(F.when(F.col("at") == F.col("e"), F.substring(line, 1, 3))).over(doc))
-    again = (F.col("at") > F.col("e")) & (F.col("at") <= F.col("e") + reach) & F.startswith(line, F.col("prefix"))
-    rows = rows.withColumn("again", F.min(F.when(again, F.col("at"))).over(doc))
-    gone = (F.col("at") >= F.col("h")) & (F.col("at") < F.coalesce("again", F.col("e") + 1, F.col("h") + 1))
-    return rows.where(~F.coalesce(gone, F.lit(False))).select("doc_id", "at", "text")
-
-
-def heading_paths(levels: DataFrame, key: str = "doc_id", n_patterns: int = 4) -> DataFrame:
-    """key, ``at, level, text, path``: each section with the headings (``at, text``) above it, from the outermost.
-
-    levels: key, ``at, level, text``; levels up to n_patterns are headings, smaller ones further out. A heading holds for what follows
-    until one as far out or further comes: for each level the nearest one before is found in a window, and goes if a heading further out
-    lies between.
+    def beginning(line: str) -> str:
+        return " ".join(line.split()[:2]) if english else line.strip()[:3]
+
+    out, at = [], 0
+    while at < len(lines):
+        if not re.match(CONTENTS, re.sub("[ \u3000]+", "", lines[at].strip().split("@@")[0])):
+            out.append(at)
+            at += 1
+            continue
+        at += 1
+        while at < len(lines) and not beginning(lines[at]):
+            at += 1
+        if at < len(lines):
+            entry = beginning(lines[at])
+            at += 1
+            at = next((j for j in range(at, min(at + reach, len(lines))) if lines[j].strip().startswith(entry)), at)
+    return out
+
+
+def without_contents(sections: DataFrame, english: bool = False, reach: int = 128) -> DataFrame:
+    """``doc_id, at, text`` without tables of contents, of which a document may have several. A null text counts as blank."""
+
+    def kept_of(at: list[int], text: list[str | None]) -> list[tuple]:
+        return [(at[i], text[i]) for i in lines_without_contents([t or "" for t in text], english, reach)]
+
+    return _by_document(sections, ("text",), f"at {sections.schema['at'].dataType.simpleString()}, text string", kept_of)
+
+
+def chains(levels: list[int], n_levels: int, depth: int) -> list[list[int]]:
+    """For the sections of the depth innermost levels, from the innermost on: the section and the headings above it, from the outermost.
+
+    A heading further out that comes after one further in takes its place. Sections that a chain holds begin none of their own.
+    """
+    places: list[list[int]] = [[i for i, x in enumerate(levels) if x == level] for level in range(n_levels)]
+    out, used = [], set()
+    for level in range(n_levels - 1, max(-1, n_levels - 1 - depth), -1):
+        for at in places[level]:
+            if at in used:
+                continue
+            chain = [at]
+            # Sections of the outermost level but one have no headings above them.
+            for above in range(level - 1, -1, -1) if level != 1 else ():
+                k = bisect_left(places[above], at)
+                if k and len(chain) > 1 and places[above][k - 1] > chain[-1]:
+                    chain.pop()
+                if k:
+                    chain.append(places[above][k - 1])
+            used.update(chain)
+            out.append(chain[::-1])
+    return out
+
+
+def hierarchical_merge(levels: DataFrame, n_patterns: int = 4, depth: int = 5, size: int = 218) -> DataFrame:
+    """``doc_id, sequence, content``: sections below the headings above them, a line each; single ones are packed while under size tokens.
+
+    levels: ``doc_id, at, level, text``, levels from 0 (outermost); n_patterns of them are of patterns, one of titles by layout, one of plain
+    text. Sections of one character or of digits only are left out (what follows an ``@`` doesn't count).
+    """
+
+    def packs(_: list[int], level: list[int], text: list[str | None]) -> list[tuple]:
+        said = [(t or "").split("@")[0].strip() for t in text]
+        use = [i for i, s in enumerate(said) if len(s) > 1 and not re.fullmatch("[0-9]+", s)]
+        out: list[list[str]] = [[]]
+        n = 0
+        for chain in chains([level[i] for i in use], n_patterns + 2, depth):
+            own = [text[use[i]] for i in chain]
+            tokens = len(re.sub("@@[0-9]+.*", "", own[0])) // 2 if len(own) == 1 else size
+            if len(own) == 1 and tokens + n < size:
+                out[-1] += own
+                n += tokens
+            else:
+                out.append(own)
+                n = tokens
+        return [(k, "\n".join(o)) for k, o in enumerate((o for o in out if o), 1)]
+
+    return _by_document(levels, ("level", "text"), "sequence int, content string", packs)
+
+
+def colon_title(text: Column, least: int = 32) -> Column:
+    """The last clause of a text that ends with a colon, if at least ``least`` characters come before it; else null.
+
+    What is written after an ``@`` doesn't count. The clause is a title then.
     """
-    before = W.partitionBy(key).orderBy("at").rowsBetween(W.unboundedPreceding, -1)
-    rows, above = levels, []
-    for i in range(n_patterns + 1):
-        rows = rows.withColumn(f"_{i}", F.last(F.when(F.col("level") == i, F.struct("at", "text")), ignorenulls=True).over(before))
-        between = F.lit(False)
-        for j in range(i):
-            between = between | F.coalesce(F.col(f"_{j}")["at"] > F.col(f"_{i}")["at"], F.lit(False))
-        above.append(F.when((F.col("level") > i) & ~between, F.col(f"_{i}")))
-    return rows.select(key, "at", "level", "text", F.filter(F.array(*above), lambda x: x.isNotNull()).alias("path"))
+    said = _strip(F.split(text, "@")[0])
+    before = F.regexp_extract(said, r"(?s)^(.*(?:[。？！!?;；]|\. ))[^。？！!?;；]*[:：]$", 1)
+    return F.when(F.length(before) > least, F.substring(said, F.length(before) + 1, F.length(said)))
 
 
-def hierarchical_merge(levels: DataFrame, key: str = "doc_id", n_patterns: int = 4, size: int = 218) -> DataFrame:
-    """key, ``at, content``: sections below the headings above them, a line each; those under the same headings are packed together.
+def question_bullets(boxes: DataFrame, pattern: int) -> DataFrame:
+    """``doc_id, at, is_bullet, number`` of layout boxes ``doc_id, at, text, x0, top, layout``: which begin a numbered question.
 
-    A pack takes the sections that begin within its stretch of size tokens. A heading with nothing below it is a chunk of its own.
+    In order of ``at``: a box that matches the pattern counts unless it is indented by more than 10 against the bullet or the bullets before it,
+    or stands on the line of a box that is none, or follows a colon; and if its number doesn't fall, or it asks (a question mark, a title, a
+    question word first).
     """
-    paths = heading_paths(levels, key, n_patterns)
-    bare = F.coalesce(F.lead("level").over(W.partitionBy(key).orderBy("at")) <= F.col("level"), F.lit(True))
-    leaves = paths.withColumn("heading", F.col("level") <= n_patterns).withColumn("bare", bare).where(~F.col("heading") | F.col("bare"))
-    # A bare heading is packed with none: its place stands for its group.
-    leaves = leaves.withColumn("alone", F.when(F.col("heading"), F.col("at")))
-    n = token_count(F.coalesce("text", F.lit("")))
-    own = W.partitionBy(key, "path", "alone").orderBy("at").rowsBetween(W.unboundedPreceding, W.currentRow)
-    packed = leaves.withColumn("pack", F.floor((F.sum(n).over(own) - n) / size)).groupBy(key, "path", "alone", "pack")
-    packed = packed.agg(F.min("at").alias("at"), F.array_sort(F.collect_list(F.struct("at", "text"))).alias("own"))
-    return packed.select(key, "at", F.concat_ws("\n", F.transform("path", lambda x: x["text"]), F.transform("own", lambda x: x["text"])).alias("content"))
+    begin = re.compile(QUESTIONS[pattern])
+    # Words that questions begin with.
+    asks = re.compile("(what|when|where|how|why|which|who|whose|为什么|为啥|哪)")
+
+    def detect(at: list[int], text: list[str], x0: list[float], top: list[float], layout: list[str]) -> list[tuple]:
+        out, indents, last_number, last_bullet = [], [], 0, False
+        for i, said in enumerate(text):
+            hit, b, number, good = begin.match(said or ""), max(0, i - 1), None, False
+            if hit:
+                usual = sum(indents) / len(indents) if indents else x0[i]
+                away = x0[i] - x0[b] > 10 if last_bullet else i > 0 and x0[i] >= x0[b] and top[i] - top[b] < 20
+                if not (away or x0[i] - usual > 10 or (i and (text[b] or "").endswith((":", "：")))):
+                    number = whole_number(hit.group(1))
+                    rest = said[hit.end() :].lower()
+                    good = not last_number or number >= last_number or said.endswith(("?", "？")) or layout[i] == "title" or bool(asks.match(rest))
+            if good:
+                indents.append(x0[i])
+                last_number = number
+            last_bullet = good
+            out.append((at[i], good, number if good else None))
+        return out
+
+    return _by_document(boxes, ("text", "x0", "top", "layout"), "at int, is_bullet boolean, number int", detect)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import chunking, context, evaluation, exhaustive, index, keyword, retrieval, search, tables, tree
+from ..operators import chunking, context, evaluation, exhaustive, index, keyword, lexicon, retrieval, search, tables, tree
 from ..sources import files
 from ..sources.stored import kept, shared_dir
 from . import sql as S
@@ -190,6 +190,42 @@ def chunk_without_contents(spark, sf):
     return chunking.without_contents(lines)
 
 
+@query(r"SELECT conv_id, turn, CASE WHEN length(b) > 32 THEN substr(s, length(b) + 1) END AS title FROM (SELECT *, regexp_extract(s, '(?s)^(.*(?:[。？！!?;；]|\. ))[^。？！!?;；]*[:：]$', 1) AS b FROM (SELECT conv_id, turn, regexp_replace(string_split(text || ' so it goes:', '@')[1], '^\s+|\s+$', '', 'g') AS s FROM conversations))")
+def chunk_colon_titles(spark, sf):
+    """Each turn ends with a clause before a colon."""
+    return _t(spark, sf, "conversations").select("conv_id", "turn", chunking.colon_title(F.concat("text", F.lit(" so it goes:"))).alias("title"))
+
+
+@query()
+def chunk_question_bullets(spark, sf):
+    """Turns as boxes below each other, numbered by place, every third indented."""
+    box = _t(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("at"), "text", "role")
+    text = F.concat(F.col("at").cast("string"), F.lit(". "), "text")
+    return chunking.question_bullets(box.select("doc_id", "at", text.alias("text"), (F.pmod("at", F.lit(3)) * 6.0).alias("x0"), (F.col("at") * 30.0).alias("top"), F.when(F.col("role") == "user", "title").otherwise("text").alias("layout")), 5)
+
+
+def _as_han(text):
+    """Latin letters as Chinese characters, so that the dictionary's ways to split are used."""
+    return F.translate(F.lower(text), "abcdefghijklmnopqrstuvwxyz", "".join(chr(0x4E00 + i) for i in range(26)))
+
+
+def _lexicon(spark, sf):
+    words = _t(spark, sf, "benchmark").select(F.explode(T.tokens(_as_han(F.col("text")))).alias("term"))
+    return lexicon.lexicon(words.groupBy("term").agg(F.count("*").alias("freq")).withColumn("tag", F.lit("n")))
+
+
+@query(f"WITH w AS (SELECT unnest({S.TOKENS.format('text')}) AS t FROM benchmark) SELECT translate(t, 'abcdefghijklmnopqrstuvwxyz', '{''.join(chr(0x4E00 + i) for i in range(26))}') AS term, trunc(ln(count(*) / 1000000) + 0.5)::INT AS weight, 'n' AS tag FROM w GROUP BY t")
+def tok_lexicon(spark, sf):
+    return _lexicon(spark, sf)
+
+
+@query()
+def tok_segmented(spark, sf):
+    """Conversations without their spaces, split by the words of the benchmark."""
+    rows = _t(spark, sf, "conversations").select("conv_id", "turn", F.regexp_replace(_as_han(F.col("text")), r"\s+", "").alias("text"))
+    return lexicon.segmented(rows, ["conv_id", "turn"], "text", _lexicon(spark, sf)).select("conv_id", "turn", F.array_join("words", " ").alias("words"), F.size("fine_words").alias("n_fine"))
+
+
 _WORDS = ", ".join(f"('{w}', {n})" for n in range(100) for w in T._number_words(n))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from strataflow.engine import NOTHING_FOUND, Engine
 from strataflow.functions import text as T
-from strataflow.operators import chunking, context, evaluation, exhaustive, index, keyword, retrieval, search, tree
+from strataflow.operators import chunking, context, evaluation, exhaustive, index, keyword, lexicon, retrieval, search, tree
 from strataflow.plans.config import Config, update_plan
 from strataflow.plans.registry import ORACLE_SQL, QUERIES
 from strataflow.sources import files
@@ -231,14 +231,22 @@ def test_more_chunking(spark):
     parts = spark.createDataFrame([(1, [("aa\nbb", "i1", "@@1"), ("c" * 600, "i2", "@@2"), ("d" * 20, None, None)]), (2, [])], "id int, parts array<struct<text string, image string, position string>>")
     got = {r["id"]: [(c["text"], c["images"]) for c in r["c"]] for r in parts.select("id", chunking.greedy_merge_parts(F.col("parts")).alias("c")).collect()}
     assert got == {1: [("aabb" + "c" * 600 + "@@2", ["i1", "i1", "i2"]), ("d" * 20, [])], 2: []}
-    lines = ["Title", "contents", "", "Intro .. 1", "Other .. 2", "Intro", "body"]
+    lines = ["Title", "contents", "", "Intro .. 1", "Other .. 2", "Intro", "body", "目 录", "x", "y"]
     sections = spark.createDataFrame([(1, i, t) for i, t in enumerate(lines)] + [(2, 0, "x"), (3, 0, "contents"), (4, 0, None)], "doc_id long, at int, text string")
     kept = [(r["doc_id"], r["text"]) for r in chunking.without_contents(sections).orderBy("doc_id", "at").collect()]
-    assert kept == [(1, "Title"), (1, "Intro"), (1, "body"), (2, "x"), (4, None)]
-    marks = [(0, "P"), (1, "C"), (6, "a"), (6, "b"), (1, "C"), (2, "S"), (6, "c" * 440), (6, "d"), (0, "Q"), (6, "e"), (1, "R")]
-    levels = spark.createDataFrame([(1, i, level, t) for i, (level, t) in enumerate(marks)], "doc_id long, at int, level int, text string")
-    merged = [r["content"].split("\n") for r in chunking.hierarchical_merge(levels).orderBy("at").collect()]
-    assert merged == [["P", "C", "a", "b"], ["P", "C", "S", "c" * 440], ["P", "C", "S", "d"], ["Q", "e"], ["Q", "R"]]
+    assert kept == [(1, "Title"), (1, "Intro"), (1, "body"), (1, "y"), (2, "x"), (4, None)]
+    assert chunking.lines_without_contents(["contents", "One two", "a", "One three", "One two b"], english=True) == [4]
+    assert chunking.lines_without_contents(["目录", "第一章", *["x"] * 127, "第一章"]) == [129] and chunking.lines_without_contents(["目录", "第一章", *["x"] * 128, "第一章"]) == list(range(2, 131))
+    marks = [(0, "Part"), (1, "Chap"), (6, "aa"), (6, "bb"), (1, "Chip"), (2, "Sec"), (6, "c" * 440), (6, "7"), (6, "x"), (0, "Quart"), (6, "ee"), (1, "Rest")]
+    levels = spark.createDataFrame([(1, i, min(level, 5), t) for i, (level, t) in enumerate(marks)], "doc_id long, at int, level int, text string")
+    merged = [r["content"].split("\n") for r in chunking.hierarchical_merge(levels).orderBy("sequence").collect()]
+    assert merged == [["Part", "Chap", "aa"], ["Part", "Chap", "bb"], ["Part", "Chip", "Sec", "c" * 440], ["Quart", "Sec", "ee"], ["Rest"]]
+    assert [r["content"] for r in chunking.hierarchical_merge(levels.where("level = 5"), depth=1).collect()] == ["aa\nbb", "c" * 440, "ee"]
+    boxes = [("1. what is it", 0, 0), ("more", 0, 30), ("2. next", 5, 60), ("1. falls", 0, 90), ("1.why so", 0, 120), ("3. far in", 30, 150), ("see:", 0, 180), ("4. after colon", 0, 210), ("5. same line", 9, 215)]
+    shown = spark.createDataFrame([(1, i, t, float(x), float(y), "text") for i, (t, x, y) in enumerate(boxes)], "doc_id long, at int, text string, x0 double, top double, layout string")
+    assert [(r["at"], r["number"]) for r in chunking.question_bullets(shown, 5).orderBy("at").collect() if r["is_bullet"]] == [(0, 1), (2, 2), (4, 1)]
+    assert one(spark, chunking.colon_title(F.col("t")), t="A long sentence that comes first and ends here. The title:") == "The title:"
+    assert one(spark, chunking.colon_title(F.col("t")), t="Short. The title:") is None and one(spark, chunking.colon_title(F.col("t")), t="no colon") is None
     assert chunking.frequent_level(levels, ["doc_id"], "at", 4).first()["level"] == 1
     styled = [one(spark, chunking.paragraph_level(F.col("s"), F.col("t"), 3), s=s, t=t) for s, t in (("Heading 2", "x"), ("Normal", "Chapter II"), ("Normal", "y"))]
     assert styled == [2, 2, 4]
@@ -246,6 +254,53 @@ def test_more_chunking(spark):
     assert [tuple(p) for p in one(spark, chunking.positions(box))] == [(1, 1, 1, 1, 1)]
 
 
+def test_dictionary(spark):
+    rng = np.random.default_rng(9)
+    han = [chr(0x4E00 + i) for i in range(4)]
+    terms = {"".join(rng.choice(han, rng.integers(1, 4))): int(rng.integers(1, 900_000)) for _ in range(30)}
+    words = lexicon.Words({t: lexicon.weight_of(f) for t, f in terms.items()})
+
+    def ways(text):
+        if not text:
+            return [[]]
+        if text[:5] == 5 * text[0]:
+            n = min(10, len(text) - len(text.lstrip(text[0])))
+            return [[text[:n], *w] for w in ways(text[n:])]
+        first = [text[:k] for k in range(1, len(text) + 1) if text[:k] in terms] or [text[0]]
+        return [[f, *w] for f in first for w in ways(text[len(f) :])]
+
+    def score(way):
+        return 30 / len(way) + sum(len(x) > 1 for x in way) / len(way) + sum(words.weights.get(x, -12) for x in way)
+
+    for _ in range(60):
+        text = "".join(rng.choice(han, rng.integers(1, 11)))
+        all_ways = ways(text)
+        assert score([text[a:b] for a, b in words.best(text)]) == pytest.approx(max(map(score, all_ways)))
+        assert [[text[a:b] for a, b in p] for p in words.paths(text)] == all_ways
+        assert "".join(words.split(text)) == text
+        longest = lambda x, cut: next(y for y in (cut(x, k) for k in range(len(x), 0, -1)) if y in terms or len(y) == 1)
+        left, out = text, []
+        while left:
+            out.append(longest(left, lambda x, k: x[:k]))
+            left = left[len(out[-1]) :]
+        assert [text[a:b] for a, b in words.forward(text)] == out
+        left, out = text, []
+        while left:
+            out.insert(0, longest(left, lambda x, k: x[-k:]))
+            left = left[: len(left) - len(out[0])]
+        assert [text[a:b] for a, b in words.backward(text)] == out
+    known = lexicon.lexicon(spark.createDataFrame([("中文", 500.0, "n"), ("中文", 90_000.0, "v"), ("分词", 3000.0, "n"), ("词", 10.0, None), ("c/c++", 5.0, "x")], "term string, freq double, tag string"))
+    assert {r["term"]: r["weight"] for r in known.collect()} == {"中文": -1, "分词": -5, "词": -11, "c/c++": -11}
+    got = lexicon.frequencies(spark.createDataFrame([("中文",), ("无",)], "term string"), known).collect()
+    assert {r["term"]: (r["freq"], r["tag"]) for r in got} == {"中文": (int(math.exp(-1) * 1e6 + 0.5), "v"), "无": (0, "")}
+    rows_ = spark.createDataFrame([(1, "中文分词，ＡBC 12"), (2, None)], "k long, text string")
+    assert {r["k"]: r["words"] for r in lexicon.segmented(rows_, ["k"], "text", known).collect()} == {1: ["中文", "分词", "abc", "12"], 2: []}
+    assert lexicon.Words({"a/b": -3}).merged(["a", "/", "b", "c"]) == ["a/b", "c"] and lexicon.fine_grained(words, ["a/b", "c"]) == ["a", "b", "c"]
+    fine = lexicon.Words({"甲乙丙": -2, "甲乙": -3, "丙": -4, "甲": -5, "乙": -5})
+    assert fine.finer("甲乙丙") == ["甲乙", "丙"] and fine.finer("甲乙") == ["甲乙"]
+    assert len(words.split("".join(rng.choice(han, 5000)))) > 1000
+
+
 def test_engine(spark, tmp_path):
     docs = spark.createDataFrame([(1, "red apples grow on trees"), (2, "blue whales swim in seas"), (3, None)], "doc_id long, text string")
     queries = spark.createDataFrame([(7, "red apples grow on trees"), (8, "zzz")], "query_id long, text string")
