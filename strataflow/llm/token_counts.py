@@ -3,11 +3,12 @@
 1. A pass over the texts counts pre-tokens, combined inside each task, then by a grouped sum.
 2. Each distinct pre-token is encoded once; only the number of its pieces is kept.
 3. A second pass joins these numbers to each document's own pre-token frequencies: the most frequent pre-tokens
-   (at most ``head_rows``, whatever the input's size) come from a broadcast table; the rest, a few per cent of the
-   occurrences, go through a shuffled join. Ids are never made for a document.
+   (at most ``head_rows`` of at most ``HEAD_CHARS`` characters, whatever the input's size) come from a broadcast table; the rest, a few per
+   cent of the occurrences, go through a shuffled join. Ids are never made for a document.
 
 A special string inside a text is one token, as the library has it by default; the text on either side is split on its own.
-Null or empty text: 0 bytes and 0 tokens. Repeated rows: one output row each. Empty table: no rows.
+Null or empty text: 0 bytes and 0 tokens. Very long texts: a text's distinct pre-tokens are in memory. Repeated rows: one output row
+each. Empty table: no rows. Columns of docs other than doc_id and text are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 
 from .shared import head_threshold, keyed_texts, written
 
+HEAD_CHARS = 64
 #: The split of a byte-level pre-tokenizer.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -34,7 +36,14 @@ def pretokenizer(tokenizer_path: str):
     import regex
 
     with open(tokenizer_path, encoding="utf-8") as f:
-        special = [t["content"] for t in json.load(f).get("added_tokens", [])]
+        parts = json.load(f)
+    split_by = parts.get("pre_tokenizer") or {}
+    if parts.get("normalizer") or (split_by.get("type"), split_by.get("use_regex", True), split_by.get("add_prefix_space")) != ("ByteLevel", True, False):
+        raise ValueError("only files without a normalizer and with a plain byte-level pre-tokenizer are split as the library does")
+    added = parts.get("added_tokens", [])
+    if any(t.get(flag) for t in added for flag in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("added tokens that depend on what is around them")
+    special = [t["content"] for t in added]
     find = regex.compile(SPLIT).findall
     if not special:
         return find
@@ -92,7 +101,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024, head_r
     texts = keyed_texts(docs)
     pieces = written(piece_counts(pretoken_counts(texts, tokenizer_path), tokenizer_path))
     least = head_threshold(pieces, "n", head_rows)
-    head = docs.sparkSession.sparkContext.broadcast({r["pretoken"]: r["pieces"] for r in pieces.where(F.col("n") >= least).select("pretoken", "pieces").toLocalIterator()})
+    in_head = (F.col("n") >= least) & (F.length("pretoken") <= HEAD_CHARS)
+    head = docs.sparkSession.sparkContext.broadcast({r["pretoken"]: r["pieces"] for r in pieces.where(in_head).select("pretoken", "pieces").toLocalIterator()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, known = pretokenizer(tokenizer_path), head.value
@@ -116,7 +126,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024, head_r
 
     names, types = ["rid", "doc_id", "n_bytes", "k", "pretoken"], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
     parts = texts.mapInArrow(run, "rid long, doc_id long, n_bytes long, k long, pretoken string")
-    tail = pieces.where(F.col("n") < least).select("pretoken", "pieces")
+    tail = pieces.where(~in_head).select("pretoken", "pieces")
     joined = parts.join(tail, "pretoken", "left")
     tokens = F.when(F.col("n_bytes").isNotNull(), F.col("k")).otherwise(F.col("k") * F.col("pieces"))
     return (

@@ -70,6 +70,17 @@ def test_token_counts(docs, texts, head_rows):
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
+def test_token_counts_refuse_other_tokenizers(tmp_path):
+    import json
+
+    with open(JSON, encoding="utf-8") as f:
+        parts = json.load(f)
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"added_tokens": [{"content": "x", "lstrip": True}]}):
+        (tmp_path / "t.json").write_text(json.dumps(parts | change), encoding="utf-8")
+        with pytest.raises(ValueError):
+            token_counts.pretokenizer(str(tmp_path / "t.json"))
+
+
 def brute_contamination(texts, items, window=10):
     words = [WORD.findall(lower(t)) for t in texts]
     wanted = defaultdict(set)
