@@ -36,6 +36,29 @@ def origin(strategy: str = "chunking_strategy", element: str = "element_type"):
     )
 
 
+def report_sections(chunks: DataFrame) -> DataFrame:
+    """``doc_id, n_chunks, section``: each document's part of a report on where its chunks come from, in order of level and place.
+
+    chunks: ``doc_id, level, sequence, chunk_id_str, content, origin`` and ``children`` (ids, may be null or empty).
+    """
+    # The report's labels.
+    children = F.when(F.size(F.coalesce("children", F.array().cast("array<string>"))) > 0, F.concat(F.lit("- **参考块:** "), F.array_join(F.transform("children", lambda c: F.concat(F.lit("`"), c, F.lit("`"))), ", "), F.lit("\n"))).otherwise("")
+    block = F.concat(
+        F.lit("### 块 - 整数ID: `"), F.col("sequence").cast("string"), F.lit("` | 字符串ID: `"), F.col("chunk_id_str"), F.lit("`\n- **来源:** "), F.col("origin"), F.lit("\n"),
+        children, F.lit("- **内容:**\n```\n"), F.col("content"), F.lit("\n```"),
+    )
+    rows = chunks.select("doc_id", F.struct("level", "sequence", "chunk_id_str", block.alias("block")).alias("x"))
+    by_document = rows.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.array_sort(F.collect_list("x")).alias("x"))
+    return by_document.select("doc_id", "n_chunks", F.concat(F.lit("\n## 文档: "), F.col("doc_id").cast("string"), F.lit("\n\n"), F.array_join(F.col("x")["block"], "\n")).alias("section"))
+
+
+def write_report(sections: DataFrame, path: str, name: str) -> None:
+    """A heading and the documents' sections in order, as text files whose names follow that order."""
+    total = sections.agg(F.sum("n_chunks")).first()[0] or 0
+    head = sections.sparkSession.createDataFrame([(None, f"# RAG模式 '{name}' 知识库溯源报告\n**总块数:** {total}\n\n---\n")], f"doc_id {sections.schema['doc_id'].dataType.simpleString()}, section string")
+    head.unionByName(sections.select("doc_id", "section")).repartitionByRange("doc_id").sortWithinPartitions("doc_id").select("section").write.mode("overwrite").text(path)
+
+
 def prompt_texts(sources: Column, path: str = "未知路径") -> Column:
     """What a language model is given of each source (``rank, doc_id, sequence, content``): its document, path and text."""
     # The labels, and what stands for a path that isn't known.

@@ -46,32 +46,41 @@ def first_words(texts: list[str]) -> str:
     return "这些文档的核心内容是关于：" + texts[0][:150] + "..."
 
 
-def summary_tree(chunks: DataFrame, summarise: Callable[[list[str]], str] = first_words, max_clusters: int = 10) -> DataFrame:
+#: Nodes of a document that are clustered together; those of a longer one are dealt into parts of so many, in their order.
+PART = 1000
+
+
+def summary_tree(chunks: DataFrame, summarise: Callable[[list[str]], str] = first_words, max_clusters: int = 10, part: int = PART) -> DataFrame:
     """``doc_id, level, node, content, children``: level 0 are the chunks; each further level summarises clusters of the one below.
 
-    A document stops at one node. Blank summaries are dropped. One job for a level, over all documents; a group is one document's nodes.
+    A document stops at one node. Blank summaries are dropped. One job for a level, over all documents; a group is at most ``part`` nodes of
+    one document that follow each other, so a long document takes several tasks.
     """
     node = F.concat(F.col("doc_id").cast("string"), F.lit("_text_"), F.col("sequence").cast("string"))
     level = chunks.select("doc_id", F.lit(0).alias("level"), node.alias("node"), F.col("sequence").cast("long").alias("at"), "content", F.array().cast("array<string>").alias("children"))
     schema = "doc_id long, level int, node string, at long, content string, children array<string>"
     out = level
     for depth in count(1):  # from level 2 on each has fewer nodes
-        embedded = hash_embeddings(level.withColumn("t", tokens(F.col("content"))), level.columns, "t")
-        summarised = _level_function(depth, summarise, max_clusters)
-        level = kept(embedded.groupBy("doc_id").applyInPandas(summarised, schema))
+        sized = level.join(level.groupBy("doc_id").agg(F.count("*").alias("nodes"), F.max("at").alias("last")), "doc_id")
+        # Places are numbers with gaps at most; parts by place have at most as many nodes.
+        dealt = sized.withColumn("part", F.when(F.col("nodes") > part, F.floor(F.col("at") / part)).otherwise(0))
+        embedded = hash_embeddings(dealt.withColumn("t", tokens(F.col("content"))), dealt.columns, "t")
+        level = kept(embedded.groupBy("doc_id", "part").applyInPandas(_level_function(depth, summarise, max_clusters, part), schema))
         if level.isEmpty():
             break
         out = out.unionByName(level)
     return out.drop("at")
 
 
-def _level_function(depth: int, summarise: Callable[[list[str]], str], max_clusters: int):
+def _level_function(depth: int, summarise: Callable[[list[str]], str], max_clusters: int, part: int):
     def summarised(pdf):
         import pandas as pd
 
         pdf = pdf.sort_values(["at", "node"])
+        doc_id, piece, several = pdf["doc_id"].iloc[0], int(pdf["part"].iloc[0]), bool(pdf["nodes"].iloc[0] > part)
         rows = []
-        if len(pdf) > 1:
+        # A node that is alone in its part goes up with the others of its document.
+        if len(pdf) > 1 or several:
             labels = mixture_labels(np.array(pdf["embedding"].tolist()), max_clusters)
             if depth > 1 and len(set(labels)) == len(pdf):
                 labels = np.zeros(len(pdf), dtype=np.int64)
@@ -79,7 +88,8 @@ def _level_function(depth: int, summarise: Callable[[list[str]], str], max_clust
                 own = pdf[labels == c]
                 text = summarise(own["content"].tolist())
                 if text.strip():
-                    rows.append((int(pdf["doc_id"].iloc[0]), depth, f"{pdf['doc_id'].iloc[0]}_level{depth}_node{c}", c, text, own["node"].tolist()))
+                    name = f"{doc_id}_level{depth}_node{f'{piece}_{c}' if several else c}"
+                    rows.append((int(doc_id), depth, name, piece * max_clusters + c, text, own["node"].tolist()))
         return pd.DataFrame(rows, columns=["doc_id", "level", "node", "at", "content", "children"])
 
     return summarised

@@ -531,11 +531,14 @@ def context_neighbours(spark, sf):
     return context.neighbours(_chunks(spark, sf), chosen).select("doc_id", "sequence", F.md5("content").alias("content"))
 
 
-@query(S.recursive(S.CHUNKS) + " SELECT doc_id, count(*) AS n_chunks, max(sequence) AS last, md5(string_agg(content, chr(10) ORDER BY sequence)) AS report, '原始文档 (文本分块)' AS origin FROM chunks GROUP BY doc_id")
+@query(
+    S.recursive(S.CHUNKS)
+    + " SELECT doc_id, count(*) AS n_chunks, md5(chr(10) || '## 文档: ' || doc_id || chr(10) || chr(10) || string_agg('### 块 - 整数ID: `' || sequence || '` | 字符串ID: `' || doc_id || '_text_' || sequence || '`' || chr(10) || '- **来源:** 原始文档 (文本分块)' || chr(10) || '- **内容:**' || chr(10) || '```' || chr(10) || content || chr(10) || '```', chr(10) ORDER BY sequence)) AS section FROM chunks GROUP BY doc_id"
+)
 def document_report(spark, sf):
-    ordered = F.array_sort(F.collect_list(F.struct("sequence", "content")))
-    rows = _chunks(spark, sf).withColumns({"chunking_strategy": F.lit("intelligent_naive_merge"), "element_type": F.lit(None).cast("string")}).withColumn("origin", context.origin())
-    return rows.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.max("sequence").alias("last"), F.md5(F.array_join(F.transform(ordered, lambda x: x["content"]), "\n")).alias("report"), F.min("origin").alias("origin"))
+    rows = _chunks(spark, sf).withColumns({"level": F.lit(0), "children": F.lit(None).cast("array<string>"), "chunking_strategy": F.lit("intelligent_naive_merge"), "element_type": F.lit(None).cast("string")})
+    sections = context.report_sections(rows.withColumn("origin", context.origin()))
+    return sections.withColumn("section", F.md5("section"))
 
 
 _SIMILAR = _TOP + ", o AS (SELECT * FROM r WHERE rank <= 6 AND vec_id <> query_id), k AS (SELECT query_id, vec_id, s, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM o) SELECT query_id, vec_id, rank, s AS score FROM k WHERE rank <= 5"

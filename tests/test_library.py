@@ -135,6 +135,25 @@ def test_trees(spark):
     assert sum(len(r["children"]) for r in got if r["doc_id"] == 3 and r["level"] == 1) == 8
 
 
+def test_tree_of_a_long_document(spark):
+    chunks = spark.createDataFrame([(1, i, f"{'red blue' if i % 2 else 'cat dog'} {i % 7}") for i in range(60)] + [(2, 0, "one"), (2, 1, "two")], "doc_id long, sequence int, content string")
+    got = tree.summary_tree(chunks, part=16, max_clusters=3).collect()
+    for doc in (1, 2):
+        own = [r for r in got if r["doc_id"] == doc]
+        top = max(r["level"] for r in own)
+        assert sum(r["level"] == top for r in own) == 1 and len({r["node"] for r in own}) == len(own)
+        below = [c for r in own for c in r["children"]]
+        assert sorted(below) == sorted(r["node"] for r in own if r["level"] < top)
+
+
+def test_report(spark, tmp_path):
+    rows_ = [(2, 0, 1, "2_text_1", "x", "o", None), (1, 1, -1, "1_level1_node0", "sum", "LLM 生成 (RAPTOR 摘要)", ["1_text_1"]), (1, 0, 1, "1_text_1", "first", "o", [])]
+    sections = context.report_sections(spark.createDataFrame(rows_, "doc_id long, level int, sequence int, chunk_id_str string, content string, origin string, children array<string>"))
+    context.write_report(sections, str(tmp_path / "r"), "m")
+    text = "\n".join(r["value"] for r in spark.read.text(str(tmp_path / "r"), wholetext=True).orderBy(F.input_file_name()).collect())
+    assert text.index("总块数:** 3") < text.index("## 文档: 1\n") < text.index("`1_text_1`\n- **来源:** o") < text.index("- **参考块:** `1_text_1`") < text.index("## 文档: 2\n")
+
+
 def test_pages_and_files(spark, tmp_path):
     html = "<h1>Top</h1><p>a <b>b</b></p><script>x</script><table><tr><th>k</th><th>v</th></tr><tr><td>1</td><td>two</td></tr></table><p>end"
     elements = files.page_elements(spark.createDataFrame([(1, html), (2, None)], "page_id long, html string"))
