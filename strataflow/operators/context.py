@@ -20,6 +20,14 @@ def neighbours(chunks: DataFrame, selected: DataFrame, window: int = 1) -> DataF
     return chunks.join(wanted.distinct(), ["doc_id", "sequence"])
 
 
+def with_context(results: DataFrame, chunks: DataFrame, window: int = 1) -> DataFrame:
+    """results (``query_id, doc_id, sequence`` and more) with ``context``: the texts of the chunks within window of each, in order."""
+    around = results.select("query_id", "doc_id", "sequence", F.explode(F.sequence(F.col("sequence") - window, F.col("sequence") + window)).alias("at"))
+    near = around.join(chunks.select("doc_id", F.col("sequence").alias("at"), "content"), ["doc_id", "at"])
+    texts = near.groupBy("query_id", "doc_id", "sequence").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "content"))), lambda x: x["content"]), "\n").alias("context"))
+    return results.join(texts, ["query_id", "doc_id", "sequence"], "left")
+
+
 def by_position(chunks: DataFrame, doc_id: int | None = None, sequence: int | None = None) -> DataFrame:
     for name, value in (("doc_id", doc_id), ("sequence", sequence)):
         chunks = chunks if value is None else chunks.where(F.col(name) == value)

@@ -125,6 +125,14 @@ def _block_top_k(vectors: DataFrame, key: list[str], block: DataFrame, k: int, b
     return vectors.select(*key, "embedding").mapInArrow(run, f"{schema}, score double")
 
 
+def more_like(vectors: DataFrame, key: str, chosen: DataFrame, k: int) -> DataFrame:
+    """``query_id``, key, ``rank, score``: the k rows most like each chosen one, itself left out. Keys that aren't in the table have no rows."""
+    queries = vectors.join(chosen.select(key).distinct(), key).select(F.col(key).alias("query_id"), "embedding")
+    top = exact_top_k(vectors, [key], queries, k + 1).where(F.col(key) != F.col("query_id"))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy("rank"))
+    return top.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", key, "rank", "score")
+
+
 def best_dot(vectors: DataFrame, key: list[str], queries: DataFrame, group: str) -> DataFrame:
     """key, ``best``: for each row the greatest dot product with a query of its group; rows whose group has none are left out.
 

@@ -61,7 +61,7 @@ def summary_tree(chunks: DataFrame, summarise: Callable[[list[str]], str] = firs
     schema = "doc_id long, level int, node string, at long, content string, children array<string>"
     out = level
     for depth in count(1):  # from level 2 on each has fewer nodes
-        sized = level.join(level.groupBy("doc_id").agg(F.count("*").alias("nodes"), F.max("at").alias("last")), "doc_id")
+        sized = level.join(level.groupBy("doc_id").agg(F.count("*").alias("nodes")), "doc_id")
         # Places are numbers with gaps at most; parts by place have at most as many nodes.
         dealt = sized.withColumn("part", F.when(F.col("nodes") > part, F.floor(F.col("at") / part)).otherwise(0))
         embedded = hash_embeddings(dealt.withColumn("t", tokens(F.col("content"))), dealt.columns, "t")

@@ -67,12 +67,13 @@ def txt_half_width(spark, sf):
 
 
 @query(
-    r"""SELECT doc_id, round(length(regexp_replace(text, '[^`a-zA-Z0-9.,'':;/"?<>!()\-]', '', 'g')) / length(text), 6) AS english_share,
-  length(regexp_replace(text, '[^`a-zA-Z0-9.,'':;/"?<>!()\-]', '', 'g')) / length(text) > 0.8 AS english, length(regexp_replace(text, '[^\x{4e00}-\x{9fff}]', '', 'g')) / length(text) > 0.2 AS chinese FROM documents WHERE length(text) > 0"""
+    r"""WITH d AS (SELECT doc_id, text, nullif(length(text), 0) AS n FROM documents)
+SELECT doc_id, round(length(regexp_replace(text, '[^`a-zA-Z0-9.,'':;/"?<>!()\-]', '', 'g')) / n, 6) AS english_share,
+  coalesce(length(regexp_replace(text, '[^`a-zA-Z0-9.,'':;/"?<>!()\-]', '', 'g')) / n > 0.8, FALSE) AS english, coalesce(length(regexp_replace(text, '[^\x{4e00}-\x{9fff}]', '', 'g')) / n > 0.2, FALSE) AS chinese FROM d"""
 )
 def txt_language(spark, sf):
     t = F.col("text")
-    return _t(spark, sf, "documents").where(F.length(t) > 0).select("doc_id", F.round(T.english_share(t), 6).alias("english_share"), T.is_english(t).alias("english"), T.is_chinese(t).alias("chinese"))
+    return _t(spark, sf, "documents").select("doc_id", F.round(T.english_share(t), 6).alias("english_share"), T.is_english(t).alias("english"), T.is_chinese(t).alias("chinese"))
 
 
 @query(r"SELECT page_id, len(regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1)) AS n, md5(array_to_string(regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1), '|')) AS spans FROM pages")
@@ -548,9 +549,7 @@ _SIMILAR = _TOP + ", o AS (SELECT * FROM r WHERE rank <= 6 AND vec_id <> query_i
 def more_like_this(spark, sf):
     """The five rows most like each query, itself left out."""
     vectors, queries = _vector_queries(spark, sf)
-    top = search.exact_top_k(vectors, ["vec_id"], queries, 6).where(F.col("vec_id") != F.col("query_id"))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy("rank"))
-    return top.withColumn("rank", rank).where("rank <= 5").select("query_id", "vec_id", "rank", "score")
+    return search.more_like(vectors, "vec_id", queries.select(F.col("query_id").alias("vec_id")), 5)
 
 
 # --- evaluation ---

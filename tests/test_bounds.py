@@ -16,7 +16,7 @@ def test_unsettled_components_are_an_error(spark):
 def test_trees_of_more_than_eight_levels(spark, monkeypatch):
     """A level that joins its first two nodes only."""
 
-    def level_function(depth, summarise, max_clusters):
+    def level_function(depth, summarise, max_clusters, part):
         def summarised(pdf):
             import pandas as pd
 

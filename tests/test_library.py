@@ -91,6 +91,12 @@ def test_exact_search_in_blocks(spark, monkeypatch):
     assert search.exact_top_k(v, ["vec_id"], q.limit(0), 5).count() == 0
 
 
+def test_more_like(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [0.0, 1.0])], "k long, embedding array<double>")
+    got = search.more_like(v, "k", spark.createDataFrame([(1,), (9,)], "k long"), 1).collect()
+    assert [(r["query_id"], r["k"], r["rank"]) for r in got] == [(1, 2, 1)]
+
+
 def test_cells_recall(spark):
     v = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
@@ -200,6 +206,8 @@ def test_context(spark):
     chunks = spark.createDataFrame([(1, i, f"c{i}") for i in (1, 2, 4, 5, 6)], "doc_id long, sequence int, content string")
     assert context.neighbours(chunks, spark.createDataFrame([(1, 5)], "doc_id long, at int")).count() == 3
     assert context.by_position(chunks, doc_id=1, sequence=4).first()["content"] == "c4"
+    results = spark.createDataFrame([(7, 1, 4, 0.5), (7, 1, 1, 0.4), (8, 2, 1, 0.3)], "query_id long, doc_id long, sequence int, score double")
+    assert {(r["query_id"], r["sequence"]): r["context"] for r in context.with_context(results, chunks).collect()} == {(7, 4): "c4\nc5", (7, 1): "c1\nc2", (8, 1): None}
 
 
 def test_exhaustive_search_in_blocks(spark, monkeypatch):
