@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
+from dataclasses import asdict
 
 import numpy as np
 import pyarrow as pa
@@ -139,6 +141,27 @@ class Engine:
         return self.store.clear()
 
     def info(self, name: str) -> DataFrame:
-        """One row: ``name, n_chunks, n_docs, dim``."""
-        chunks = self.load(name)[0].chunks
-        return chunks.agg(F.lit(name).alias("name"), F.count("*").alias("n_chunks"), F.countDistinct("doc_id").alias("n_docs"), F.max(F.size("embedding")).alias("dim"))
+        """One row: ``name, n_chunks, n_summaries, n_docs, dim, index_type, metric, n_cells``."""
+        index, config = self.load(name)
+        found = index.chunks.agg(F.count("*").alias("n_chunks"), F.count_if(F.col("level") > 0).alias("n_summaries"), F.countDistinct("doc_id").alias("n_docs"), F.max(F.size("embedding")).alias("dim"))
+        cells = 0 if index.centres is None else len(index.centres)
+        return found.select(F.lit(name).alias("name"), "*", F.lit(config.index_type).alias("index_type"), F.lit(config.metric).alias("metric"), F.lit(cells).alias("n_cells"))
+
+    def ensure_all(self, docs: DataFrame, configs: dict[str, Config]) -> dict[str, str]:
+        """Builds what doesn't exist; by name ``built``, ``exists`` or what went wrong, which doesn't stop the others."""
+        out = {}
+        for name, config in configs.items():
+            try:
+                out[name] = "exists" if self.exists(name) else "built"
+                self.ensure(name, docs, config)
+            except Exception as e:  # whatever a user's embedding or summaries may raise
+                out[name] = f"{type(e).__name__}: {e}"
+        return out
+
+    def measure(self, name: str, queries: DataFrame) -> dict:
+        """Mean recalls of a batch of queries, its time and the settings that it was searched with."""
+        began = time.monotonic()
+        means = evaluation.batch_means(self.evaluate(name, queries).withColumn("mode", F.lit(name))).first()
+        seconds = time.monotonic() - began
+        n = means["n_queries"] if means else 0
+        return {**(means.asDict() if means else {}), "total_time": seconds, "mean_time": seconds / n if n else 0.0, "config": asdict(self.load(name)[1])}

@@ -41,6 +41,12 @@ def english_share(text: Column) -> Column:
     return F.length(F.regexp_replace(text, r"[^`a-zA-Z0-9.,':;/\"?<>!()\-]", "")) / F.nullif(F.length(text), F.lit(0))
 
 
+def items_are_english(items: Column) -> Column:
+    """Whether more than 0.8 of an array's items are one Latin letter, digit or sign; longer items never are."""
+    one = F.size(F.filter(items, lambda x: F.trim(x).rlike(r"^[`a-zA-Z0-9.,':;/\"?<>!()\-]$")))
+    return F.coalesce((F.size(items) > 0) & (one / F.size(items) > 0.8), F.lit(False))
+
+
 def is_english(text: Column) -> Column:
     return F.coalesce(english_share(text) > 0.8, F.lit(False)) & (F.length(text) > 0)
 

@@ -59,6 +59,13 @@ class Config:
             warnings.warn(f"unknown settings: {', '.join(unknown)}", stacklevel=2)
         return cls(**{k: v for k, v in given.items() if k in known})
 
+    def index_params(self) -> dict[str, int]:
+        """What the index type takes."""
+        return {"nlist": self.ivf_nlist, "nprobe": self.ivf_nprobe} if self.index_type == "IVF" else {}
+
+    def summary(self) -> str:
+        return "\n".join(f"{f.name}: {getattr(self, f.name)}" for f in fields(self))
+
     def updated(self, **changes) -> Config:
         return replace(self, **changes)
 

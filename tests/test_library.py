@@ -63,6 +63,7 @@ def test_text_functions(spark):
     assert one(spark, T.clean(F.col("t")), t=" a\x00\x07b　\n c ") == "ab c"
     assert one(spark, T.query_lines(F.col("t")), t="1. one\n2. two\n3.three\n\n") == ["1. one", "two", "three"]
     assert one(spark, T.is_english(F.col("t")), t="") is False
+    assert [one(spark, T.items_are_english(F.array(*map(F.lit, x)))) for x in (["a", "b", "1", "?", " c "], ["ab", "b"], ["中", "a"])] == [True, False, False]
     assert T.delimiter_regex("\n`###`!") == r"\#\#\#|" + "\n" + r"|\!"
 
 
@@ -346,7 +347,15 @@ def test_engine(spark, tmp_path):
     assert engine.update("a", docs, config.updated(proc_chunk_token_size=9)) == "rebuild"
     assert [r["mode"] for r in engine.compare(["a"], queries).collect()] == ["a"]
     assert [r["name"] for r in engine.missing(spark.createDataFrame([("a",), ("b",)], "name string")).collect()] == ["b"]
-    assert tuple(engine.info("a").first()) == ("a", 2, 2, 64)
+    assert tuple(engine.info("a").first()) == ("a", 2, 0, 2, 64, "HNSW", "cosine", 0)
+    done = engine.measure("a", queries)
+    assert done["n_queries"] == 2 and done["total_time"] > 0 and done["config"]["proc_chunk_token_size"] == 9
+
+    def broken(*_):
+        raise ZeroDivisionError("no model")
+
+    assert {k: v.split(":")[0] for k, v in Engine(spark, str(tmp_path), embed=broken).ensure_all(docs, {"a": config, "b": config}).items()} == {"a": "exists", "b": "ZeroDivisionError"}
+    assert Config(index_type="IVF").index_params() == {"nlist": 100, "nprobe": 10} and "metric: cosine" in Config().summary()
 
 
 def test_engine_settings_have_effect(spark, tmp_path):
