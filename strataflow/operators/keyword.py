@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,13 +15,27 @@ K1, B, FLOOR = 1.5, 0.75, 0.25
 
 
 def postings(rows: DataFrame, key: list[str], text: str = "content") -> DataFrame:
-    """key, ``term, tf``."""
-    return rows.select(*key, F.explode(tokens(F.col(text))).alias("term")).groupBy(*key, "term").agg(F.count("*").alias("tf"))
+    """key, ``term, tf``; a key has one row."""
+    return postings_of_words(rows.select(*key, tokens(F.col(text)).alias("words")), key)
 
 
 def postings_of_words(rows: DataFrame, key: list[str], words: str = "words") -> DataFrame:
-    """key, ``term, tf`` of rows that have their words."""
-    return rows.select(*key, F.explode(words).alias("term")).groupBy(*key, "term").agg(F.count("*").alias("tf"))
+    """key, ``term, tf`` of rows that have their words, a row for each key: counted where the row is, without a shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1000):
+                batch = whole.slice(start, 1000)
+                at, terms, tf = [], [], []
+                for i, own in enumerate(batch.column(len(key)).to_pylist()):
+                    counts = Counter(own or ())
+                    at += [i] * len(counts)
+                    terms += counts.keys()
+                    tf += counts.values()
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at, pa.int64())) for c in batch.columns[: len(key)]), pa.array(terms, pa.string()), pa.array(tf, pa.int64())], names=[*key, "term", "tf"])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*key).schema)
+    return rows.select(*key, words).mapInArrow(run, f"{schema}, term string, tf long")
 
 
 def doc_lengths(posts: DataFrame, key: list[str]) -> DataFrame:

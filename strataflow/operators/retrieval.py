@@ -42,7 +42,7 @@ def index_of(chunks: DataFrame, key: list[str], dim: int, text: str = "content",
     """An index of the chunks, with their other columns, each table computed once."""
     words = chunks.withColumn("words", tokens(F.col(text)))
     embedded = kept(embed(words, words.columns, "words", dim))
-    posts = kept(embedded.select(*key, F.explode("words").alias("term")).groupBy(*key, "term").agg(F.count("*").alias("tf")))
+    posts = kept(keyword.postings_of_words(embedded, key))
     stats = keyword.term_stats(posts, embedded.agg(F.count("*").cast("double").alias("n")))
     return Index(key, embedded, posts, keyword.doc_lengths(posts, key), kept(stats))
 
