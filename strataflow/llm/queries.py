@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, chat_tree, decontaminate, hmm_lm, line_dedup, mjpeg, simhash_dedup, substring_dedup, token_counts, toxicity
+from . import bpe_codec, chat_repair, chat_tree, cover_search, decontaminate, hmm_lm, line_dedup, mjpeg, periodic_runs, simhash_dedup, substring_dedup, token_counts, toxicity
 from .oracle import ORACLE_SQL
 from .shared import documents
 
@@ -77,9 +77,22 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.digests(bpe_codec.encode(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN))
 
 
+def op11_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_repair.repair(chat_repair.damaged(_table(spark, sf_dir, "conversations")))
+
+
+def op12_cover_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("vec_id"), cover_search.whole(F.col("embedding")).alias("v"))
+    return cover_search.top_products(vectors, F.col("vec_id") % 50 == 0, k=5)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(periodic_runs.periodic_runs(documents(spark, sf_dir), periodic_runs.repeated))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_toxicity, op2_token_counts, op3_decontaminate, op4_hmm_lm, op5_chat_tree, op6_mjpeg, op7_substring_dedup, op8_line_dedup, op9_simhash_dedup, op10_bpe_codec)
+    for f in (op1_toxicity, op2_token_counts, op3_decontaminate, op4_hmm_lm, op5_chat_tree, op6_mjpeg, op7_substring_dedup, op8_line_dedup, op9_simhash_dedup, op10_bpe_codec, op11_chat_repair, op12_cover_search, op13_periodic_runs)
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
