@@ -57,21 +57,21 @@ def answer_by_sql(question_sql: str, **tables: DataFrame) -> DataFrame:
 
 
 def cell_sentences(rows: DataFrame) -> DataFrame:
-    """``doc_id, sequence, level, chunk_id_str, content`` of rows ``doc_id, sequence, cells array<struct<name, value>>`` of many small tables."""
+    """``doc_id, sequence, level, chunk_id_str, content`` of rows ``doc_id, table_idx, sequence, cells array<struct<name, value>>`` of many small tables."""
     cells = F.array_join(F.transform("cells", lambda c: F.concat(c["name"], F.lit("是“"), F.coalesce(c["value"], F.lit(MISSING_CELL)), F.lit("”"))), ", ")
     content = F.concat(F.lit("关于“"), F.col("doc_id"), F.lit("”中的一个表格数据记录: "), cells, F.lit("。"))
-    key = F.concat(F.col("doc_id"), F.lit("_table0_row_"), F.col("sequence").cast("string"))
+    key = F.concat(F.col("doc_id"), F.lit("_table"), F.col("table_idx").cast("string"), F.lit("_row_"), F.col("sequence").cast("string"))
     return rows.select("doc_id", F.col("sequence").cast("long").alias("sequence"), F.lit(0).alias("level"), key.alias("chunk_id_str"), content.alias("content"))
 
 
 def cell_summaries(rows: DataFrame, sample: int = 3) -> DataFrame:
     """The same rows as one summary for each table."""
     first = F.array_sort(F.collect_list(F.when(F.col("sequence") < sample, F.struct("sequence", "cells"))))
-    by_table = rows.groupBy("doc_id").agg(F.count("*").alias("n"), first.alias("first"))
+    by_table = rows.groupBy("doc_id", "table_idx").agg(F.count("*").alias("n"), first.alias("first"))
     names = F.array_join(F.transform(F.col("first")[0]["cells"], lambda c: c["name"]), ", ")
     line = lambda r: F.array_join(F.transform(r["cells"], lambda c: F.concat(c["name"], F.lit(": "), F.coalesce(c["value"], F.lit(MISSING_CELL)))), ", ")
     content = F.concat(
         F.lit("表格“"), F.col("doc_id"), F.lit("”有"), F.col("n").cast("string"), F.lit("行, 列为: "), names, F.lit("。\n\n--- 技术元数据 ---\n来源: 提取自文档'"), F.col("doc_id"),
-        F.lit("'的第1个表格\n表格结构(Schema): "), names, F.lit("\n数据样本:\n"), F.array_join(F.transform("first", line), "\n"),
+        F.lit("'的第"), (F.col("table_idx") + 1).cast("string"), F.lit("个表格\n表格结构(Schema): "), names, F.lit("\n数据样本:\n"), F.array_join(F.transform("first", line), "\n"),
     )
-    return by_table.select("doc_id", F.lit(0).cast("long").alias("sequence"), F.lit(-1).alias("level"), F.concat(F.col("doc_id"), F.lit("_table0_summary_0")).alias("chunk_id_str"), content.alias("content"))
+    return by_table.select("doc_id", F.lit(0).cast("long").alias("sequence"), F.lit(-1).alias("level"), F.concat(F.col("doc_id"), F.lit("_table"), F.col("table_idx").cast("string"), F.lit("_summary_0")).alias("chunk_id_str"), content.alias("content"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import chunking, context, evaluation, exhaustive, index, keyword, lexicon, retrieval, search, tables, tree
-from ..sources import files
+from ..sources import files, office
 from ..sources.stored import kept, shared_dir
 from . import sql as S
 from .config import Config
@@ -272,12 +275,76 @@ def table_files(spark, sf):
     """Suppliers in a CSV file for each nation, which are found by their suffix and become rows of tables."""
     path = f"{shared_dir(spark).rstrip('/')}/csv-{uuid.uuid4().hex}"
     rows = _t(spark, sf, "supplier").join(_t(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("n_name", "s_suppkey", "s_name")
-    for name in [r["n_name"] for r in rows.select("n_name").distinct().collect()]:  # a row for each nation
-        rows.where(F.col("n_name") == name).select("s_suppkey", "s_name").orderBy("s_suppkey").coalesce(1).write.csv(f"{path}/{name}", header=True)
-    found = files.load_tables(spark, path, doc_id=r"([^/]*)/[^/]*$")
+    rows.repartition("n_name").sortWithinPartitions("n_name", "s_suppkey").write.partitionBy("n_name").csv(path, header=True)
+    found = files.load_tables(spark, path, doc_id=r"n_name=([^/]*)/[^/]*$")
     return tables.cell_sentences(found)
 
 
+@query(
+    """SELECT 'parts' || (p_partkey // 500) AS doc_id, row_number() OVER (PARTITION BY p_partkey // 500, p_size % 3 ORDER BY p_partkey) - 1 AS sequence,
+  '关于“parts' || (p_partkey // 500) || '”中的一个表格数据记录: p_partkey是“' || p_partkey || '”, p_name是“' || p_name || '”, p_brand是“' || CASE WHEN p_partkey % 7 = 0 THEN '未提供' ELSE p_brand END
+  || '”, half是“' || CASE WHEN p_partkey % 2 = 0 THEN (p_partkey // 2)::VARCHAR ELSE (p_partkey // 2) || '.5' END || '”, made是“' || strftime(DATE '2000-01-01' + (p_partkey % 9000)::INT, '%Y-%m-%d 12:00:00') || '”。' AS content FROM part"""
+)
+def office_workbooks(spark, sf):
+    """Parts as workbooks, each with three sheets of texts, numbers, dates and empty cells, which are read back as sentences."""
+    made = F.timestamp_seconds(F.unix_seconds(F.lit("2000-01-01 12:00:00").cast("timestamp")) + 86400 * (F.col("p_partkey") % 9000)).alias("made")
+    brand = F.when(F.col("p_partkey") % 7 != 0, F.col("p_brand")).alias("p_brand")
+    parts = _t(spark, sf, "part").select((F.floor(F.col("p_partkey") / 500)).alias("book"), (F.col("p_size") % 3).alias("sheet"), "p_partkey", "p_name", brand, (F.col("p_partkey") / 2).alias("half"), made)
+
+    def write(pdf):
+        columns = ["p_partkey", "p_name", "p_brand", "half", "made"]
+        by_sheet = []
+        for i in range(3):
+            own = pdf[pdf["sheet"] == i].sort_values("p_partkey")
+            by_sheet.append((f"size {i}", [columns, *([int(r.p_partkey), r.p_name, r.p_brand, float(r.half), r.made.to_pydatetime()] for r in own.itertuples())]))
+        return pd.DataFrame([(f"parts{pdf['book'].iloc[0]}.xlsx", office.workbook_bytes(by_sheet))], columns=["path", "content"])
+
+    # A workbook has 500 parts.
+    books = parts.groupBy("book").applyInPandas(write, "path string, content binary")
+    rows = office.workbook_rows(books).select(F.regexp_extract("path", r"(.*)\.", 1).alias("doc_id"), F.col("sheet").alias("table_idx"), "sequence", "cells")
+    return tables.cell_sentences(rows).select("doc_id", "sequence", "content")
+
+
+_PLAIN = r"regexp_replace(text, '[\x00-\x08\x0b\x0c\x0e-\x1f\x{fffe}\x{ffff}]', '', 'g')"
+
+
+@query(
+    rf"""WITH l AS (SELECT doc_id, unnest(string_split({_PLAIN}, chr(10))) AS line, generate_subscripts(string_split({_PLAIN}, chr(10)), 1) AS i FROM documents),
+p AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS i, i AS place FROM l WHERE regexp_matches(line, '[^\s\x0b\x1c-\x1f\x85\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]'))
+SELECT doc_id, count(*) AS n_paragraphs, count(*) FILTER (place = 1) AS n_headings, md5(string_agg(replace(line, chr(13), chr(10)), chr(10) || chr(10) ORDER BY i)) AS text FROM p GROUP BY doc_id"""
+)
+def office_documents(spark, sf):
+    """Documents as word processing files, a paragraph for each line, the first line a heading; read back as elements and texts."""
+
+    def write(batches):
+        for batch in batches:
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            content = [office.document_bytes([("Heading 1" if i == 0 else None, line) for i, line in enumerate((t or "").split("\n"))]) for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array([f"{i}.docx" for i in ids]), pa.array(content, pa.binary())], names=["path", "content"])
+
+    found = kept(office.elements(_t(spark, sf, "documents").select("doc_id", "text").mapInArrow(write, "path string, content binary")))
+    counts = found.groupBy("path").agg(F.count("*").alias("n_paragraphs"), F.count_if(F.col("style") == "Heading 1").alias("n_headings"))
+    doc_id = F.regexp_extract("path", r"(.*)\.", 1).cast("long").alias("doc_id")
+    return counts.join(office.texts(found), "path").select(doc_id, "n_paragraphs", "n_headings", F.md5("text").alias("text"))
+
+
+@query(
+    rf"""WITH l AS (SELECT page_id, unnest(string_split(regexp_replace(html, '[\x00-\x08\x0b-\x0f\x0e-\x1f]', '', 'g'), chr(10))) AS line, generate_subscripts(string_split(regexp_replace(html, '[\x00-\x08\x0b-\x0f\x0e-\x1f]', '', 'g'), chr(10)), 1) - 1 AS i FROM pages)
+SELECT page_id, i // 5 AS slide, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS elem_idx, md5(line) AS text FROM l WHERE trim(line) <> ''"""
+)
+def office_slides(spark, sf):
+    """Lines of pages as slides of five, read back in order."""
+
+    def write(batches):
+        for batch in batches:
+            lines = [re.sub(r"[\x00-\x08\x0b-\x0f\x0e-\x1f]", "", t or "").split("\n") for t in batch.column(1).to_pylist()]
+            content = [office.slides_bytes([own[i : i + 5] for i in range(0, len(own), 5)]) for own in lines]
+            yield pa.RecordBatch.from_arrays([pa.array([f"{i}.pptx" for i in batch.column(0).to_pylist()]), pa.array(content, pa.binary())], names=["path", "content"])
+
+    found = office.elements(_t(spark, sf, "pages").select("page_id", "html").mapInArrow(write, "path string, content binary"))
+    return found.select(F.regexp_extract("path", r"(.*)\.", 1).cast("long").alias("page_id"), F.col("page").cast("long").alias("slide"), F.col("elem_idx").cast("long").alias("elem_idx"), F.md5("text").alias("text"))
+
+
 _QUESTION = "SELECT o_orderpriority, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey GROUP BY o_orderpriority"
 
 

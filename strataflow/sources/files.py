@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 from ..functions.text import clean
 from ..operators import tables
 from ..operators.chunking import chunk_documents
+from . import office
 
 # The suffixes of texts, tables and formats that need a parser of their own, and the codecs that are tried in turn.
-TEXTS, TABLES, BINARY = (".txt", ".md", ".html", ".htm", ".json"), (".csv",), (".pdf", ".docx", ".doc", ".pptx", ".ppt", ".xlsx", ".xls")
+TEXTS, TABLES, BINARY = (".txt", ".md", ".html", ".htm", ".json"), (".csv",), (".pdf", ".doc", ".ppt", ".xls")
+OFFICE = (*office.WORKBOOKS, *office.DOCUMENTS, *office.SLIDES)
 CODECS = ("utf-8", "gb2312", "gbk", "gb18030", "utf_16", "ascii", "big5", "latin_1")
 #: Files beyond it aren't read whole: they belong into a table of their own (``spark.read.text``, ``read_table``).
 MOST_BYTES = 256 << 20
@@ -37,14 +39,15 @@ def _files(spark: SparkSession, folder: str) -> DataFrame:
     return files.withColumn("suffix", F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1)))
 
 
-def _doc_id() -> Column:
-    return F.regexp_replace(F.regexp_extract("path", r"([^/]*)$", 1), r"\.[^.]*$", "")
-
-
 def left_out(spark: SparkSession, folder: str) -> DataFrame:
     """``path, reason`` of the files that neither load_documents nor load_tables reads."""
-    reason = F.when(F.col("suffix").isin(*BINARY), "its format needs a parser").when(~F.col("suffix").isin(*TEXTS, *TABLES), "unknown suffix").when(F.col("length") > MOST_BYTES, "too large")
-    return _files(spark, folder).select("path", reason.alias("reason")).where(F.col("reason").isNotNull())
+    files = _files(spark, folder)
+    reason = F.when(F.col("suffix").isin(*BINARY), "its format needs a parser").when(~F.col("suffix").isin(*TEXTS, *TABLES, *OFFICE), "unknown suffix").when(F.col("length") > MOST_BYTES, "too large")
+    return files.select("path", reason.alias("reason")).where(F.col("reason").isNotNull()).unionByName(office.problems(_office(files)))
+
+
+def _office(files: DataFrame) -> DataFrame:
+    return files.where(F.col("suffix").isin(*OFFICE) & (F.col("length") <= MOST_BYTES))
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
@@ -53,11 +56,12 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_tables(spark: SparkSession, folder: str, doc_id: str = r"([^/]*)\.[^./]*$") -> DataFrame:
-    """``doc_id, sequence, cells array<struct<name, value>>`` of the rows of all CSV files under folder, each with columns of its own; empty cells are null.
+    """``doc_id, table_idx, sequence, cells array<struct<name, value>>`` of the rows of all tables under folder, each with columns of its own; empty cells are null.
 
-    doc_id: a pattern of the path whose group names the document.
+    Tables are CSV files, the sheets of workbooks and those inside documents and slides. doc_id: a pattern of the path whose group names the document.
     """
-    files = _files(spark, folder).where(F.col("suffix").isin(*TABLES) & (F.col("length") <= MOST_BYTES))
+    found = _files(spark, folder)
+    files = found.where(F.col("suffix").isin(*TABLES) & (F.col("length") <= MOST_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))
@@ -68,7 +72,11 @@ def load_tables(spark: SparkSession, folder: str, doc_id: str = r"([^/]*)\.[^./]
                 rows = [[{"name": n, "value": row[i] if i < len(row) and row[i] else None} for i, n in enumerate(names)] for row in lines if row]
                 yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(rows), pa.string()), pa.array(range(len(rows)), pa.int64()), pa.array(rows, kind)], names=["doc_id", "sequence", "cells"])
 
-    return files.select(F.regexp_extract("path", doc_id, 1).alias("doc_id"), "content").mapInArrow(run, "doc_id string, sequence long, cells array<struct<name: string, value: string>>")
+    name = F.regexp_extract("path", doc_id, 1).alias("doc_id")
+    rows = files.select(name, "content").mapInArrow(run, "doc_id string, sequence long, cells array<struct<name: string, value: string>>").withColumn("table_idx", F.lit(0))
+    sheets = office.workbook_rows(_office(found)).select(name, F.col("sheet").alias("table_idx"), "sequence", "cells")
+    embedded = office.tables(office.elements(_office(found))).select(name, "table_idx", "sequence", "cells")
+    return rows.select(*sheets.columns).unionByName(sheets).unionByName(embedded)
 
 
 def file_chunks(spark: SparkSession, folder: str, size: int = 256, use_code_space: bool = True) -> DataFrame:
@@ -79,14 +87,17 @@ def file_chunks(spark: SparkSession, folder: str, size: int = 256, use_code_spac
 
 
 def load_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """``doc_id, text, path, name, size`` of all text files under folder; ``left_out`` tells which others there are."""
-    files = _files(spark, folder).where(F.col("suffix").isin(*TEXTS) & (F.col("length") <= MOST_BYTES))
+    """``doc_id, text, path, name, size`` of all texts, documents and slides under folder; ``left_out`` tells which other files there are."""
+    found = _files(spark, folder)
+    files = found.where(F.col("suffix").isin(*TEXTS) & (F.col("length") <= MOST_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if c is None else decode(c) for c in batch.column(1).to_pylist()], pa.string()), batch.column(2)], names=["path", "text", "size"])
 
     texts = files.select("path", "content", F.col("length").alias("size")).mapInArrow(run, "path string, text string, size long")
+    said = office.texts(office.elements(_office(found))).join(_office(found).select("path", F.col("length").alias("size")), "path")
+    texts = texts.unionByName(said.select("path", "text", "size"))
     name = F.regexp_extract("path", r"([^/]*)$", 1)
     return texts.where(F.col("text").isNotNull()).select(F.regexp_replace(name, r"\.[^.]*$", "").alias("doc_id"), clean(F.col("text")).alias("text"), "path", name.alias("name"), "size")
 
