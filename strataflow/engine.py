@@ -1,4 +1,4 @@
-"""Indexes by name: built from documents, searched, asked and evaluated in batches of queries."""
+"""Indexes by name: built from documents, changed, searched, asked and evaluated in batches of queries."""
 
 from __future__ import annotations
 
@@ -8,12 +8,14 @@ from dataclasses import asdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .operators import chunking, context, evaluation, retrieval, search, tree
+from .functions.text import tokens
+from .operators import chunking, context, evaluation, graph, keyword, retrieval, search, tree
 from .operators import index as cells
+from .operators.segmentation import Tokenizer
 from .plans.config import Config, update_plan
 from .sources.store import IndexStore
 from .sources.stored import kept
@@ -26,14 +28,24 @@ NOTHING_FOUND, NO_MODEL = "抱歉，在知识库中找不到与您问题相关
 class Engine:
     """All state is in the store; a name can be built, searched and dropped from any session."""
 
-    def __init__(self, spark: SparkSession, root: str, answer: Callable[[str, list[str]], str] | None = None, embed: retrieval.Embedder = search.hash_embeddings, summarise: Callable[[list[str]], str] = tree.first_words):
-        """answer: a question and texts to an answer; embed: the embedding of rows of words; summarise: texts to a summary."""
-        self.spark, self.store, self.answer, self.embed, self.summarise = spark, IndexStore(spark, root), answer, embed, summarise
+    def __init__(
+        self, spark: SparkSession, root: str, answer: Callable[[str, list[str]], str] | None = None, embed: retrieval.Embedder = search.hash_embeddings,
+        summarise: Callable[[list[str]], str] = tree.first_words, tokenize: Tokenizer = tokens,
+    ):
+        """answer: a question and texts to an answer; embed: the embedding of rows of words; summarise: texts to a summary; tokenize: a text column to its words."""
+        self.spark, self.store, self.answer, self.embed, self.summarise, self.tokenize = spark, IndexStore(spark, root), answer, embed, summarise, tokenize
+
+    # --- building and changing ---
 
     def build(self, name: str, docs: DataFrame, config: Config, replace: bool = False) -> None:
-        """docs: ``doc_id, text``. An index that exists is only replaced if asked to."""
+        """docs: ``doc_id, text``. An index that exists is only replaced if asked to, and searched until the new one is whole."""
         if not replace and self.exists(name):
             raise FileExistsError(f"there is an index named {name}")
+        index = retrieval.index_of(self._chunks(docs, config), KEY, config.embed_dim, embed=self.embed, tokenize=self.tokenize)
+        self._commit_whole(name, index.chunks, config)
+        self.store.register(name, mode=config.mode_name, index_type=config.index_type, metric=config.metric)
+
+    def _chunks(self, docs: DataFrame, config: Config) -> DataFrame:
         chunks = chunking.chunk_documents(docs, config.proc_chunk_token_size).select(*KEY, F.lit(0).alias("level"), "content")
         if config.proc_enable_raptor:
             chunks = kept(chunks)
@@ -41,37 +53,93 @@ class Engine:
             # Summaries come before the document's chunks: their sequence numbers are negative, the further up the smaller.
             order = F.row_number().over(W.partitionBy("doc_id").orderBy("level", "node"))
             chunks = chunks.unionByName(nodes.select("doc_id", (-order).alias("sequence"), "level", "content"))
-        index = retrieval.index_of(chunks, KEY, config.embed_dim, embed=self.embed)
-        tables = {"chunks": index.chunks, "postings": index.posts, "doc_len": index.doc_len, "term_stats": index.term_stats}
+        return chunks
+
+    def _segment(self, name: str, chunks: DataFrame, config: Config, centres: np.ndarray | None, order: int) -> tuple[dict, retrieval.Facts]:
+        """A written segment of embedded chunks as the manifest lists it."""
+        tables = {"chunks": chunks}
         if config.index_type == "IVF":
-            centres = cells.fit_cells(index.chunks, config.ivf_nlist)
-            tables["cells"] = cells.assign_cells(index.chunks, KEY, centres).repartitionByRange("cell").sortWithinPartitions("cell")
-            tables["centres"] = self.spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "cell int, centre array<double>")
-        self.store.save(name, tables)
-        self._settle(name, config)
-
-    def _settle(self, name: str, config: Config) -> None:
-        self.store.save(name, {"meta": self.spark.createDataFrame([(config.to_json(),)], "config string")})
-        self.store.register(name, mode=config.mode_name, index_type=config.index_type, metric=config.metric)
+            tables["cells"] = cells.assign_cells(chunks, [*KEY, "level"], centres).repartitionByRange("cell").sortWithinPartitions("cell")
+        if config.index_type == "HNSW":
+            tables["graphs"] = graph.graphs(chunks, KEY, config.hnsw_m, config.hnsw_ef_con)
+        return {"part": self.store.write(name, tables), "order": order}, retrieval.facts_of(chunks)
+
+    def _commit_whole(self, name: str, chunks: DataFrame, config: Config) -> None:
+        """One segment in place of all there was."""
+        version, centres, part = self.store.version(name), None, None
+        if config.index_type == "IVF":
+            centres = cells.fit_cells(chunks, config.ivf_nlist)
+            part = self.store.write(name, {"centres": self.spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "cell int, centre array<double>")})
+        segment, facts = self._segment(name, chunks, config, centres, version + 1)
+        stats = self.store.write(name, {"term_stats": retrieval.statistics(keyword.frequencies(chunks), facts)})
+        self.store.commit(name, version, {"config": config.to_json(), "segments": [segment], "removed": [], "stats": stats, "facts": asdict(facts), "centres": part})
+
+    def append(self, name: str, docs: DataFrame) -> int:
+        """Adds documents; those whose doc_id the index has take the place of the old ones. The new version.
+
+        The work is that of the documents and of the vocabulary's statistics. Results are those of an index that is built anew from all documents,
+        but for cells, whose centres stay until ``compact``.
+        """
+        version, state = self.store.state(name)
+        config = Config.from_json(state["config"])
+        docs = kept(docs.select("doc_id", "text"))
+        state, stats, facts = self._without(name, state, version, docs.select("doc_id"))
+        new = retrieval.index_of(self._chunks(docs, config), KEY, config.embed_dim, embed=self.embed, tokenize=self.tokenize).chunks
+        centres = self._centres(name, state) if state["centres"] else None
+        segment, own = self._segment(name, new, config, centres, version + 1)
+        return self._commit_change(name, version, state | {"segments": [*state["segments"], segment]}, stats.unionByName(keyword.frequencies(new)), facts.plus(own))
+
+    def remove(self, name: str, ids: DataFrame) -> int:
+        """Removes documents (``doc_id``); unknown ones don't matter. The new version. Their rows stay in the tables until ``compact``."""
+        version, state = self.store.state(name)
+        return self._commit_change(name, version, *self._without(name, state, version, ids))
+
+    def _without(self, name: str, state: dict, version: int, ids: DataFrame) -> tuple[dict, DataFrame, retrieval.Facts]:
+        """The state, frequencies (which add up by term) and facts without some documents."""
+        live = self.store.live(name, state, "chunks")
+        gone = kept(live.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "words"))
+        stats, facts = self.store.table(name, state["stats"], "term_stats").select("term", "df"), retrieval.Facts(**state["facts"])
+        own = retrieval.facts_of(gone)
+        if own.n:
+            part = self.store.write(name, {"removed": gone.select("doc_id").distinct()})
+            state = state | {"removed": [*state["removed"], {"part": part, "order": version + 1}]}
+            stats = stats.unionByName(keyword.frequencies(gone).withColumn("df", -F.col("df")))
+        return state, stats, facts.plus(own, -1)
+
+    def _commit_change(self, name: str, version: int, state: dict, frequencies: DataFrame, facts: retrieval.Facts) -> int:
+        summed = frequencies.groupBy("term").agg(F.sum("df").alias("df")).where(F.col("df") > 0)
+        stats = self.store.write(name, {"term_stats": retrieval.statistics(kept(summed), facts)})
+        return self.store.commit(name, version, state | {"stats": stats, "facts": asdict(facts)})
+
+    def compact(self, name: str, vacuum: bool = False) -> None:
+        """All segments as one, without what was removed, cells and graphs made anew; vacuum deletes the files that the version before had."""
+        _, state = self.store.state(name)
+        self._commit_whole(name, kept(self.store.live(name, state, "chunks")), Config.from_json(state["config"]))
+        if vacuum:
+            self.store.vacuum(name)
 
     def exists(self, name: str) -> bool:
         try:
-            self.load(name)
+            self.store.state(name)
         except FileNotFoundError:
             return False
         return True
 
+    def _centres(self, name: str, state: dict) -> np.ndarray:
+        return np.array([r["centre"] for r in self.store.table(name, state["centres"], "centres").orderBy("cell").collect()])  # ivf_nlist rows
+
     def load(self, name: str) -> tuple[retrieval.Index, Config]:
-        t = self.store.load(name)
-        meta = t["meta"].first() if "meta" in t else None
-        if meta is None:
-            raise FileNotFoundError(f"no index named {name}")
-        config = Config.from_json(meta["config"])
-        # Without keyword tables an index is searched by vectors alone.
-        words = [t.get(c) for c in ("postings", "doc_len", "term_stats")]
-        words = words if all(w is not None for w in words) else [None] * 3
-        own, centres = (t["cells"], np.array([r["centre"] for r in t["centres"].orderBy("cell").collect()])) if config.index_type == "IVF" else (None, None)
-        return retrieval.Index(KEY, t["chunks"], *words, own, centres), config
+        """The last version: what is changed afterwards doesn't show in it."""
+        _, state = self.store.state(name)
+        config = Config.from_json(state["config"])
+        own, centres, graphs = None, None, None
+        if config.index_type == "IVF" and state["centres"]:
+            own, centres = self.store.live(name, state, "cells"), self._centres(name, state)
+        # Graphs have no way to leave out documents: until they are made anew by ``compact`` all rows are searched.
+        if config.index_type == "HNSW" and not state["removed"]:
+            graphs = self.store.live(name, state, "graphs")
+        chunks = self.store.live(name, state, "chunks")
+        return retrieval.Index(KEY, chunks, self.store.table(name, state["stats"], "term_stats"), retrieval.Facts(**state["facts"]).avgdl, own, centres, graphs), config
 
     def ensure(self, name: str, docs: DataFrame, config: Config) -> None:
         """Builds what doesn't exist."""
@@ -84,20 +152,24 @@ class Engine:
         if plan == "rebuild":
             self.build(name, docs, config, replace=True)
         else:
-            self._settle(name, config)
+            version, state = self.store.state(name)
+            self.store.commit(name, version, state | {"config": config.to_json()})
+            self.store.register(name, mode=config.mode_name, index_type=config.index_type, metric=config.metric)
         return plan
 
     def missing(self, wanted: DataFrame) -> DataFrame:
         """The ``name`` rows that aren't in the registry."""
         return wanted.join(self.store.list(), "name", "left_anti")
 
-    def search(self, name: str, queries: DataFrame, keywords: bool = False, rewrites: DataFrame | None = None, use_rerank: bool = True, **changes) -> DataFrame:
+    def search(self, name: str, queries: DataFrame, keywords: bool = False, rewrites: DataFrame | None = None, use_rerank: bool = True, where: Column | None = None, **changes) -> DataFrame:
         """``query_id, doc_id, sequence, rank, score, vec_score, kw_score, content``. queries: ``query_id, text``.
 
-        keywords adds the five leading terms as a sub-query, in place of rewrites. changes: settings for this search only.
+        keywords adds the five leading terms as a sub-query, in place of rewrites. where: a condition on ``doc_id, sequence, level`` that
+        all results meet, held before the best are chosen, so that top_k rows are found where there are as many. changes: settings for this search only.
         """
         index, config = self.load(name)
-        subs = retrieval.sub_queries(queries, index.term_stats if keywords else None, rewrites)
+        index = index.where(where)
+        subs = retrieval.sub_queries(queries, index.term_stats if keywords else None, rewrites, self.tokenize)
         found = retrieval.hybrid_search(index, subs, config.updated(**changes), use_rerank, embed=self.embed)
         return found.join(index.chunks.select(*KEY, "content"), KEY)
 
@@ -121,8 +193,8 @@ class Engine:
 
     def evaluate(self, name: str, queries: DataFrame) -> DataFrame:
         index, config = self.load(name)
-        found = retrieval.hybrid_search(index, retrieval.sub_queries(queries), config, embed=self.embed)
-        return evaluation.recalls(found, retrieval.ideal_search(index, queries, config, self.embed), queries, KEY)
+        found = retrieval.hybrid_search(index, retrieval.sub_queries(queries, tokenize=self.tokenize), config, embed=self.embed)
+        return evaluation.recalls(found, retrieval.ideal_search(index, queries, config, self.embed, self.tokenize), queries, KEY)
 
     def compare(self, names: list[str], queries: DataFrame) -> DataFrame:
         """Mean recalls of several indexes, the most precise first."""

@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .keyword import B, K1
-from .search import _unit, best_rows
+from .search import _unit, best_rows, vector_rows
 
 #: The matrices of a block, which is broadcast, take about so many bytes each.
 BLOCK_BYTES = 32 << 20
@@ -158,7 +158,7 @@ def hybrid_top_k(rows: DataFrame, key: list[str], queries: DataFrame, weights: D
                 for part in _slices(batches):
                     raw = np.maximum(_keyword_scores(b, part.column(len(key)).to_pylist(), avgdl)[0], 0.0)
                     kw = (raw - b.low[:, None]) / flat
-                    m = np.array([v if v is not None else [0.0] * b.vectors.shape[1] for v in part.column(len(key) + 1).to_pylist()], dtype=np.float64)
+                    m = vector_rows(part.column(len(key) + 1), b.vectors.shape[1])
                     vec = b.vectors @ _unit(m).T
                     if metric == "l2":
                         vec = 1 / (1 + np.sqrt(np.maximum(0.0, 2 - 2 * vec)) + 1e-6)

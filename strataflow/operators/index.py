@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.stored import kept
-from .search import QUERY_BLOCK_BYTES, _unit, best_rows
+from .search import QUERY_BLOCK_BYTES, _unit, best_rows, vector_rows
 
 
 def fit_cells(vectors: DataFrame, n_cells: int, sample_rows: int = 20_000, rounds: int = 15, seed: int = 1) -> np.ndarray:
@@ -39,7 +39,7 @@ def assign_cells(vectors: DataFrame, key: list[str], centres: np.ndarray, probes
         for batch in batches:
             if not batch.num_rows or not len(c):
                 continue
-            m = _unit(np.array(batch.column(len(key)).to_pylist(), dtype=np.float64))
+            m = _unit(vector_rows(batch.column(len(key)), c.shape[1]))
             near = np.argsort(-(m @ c.T), axis=1, kind="stable")[:, :probes]
             at = np.repeat(np.arange(len(m)), near.shape[1])
             values = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * m.shape[1], pa.int32()), pa.array(m[at].ravel()))
@@ -87,7 +87,7 @@ def _searched(index: DataFrame, key: list[str], queries, k: int, by: list[str],
                     if c not in probing:
                         continue
                     own = np.flatnonzero(cells == c)
-                    m = np.array(batch.column(len(key) + 1).take(pa.array(own)).to_pylist(), dtype=np.float64)
+                    m = vector_rows(batch.column(len(key) + 1).take(pa.array(own)), q.shape[1])
                     score = np.full((len(q), len(own)), -np.inf)
                     score[probing[c]] = np.round(q[probing[c]] @ m.T, 9)
                     yield [x.take(pa.array(own)) for x in batch.columns[: len(key)]], {"score": score}, score > -np.inf

@@ -43,8 +43,17 @@ def doc_lengths(posts: DataFrame, key: list[str]) -> DataFrame:
 
 
 def term_stats(posts: DataFrame, n_rows: DataFrame) -> DataFrame:
+    """``term, df, idf`` of postings. n_rows: one row, ``n``."""
+    return with_idf(posts.groupBy("term").agg(F.count("*").alias("df")), n_rows)
+
+
+def frequencies(rows: DataFrame, words: str = "words") -> DataFrame:
+    """``term, df``: in how many rows a word is; of several sets of rows they add up."""
+    return rows.select(F.explode(F.array_distinct(words)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
+def with_idf(df: DataFrame, n_rows: DataFrame) -> DataFrame:
     """``term, df, idf``; negative idf becomes a quarter of the mean over all terms. n_rows: one row, ``n``."""
-    df = posts.groupBy("term").agg(F.count("*").alias("df"))
     raw = df.crossJoin(F.broadcast(n_rows)).select("term", "df", (F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))  # one row
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, FLOOR * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
@@ -65,6 +74,18 @@ def bm25(candidates: DataFrame, posts: DataFrame, stats: DataFrame, lengths: Dat
     return scores.groupBy("query_id", *key).agg(F.max("kw").alias("kw")) if sub else scores
 
 
+def row_scores(candidates: DataFrame, rows: DataFrame, asked: DataFrame, key: list[str], avgdl: float) -> DataFrame:
+    """``query_id``, key, ``kw`` of the candidates that share a term with their query, as ``bm25`` has it, counted in the words of their own rows.
+
+    rows: key, ``words``; asked: ``query_id, sub_idx, term, qtf, idf``. No postings take part, so the work is that of the candidates' words.
+    """
+    own = candidates.select("query_id", *key).join(rows.select(*key, "words"), key)
+    words = own.select("query_id", *key, F.size("words").alias("dl"), F.explode("words").alias("term"))
+    counts = words.join(asked, ["query_id", "term"]).groupBy("query_id", *key, "dl", "sub_idx", "term", "qtf", "idf").agg(F.count("*").alias("tf"))
+    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl or 1.0)))
+    return counts.groupBy("query_id", *key, "sub_idx").agg(F.sum(part).alias("kw")).groupBy("query_id", *key).agg(F.max("kw").alias("kw"))
+
+
 def keywords(posts: DataFrame, stats: DataFrame, key: list[str], k: int = 5) -> DataFrame:
     """The k terms of each row with the highest tf x idf."""
     from pyspark.sql import Window as W

@@ -10,11 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.stems import stem
 from ..functions.text import half_width
 
-# A frequency of one, what an unknown piece weighs, and the characters that separate runs of text.
+# A frequency of one, what an unknown piece weighs, and the pattern of what separates runs of text.
 DENOMINATOR, UNKNOWN = 1_000_000, -12
-SEPARATORS = r"[ ,.<>/?;:'\[\]\\`!@#$%^&*()|{}+_=\-~]"
+SEPARATORS = r"([ ,\.<>/?;:'\[\]\\`!@#$%^&*\(\)\{\}\|_+=《》，。？、；‘’：“”【】~！￥%……（）——-]+|[a-zA-Z0-9,\.-]+)"
 #: A dictionary is broadcast: so many terms at most (some 100 bytes each in a task).
 MOST_TERMS = 2_000_000
 #: Stretches beyond so many characters are split by weights alone.
@@ -119,7 +120,7 @@ class Words:
         return out
 
     def merged(self, tokens: list[str]) -> list[str]:
-        """Up to five tokens whose concatenation has a separator and is a word become one."""
+        """Up to five tokens whose concatenation has a separator, a Latin letter or a digit and is a word become one."""
         out, at = [], 0
         while at < len(tokens):
             joined = [e for e in range(at + 2, min(len(tokens), at + 5) + 1) if re.search(SEPARATORS, t := "".join(tokens[at:e])) and t in self.weights]
@@ -151,10 +152,10 @@ _RUN = re.compile(r"[一-龥]+|[^一-龥\s]+")
 
 
 def tokenize(words: Words, text: str) -> list[str]:
-    """Runs of Chinese characters as words of the dictionary, others between white space as they are (not stemmed)."""
+    """Runs of Chinese characters as words of the dictionary, others between white space by their stems."""
     out: list[str] = []
     for run in _RUN.findall(text):
-        out += words.split(run) if "一" <= run[0] <= "龥" and len(run) > 1 else [run]
+        out += words.split(run) if "一" <= run[0] <= "龥" and len(run) > 1 else [stem(run)]
     return words.merged(out)
 
 

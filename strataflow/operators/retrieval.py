@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -14,45 +14,78 @@ from ..functions.text import cache_key, tokens
 from ..functions.vectors import l2_score
 from ..plans.config import Config
 from ..sources.stored import kept
-from . import exhaustive, keyword, search
+from . import exhaustive, graph, keyword, search
 from .index import assign_cells, search_cells
+from .segmentation import Tokenizer
 
 
 @dataclass(frozen=True)
 class Index:
-    """chunks: key, ``words, embedding`` and further columns; posts: key, ``term, tf``; doc_len: key, ``dl``; term_stats: ``term, df, idf``.
+    """chunks: key, ``words, embedding`` and further columns; term_stats: ``term, df, idf``, null where there are no keywords.
 
-    The last three are null where there are no keywords. cells: key, ``embedding, cell``, with the cells' centres, where an index has them.
+    avgdl: the mean number of words of the chunks that have some. cells: key, ``embedding, cell`` and further columns, with the cells' centres,
+    and graphs: the neighbour graphs of ``operators.graph``, where an index has them.
     """
 
     key: list[str]
     chunks: DataFrame
-    posts: DataFrame | None
-    doc_len: DataFrame | None
-    term_stats: DataFrame | None
+    term_stats: DataFrame | None = None
+    avgdl: float = 0.0
     cells: DataFrame | None = None
     centres: np.ndarray | None = None
+    graphs: DataFrame | None = None
+
+    def where(self, condition: Column | None) -> Index:
+        """The rows that a search may find; the statistics stay those of all."""
+        if condition is None:
+            return self
+        return replace(self, chunks=self.chunks.where(condition), cells=None if self.cells is None else self.cells.where(condition), graphs=None)
+
+
+@dataclass(frozen=True)
+class Facts:
+    """Numbers of chunks, of those with words and of words: of several sets of chunks they add up."""
+
+    n: int
+    worded: int
+    words: int
+
+    def plus(self, other: Facts, sign: int = 1) -> Facts:
+        return Facts(self.n + sign * other.n, self.worded + sign * other.worded, self.words + sign * other.words)
+
+    @property
+    def avgdl(self) -> float:
+        return self.words / self.worded if self.worded else 0.0
 
 
 #: Rows with key columns and a column of words to the same key with ``embedding array<double>``: (rows, key, words, dimension).
 Embedder = Callable[[DataFrame, list[str], str, int], DataFrame]
 
 
-def index_of(chunks: DataFrame, key: list[str], dim: int, text: str = "content", embed: Embedder = search.hash_embeddings) -> Index:
-    """An index of the chunks, with their other columns, each table computed once."""
-    words = chunks.withColumn("words", tokens(F.col(text)))
+def index_of(chunks: DataFrame, key: list[str], dim: int, text: str = "content", embed: Embedder = search.hash_embeddings, tokenize: Tokenizer = tokens) -> Index:
+    """An index of the chunks, with their other columns, each table computed once. tokenize: what words are, for keywords and for the embedding."""
+    words = chunks.withColumn("words", tokenize(F.col(text)))
     embedded = kept(embed(words, words.columns, "words", dim))
-    posts = kept(keyword.postings_of_words(embedded, key))
-    stats = keyword.term_stats(posts, embedded.agg(F.count("*").cast("double").alias("n")))
-    return Index(key, embedded, posts, keyword.doc_lengths(posts, key), kept(stats))
+    facts = facts_of(embedded)
+    return Index(key, embedded, kept(statistics(keyword.frequencies(embedded), facts)), facts.avgdl)
+
+
+def facts_of(chunks: DataFrame) -> Facts:
+    size = F.greatest(F.size("words"), F.lit(0))
+    return Facts(*chunks.agg(F.count("*"), F.count_if(size > 0), F.coalesce(F.sum(size), F.lit(0))).first())
+
+
+def statistics(frequencies: DataFrame, facts: Facts) -> DataFrame:
+    """``term, df, idf``."""
+    return keyword.with_idf(frequencies, frequencies.sparkSession.createDataFrame([(float(facts.n),)], "n double"))
 
 
-def sub_queries(queries: DataFrame, term_stats: DataFrame | None = None, rewrites: DataFrame | None = None) -> DataFrame:
+def sub_queries(queries: DataFrame, term_stats: DataFrame | None = None, rewrites: DataFrame | None = None, tokenize: Tokenizer = tokens) -> DataFrame:
     """``query_id, sub_idx, words``: the query, then its keywords (with term_stats) or else rewrites that differ from it.
 
     queries: ``query_id, text``; rewrites: ``query_id, place, text``. Equal rewrites stay, each a list of its own.
     """
-    own = queries.select("query_id", F.lit(0).alias("sub_idx"), tokens(F.coalesce("text", F.lit(""))).alias("words"))
+    own = queries.select("query_id", F.lit(0).alias("sub_idx"), tokenize(F.coalesce("text", F.lit(""))).alias("words"))
     if term_stats is not None:
         asked = own.select("query_id", F.explode("words").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("tf"))
         best = keyword.keywords(asked, term_stats, ["query_id"])
@@ -60,7 +93,7 @@ def sub_queries(queries: DataFrame, term_stats: DataFrame | None = None, rewrite
         return own.unionByName(best.groupBy("query_id").agg(terms.alias("words")).select("query_id", F.lit(1).alias("sub_idx"), "words"))
     if rewrites is not None:
         new = rewrites.join(queries.select("query_id", F.col("text").alias("original")), "query_id").where(~F.col("text").eqNullSafe(F.col("original")))
-        return own.unionByName(new.select("query_id", F.col("place").cast("int").alias("sub_idx"), tokens(F.col("text")).alias("words")))
+        return own.unionByName(new.select("query_id", F.col("place").cast("int").alias("sub_idx"), tokenize(F.col("text")).alias("words")))
     return own
 
 
@@ -70,10 +103,12 @@ def terms_of(subs: DataFrame) -> DataFrame:
 
 
 def fused_hits(index: Index, subs: DataFrame, config: Config, embed: Embedder = search.hash_embeddings) -> DataFrame:
-    """The candidates of all sub-queries, fused: of all rows, or of the cells that a sub-query probes where the index has cells."""
+    """The candidates of all sub-queries, fused: of all rows, of the cells that a sub-query probes or of what the beams of graphs meet, as the index has it."""
     by, k = ["query_id", "sub_idx"], 25 * config.top_k
     vectors = embed(subs, by, "words", config.embed_dim)
-    if index.cells is None:
+    if index.graphs is not None:
+        hits = graph.search_graphs(index.graphs, index.key, vectors, k, config.hnsw_ef, by)
+    elif index.cells is None:
         hits = search.exact_top_k(index.chunks, index.key, vectors, k, by)
     else:
         hits = search_cells(index.cells, index.key, assign_cells(vectors, by, index.centres, config.ivf_nprobe), k, by)
@@ -87,26 +122,24 @@ def hybrid_search(index: Index, subs: DataFrame, config: Config, use_rerank: boo
 
     Without use_rerank all fused rows are returned by their fused score, without threshold or limit. Without a weight on keywords the
     score is that of the vectors, or with parity the fused one, which the threshold is held against then. An index without keywords is
-    searched by vectors alone.
+    searched by vectors alone, whose order stays with parity.
     """
     fused = fused_hits(index, subs, config, embed)
     if not use_rerank:
         return search.by_fusion(fused, index.key)
-    if config.kw_weight == 0 or index.posts is None:
-        return search.by_vector(fused, index.key, config.threshold, config.top_k, parity and config.kw_weight == 0)
-    asked = kept(terms_of(subs))
-    stats = index.term_stats.join(asked.select("term").distinct(), "term", "left_semi")
-    kw = keyword.bm25(fused, index.posts, stats, index.doc_len, asked, index.key, index.doc_len.agg(F.avg("dl").alias("avgdl")))
+    if config.kw_weight == 0 or index.term_stats is None:
+        return search.by_vector(fused, index.key, config.threshold, config.top_k, parity, None if config.kw_weight == 0 else "vec_score")
+    asked = kept(kept(terms_of(subs)).join(index.term_stats.select("term", "idf"), "term"))
+    kw = keyword.row_scores(fused, index.chunks, asked, index.key, index.avgdl)
     return search.rerank(fused, kw, index.key, config.vec_weight, config.kw_weight, config.threshold, config.top_k)
 
 
-def ideal_search(index: Index, queries: DataFrame, config: Config, embed: Embedder = search.hash_embeddings) -> DataFrame:
+def ideal_search(index: Index, queries: DataFrame, config: Config, embed: Embedder = search.hash_embeddings, tokenize: Tokenizer = tokens) -> DataFrame:
     """The best of all chunks for each query, none left out by a candidate search."""
-    subs = sub_queries(queries)
+    subs = sub_queries(queries, tokenize=tokenize)
     vectors = embed(subs, ["query_id"], "words", config.embed_dim)
     weights = kept(terms_of(subs).join(index.term_stats, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight")))
-    avgdl = index.doc_len.agg(F.avg("dl")).first()[0] or 0.0
-    return exhaustive.hybrid_top_k(index.chunks, index.key, vectors, weights, avgdl, config.vec_weight, config.kw_weight, config.threshold, config.top_k, config.metric)
+    return exhaustive.hybrid_top_k(index.chunks, index.key, vectors, weights, index.avgdl, config.vec_weight, config.kw_weight, config.threshold, config.top_k, config.metric)
 
 
 def encode(rows: DataFrame, cache: DataFrame, model: str, dim: int, text: str = "text") -> tuple[DataFrame, DataFrame]:

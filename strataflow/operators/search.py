@@ -39,6 +39,17 @@ def hash_embeddings(rows: DataFrame, key: list[str], tokens: str, dim: int = 64)
     return chosen.mapInArrow(run, f"{schema}, embedding array<double>")
 
 
+def vector_rows(column: pa.Array, dim: int | None = None) -> np.ndarray:
+    """An array column as rows of numbers, without a Python object for each; a null row is one of zeros. dim: their length, if no row may tell."""
+    sizes = np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+    dim = int(sizes.max(initial=0)) if dim is None else dim
+    out = np.zeros((len(column), dim))
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    if len(flat):
+        out[np.repeat(np.arange(len(column)), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
+    return out
+
+
 def exact_top_k(vectors: DataFrame, key: list[str], queries: DataFrame, k: int, by: list[str] | None = None) -> DataFrame:
     """by (``query_id``), key, ``rank, score``: the k rows with the highest cosine for each query, ties in order of the key.
 
@@ -115,7 +126,7 @@ def _block_top_k(vectors: DataFrame, key: list[str], block: DataFrame, k: int, b
             for batch in batches:
                 for at in range(0, batch.num_rows if len(q) else 0, 2048):
                     part = batch.slice(at, 2048)
-                    m = _unit(np.array(part.column(len(key)).to_pylist(), dtype=np.float64))
+                    m = _unit(vector_rows(part.column(len(key)), q.shape[1]))
                     yield part.columns[: len(key)], {"score": np.round(q @ m.T, 9)}, None
 
         for rows in best_rows(parts(), key, k, len(q)):
@@ -147,11 +158,13 @@ def best_dot(vectors: DataFrame, key: list[str], queries: DataFrame, group: str)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                groups, best = batch.column(len(key)).to_pylist(), np.full(batch.num_rows, -np.inf)
-                for g in set(groups) & set(held.value):
-                    rows = np.flatnonzero([x == g for x in groups])
-                    m = np.array(batch.column(len(key) + 1).take(pa.array(rows)).to_pylist(), dtype=np.float64)
-                    best[rows] = (m @ held.value[g].T).max(axis=1)
+                best, whole = np.full(batch.num_rows, -np.inf), batch.column(len(key)).dictionary_encode()
+                places = whole.indices.to_numpy(zero_copy_only=False)
+                for i, g in enumerate(whole.dictionary.to_pylist()):
+                    if g in held.value:
+                        rows = np.flatnonzero(places == i)
+                        m = vector_rows(batch.column(len(key) + 1).take(pa.array(rows)), held.value[g].shape[1])
+                        best[rows] = (m @ held.value[g].T).max(axis=1)
                 keep = pa.array(np.flatnonzero(best > -np.inf))
                 yield pa.RecordBatch.from_arrays([*(c.take(keep) for c in batch.columns[: len(key)]), pa.array(best).take(keep)], names=[*key, "best"])
 
@@ -192,10 +205,10 @@ def by_fusion(fused: DataFrame, key: list[str]) -> DataFrame:
     return fused.select("query_id", *key, rank.alias("rank"), F.col("rrf").alias("score"), "vec_score", F.lit(None).cast("double").alias("kw_score"))
 
 
-def by_vector(fused: DataFrame, key: list[str], threshold: float, top_k: int | None, parity: bool = False) -> DataFrame:
-    """Rows by their vector score alone; with parity the threshold is held against the fused score, as where keywords have no weight."""
+def by_vector(fused: DataFrame, key: list[str], threshold: float, top_k: int | None, parity: bool = False, order: str | None = None) -> DataFrame:
+    """Rows by their vector score alone; with parity the threshold is held against the fused score, which is the order, too, unless one is given."""
     rows = fused.where(F.col("rrf" if parity else "vec_score") >= threshold)
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("rrf" if parity else "vec_score"), F.desc(F.round("rrf", 12)), "seen", *key))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(order or ("rrf" if parity else "vec_score")), F.desc(F.round("rrf", 12)), "seen", *key))
     rows = rows.withColumn("rank", rank)
     rows = rows if top_k is None else rows.where(F.col("rank") <= top_k)
     return rows.select("query_id", *key, "rank", F.col("rrf" if parity else "vec_score").alias("score"), "vec_score", F.lit(None).cast("double").alias("kw_score"))

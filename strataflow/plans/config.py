@@ -9,9 +9,7 @@ from dataclasses import asdict, dataclass, fields, replace
 INDEX_TYPES, METRICS = ("Flat", "IVF", "HNSW"), ("cosine", "l2")
 
 # Public names of settings that have no effect here, as Spark does or doesn't need what they are about.
-#   A search of index type HNSW goes over all rows, in blocks: it gives what a graph approximates, so a graph's settings don't matter.
 #   Models, their clients, caches, folders, devices and threads belong to the session and to the functions that are passed in.
-GRAPH = ("hnsw_m", "hnsw_ef_con", "hnsw_ef")
 OTHERS = ("llm_api_key", "llm_base_url", "llm_model_name", "embed_model_source", "embed_len", "batch_size", "unstructured_strategy", "storage", "cache", "data", "mode_dir", "use_gpu", "threads")
 
 
@@ -32,6 +30,9 @@ class Config:
     metric: str = "cosine"
     ivf_nlist: int = 100
     ivf_nprobe: int = 10
+    hnsw_m: int = 64
+    hnsw_ef_con: int = 200
+    hnsw_ef: int = 128
     # how they are ranked
     vec_weight: float = 0.8
     kw_weight: float = 0.2
@@ -44,7 +45,7 @@ class Config:
             raise ValueError("the weights must be between 0 and 1 and sum to 1")
         if self.index_type not in INDEX_TYPES or self.metric not in METRICS:
             raise ValueError(f"index_type is one of {INDEX_TYPES}, metric of {METRICS}")
-        if min(self.top_k, self.proc_chunk_token_size, self.embed_dim, self.ivf_nlist, self.ivf_nprobe, self.proc_raptor_max_clusters) < 1:
+        if min(self.top_k, self.proc_chunk_token_size, self.embed_dim, self.ivf_nlist, self.ivf_nprobe, self.hnsw_m, self.hnsw_ef_con, self.hnsw_ef, self.proc_raptor_max_clusters) < 1:
             raise ValueError("counts and sizes must be positive")
 
     def to_json(self) -> str:
@@ -55,13 +56,14 @@ class Config:
         """A blueprint. Settings without effect here are left out, and so are unknown names, which give a warning."""
         given = json.loads(text)
         known = {f.name for f in fields(cls)}
-        if unknown := sorted(set(given) - known - {*GRAPH, *OTHERS}):
+        if unknown := sorted(set(given) - known - set(OTHERS)):
             warnings.warn(f"unknown settings: {', '.join(unknown)}", stacklevel=2)
         return cls(**{k: v for k, v in given.items() if k in known})
 
     def index_params(self) -> dict[str, int]:
         """What the index type takes."""
-        return {"nlist": self.ivf_nlist, "nprobe": self.ivf_nprobe} if self.index_type == "IVF" else {}
+        by_type = {"IVF": {"nlist": self.ivf_nlist, "nprobe": self.ivf_nprobe}, "HNSW": {"M": self.hnsw_m, "efConstruction": self.hnsw_ef_con, "efSearch": self.hnsw_ef}}
+        return by_type.get(self.index_type, {})
 
     def summary(self) -> str:
         return "\n".join(f"{f.name}: {getattr(self, f.name)}" for f in fields(self))
@@ -72,7 +74,7 @@ class Config:
 
 def rebuild_names(config: Config) -> tuple[str, ...]:
     """The settings whose change asks for a new index; others apply at once."""
-    cells = ("ivf_nlist",) if config.index_type == "IVF" else ()
+    cells = {"IVF": ("ivf_nlist",), "HNSW": ("hnsw_m", "hnsw_ef_con")}.get(config.index_type, ())
     trees = ("proc_raptor_max_clusters",) if config.proc_enable_raptor else ()
     return ("index_type", "embed_model", "embed_dim", "proc_chunk_token_size", "proc_enable_raptor", "use_code_space", *cells, *trees)
 

@@ -188,11 +188,13 @@ def test_pages_and_files(spark, tmp_path):
 def test_store_and_config(spark, tmp_path):
     store = IndexStore(spark, str(tmp_path))
     with pytest.raises(FileNotFoundError):
-        store.load("none")
-    assert store.list().count() == 0
-    store.save("one", {"chunks": spark.range(3)})
+        store.state("none")
+    assert store.list().count() == 0 and not store.delete("none")
+    part = store.write("one", {"chunks": spark.range(3).withColumnRenamed("id", "doc_id")})
+    state = {"segments": [{"part": part, "order": 1}], "removed": [], "stats": part}
+    assert store.commit("one", 0, state) == 1
     store.register("one", metric="cosine")
-    assert store.load("one")["chunks"].count() == 3 and store.list().first()["name"] == "one"
+    assert store.live("one", state, "chunks").count() == 3 and store.list().first()["name"] == "one" and store.state("one") == (1, state)
     c = Config()
     with pytest.warns(UserWarning, match="unknown"):
         assert Config.from_json(c.to_json()[:-2] + ', "unknown": 1}') == c
@@ -323,7 +325,7 @@ def test_dictionary(spark):
     assert {r["term"]: (r["freq"], r["tag"]) for r in got} == {"中文": (int(math.exp(-1) * 1e6 + 0.5), "v"), "无": (0, "")}
     rows_ = spark.createDataFrame([(1, "中文分词，ＡBC 12"), (2, None)], "k long, text string")
     assert {r["k"]: r["words"] for r in lexicon.segmented(rows_, ["k"], "text", known).collect()} == {1: ["中文", "分词", "abc", "12"], 2: []}
-    assert lexicon.Words({"a/b": -3}).merged(["a", "/", "b", "c"]) == ["a/b", "c"] and lexicon.fine_grained(words, ["a/b", "c"]) == ["a", "b", "c"]
+    assert lexicon.Words({"t恤": -3}).merged(["t", "恤", "中"]) == ["t恤", "中"] and lexicon.Words({"a/b": -3}).merged(["a", "/", "b", "c"]) == ["a/b", "c"] and lexicon.fine_grained(words, ["a/b", "c"]) == ["a", "b", "c"]
     fine = lexicon.Words({"甲乙丙": -2, "甲乙": -3, "丙": -4, "甲": -5, "乙": -5})
     assert fine.finer("甲乙丙") == ["甲乙", "丙"] and fine.finer("甲乙") == ["甲乙"]
     assert len(words.split("".join(rng.choice(han, 5000)))) > 1000
@@ -377,10 +379,12 @@ def test_engine_settings_have_effect(spark, tmp_path):
     levels = {r["level"] for r in engine.load("trees")[0].chunks.select("level").distinct().collect()}
     assert {0, 1} <= levels and {r["level"] for r in engine.load("flat")[0].chunks.select("level").distinct().collect()} == {0}
     index, config = engine.load("flat")
-    alone = retrieval.Index(index.key, index.chunks, None, None, None)
+    alone = retrieval.Index(index.key, index.chunks)
     by_vectors = retrieval.hybrid_search(alone, retrieval.sub_queries(queries), config).collect()
     assert by_vectors and all(r["kw_score"] is None and r["score"] == r["vec_score"] for r in by_vectors)
-    assert engine.delete("flat") and not engine.exists("flat") and not engine.delete("none")
+    fused = retrieval.hybrid_search(alone, retrieval.sub_queries(queries), config.updated(threshold=1 / 62.5), parity=True).collect()
+    assert {r["rank"] for r in fused} == {1, 2} and all(r["score"] > 1 / 62.5 for r in fused)
+    assert engine.delete("flat") and not engine.exists("flat") and not engine.delete("flat") and not engine.delete("none")
     assert sorted(r["name"] for r in engine.store.list().collect()) == ["cells", "trees"] and engine.clear() == 2 and engine.store.list().count() == 0
 
 
