@@ -41,8 +41,7 @@ class Engine:
         """docs: ``doc_id, text``. An index that exists is only replaced if asked to, and searched until the new one is whole."""
         if not replace and self.exists(name):
             raise FileExistsError(f"there is an index named {name}")
-        index = retrieval.index_of(self._chunks(docs, config), KEY, config.embed_dim, embed=self.embed, tokenize=self.tokenize)
-        self._commit_whole(name, index.chunks, config)
+        self._commit_whole(name, self._embedded(docs, config), config)
         self.store.register(name, mode=config.mode_name, index_type=config.index_type, metric=config.metric)
 
     def _chunks(self, docs: DataFrame, config: Config) -> DataFrame:
@@ -55,6 +54,9 @@ class Engine:
             chunks = chunks.unionByName(nodes.select("doc_id", (-order).alias("sequence"), "level", "content"))
         return chunks
 
+    def _embedded(self, docs: DataFrame, config: Config) -> DataFrame:
+        return retrieval.embedded_chunks(self._chunks(docs, config), config.embed_dim, embed=self.embed, tokenize=self.tokenize)
+
     def _segment(self, name: str, chunks: DataFrame, config: Config, centres: np.ndarray | None, order: int) -> tuple[dict, retrieval.Facts]:
         """A written segment of embedded chunks as the manifest lists it."""
         tables = {"chunks": chunks}
@@ -84,7 +86,7 @@ class Engine:
         config = Config.from_json(state["config"])
         docs = kept(docs.select("doc_id", "text"))
         state, stats, facts = self._without(name, state, version, docs.select("doc_id"))
-        new = retrieval.index_of(self._chunks(docs, config), KEY, config.embed_dim, embed=self.embed, tokenize=self.tokenize).chunks
+        new = self._embedded(docs, config)
         centres = self._centres(name, state) if state["centres"] else None
         segment, own = self._segment(name, new, config, centres, version + 1)
         return self._commit_change(name, version, state | {"segments": [*state["segments"], segment]}, stats.unionByName(keyword.frequencies(new)), facts.plus(own))

@@ -64,12 +64,17 @@ Embedder = Callable[[DataFrame, list[str], str, int], DataFrame]
 
 def index_of(chunks: DataFrame, key: list[str], dim: int, text: str = "content", embed: Embedder = search.hash_embeddings, tokenize: Tokenizer = tokens) -> Index:
     """An index of the chunks, with their other columns, each table computed once. tokenize: what words are, for keywords and for the embedding."""
-    words = chunks.withColumn("words", tokenize(F.col(text)))
-    embedded = kept(embed(words, words.columns, "words", dim))
+    embedded = embedded_chunks(chunks, dim, text, embed, tokenize)
     facts = facts_of(embedded)
     return Index(key, embedded, kept(statistics(keyword.frequencies(embedded), facts)), facts.avgdl)
 
 
+def embedded_chunks(chunks: DataFrame, dim: int, text: str = "content", embed: Embedder = search.hash_embeddings, tokenize: Tokenizer = tokens) -> DataFrame:
+    """chunks with ``words`` and ``embedding``, computed once."""
+    words = chunks.withColumn("words", tokenize(F.col(text)))
+    return kept(embed(words, words.columns, "words", dim))
+
+
 def facts_of(chunks: DataFrame) -> Facts:
     size = F.greatest(F.size("words"), F.lit(0))
     return Facts(*chunks.agg(F.count("*"), F.count_if(size > 0), F.coalesce(F.sum(size), F.lit(0))).first())

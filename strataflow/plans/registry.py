@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import chunking, context, evaluation, exhaustive, index, keyword, lexicon, retrieval, search, tables, tree
+from ..operators import chunking, context, evaluation, exhaustive, graph, index, keyword, lexicon, retrieval, search, segmentation, tables, tree
 from ..sources import files, office
 from ..sources.stored import kept, shared_dir
 from . import sql as S
@@ -538,6 +538,46 @@ def hybrid_search(spark, sf):
     return _rounded(_hybrid(spark, sf, Config()))
 
 
+_FOUND_SQL = " SELECT query_id, doc_id, sequence, rank, score, vec AS vec_score, round(kws, 6) AS kw_score FROM found"
+
+
+@query(S.recursive(S.chunks_of("doc_id % 7 <> 0"), S.KEYWORDS, S.QUERY_TERMS, S.BM25, S.SEARCH, S.RERANK("hits", "found")) + _FOUND_SQL)
+def index_grown(spark, sf):
+    """An index that is built from a half of the documents, gets the rest and then loses every seventh, searched for all items."""
+    from ..engine import Engine
+
+    docs, engine = _t(spark, sf, "documents").select("doc_id", "text"), Engine(spark, f"{shared_dir(spark).rstrip('/')}/indexes-{uuid.uuid4().hex}")
+    engine.build("grown", docs.where("doc_id % 2 = 0"), Config(index_type="Flat"))
+    engine.append("grown", docs.where("doc_id % 2 = 1"))
+    engine.remove("grown", docs.where("doc_id % 7 = 0"))
+    return _rounded(engine.search("grown", _items(spark, sf)))
+
+
+@query(S.recursive(S.CHUNKS, S.KEYWORDS, S.QUERY_TERMS, S.BM25, S.search_among("doc_id % 3 = 0 AND sequence > 1"), S.RERANK("hits", "found")) + _FOUND_SQL)
+def search_filtered(spark, sf):
+    """Results among some documents' further chunks only: the best of these, with the statistics of all."""
+    index = _index(spark, sf, Config()).where((F.col("doc_id") % 3 == 0) & (F.col("sequence") > 1))
+    return _rounded(retrieval.hybrid_search(index, retrieval.sub_queries(_items(spark, sf)), Config()))
+
+
+@query()
+def vec_graph(spark, sf):
+    """The best 10 by neighbour graphs for every fiftieth vector, with how many of them an exact search finds, too."""
+    vectors = _t(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    queries = vectors.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+    config = Config()
+    found = graph.search_graphs(kept(graph.graphs(vectors, ["vec_id"], config.hnsw_m, config.hnsw_ef_con)), ["vec_id"], queries, 10, config.hnsw_ef)
+    exact = search.exact_top_k(vectors, ["vec_id"], queries, 10).select("query_id", "vec_id", F.lit(True).alias("exact"))
+    return found.join(exact, ["query_id", "vec_id"], "left").select("query_id", "vec_id", "rank", "score", F.coalesce("exact", F.lit(False)).alias("exact"))
+
+
+@query()
+def tok_stems(spark, sf):
+    """How many words of the documents have each English stem."""
+    words = _t(spark, sf, "documents").select(F.explode(segmentation.stemmed(T.tokens)(F.col("text"))).alias("stem"))
+    return words.groupBy("stem").agg(F.count("*").alias("n"))
+
+
 @query(
     S.recursive(S.CHUNKS, S.KEYWORDS, S.QUERY_TERMS, S.SUB_QUERIES, S.RERANK("hits", "found"))
     + " SELECT query_id, doc_id, sequence, rank, score, vec AS vec_score, round(kws, 6) AS kw_score FROM found"

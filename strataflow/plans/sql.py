@@ -3,9 +3,11 @@
 SPACE = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{1c}-\x{1f}]+"
 TOKENS = r"list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
 
-#: chunks(doc_id, sequence, content): the greedy merge as a walk over the pieces of each document.
-CHUNKS = r"""
-ps AS (SELECT doc_id, regexp_split_to_array(text, '[\n。；！？]') AS p FROM documents WHERE text IS NOT NULL),
+
+def chunks_of(condition: str) -> str:
+    """chunks(doc_id, sequence, content): the greedy merge as a walk over the pieces of each document that meets a condition."""
+    return rf"""
+ps AS (SELECT doc_id, regexp_split_to_array(text, '[\n。；！？]') AS p FROM documents WHERE text IS NOT NULL AND {condition}),
 pieces AS (SELECT doc_id, unnest(p) AS piece, generate_subscripts(p, 1) AS i FROM ps),
 walk AS (
   SELECT doc_id, i, 1 AS seq, length(piece) // 2 AS n, piece = '' AS blank FROM pieces WHERE i = 1
@@ -15,22 +17,28 @@ walk AS (
     CASE WHEN w.blank OR w.n > 256 THEN p.piece = '' ELSE FALSE END
   FROM walk w JOIN pieces p ON p.doc_id = w.doc_id AND p.i = w.i + 1
 ),
-chunks AS (
+chunks AS MATERIALIZED (
   SELECT doc_id, seq AS sequence, string_agg(piece, '' ORDER BY w.i) AS content
   FROM walk w JOIN pieces p USING (doc_id, i) GROUP BY doc_id, seq HAVING regexp_matches(string_agg(piece, '' ORDER BY w.i), '\S')
 )"""
 
+
+CHUNKS = chunks_of("TRUE")
+
+
 #: tok(doc_id, sequence, term), tf, lens, stats (with the floor of negative idf), avgdl.
 KEYWORDS = (
     """
 tok AS (SELECT doc_id, sequence, unnest("""
     + TOKENS.format("content")
     + """) AS term FROM chunks),
-tf AS (SELECT doc_id, sequence, term, count(*) AS tf FROM tok GROUP BY ALL),
+tf AS MATERIALIZED (SELECT doc_id, sequence, term, count(*) AS tf FROM tok GROUP BY ALL),
 lens AS (SELECT doc_id, sequence, sum(tf)::DOUBLE AS dl FROM tf GROUP BY ALL),
 total AS (SELECT count(*)::DOUBLE AS n FROM chunks),
-raw AS (SELECT term, count(*) AS df, ln((SELECT n FROM total) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM tf GROUP BY term),
-stats AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
+dfs AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+raw AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM dfs, total),
+mean AS (SELECT avg(raw) AS mean FROM raw),
+stats AS MATERIALIZED (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END AS idf FROM raw, mean),
 avgdl AS (SELECT avg(dl) AS avgdl FROM lens)"""
 )
 
@@ -48,8 +56,10 @@ kw AS (
   FROM tf JOIN qtf USING (term) JOIN stats USING (term) JOIN lens USING (doc_id, sequence), avgdl GROUP BY ALL
 )"""
 
-#: cosines of hashed embeddings, with the 125 best chunks of each query.
-SEARCH = """
+
+def search_among(condition: str) -> str:
+    """Cosines of hashed embeddings, with the 125 best chunks of each query of those that meet a condition."""
+    return f"""
 cb AS (SELECT doc_id, sequence, ('0x' || substr(md5(term), 1, 8))::BIGINT % 64 AS b, sum(tf)::DOUBLE AS v FROM tf GROUP BY ALL),
 cn AS (SELECT doc_id, sequence, sqrt(sum(v * v)) AS norm FROM cb GROUP BY ALL),
 qb AS (SELECT query_id, ('0x' || substr(md5(term), 1, 8))::BIGINT % 64 AS b, sum(qtf)::DOUBLE AS v FROM qtf GROUP BY ALL),
@@ -60,9 +70,12 @@ cosines AS (
   SELECT q.query_id, c.doc_id, c.sequence, round(coalesce(d / (qn.norm * cn.norm), 0), 9) AS vec
   FROM queries q CROSS JOIN chunks c LEFT JOIN dots USING (query_id, doc_id, sequence) LEFT JOIN qn USING (query_id) LEFT JOIN cn USING (doc_id, sequence)
 ),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY vec DESC, doc_id, sequence) AS r FROM cosines),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY vec DESC, doc_id, sequence) AS r FROM cosines WHERE {condition}),
 hits AS (SELECT * FROM ranked WHERE r <= 125)"""
 
+
+SEARCH = search_among("TRUE")
+
 #: The same with two sub-queries, the query and its five keywords; hits are fused, kw is the better of both.
 SUB_QUERIES = """
 xw AS (SELECT query_id, term, round(qtf * idf, 6) AS weight FROM qtf JOIN stats USING (term)),
