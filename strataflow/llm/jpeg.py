@@ -133,6 +133,8 @@ def grey_values(frame: bytes) -> np.ndarray:
     if not shape or depth != 8 or not height or not width or scan[0] != len(shape):
         raise ValueError("frames without a size, of another depth or of several scans")
     used = {scan[1 + 2 * i]: scan[2 + 2 * i] for i in range(scan[0])}
+    if not all(1 <= h <= 4 and 1 <= v <= 4 for _, h, v, _ in shape):
+        raise ValueError("sampling factors beyond 1 to 4")
     if len(shape) == 1:
         shape = [(shape[0][0], 1, 1, shape[0][3])]  # a scan of one component isn't interleaved
     wide, high = max(h for _, h, _, _ in shape), max(v for _, _, v, _ in shape)

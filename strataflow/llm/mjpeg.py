@@ -94,6 +94,10 @@ def avi(frames: list[bytes]) -> bytes:
     return _chunk(b"RIFF", b"AVI " + header + _chunk(b"LIST", b"".join(chunks)) + _chunk(b"idx1", b"".join(index)))
 
 
+#: Lists inside lists.
+DEPTH = 8
+
+
 def _chunks(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
     while at + 8 <= end:
         size = struct.unpack_from("<I", data, at + 4)[0]
@@ -102,13 +106,18 @@ def _chunks(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
 
 
 def _seconds(data: bytes, at: int, end: int) -> float | None:
-    """Seconds of a frame, from the first video stream's header."""
-    for name, a, b in _chunks(data, at, end):
-        if name == b"LIST" and (found := _seconds(data, a + 4, b)):
-            return found
-        if name == b"strh" and data[a : a + 4] == b"vids":
+    """Seconds of a frame, from the first video stream's header; lists that are nested deeper than any maker has them aren't looked into."""
+    open_ = [_chunks(data, at, end)]
+    while open_:
+        name, a, b = next(open_[-1], (None, 0, 0))
+        if name is None:
+            open_.pop()
+        elif name == b"LIST" and len(open_) < DEPTH:
+            open_.append(_chunks(data, a + 4, b))
+        elif name == b"strh" and data[a : a + 4] == b"vids":
             scale, rate = struct.unpack_from("<2I", data, a + 20)
-            return scale / rate if scale and rate else None
+            if scale and rate:
+                return scale / rate
     return None
 
 

@@ -1,7 +1,9 @@
 """Round trips of conversations and media."""
 
 import hashlib
+import random
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -215,6 +217,29 @@ def test_file_of_another_maker(spark):
     assert [(s["first"], s["last"]) for s in row["shots"]] == [(0, 0), (1, 3), (4, 5)] and row["shots"][1]["start_s"] == pytest.approx(1 / 24)
 
 
+def test_changed_files_are_errors_of_their_own(spark):
+    """Wrong sampling factors, nested lists and changed fields of the headers: no other file suffers."""
+    frame, want = coded(32, 48, [(2, 2), (1, 1), (1, 1)], 1)
+    good = mjpeg.avi([frame])
+    size = frame.index(b"\xff\xc0") + 11  # the first component's sampling
+    files = [good, mjpeg.avi([frame[:size] + b"\x00" + frame[size + 1 :]]), mjpeg.avi([frame[:size] + b"\xff" + frame[size + 1 :]])]
+    nested = b""
+    for _ in range(3000):
+        nested = b"LIST" + struct.pack("<I", len(nested) + 4) + b"strl" + nested
+    at = good.index(b"hdrl") + 4
+    files.append(good[:at] + nested + good[at:])
+    rng = random.Random(8)
+    for _ in range(400):
+        changed = bytearray(good)
+        fields = [good.index(x) + rng.randrange(24) for x in rng.choices([b"\xff\xc0", b"\xff\xdb", b"\xff\xda", b"strh", b"idx1", b"movi", b"hdrl", b"avih"], k=2)]
+        for i in fields:
+            changed[min(i, len(good) - 1)] = rng.choice([0, 1, 0x0F, 0x10, 0x7F, 0xFF, rng.randrange(256)])
+        files.append(bytes(changed))
+    rows = {r["doc_id"]: r for r in mjpeg.decode(spark.createDataFrame([(i, 0, bytearray(f)) for i, f in enumerate(files)], "doc_id long, n_bytes long, media binary")).collect()}
+    assert len(rows) == len(files) and all((r["payload"] is None) == (r["error"] is not None) for r in rows.values())
+    assert rows[0]["error"] is None and rows[1]["error"] and rows[2]["error"]
+
+
 def test_query_columns_against_brute_force(docs, texts):
     files = {r["doc_id"]: bytes(r["media"]) for r in mjpeg.encode(docs).collect()}
     rows = {r["doc_id"]: r for r in mjpeg.digests(mjpeg.decode(mjpeg.encode(docs))).collect()}
