@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import placed_texts, range_hashes, written
+from .shared import join_dealt, placed_texts, range_hashes, written
 
 #: Bytes of text that are taken together (some 60 bytes of memory each), and bits of a place in them.
 PIECE, _AT_BITS = 1 << 20, 23
@@ -122,10 +122,9 @@ def with_repeated_anchors(texts: DataFrame, counts: DataFrame, hot_rows: int, le
                 yield pa.RecordBatch.from_arrays([pa.array(files[row]), pa.array(rids[row]), pa.array(h.view(np.int64)), pa.array(start)], names=names)
 
     found = texts.select("file", "rid", "text").mapInArrow(run, "file long, rid long, h long, first long")
-    kept = found.join(counts.where(F.col("n") <= hot_rows).select("h"), "h").select("file", "rid", "first", F.lit(False).alias("hot"))
-    # An anchor of more than hot_rows rows would be a hot key: there are fewer of them than rows by that factor.
-    hot = found.join(F.broadcast(counts.where(F.col("n") > hot_rows).select("h")), "h").select("file", "rid", "first", F.lit(True).alias("hot"))
-    lists = kept.union(hot).groupBy("file", "rid").agg(F.collect_list(F.struct("first", "hot")).alias("again"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    table = counts.select("h", (F.col("n") > hot_rows).alias("hot"), F.col("n").alias("weight"))
+    lists = join_dealt(found, table, "h", total).groupBy("file", "rid").agg(F.collect_list(F.struct("first", "hot")).alias("again"))
     return texts.join(lists.hint("shuffle_hash"), ["file", "rid"], "left")
 
 
