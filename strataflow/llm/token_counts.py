@@ -3,7 +3,8 @@
 1. A pass over the texts counts pre-tokens, combined inside each task, then by a grouped sum.
 2. Each distinct pre-token is encoded once; only the number of its pieces is kept.
 3. A second pass joins these numbers to each document's own pre-token frequencies: the most frequent pre-tokens
-   (at most ``head_rows`` of at most ``HEAD_CHARS`` characters, whatever the input's size) come from a broadcast table; the rest, a few per
+   (at most ``head_rows`` of at most ``HEAD_CHARS`` characters, whatever the input's size) come from a broadcast table, and so do, by their digests,
+   longer ones that are more than one in HOT of all pre-tokens, of which there are fewer than HOT; the rest, a few per
    cent of the occurrences, go through a shuffled join. Ids are never made for a document.
 
 A special string inside a text is one token, as the library has it by default; the text on either side is split on its own.
@@ -17,6 +18,7 @@ import os
 import re
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import md5
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 from .shared import head_threshold, keyed_texts, written
 
 HEAD_CHARS = 64
+HOT = 10_000
 #: The split of a byte-level pre-tokenizer.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -102,16 +105,22 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024, head_r
     pieces = written(piece_counts(pretoken_counts(texts, tokenizer_path), tokenizer_path))
     least = head_threshold(pieces, "n", head_rows)
     in_head = (F.col("n") >= least) & (F.length("pretoken") <= HEAD_CHARS)
-    head = docs.sparkSession.sparkContext.broadcast({r["pretoken"]: r["pieces"] for r in pieces.where(in_head).select("pretoken", "pieces").toLocalIterator()})
+    hot = ~in_head & (F.length("pretoken") > HEAD_CHARS) & (F.col("n") * HOT > (pieces.agg(F.sum("n")).first()[0] or 0))
+    head = {r["pretoken"]: r["pieces"] for r in pieces.where(in_head).select("pretoken", "pieces").toLocalIterator()}
+    long = {r["digest"]: r["pieces"] for r in pieces.where(hot).select(F.md5("pretoken").alias("digest"), "pieces").toLocalIterator()}
+    head = docs.sparkSession.sparkContext.broadcast((head, long))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, known = pretokenizer(tokenizer_path), head.value
+        split, (known, long) = pretokenizer(tokenizer_path), head.value
         for batch in batches:
             cols: tuple[list, ...] = ([], [], [], [], [])
             for rid, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 own, rest = 0, []
                 for token, n in Counter(split(text)).items():
-                    if (k := known.get(token)) is None:
+                    k = known.get(token)
+                    if k is None and long and len(token) > HEAD_CHARS:
+                        k = long.get(md5(token.encode()).hexdigest())
+                    if k is None:
                         rest.append((rid, doc_id, None, n, token))
                     else:
                         own += k * n
@@ -126,7 +135,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024, head_r
 
     names, types = ["rid", "doc_id", "n_bytes", "k", "pretoken"], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
     parts = texts.mapInArrow(run, "rid long, doc_id long, n_bytes long, k long, pretoken string")
-    tail = pieces.where(~in_head).select("pretoken", "pieces")
+    tail = pieces.where(~in_head & ~hot).select("pretoken", "pieces")
     joined = parts.join(tail, "pretoken", "left")
     tokens = F.when(F.col("n_bytes").isNotNull(), F.col("k")).otherwise(F.col("k") * F.col("pieces"))
     return (

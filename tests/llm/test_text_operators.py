@@ -67,6 +67,18 @@ def test_token_counts(docs, texts, head_rows):
         assert got[i] == (len((t or "").encode()), n, n > 100), i
 
 
+@pytest.mark.parametrize("head_rows", [1 << 18, 0])
+def test_token_counts_of_long_and_hot_pretokens(spark, head_rows):
+    """A separator in every text isn't joined; a text of one very long pre-token is."""
+    from tokenizers import Tokenizer
+
+    tokenizer, line = Tokenizer.from_file(JSON), "-" * 80
+    own = [*(f"{line}\nw{i} {line}\n" for i in range(200)), "=" * 100_000, "a b " * 50_000]
+    df = spark.createDataFrame(list(enumerate(own)), "doc_id long, text string")
+    got = by_id(token_counts.token_counts(df, JSON, head_rows=head_rows), "n_tokens")
+    assert got == {i: (len(tokenizer.encode(t, add_special_tokens=False).ids),) for i, t in enumerate(own)}
+
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
