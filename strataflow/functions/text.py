@@ -112,41 +112,6 @@ def not_title(text: Column) -> Column:
     return ~exempt & ((words > 12) | ((F.instr(text, " ") == 0) & (F.length(text) >= 32)) | text.rlike("[,;，。；！!]"))
 
 
-# Number words and signs that the parse of numbers builds on.
-ONES = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
-TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
-HAN = "零一二三四五六七八九"
-ROMAN = ((100, "C"), (90, "XC"), (50, "L"), (40, "XL"), (10, "X"), (9, "IX"), (5, "V"), (4, "IV"), (1, "I"))
-
-
-def _number_words(n: int) -> list[str]:
-    """English, Chinese and Roman for 0 to 99."""
-    tens, ones = divmod(n, 10)
-    english = [ONES[n]] if n < 20 else [TENS[tens - 2]] if not ones else [f"{TENS[tens - 2]} {ONES[ones]}", f"{TENS[tens - 2]}-{ONES[ones]}"]
-    han = HAN[n] if n < 10 else (HAN[tens] if tens > 1 else "") + "十" + (HAN[ones] if ones else "")
-    roman, left = "", n
-    for value, sign in ROMAN:
-        roman += sign * (left // value)
-        left %= value
-    return [*english, han, *([roman] if roman else [])]
-
-
-def number(word: Column) -> Column:
-    """A whole number written in digits, or one below 100 in English, Chinese or Roman; else -1."""
-    table = F.create_map(*(F.lit(x) for n in range(100) for w in _number_words(n) for x in (w, n)))
-    plain = F.trim(word)
-    return F.coalesce(plain.try_cast("int"), F.try_element_at(table, F.lower(plain)), F.try_element_at(table, plain), F.lit(-1))
-
-
-def whole_number(word: str) -> int:
-    """The same for one word."""
-    said = word.strip()
-    if re.fullmatch(r"[+-]?[0-9]+", said):
-        return int(said)
-    table = {w: n for n in range(100) for w in _number_words(n)}
-    return table.get(said.lower(), table.get(said, -1))
-
-
 def char_class(char: Column) -> Column:
     """``chinese``, ``digit`` or ``letter`` for one character of these, else null."""
     return F.when(char.rlike(r"^[\x{4e00}-\x{9fa5}]$"), "chinese").when(char.rlike("^[0-9]$"), "digit").when(char.rlike("^[a-zA-Z]$"), "letter")

@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import DELIMITERS, delimiter_regex, not_bullet, not_title, token_count, whole_number
+from ..functions.numbers import whole_number
+from ..functions.text import DELIMITERS, delimiter_regex, not_bullet, not_title, token_count
 
 # The families of heading patterns, each from the highest level down.
 BULLETS = (

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import numbers as N
 from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import chunking, context, evaluation, exhaustive, graph, index, keyword, lexicon, retrieval, search, segmentation, tables, tree
@@ -230,14 +231,19 @@ def tok_segmented(spark, sf):
     return lexicon.segmented(rows, ["conv_id", "turn"], "text", _lexicon(spark, sf)).select("conv_id", "turn", F.array_join("words", " ").alias("words"), F.size("fine_words").alias("n_fine"))
 
 
-_WORDS = ", ".join(f"('{w}', {n})" for n in range(100) for w in T._number_words(n))
+def _number_words(n: int) -> list[str]:
+    english = N.in_english(n)
+    return [*{" ".join(english), "-".join(english)}, re.sub("^一十", "十", N.in_chinese(n)), *([N.in_roman(n)] if n else [])]
+
+
+_WORDS = ", ".join(f"('{w}', {n})" for n in range(100) for w in _number_words(n))
 
 
 @query(f"WITH n(w, v) AS (VALUES {_WORDS}), l AS (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS word FROM conversations), p AS (SELECT conv_id, turn, trim(word) AS word FROM l) SELECT conv_id, turn, sum(greatest(coalesce(try_cast(CASE WHEN regexp_full_match(p.word, '[+-]?[0-9]+') THEN p.word END AS INT), a.v, b.v, -1), 0))::BIGINT AS total FROM p LEFT JOIN n a ON a.w = lower(p.word) LEFT JOIN n b ON b.w = p.word GROUP BY ALL")
 def txt_numbers(spark, sf):
     """The sum of the numbers that each turn says, in digits or words."""
     words = _t(spark, sf, "conversations").select("conv_id", "turn", F.explode(F.split("text", " ")).alias("word"))
-    return words.groupBy("conv_id", "turn").agg(F.sum(F.greatest(T.number(F.col("word")), F.lit(0))).alias("total"))
+    return words.groupBy("conv_id", "turn").agg(F.sum(F.greatest(N.number(F.col("word")), F.lit(0))).alias("total"))
 
 
 # --- tables ---

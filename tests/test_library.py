@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strataflow.engine import NOTHING_FOUND, Engine
+from strataflow.functions import numbers
 from strataflow.functions import text as T
 from strataflow.operators import chunking, context, evaluation, exhaustive, index, keyword, lexicon, retrieval, search, tree
 from strataflow.plans.config import Config, update_plan
@@ -250,7 +251,7 @@ def test_exhaustive_search_in_blocks(spark, monkeypatch):
 def test_more_text_functions(spark):
     words = {"7": 7, " 12 ": 12, "seven": 7, "七": 7, "VII": 7, "ninety-nine": 99, "二十一": 21, "xyz": -1, "": -1}
     df = spark.createDataFrame([(w,) for w in words], "w string")
-    assert {r["w"]: r["n"] for r in df.select("w", T.number(F.col("w")).alias("n")).collect()} == words
+    assert {r["w"]: r["n"] for r in df.select("w", numbers.number(F.col("w")).alias("n")).collect()} == words
     assert [one(spark, T.char_class(F.col("c")), c=c) for c in "中5x?"] == ["chinese", "digit", "letter", None]
     assert one(spark, T.spaced_words(F.array(*map(F.lit, ["ab", "cd", "中", "e"])))) == ["ab", " ", "cd", "中", "e"]
     assert one(spark, T.language_runs(F.col("t")), t="hello 中文abc, x") == ["hello", "中文", "abc", "x"]
