@@ -30,7 +30,7 @@ SLICE = 256
 class Block:
     """Queries by row: unit vectors, and weights (how often a term is asked, times its idf) by term."""
 
-    ids: np.ndarray
+    ids: pa.Array
     vectors: np.ndarray
     columns: dict[str, int]
     weights: np.ndarray
@@ -44,19 +44,19 @@ def query_blocks(queries: DataFrame, weights: DataFrame) -> Iterator[Block]:
     dim, terms = max(dim, 0), weights.count()
     count = max(1, math.ceil(math.sqrt(8 * n * terms / BLOCK_BYTES)), math.ceil(8 * n * dim / BLOCK_BYTES))
     for i in range(count):
-        own = F.pmod(F.xxhash64(F.col("query_id").cast("long")), F.lit(count)) == i
-        q = queries.where(own).select("query_id", "embedding").collect()
+        own = F.pmod(F.xxhash64("query_id"), F.lit(count)) == i
+        q = queries.where(own).select("query_id", "embedding").toArrow()
         w = weights.where(own).select("query_id", "term", "weight").collect()
-        if not q:
+        if not q.num_rows:
             continue
-        ids = {r["query_id"]: j for j, r in enumerate(q)}
+        names, embeddings = (c.combine_chunks() for c in q.columns)
+        ids = {name: j for j, name in enumerate(names.to_pylist())}
         columns = {t: j for j, t in enumerate(sorted({r["term"] for r in w}))}
-        matrix = np.zeros((len(q), len(columns)))
+        matrix = np.zeros((len(names), len(columns)))
         for r in w:
             if r["query_id"] in ids:
                 matrix[ids[r["query_id"]], columns[r["term"]]] = r["weight"]
-        vectors = _unit(np.array([r["embedding"] or [0.0] * dim for r in q], dtype=np.float64).reshape(len(q), dim))
-        yield Block(np.array(list(ids), dtype=np.int64), vectors, columns, matrix)
+        yield Block(names, _unit(vector_rows(embeddings, dim)), columns, matrix)
 
 
 def _keyword_scores(block: Block, words: list[list[str] | None], avgdl: float) -> tuple[np.ndarray, np.ndarray]:
@@ -99,7 +99,7 @@ def keyword_top_k(rows: DataFrame, key: list[str], queries: DataFrame, weights:
 
     rows: key and ``words``; scores are rounded to 6 digits. Null or empty words match nothing.
     """
-    schema = f"query_id long, {_fields(rows, key)}, kw double"
+    schema = f"{_fields(queries, ['query_id'])}, {_fields(rows, key)}, kw double"
 
     def scored(block: Block) -> DataFrame:
         held = rows.sparkSession.sparkContext.broadcast(block)
@@ -113,7 +113,7 @@ def keyword_top_k(rows: DataFrame, key: list[str], queries: DataFrame, weights:
                     yield part.columns[: len(key)], {"kw": np.round(raw, 6)}, shared
 
             for best in best_rows(parts(), key, k, len(b.ids)):
-                yield pa.RecordBatch.from_arrays([pa.array(b.ids[best.column(0).to_numpy()]), *best.columns[1:]], names=["query_id", *key, "kw"])
+                yield pa.RecordBatch.from_arrays([b.ids.take(best.column(0)), *best.columns[1:]], names=["query_id", *key, "kw"])
 
         return rows.select(*key, "words").mapInArrow(run, schema)
 
@@ -128,7 +128,7 @@ def hybrid_top_k(rows: DataFrame, key: list[str], queries: DataFrame, weights: D
     rows: key, ``words, embedding``. Keyword scores are scaled to 0..1 over all rows of a query: a first pass finds their range.
     """
     sc, chosen = rows.sparkSession.sparkContext, rows.select(*key, "words", "embedding")
-    schema = f"query_id long, {_fields(rows, key)}, score double, vec_score double, kw_score double"
+    schema = f"{_fields(queries, ['query_id'])}, {_fields(rows, key)}, score double, vec_score double, kw_score double"
 
     def ranged(block: Block) -> Block:
         held = sc.broadcast(block)
@@ -140,11 +140,11 @@ def hybrid_top_k(rows: DataFrame, key: list[str], queries: DataFrame, weights: D
                 low = raw.min(axis=1) if low is None else np.minimum(low, raw.min(axis=1))
                 high = raw.max(axis=1) if high is None else np.maximum(high, raw.max(axis=1))
             if low is not None:
-                yield pa.RecordBatch.from_arrays([pa.array(b.ids), pa.array(low), pa.array(high)], names=["query_id", "low", "high"])
+                yield pa.RecordBatch.from_arrays([b.ids, pa.array(low), pa.array(high)], names=["query_id", "low", "high"])
 
-        found = rows.select("words").mapInArrow(run, "query_id long, low double, high double").groupBy("query_id").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+        found = rows.select("words").mapInArrow(run, f"{_fields(queries, ['query_id'])}, low double, high double").groupBy("query_id").agg(F.min("low").alias("low"), F.max("high").alias("high"))
         ranges = {r["query_id"]: (r["low"], r["high"] - r["low"]) for r in found.collect()}  # a row for each query of the block
-        low, span = np.array([ranges.get(i, (0.0, 0.0)) for i in block.ids.tolist()]).reshape(-1, 2).T
+        low, span = np.array([ranges.get(i, (0.0, 0.0)) for i in block.ids.to_pylist()]).reshape(-1, 2).T
         return replace(block, low=low, span=span)
 
     def scored(block: Block) -> DataFrame:
@@ -167,7 +167,7 @@ def hybrid_top_k(rows: DataFrame, key: list[str], queries: DataFrame, weights: D
                     yield part.columns[: len(key)], {"score": score, "vec_score": vec, "kw_score": kw}, score >= threshold
 
             for best in best_rows(parts(), key, k, len(b.ids)):
-                yield pa.RecordBatch.from_arrays([pa.array(b.ids[best.column(0).to_numpy()]), *best.columns[1:]], names=["query_id", *key, "score", "vec_score", "kw_score"])
+                yield pa.RecordBatch.from_arrays([b.ids.take(best.column(0)), *best.columns[1:]], names=["query_id", *key, "score", "vec_score", "kw_score"])
 
         return chosen.mapInArrow(run, schema)
 

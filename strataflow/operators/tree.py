@@ -58,7 +58,7 @@ def summary_tree(chunks: DataFrame, summarise: Callable[[list[str]], str] = firs
     """
     node = F.concat(F.col("doc_id").cast("string"), F.lit("_text_"), F.col("sequence").cast("string"))
     level = chunks.select("doc_id", F.lit(0).alias("level"), node.alias("node"), F.col("sequence").cast("long").alias("at"), "content", F.array().cast("array<string>").alias("children"))
-    schema = "doc_id long, level int, node string, at long, content string, children array<string>"
+    schema = f"doc_id {chunks.schema['doc_id'].dataType.simpleString()}, level int, node string, at long, content string, children array<string>"
     out = level
     for depth in count(1):  # from level 2 on each has fewer nodes
         sized = level.join(level.groupBy("doc_id").agg(F.count("*").alias("nodes")), "doc_id")
@@ -89,7 +89,7 @@ def _level_function(depth: int, summarise: Callable[[list[str]], str], max_clust
                 text = summarise(own["content"].tolist())
                 if text.strip():
                     name = f"{doc_id}_level{depth}_node{f'{piece}_{c}' if several else c}"
-                    rows.append((int(doc_id), depth, name, piece * max_clusters + c, text, own["node"].tolist()))
+                    rows.append((doc_id, depth, name, piece * max_clusters + c, text, own["node"].tolist()))
         return pd.DataFrame(rows, columns=["doc_id", "level", "node", "at", "content", "children"])
 
     return summarised

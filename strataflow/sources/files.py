@@ -14,26 +14,15 @@ from pyspark.sql import functions as F
 from ..functions.text import clean
 from ..operators import tables
 from ..operators.chunking import chunk_documents
-from . import office
+from . import codecs, office
 
-# The suffixes of texts, tables and formats that need a parser of their own, and the codecs that are tried in turn.
+# The suffixes of texts, tables and formats that need a parser of their own.
 TEXTS, TABLES, BINARY = (".txt", ".md", ".html", ".htm", ".json"), (".csv",), (".pdf", ".doc", ".ppt", ".xls")
 OFFICE = (*office.WORKBOOKS, *office.DOCUMENTS, *office.SLIDES)
-CODECS = ("utf-8", "gb2312", "gbk", "gb18030", "utf_16", "ascii", "big5", "latin_1")
 #: Files beyond it aren't read whole: they belong into a table of their own (``spark.read.text``, ``read_table``).
 MOST_BYTES = 256 << 20
 
 
-def decode(data: bytes) -> str:
-    """By the first codec that fits; bytes with many zeros are no text in the last one."""
-    for codec in CODECS[:-1]:
-        try:
-            return data.decode(codec)
-        except (UnicodeDecodeError, LookupError):
-            continue
-    return data.decode("utf-8", errors="replace") if b"\x00" in data else data.decode(CODECS[-1])
-
-
 def _files(spark: SparkSession, folder: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     return files.withColumn("suffix", F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1)))
@@ -67,7 +56,7 @@ def load_tables(spark: SparkSession, folder: str, doc_id: str = r"([^/]*)\.[^./]
         kind = pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))
         for batch in batches:
             for doc_id, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                lines = csv.reader(io.StringIO(decode(data).removeprefix("\ufeff"), newline=""))
+                lines = csv.reader(io.StringIO(codecs.decode(data).removeprefix("\ufeff"), newline=""))
                 names, rows = next(lines, []), []
                 rows = [[{"name": n, "value": row[i] if i < len(row) and row[i] else None} for i, n in enumerate(names)] for row in lines if row]
                 yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(rows), pa.string()), pa.array(range(len(rows)), pa.int64()), pa.array(rows, kind)], names=["doc_id", "sequence", "cells"])
@@ -87,19 +76,22 @@ def file_chunks(spark: SparkSession, folder: str, size: int = 256, use_code_spac
 
 
 def load_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """``doc_id, text, path, name, size`` of all texts, documents and slides under folder; ``left_out`` tells which other files there are."""
+    """``doc_id, text, path, name, size, codec, confidence`` of all texts, documents and slides under folder; ``left_out`` tells which other files there are."""
     found = _files(spark, folder)
     files = found.where(F.col("suffix").isin(*TEXTS) & (F.col("length") <= MOST_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if c is None else decode(c) for c in batch.column(1).to_pylist()], pa.string()), batch.column(2)], names=["path", "text", "size"])
+            found = [(*codecs.detect(c), c) for c in (x.as_py() or b"" for x in batch.column(1))]
+            texts = [c.decode(codec, errors="replace") for codec, _, c in found]
+            columns = [batch.column(0), pa.array(texts, pa.string()), batch.column(2), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["path", "text", "size", "codec", "confidence"])
 
-    texts = files.select("path", "content", F.col("length").alias("size")).mapInArrow(run, "path string, text string, size long")
+    texts = files.select("path", "content", F.col("length").alias("size")).mapInArrow(run, "path string, text string, size long, codec string, confidence double")
     said = office.texts(office.elements(_office(found))).join(_office(found).select("path", F.col("length").alias("size")), "path")
-    texts = texts.unionByName(said.select("path", "text", "size"))
+    texts = texts.unionByName(said.select("path", "text", "size", F.lit("utf_8").alias("codec"), F.lit(1.0).alias("confidence")))
     name = F.regexp_extract("path", r"([^/]*)$", 1)
-    return texts.where(F.col("text").isNotNull()).select(F.regexp_replace(name, r"\.[^.]*$", "").alias("doc_id"), clean(F.col("text")).alias("text"), "path", name.alias("name"), "size")
+    return texts.where(F.col("text").isNotNull()).select(F.regexp_replace(name, r"\.[^.]*$", "").alias("doc_id"), clean(F.col("text")).alias("text"), "path", name.alias("name"), "size", "codec", "confidence")
 
 
 class _Elements(HTMLParser):

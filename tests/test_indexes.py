@@ -97,6 +97,12 @@ def test_filters_hold_before_the_best_are_chosen(spark, tmp_path, queries, index
     assert engine.search("a", queries, where=F.col("level") > 0).count() == 0
 
 
+def test_trees_of_documents_with_names(spark, tmp_path, queries):
+    engine = Engine(spark, str(tmp_path))
+    engine.build("trees", spark.createDataFrame(documents(3), SCHEMA), Config(threshold=0.0, proc_enable_raptor=True, proc_chunk_token_size=60))
+    assert engine.search("trees", queries, where=F.col("level") > 0).select("doc_id").distinct().count() > 0
+
+
 # --- graphs ---
 
 
@@ -194,7 +200,7 @@ def test_chinese_words_in_an_index(spark, tmp_path):
     engine = Engine(spark, str(tmp_path), tokenize=tokenize)
     engine.build("words", docs, Config(threshold=0.0, top_k=1))
     assert {(r["query_id"], r["doc_id"]) for r in engine.search("words", asked).collect()} == {(1, 1), (2, 2)}
-    assert {r["precision_recall"] for r in engine.evaluate("words", asked).collect()} == {1.0}
+    assert {r["precision_recall"] for r in engine.evaluate("words", asked.select(F.concat(F.lit("q"), "query_id").alias("query_id"), "text")).collect()} == {1.0}
     plain = Engine(spark, str(tmp_path))
     plain.build("runs", docs, Config(threshold=0.0))
     assert all(r["kw_score"] == 0 for r in plain.search("runs", asked).collect())
