@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stems import stem
@@ -166,10 +166,11 @@ def fine_grained(words: Words, tokens: list[str]) -> list[str]:
     return [p for t in tokens for p in words.finer(t)]
 
 
-def segmented(rows: DataFrame, key: list[str], text: str, known: DataFrame) -> DataFrame:
+def segmented(rows: DataFrame, key: list[str], text: str, known: DataFrame, convert: Callable[[Column], Column] | None = None) -> DataFrame:
     """key, ``words, fine_words`` (arrays) of each row's text: in half width and lower case, what is no letter or digit as white space.
 
-    known: ``term, weight``; it is broadcast, and refused beyond MOST_TERMS. Null text: no words.
+    known: ``term, weight``; it is broadcast, and refused beyond MOST_TERMS. convert: what becomes of the text then, such as ``phrases.converter`` to
+    simplified characters. Null text: no words.
     """
     n = known.count()
     if n > MOST_TERMS:
@@ -183,7 +184,8 @@ def segmented(rows: DataFrame, key: list[str], text: str, known: DataFrame) -> D
             own = [tokenize(words, t or "") for t in batch.column(len(key)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(key)], pa.array(own, kind), pa.array([fine_grained(words, o) for o in own], kind)], names=[*key, "words", "fine_words"])
 
-    plain = F.lower(half_width(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}_]+", " "))).alias("_text")
+    plain = F.lower(half_width(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}_]+", " ")))
+    plain = (convert(plain) if convert else plain).alias("_text")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*key).schema)
     return rows.select(*key, plain).mapInArrow(run, f"{schema}, words array<string>, fine_words array<string>")
 

@@ -162,8 +162,8 @@ def _collected(table: DataFrame, most: int, what: str) -> list[tuple]:
     return [tuple(r) for r in table.collect()]
 
 
-def segmenter(words: DataFrame, tags: DataFrame | None = None, stems: bool = False) -> Tokenizer:
-    """A tokenizer by a dictionary (``term, freq``) and, for what it lacks, a tagger (``tag_counts``); texts are folded to half width and lower case."""
+def segmenter(words: DataFrame, tags: DataFrame | None = None, stems: bool = False, convert: Callable[[Column], Column] = lambda text: text) -> Tokenizer:
+    """A tokenizer by a dictionary (``term, freq``) and, for what it lacks, a tagger (``tag_counts``); texts are folded to half width and lower case, then converted (``phrases.converter``)."""
     freq = dict(_collected(dictionary(words), MOST_TERMS, "a dictionary"))
     counts = None if tags is None else _collected(tags.select("kind", "a", "b", "n"), 4 * MOST_CHARACTERS, "counts of tags")
     held = words.sparkSession.sparkContext.broadcast((freq, counts))
@@ -175,7 +175,7 @@ def segmenter(words: DataFrame, tags: DataFrame | None = None, stems: bool = Fal
         for texts in batches:
             yield texts.map(lambda t: words_of(graph, tagger, t, stems))
 
-    return lambda text: segment(F.lower(half_width(F.coalesce(text, F.lit("")))))
+    return lambda text: segment(convert(F.lower(half_width(F.coalesce(text, F.lit(""))))))
 
 
 def stemmed(tokenize: Tokenizer) -> Tokenizer:

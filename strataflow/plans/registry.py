@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import numbers as N
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import chunking, context, evaluation, exhaustive, graph, index, keyword, lexicon, retrieval, search, segmentation, tables, tree
+from ..operators import chunking, context, evaluation, exhaustive, graph, index, keyword, lexicon, phrases, retrieval, search, segmentation, tables, tree
 from ..sources import files, office
 from ..sources.stored import kept, shared_dir
 from . import sql as S
@@ -577,6 +577,20 @@ def vec_graph(spark, sf):
     return found.join(exact, ["query_id", "vec_id"], "left").select("query_id", "vec_id", "rank", "score", F.coalesce("exact", F.lit(False)).alias("exact"))
 
 
+@query(
+    r"""WITH c AS (SELECT conv_id, turn, generate_subscripts(string_split(text, ' '), 1) AS i, unnest(string_split(text, ' ')) AS word FROM conversations),
+w AS (SELECT DISTINCT word FROM (SELECT unnest(string_split(text, ' ')) AS word FROM benchmark) WHERE word <> '')
+SELECT conv_id, turn, md5(coalesce(string_agg(CASE WHEN w.word IS NOT NULL THEN length(w.word)::VARCHAR ELSE c.word END, ' ' ORDER BY i), '')) AS converted FROM c LEFT JOIN w USING (word) GROUP BY conv_id, turn"""
+)
+def txt_phrases(spark, sf):
+    """Words of the benchmark in conversations become their lengths: phrases with the spaces around them, longer than any other that begins there."""
+    words = _t(spark, sf, "benchmark").select(F.explode(F.split("text", " ")).alias("w")).where("w <> ''")
+    mapping = words.select(F.concat(F.lit("\x1f"), "w", F.lit("\x1f")).alias("source"), F.concat(F.lit("\x1f"), F.length("w").cast("string"), F.lit("\x1f")).alias("target"))
+    bounded = F.concat(F.lit("\x1f"), F.replace("text", F.lit(" "), F.lit("\x1f \x1f")), F.lit("\x1f"))
+    converted = phrases.converter(mapping)(bounded)
+    return _t(spark, sf, "conversations").select("conv_id", "turn", F.md5(F.replace(converted, F.lit("\x1f"), F.lit(""))).alias("converted"))
+
+
 @query()
 def tok_stems(spark, sf):
     """How many words of the documents have each English stem."""
