@@ -158,11 +158,12 @@ def encode(rows: DataFrame, cache: DataFrame, model: str, dim: int, text: str =
     return keyed.join(cache.select("cache_key", "embedding").unionByName(made), "cache_key", "left"), made
 
 
-def dense_ids(rows: DataFrame, key: list[str], start: int = 0, buckets: int = 4096) -> DataFrame:
+def dense_ids(rows: DataFrame, key: list[str], start: int = 0, buckets: int | None = None) -> DataFrame:
     """rows with ``id``: start, start + 1 and so on, for keys that don't repeat; the same rows get the same ids.
 
-    Rows are numbered within buckets by a hash of the key, whose sizes (a row for each bucket) are summed up before.
+    Rows are numbered within buckets by a hash of the key, of about a million rows each if no number is given; the buckets' sizes are summed up before.
     """
+    buckets = buckets or 1 + rows.count() // 1_000_000
     placed = rows.withColumn("_bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)))
     sizes = placed.groupBy("_bucket").agg(F.count("*").alias("n"))
     base = F.sum("n").over(W.partitionBy(F.lit(0)).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1))

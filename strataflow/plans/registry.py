@@ -448,6 +448,13 @@ def vec_dense_ids(spark, sf):
     return retrieval.dense_ids(_t(spark, sf, "embeddings").select("vec_id"), ["vec_id"])
 
 
+@query("SELECT count(*) AS n, count(*) AS n_different, 100 AS low, 100 + count(*) - 1 AS high FROM orders")
+def dense_ids_span(spark, sf):
+    """Orders numbered from 100 on, in several buckets: no number is left out and none repeats."""
+    ids = retrieval.dense_ids(_t(spark, sf, "orders").select("o_orderkey"), ["o_orderkey"], start=100, buckets=50)
+    return ids.agg(F.count("*").alias("n"), F.countDistinct("id").alias("n_different"), F.min("id").alias("low"), F.max("id").alias("high"))
+
+
 # --- vectors ---
 
 _PAIRS = "SELECT q.vec_id AS query_id, v.vec_id, round(list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) / sqrt(list_inner_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]) * list_inner_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])), 9) AS s FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0"
@@ -716,11 +723,33 @@ def page_tags(spark, sf):
     return _t(spark, sf, "pages").select("page_id", n("<p>").alias("n_p"), n("<h1>").alias("n_h1"), F.length("html").cast("long").alias("n_chars"))
 
 
-@query()
+_BLOCKS = r"</?(p|h[1-6]|li|div|title|blockquote|pre)(\s[^>]*)?>"
+
+
+@query(
+    rf"""WITH plain AS (SELECT page_id, regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->', '', 'g') AS html FROM pages),
+b AS (SELECT page_id, unnest(regexp_split_to_array(html, '(?i){_BLOCKS}')) AS block, generate_subscripts(regexp_split_to_array(html, '(?i){_BLOCKS}'), 1) AS i FROM plain),
+t AS (SELECT page_id, i, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(block, '<[^>]*>', '', 'g'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '{S.SPACE}', ' ', 'g')) AS text FROM b)
+SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY i) - 1)::INT AS elem_idx, 'text' AS kind, text FROM t WHERE text <> ''"""
+)
 def page_elements(spark, sf):
     return files.page_elements(_t(spark, sf, "pages"))
 
 
+@query(
+    """WITH c AS (SELECT n_regionkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS row_idx, n_nationkey, n_name FROM nation)
+SELECT n_regionkey AS page_id, row_idx, 'key' AS "column", n_nationkey::VARCHAR AS value FROM c UNION ALL SELECT n_regionkey, row_idx, 'the name', n_name || ' & more' FROM c"""
+)
+def page_tables(spark, sf):
+    """A page with a table of its nations for each region, whose cells are read back."""
+    cell = lambda c: F.concat(F.lit("<td>"), c, F.lit("</td>"))
+    row = F.concat(F.lit("<tr>"), cell(F.col("n_nationkey").cast("string")), cell(F.concat(F.col("n_name"), F.lit(" &amp;\n more"))), F.lit("</tr>"))
+    rows = _t(spark, sf, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", row.alias("row")))).alias("x"))
+    html = F.concat(F.lit("<p>Nations</p><table><tr><th>key</th><th>the <b>name</b></th></tr>"), F.array_join(F.col("x")["row"], ""), F.lit("</table><p>end"))
+    found = files.table_rows(files.page_elements(rows.select(F.col("n_regionkey").alias("page_id"), html.alias("html"))))
+    return found.select("page_id", F.col("row_idx").cast("long").alias("row_idx"), "column", "value")
+
+
 @query()
 def summary_tree(spark, sf):
     return tree.summary_tree(_chunks(spark, sf))
