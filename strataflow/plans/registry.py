@@ -17,7 +17,7 @@ from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import chunking, context, evaluation, exhaustive, graph, index, keyword, lexicon, phrases, retrieval, search, segmentation, tables, tree
 from ..sources import files, office
-from ..sources.stored import kept, shared_dir
+from ..sources.stored import kept, shared_dir, spread
 from . import sql as S
 from .config import Config
 
@@ -121,7 +121,7 @@ def txt_title_tests(spark, sf):
 
 
 def _chunks(spark, sf) -> DataFrame:
-    return chunking.chunk_documents(_t(spark, sf, "documents"))
+    return chunking.chunk_documents(spread(_t(spark, sf, "documents").select("doc_id", "text")))
 
 
 def _worded(spark, sf) -> DataFrame:

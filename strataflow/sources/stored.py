@@ -19,6 +19,12 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A table as its files have it, dealt over all cores where its files have fewer splits than that; a table of many splits isn't shuffled."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 def kept(df: DataFrame) -> DataFrame:
     """df computed once, as a Parquet table in the shared folder: it outlives executors, and later scans read the columns that they need."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/strataflow-{uuid.uuid4().hex}"
