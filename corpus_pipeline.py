@@ -7,7 +7,8 @@ The near-duplicate stage links texts whose sets of five-word shingles have a Jac
 find the candidates, the whole sets verify them. A document without words has nothing to be a copy of: that stage keeps it.
 
 Null texts stay null until tokens, where they have no ids. Rows are told apart by file and row, so repeated rows are copies of each other and
-null ids are kept like others (of a group, the smallest id stays; null comes last). Empty tables: no rows.
+null ids are kept like others (of a group, the smallest id stays; null comes last). Empty tables: no rows. Very long texts go through whole: a
+text is in one task at a time. Ties of ids are settled by file and row. Further columns of docs are left out after the first stage, whatever their names.
 """
 
 from __future__ import annotations
