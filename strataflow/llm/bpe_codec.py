@@ -6,7 +6,7 @@ around long runs of white space. Of such a run all but the last character are on
 library as a piece of its own, as the library's regular expressions can't take a million of them.
 
 Null text: as an empty one, with no ids. Very long texts: in parts, as above; one match of any length stays one.
-Repeated rows: one output row each. Empty table: no rows. Other columns of docs are left out, whatever their names.
+Repeated rows: one output row each; nothing is ranked, so there are no ties. Empty table: no rows. Other columns of docs are left out, whatever their names.
 """
 
 from __future__ import annotations

@@ -16,7 +16,7 @@
 
 Null or empty text: its tokens are the end token alone. Very long texts: a text's symbols (4 bytes each) and segments'
 matrices are in memory, never its whole recursion. Repeated rows: each counts and is scored. Rows with null doc_id
-train and are scored as rows that are not held out. Empty table: no rows. Other columns of docs don't matter, whatever their names.
+train and are scored as rows that are not held out. Ties of counts: tokens of one count are all symbols of their own or none is. Empty table: no rows. Other columns of docs don't matter, whatever their names.
 """
 
 from __future__ import annotations
