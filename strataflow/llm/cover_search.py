@@ -8,10 +8,10 @@ have trees of their own. A node's ball has the covering radius of what is below
     <c, d> + r |d| + s |c| + r s
 
 bounds every product between them. A pair goes if that is below the worst k-th score among the node's queries; others are split at the
-larger ball, best bound first, down to products of whole buckets. The scores start from those against the sample, which are
-given for granted by rows that exist, so that a task hands on only what reaches them.
+larger ball, best bound first, down to products of whole buckets. Each query starts from its k-th best score against the
+sample, which its true one reaches at least, so that a task hands on only what may count.
 
-Query trees meet all data trees in blocks of bounded size, which are broadcast: that is the stated query set, and no pairs are shuffled. A vector of any length is a row of its tree.
+Query trees meet all data trees in blocks of bounded size, which are broadcast: that is the stated query set, and no pairs are shuffled.
 Equal vectors of a slice are one point with its k + 1 smallest ids: of equal scores smaller ids come first, and a query leaves out one row, its own.
 
 Null vectors, and those with null or infinite components or NaN, take no part. Shorter vectors count as if they ended in zeros. Null
