@@ -1,7 +1,8 @@
 """Connected components of an edge table by alternating large and small stars.
 
-Every round is two grouped minima (combined before the shuffle) and two joins; its edges are written to the shared
-folder, so that no round depends on an executor that may go. The number of edges never grows.
+Every round is two grouped minima (combined before the shuffle) and two joins, in which the nodes of many edges are broadcast, so that
+a star's edges never meet in one task. A round's edges are written to the shared folder, so that none depends on an executor that may go.
+The number of edges never grows.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import join_dealt, written
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -17,6 +18,12 @@ def _state(edges: DataFrame) -> tuple:
     return row["n"], row["x"]
 
 
+def _with_least(edges: DataFrame, beside: DataFrame, n: int) -> DataFrame:
+    """edges (``u, v``) with m: the least neighbour that u has in beside, whose n rows hold all of edges."""
+    least = written(beside.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("weight")))
+    return join_dealt(edges, least, "u", n, stored=True).select("u", "v", "m")
+
+
 def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """``node, root``: for each node of an edge (``a, b``), the smallest node that it is connected with.
 
@@ -28,10 +35,8 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         if not state[0]:
             break
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        large = written(_with_least(both.where(F.col("v") > F.col("u")), both, 2 * state[0]).select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct())
+        joined = _with_least(large, large, large.count()).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         new = written(joined.select("e.u", "e.v").where(F.col("u") != F.col("v")).distinct())
         e, (old, state) = new, (state, _state(new))
         if state == old:

@@ -7,14 +7,17 @@ least one partition. The estimates only steer the cost.
 
 Fingerprints meet by partition value (with all values within the threshold from one side). In a bucket of at most ``bucket_rows`` all
 pairs are candidates. In a crowded one each is paired with the bucket's hubs first: the fingerprint that meets the most others, and three at
-random; after those pairs are verified, what their links leave apart is compared pair by pair, a bucket's rows dealt over many tasks.
+random; what their verified links leave apart is compared pair by pair, a bucket's rows dealt over many tasks (``pairs_dealt``), or, where
+fingerprints stand for sets, meets by the sets' prefixes (``pairs_by_sets``), whose rows don't grow with the square of the bucket.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import combinations
 from math import comb
+from operator import and_, or_
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import written
+from .shared import join_dealt, written
 
 #: Rows of a bucket that one task compares with the others, and pairs of a hub that one task verifies.
 DEAL_ROWS, DEAL_PAIRS = 512, 2048
@@ -184,29 +187,69 @@ def pairs_with_hubs(crowded: DataFrame, near: Near) -> DataFrame:
     return met.select(*_pair("x", "hub")).distinct()
 
 
-def pairs_apart(crowded: DataFrame, roots: DataFrame, near: Near) -> DataFrame:
-    """The near pairs of crowded buckets that the links so far (``node, root``) don't connect."""
+def rows_apart(crowded: DataFrame, roots: DataFrame) -> DataFrame:
+    """``part, value, rows, share, x, root``: the members of crowded buckets that the links so far (``node, root``) don't connect."""
     rows = crowded.withColumn("node", F.col("x.node")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rows = written(rows.select("part", "value", "rows", "x", "root"))
     open_ = rows.groupBy("part", "value").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.first("rows").alias("rows")).where(F.col("least") != F.col("most"))
     open_ = open_.select("part", "value", _each_share(_shares(F.col("rows"), DEAL_ROWS)).alias("share"))
-    rows = rows.withColumn("share", _share_of(F.col("x.node"), _shares(F.col("rows"), DEAL_ROWS))).join(open_, ["part", "value", "share"])
-    l = rows.alias("l")
-    r = rows.withColumn("to", _each_share(_shares(F.col("rows"), DEAL_ROWS))).alias("r")
-    same = (F.col("l.part") == F.col("r.part")) & (F.col("l.value") == F.col("r.value")) & (F.col("l.share") == F.col("r.to"))
+    return written(rows.withColumn("share", _share_of(F.col("x.node"), _shares(F.col("rows"), DEAL_ROWS))).join(open_, ["part", "value", "share"]))
+
+
+def pairs_dealt(rows: DataFrame, keys: list[str], near: Near) -> DataFrame:
+    """The near pairs of different roots among the rows (``rows, share, x, root``) of equal keys; all rows of a key meet, over several tasks."""
+    l, r = rows.alias("l"), rows.withColumn("to", _each_share(_shares(F.col("rows"), DEAL_ROWS))).alias("r")
+    same = reduce(and_, (F.col(f"l.{k}") == F.col(f"r.{k}") for k in keys)) & (F.col("l.share") == F.col("r.to"))
     apart = (F.col("l.x.node") < F.col("r.x.node")) & (F.col("l.root") != F.col("r.root"))
     return l.join(r, same & apart & near(F.col("l.x"), F.col("r.x"))).select(*_pair("l.x", "r.x")).distinct()
 
 
-def connecting_links(nodes: DataFrame, parts: list[Part], near: Near, bucket_rows: int, verified: Callable[[DataFrame], DataFrame] = lambda pairs: pairs) -> DataFrame:
-    """``a, b``: verified links that connect all nodes (``node, f array<long>``) which verified pairs of the candidates connect."""
+def pairs_by_sets(members: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
+    """The near pairs of different roots among the members (``node, root, x``), of those whose sets (``node, shingles``) have a similarity of 0.8 or more.
+
+    By prefixes: in one order of all shingles, two such sets share one of the first n / 5 + 1 of each. Shingles that only one root holds come
+    first in that order and bring nobody together, then the less frequent ones; so a set with a fifth of its own meets none, whatever boilerplate it shares.
+    """
+    tokens = written(sets.join(members.select("node", "root"), "node").select("node", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("token")))
+    held = tokens.groupBy("token").agg(F.count("*").alias("weight"), F.min("root").alias("least"), F.max("root").alias("most"))
+    between = written(held.where(F.col("least") != F.col("most")).select("token", "weight"))
+    own = join_dealt(tokens, between, "token", tokens.count(), stored=True).groupBy("node", "root", "n").agg(F.sort_array(F.collect_list(F.struct("weight", "token"))).alias("order"))
+    left = F.floor(F.col("n") / 5).cast("int") + 1 - (F.col("n") - F.size("order"))
+    prefix = own.withColumn("left", left).where("left > 0").select("node", "root", F.explode(F.slice("order", 1, F.col("left"))).alias("first"))
+    prefix = written(prefix.select("node", "root", "first.token"))
+    sizes = written(prefix.groupBy("token").agg(F.count("*").alias("weight")).where("weight > 1"))
+    rows = join_dealt(prefix, sizes, "token", prefix.count(), stored=True).join(members.select("node", "x"), "node")
+    rows = written(rows.select("token", F.col("weight").alias("rows"), _share_of(F.col("node"), _shares(F.col("weight"), DEAL_ROWS)).alias("share"), "x", "root"))
+    return pairs_dealt(rows, ["token"], near)
+
+
+def agree(parts: list[Part], x: Column, y: Column) -> Column:
+    """Whether two nodes have a partition's value in common."""
+    return reduce(or_, (x["f"][w].bitwiseXOR(y["f"][w]).bitwiseAND(F.lit(_signed(_mask(bits))).cast("long")) == 0 for w, bits, _ in parts))
+
+
+def connecting_links(
+    nodes: DataFrame,
+    parts: list[Part],
+    near: Near,
+    bucket_rows: int,
+    verified: Callable[[DataFrame], DataFrame] = lambda pairs: pairs,
+    apart: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """``a, b``: verified links that connect all nodes (``node, f array<long>``) which verified pairs of the candidates connect.
+
+    apart: gives the candidates among the rows of ``rows_apart``; by default all near pairs.
+    """
     met = meetings(nodes, parts)
     crowded = met.where(F.col("rows") > bucket_rows)
     first = written(verified(written(pairs_inside(met, near, bucket_rows).union(pairs_with_hubs(crowded, near)).distinct())).select("a", "b"))
     if crowded.isEmpty():
         return first
-    apart = written(pairs_apart(crowded, components(first), near))
-    return first.union(verified(apart).select("a", "b"))
+    rows = rows_apart(crowded, components(first))
+    if rows.isEmpty():
+        return first
+    pairs = written(apart(rows) if apart else pairs_dealt(rows, ["part", "value"], near))
+    return first.union(verified(pairs).select("a", "b"))
 
 
 def with_share_of(pairs: DataFrame, side: str, table: DataFrame, value: str) -> DataFrame:

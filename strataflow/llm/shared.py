@@ -91,12 +91,14 @@ def head_threshold(counts: DataFrame, column: str, at_most: int) -> int:
     return least
 
 
-def join_dealt(rows: DataFrame, table: DataFrame, key: str, n_rows: int, per: int = 10_000) -> DataFrame:
+def join_dealt(rows: DataFrame, table: DataFrame, key: str, n_rows: int, per: int = 10_000, stored: bool = False) -> DataFrame:
     """rows joined with a table that has one row a key, and the key's number of rows as ``weight``.
 
     Keys of more than one in ``per`` of all rows, of which there are fewer than ``per``, are broadcast, so that no task gathers the rows of one.
+    stored: the table is a written one, whose hot keys needn't be written once more.
     """
-    hot = written(table.where(F.col("weight") * per > n_rows))
+    hot = table.where(F.col("weight") * per > n_rows)
+    hot = hot if stored else written(hot)
     dealt = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.where(F.col("weight") * per <= n_rows), key)
     return dealt.unionByName(rows.join(F.broadcast(hot), key))
 

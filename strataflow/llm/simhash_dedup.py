@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .decontaminate import Words, slices
-from .pigeonhole import ball, connecting_links, flipped, meetings, pairs_inside, plan, with_share_of
+from .pigeonhole import agree, ball, connecting_links, flipped, meetings, pairs_by_sets, pairs_inside, plan, with_share_of
 from .shared import BLANK_SEPARATED, carried_schema, join_dealt, keyed_texts, mixed, placed_texts, scanned, written
 
 WORDS_64, FAR_BITS = 10, 96
@@ -114,7 +114,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2, bucket_r
     own = written(fingerprints(docs, words, carry))
     fps = written(own.groupBy(F.col("fp").alias("node")).agg(F.min("doc_id").alias("least"), F.count("*").alias("weight_of_node")))
     named = _grouped(fps, links(fps.select(F.col("node").alias("fp")), max_bits, bucket_rows), F.col("least"))
-    return join_dealt(own.withColumn("node", F.col("fp")), written(named), "node", own.count()).select("rid", "doc_id", "n_words", "fp", "group", "component_id", *own.columns[4:])
+    return join_dealt(own.withColumn("node", F.col("fp")), written(named), "node", own.count(), stored=True).select("rid", "doc_id", "n_words", "fp", "group", "component_id", *own.columns[4:])
 
 
 def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
@@ -208,10 +208,15 @@ def near_copies(docs: DataFrame, words: int = 5, bucket_rows: int = 64, carry: t
         shared = F.size(F.array_intersect("shingles_a", "shingles_b"))
         return both.where(9 * shared >= 4 * (F.size("shingles_a") + F.size("shingles_b"))).select("a", "b")
 
+    def apart(rows: DataFrame) -> DataFrame:
+        members = written(rows.groupBy(F.col("x.node").alias("node")).agg(F.first("root").alias("root"), F.first("x").alias("x")))
+        wanted = written(members.select("node", "x.reach").join(nodes.select("node", "place.file", "place.rid"), "node"))
+        return pairs_by_sets(members, shingle_sets(docs, wanted, words), lambda x, y: agree(parts, x, y) & near(x, y))
+
     parts = plan(nodes, WORDS_64, 1)
     rest = own.columns[7:]
     if not parts:
         return own.select("file", "rid", "doc_id", F.col("node").alias("group"), *rest)
-    linked = connecting_links(nodes.select("node", "f", "n", "sketch"), parts, near, bucket_rows, verified)
+    linked = connecting_links(nodes.select("node", "f", "n", "sketch"), parts, near, bucket_rows, verified, apart)
     named = _grouped(nodes.select("node", "weight_of_node"), linked, F.col("node"))
-    return join_dealt(own.select("file", "rid", "doc_id", "node", *rest), written(named), "node", own.count()).select("file", "rid", "doc_id", "group", *rest)
+    return join_dealt(own.select("file", "rid", "doc_id", "node", *rest), written(named), "node", own.count(), stored=True).select("file", "rid", "doc_id", "group", *rest)

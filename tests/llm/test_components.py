@@ -1,8 +1,13 @@
 """Components end settled, or with an error."""
 
+import random
+from itertools import combinations
+
 import pytest
+from pyspark.sql import functions as F
 
-from strataflow.llm.components import components
+from strataflow.llm.components import _with_least, components
+from strataflow.llm.pigeonhole import pairs_by_sets
 
 
 def test_unsettled_components_are_an_error(spark):
@@ -10,3 +15,31 @@ def test_unsettled_components_are_an_error(spark):
     with pytest.raises(RuntimeError):
         components(path, max_rounds=1)
     assert {r["root"] for r in components(path).collect()} == {0}
+
+
+def test_stars_are_dealt(spark):
+    """A centre of 30,000 edges is joined by broadcasting it: its edges stay where they are."""
+    star = spark.range(1, 30_001).select(F.lit(0).cast("long").alias("u"), F.col("id").alias("v"))
+    pairs = spark.range(40_000, 70_000).select((2 * F.col("id")).alias("u"), (2 * F.col("id") + 1).alias("v"))
+    edges = star.union(pairs)
+    joined = _with_least(edges, edges, 60_000)
+    assert "BroadcastHashJoin" in joined._jdf.queryExecution().toString()
+    assert joined.where("u = 0").agg(F.count("*"), F.max("m")).first() == (30_000, 1) and joined.count() == 60_000
+    roots = components(edges.toDF("a", "b"))
+    assert roots.where("root = 0").count() == 30_000 and roots.where("root >= 80000").count() == 30_000
+
+
+def test_pairs_by_sets(spark):
+    """Every pair of a similarity of 0.8 meets; sets that share most, but have a fifth of their own, bring nobody together."""
+    rng = random.Random(2)
+    common = range(1000, 1100)
+    sets = {i: {*common, *range(10_000 + 50 * i, 10_030 + 50 * i)} for i in range(400)}
+    for i in range(400, 460):
+        family = (i - 400) // 6
+        sets[i] = {t if rng.random() > 0.06 else 10**6 + rng.randrange(10**6) for t in range(200_000 + 100 * family, 200_080 + 100 * family)}
+    root = {i: i if i % 5 else i - i % 10 for i in sets}
+    members = spark.createDataFrame([(i, root[i], (i, 7)) for i in sets], "node long, root long, x struct<node: long, reach: long>")
+    tokens = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "node long, shingles array<long>")
+    got = {(r["a"], r["b"]) for r in pairs_by_sets(members, tokens, lambda x, y: F.lit(True)).collect()}
+    want = {(a, b) for a, b in combinations(sets, 2) if root[a] != root[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    assert want and want <= got and not any(a < 400 and b < 400 for a, b in got)
