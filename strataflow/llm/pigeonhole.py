@@ -8,7 +8,8 @@ least one partition. The estimates only steer the cost.
 Fingerprints meet by partition value (with all values within the threshold from one side). In a bucket of at most ``bucket_rows`` all
 pairs are candidates. In a crowded one each is paired with the bucket's hubs first: the fingerprint that meets the most others, and three at
 random; what their verified links leave apart is compared pair by pair, a bucket's rows dealt over many tasks (``pairs_dealt``), or, where
-fingerprints stand for sets, meets by the sets' prefixes (``pairs_by_sets``), whose rows don't grow with the square of the bucket.
+fingerprints stand for sets, meets by the sets' prefixes (``pairs_by_sets``), whose rows don't grow with the square of the bucket; members
+of a frequent prefix are compared in blocks of arrays (``pairs_in_blocks``).
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 from .components import components
 from .shared import join_dealt, written
 
-#: Rows of a bucket that one task compares with the others, and pairs of a hub that one task verifies.
-DEAL_ROWS, DEAL_PAIRS = 512, 2048
+#: Rows of a bucket that one task compares with the others, pairs of a hub that one task verifies, and rows of each side of a block.
+DEAL_ROWS, DEAL_PAIRS, BLOCK_ROWS = 512, 2048, 4096
 #: (word of the fingerprint, bits, threshold) of a partition that is probed.
 Part = tuple[int, list[int], int]
 
@@ -165,6 +166,8 @@ def meetings(nodes: DataFrame, parts: list[Part]) -> DataFrame:
 
 
 Near = Callable[[Column, Column], Column]
+#: The same of the columns of two sets of nodes: an array of which of the first is near which of the second.
+Close = Callable[[dict[str, np.ndarray], dict[str, np.ndarray]], np.ndarray]
 
 
 def pairs_inside(met: DataFrame, near: Near, bucket_rows: int) -> DataFrame:
@@ -204,9 +207,48 @@ def pairs_dealt(rows: DataFrame, keys: list[str], near: Near) -> DataFrame:
     return l.join(r, same & apart & near(F.col("l.x"), F.col("r.x"))).select(*_pair("l.x", "r.x")).distinct()
 
 
-def pairs_by_sets(members: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
+def _arrays(rows: pa.Table) -> dict[str, np.ndarray]:
+    """Columns by name; lists of numbers as rows of unsigned words."""
+    out = {}
+    for name in rows.column_names:
+        column = rows.column(name).combine_chunks()
+        listed = pa.types.is_list(column.type)
+        out[name] = column.flatten().to_numpy().view(np.uint64).reshape(len(column), -1) if listed else column.to_numpy()
+    return out
+
+
+def pairs_in_blocks(rows: DataFrame, key: str, close: Close) -> DataFrame:
+    """The close pairs of different roots among the rows (``rows, x, root``) of equal keys: a group is two shares of a key, compared as arrays."""
+    shares = _shares(F.col("rows"), BLOCK_ROWS)
+    dealt = rows.withColumn("share", _share_of(F.col("x.node"), shares)).withColumn("to", _each_share(shares))
+    dealt = dealt.select(key, F.least("share", "to").alias("low"), F.greatest("share", "to").alias("high"), "share", "root", "x.*")
+
+    def run(table: pa.Table) -> pa.Table:
+        every = _arrays(table)
+        low, high = every["low"][0], every["high"][0]
+        l, r = ({name: c[every["share"] == share] for name, c in every.items()} for share in (low, high))
+        ends = []
+        for at in range(0, len(l["node"]), 256):
+            part = {name: c[at : at + 256] for name, c in l.items()}
+            hit = close(part, r) & (part["root"][:, None] != r["root"])
+            if low == high:
+                hit &= part["node"][:, None] < r["node"]
+            i, j = np.nonzero(hit)
+            turned = part["node"][i] > r["node"][j]
+            for name in ("node", "reach"):
+                x, y = part[name][i], r[name][j]
+                ends.append((np.where(turned, y, x), np.where(turned, x, y)))
+        columns = [np.concatenate([e[side] for e in ends[k::2]]) if ends else np.zeros(0, np.int64) for k in (0, 1) for side in (0, 1)]
+        return pa.table(columns, names=["a", "b", "reach_a", "reach_b"])
+
+    return dealt.groupBy(key, "low", "high").applyInArrow(run, "a long, b long, reach_a long, reach_b long").distinct()
+
+
+def pairs_by_sets(members: DataFrame, sets: DataFrame, near: Near, close: Close, bucket_rows: int = 64) -> DataFrame:
     """The near pairs of different roots among the members (``node, root, x``), of those whose sets (``node, shingles``) have a similarity of 0.8 or more.
 
+    close tells of arrays what near tells of columns: shingles of more than bucket_rows members are compared by it, in blocks.
+
     By prefixes: in one order of all shingles, two such sets share one of the first n / 5 + 1 of each. Shingles that only one root holds come
     first in that order and bring nobody together, then the less frequent ones; so a set with a fifth of its own meets none, whatever boilerplate it shares.
     """
@@ -219,8 +261,9 @@ def pairs_by_sets(members: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
     prefix = written(prefix.select("node", "root", "first.token"))
     sizes = written(prefix.groupBy("token").agg(F.count("*").alias("weight")).where("weight > 1"))
     rows = join_dealt(prefix, sizes, "token", prefix.count(), stored=True).join(members.select("node", "x"), "node")
-    rows = written(rows.select("token", F.col("weight").alias("rows"), _share_of(F.col("node"), _shares(F.col("weight"), DEAL_ROWS)).alias("share"), "x", "root"))
-    return pairs_dealt(rows, ["token"], near)
+    rows = written(rows.select("token", F.col("weight").alias("rows"), F.lit(0).alias("share"), "x", "root"))
+    few = F.col("rows") <= bucket_rows
+    return pairs_dealt(rows.where(few), ["token"], near).union(pairs_in_blocks(rows.where(~few), "token", close)).distinct()
 
 
 def agree(parts: list[Part], x: Column, y: Column) -> Column:
@@ -228,6 +271,15 @@ def agree(parts: list[Part], x: Column, y: Column) -> Column:
     return reduce(or_, (x["f"][w].bitwiseXOR(y["f"][w]).bitwiseAND(F.lit(_signed(_mask(bits))).cast("long")) == 0 for w, bits, _ in parts))
 
 
+def agreeing(parts: list[Part], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """What ``agree`` tells, of all fingerprints x with all y."""
+    same = np.zeros((len(x), len(y)), dtype=bool)
+    for w, bits, _ in parts:
+        mask = np.uint64(_mask(bits))
+        same |= (x[:, None, w] & mask) == (y[None, :, w] & mask)
+    return same
+
+
 def connecting_links(
     nodes: DataFrame,
     parts: list[Part],

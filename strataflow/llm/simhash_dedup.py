@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .decontaminate import Words, slices
-from .pigeonhole import agree, ball, connecting_links, flipped, meetings, pairs_by_sets, pairs_inside, plan, with_share_of
+from .pigeonhole import agree, agreeing, ball, connecting_links, flipped, meetings, pairs_by_sets, pairs_inside, plan, with_share_of
 from .shared import BLANK_SEPARATED, carried_schema, join_dealt, keyed_texts, mixed, placed_texts, scanned, written
 
 WORDS_64, FAR_BITS = 10, 96
@@ -79,6 +79,14 @@ def _differing(x: Column, y: Column, field: str, n_words: int) -> Column:
     return sum((F.bit_count(x[field][w].bitwiseXOR(y[field][w])) for w in range(n_words)), F.lit(0))
 
 
+def _differing_arrays(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many bits each row of x differs from each of y."""
+    out = np.zeros((len(x), len(y)), dtype=np.uint16)
+    for w in range(x.shape[1]):
+        out += np.bitwise_count(x[:, None, w] ^ y[None, :, w])
+    return out
+
+
 def within(max_bits: int, x: Column, y: Column, n_words: int = 1) -> Column:
     """Whether two nodes' fingerprints differ in at most max_bits bits."""
     return _differing(x, y, "f", n_words) <= max_bits
@@ -200,6 +208,11 @@ def near_copies(docs: DataFrame, words: int = 5, bucket_rows: int = 64, carry: t
         sizes = 5 * F.least(x["n"], y["n"]) >= 4 * F.greatest(x["n"], y["n"])
         return sizes & (9 * _differing(x, y, "sketch", 8) <= x["n"] + y["n"]) & within(FAR_BITS, x, y, WORDS_64)
 
+    def close(x: dict[str, np.ndarray], y: dict[str, np.ndarray]) -> np.ndarray:
+        n, m = x["n"].astype(np.int64)[:, None], y["n"].astype(np.int64)[None]
+        sizes = (5 * np.minimum(n, m) >= 4 * np.maximum(n, m)) & (9 * _differing_arrays(x["sketch"], y["sketch"]).astype(np.int64) <= n + m)
+        return sizes & (_differing_arrays(x["f"], y["f"]) <= FAR_BITS) & agreeing(parts, x["f"], y["f"])
+
     def verified(pairs: DataFrame) -> DataFrame:
         ends = pairs.select("a", "reach_a").union(pairs.select("b", "reach_b")).toDF("node", "reach").distinct()
         wanted = written(ends.join(nodes.select("node", "place.file", "place.rid"), "node"))
@@ -211,7 +224,7 @@ def near_copies(docs: DataFrame, words: int = 5, bucket_rows: int = 64, carry: t
     def apart(rows: DataFrame) -> DataFrame:
         members = written(rows.groupBy(F.col("x.node").alias("node")).agg(F.first("root").alias("root"), F.first("x").alias("x")))
         wanted = written(members.select("node", "x.reach").join(nodes.select("node", "place.file", "place.rid"), "node"))
-        return pairs_by_sets(members, shingle_sets(docs, wanted, words), lambda x, y: agree(parts, x, y) & near(x, y))
+        return pairs_by_sets(members, shingle_sets(docs, wanted, words), lambda x, y: agree(parts, x, y) & near(x, y), close, bucket_rows)
 
     parts = plan(nodes, WORDS_64, 1)
     rest = own.columns[7:]
