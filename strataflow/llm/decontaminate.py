@@ -157,7 +157,7 @@ class Prefixes:
                 yield t, s - int(words.bounds[t]), length, self.items[k].as_py()
 
 
-def _block_hits(texts: DataFrame, items: DataFrame, window: int, shingle: int) -> DataFrame:
+def _block_hits(texts: DataFrame, items: DataFrame, window: int, shingle: int, with_text: bool) -> DataFrame:
     windows = written(windows_of(items, window, shingle))
     # At most as many shingles and windows as the block has words.
     shingles = windows.select("size", F.explode("hashes").alias("h")).distinct().toPandas()
@@ -184,14 +184,15 @@ def _block_hits(texts: DataFrame, items: DataFrame, window: int, shingle: int) -
                         found[doc].update(ids)
                 part, ints = batch.slice(a, b - a), pa.list_(pa.int32())
                 made = [pa.array(np.diff(words.bounds), pa.int64()), pa.array(starts, ints), pa.array(ends, ints), pa.array([sorted(x) for x in found], pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([*part.columns[:where], *made, *part.columns[where + 1 :]], names=[*part.schema.names[:where], "n_words", "starts", "ends", "items", *part.schema.names[where + 1 :]])
+                rest = where if with_text else where + 1
+                yield pa.RecordBatch.from_arrays([*part.columns[:where], *made, *part.columns[rest:]], names=[*part.schema.names[:where], "n_words", "starts", "ends", "items", *part.schema.names[rest:]])
 
     keys = "file long, " if "file" in texts.columns else ""
-    return texts.mapInArrow(run, f"{keys}rid long, doc_id long, n_words long, starts array<int>, ends array<int>, items array<string>" + carried_schema(texts))
+    return texts.mapInArrow(run, f"{keys}rid long, doc_id long, n_words long, starts array<int>, ends array<int>, items array<string>" + (", text string" if with_text else "") + carried_schema(texts))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 5, block_bytes: int = 4 << 20, carry: tuple[str, ...] = ()) -> DataFrame:
-    """``rid, doc_id, n_words, n_hit, items``, and ``carried`` if columns go along: the words inside benchmark windows and the items (as strings, sorted) they are of."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 5, block_bytes: int = 4 << 20, carry: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
+    """``rid, doc_id, n_words, n_hit, items``, ``text`` (a null one is empty) if asked for, and ``carried`` if columns go along: the words inside benchmark windows and the items (as strings, sorted) they are of."""
     items = benchmark.where(F.col("text").isNotNull()).select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), "text")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = 1 + size // block_bytes
@@ -200,9 +201,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
     hits = None
     for block in range(n_blocks):
         own = items if n_blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block)
-        part = _block_hits(texts, own, window, shingle)
+        part = _block_hits(texts, own, window, shingle, with_text)
         hits = part if hits is None else hits.unionByName(part)
-    rest = [c for c in texts.columns if c == "carried"]
+    rest = [*(["text"] if with_text else []), *(["carried"] if carry else [])]
     if n_blocks > 1:
         lists = [F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends")]
         hits = hits.groupBy("file", "rid").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), *lists, F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), *(F.first(c).alias(c) for c in rest))
