@@ -5,6 +5,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -416,3 +417,28 @@ def test_references_in_pages_are_closed(spark):
     html = "<p>a&amp;&amp</p><p>&lt;b&gt &copy; &copyright; &#65; &#65 &amp;lt; x&y;"
     got = files.page_elements(spark.createDataFrame([(1, html)], "page_id long, html string")).orderBy("elem_idx").collect()
     assert [r["text"] for r in got] == ["a&&amp", "<b&gt © &copyright; A &#65 &lt; x&y;"]
+
+
+def test_groups_are_clustered_as_they_are_alone():
+    rng, groups = np.random.default_rng(3), []
+    for n in (1, 2, 5, 9, 5, 40, 9, 5):
+        x = rng.poisson(1.0, (n, 64)).astype(float)
+        groups.append(x[rng.integers(0, n, n)])
+    found = tree.group_labels(groups)
+    assert [x.tolist() for x in found] == [tree.mixture_labels(x).tolist() for x in groups] and len(set(found[5].tolist())) > 1
+
+
+def test_whole_groups_across_batches(spark, monkeypatch):
+    """Groups go on over the batches that a task is given, and as many as are wanted go together."""
+    seen = []
+    monkeypatch.setattr(tree, "HELD_ROWS", 4)
+    monkeypatch.setattr(tree, "WORD_ROWS", 3)
+
+    def summarised(pdf):
+        seen.append(list(zip(pdf["doc_id"], pdf["part"], strict=True)))
+        return pdf.iloc[:0].assign(level=0, children=None)[["doc_id", "level", "node", "at", "content", "children"]]
+
+    groups = [(1, 0)] * 2 + [(2, 0)] * 7 + [(2, 1)] + [(3, 0)] * 3
+    rows_ = pa.table({"doc_id": [g[0] for g in groups], "node": ["n"] * 13, "at": list(range(13)), "content": ["c"] * 13, "nodes": [0] * 13, "part": [g[1] for g in groups], "t": [["w"]] * 13})
+    list(tree._grouped(summarised)(iter(rows_.to_batches(max_chunksize=5))))
+    assert sum(seen, []) == groups and all(seen[i][-1] != seen[i + 1][0] for i in range(len(seen) - 1)) and len(seen) > 1
