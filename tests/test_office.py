@@ -96,3 +96,18 @@ def test_damage_is_an_error_of_the_file(kind):
         office._problem(read, bytes(content))
     for text in ("<", "<a/>", '<worksheet><sheetData><row r="x"><c r="" t="s" s="-9"><v>-1</v></c></row></sheetData></worksheet>', '<w><row r="1"><c r="A1"><v>1e999</v></c></row></w>'):
         assert office._problem(lambda c: office.workbook_tables(c, True), office.package_bytes({"xl/w.xml": text, "xl/workbook.xml": f'<w xmlns:r="{office._OFFICE}"><sheet r:id="rId1"/></w>'}, "xl/workbook.xml", {"xl/workbook.xml": [("worksheet", "xl/w.xml")]})) != 0
+
+
+def test_small_files_are_read_once_and_large_ones_again(monkeypatch):
+    monkeypatch.setattr(office, "BATCH", 5)
+    reads = []
+
+    def read(content):
+        reads.append(content)
+        for i in range(content[0]):
+            yield (i, "x")
+        if content[1:]:
+            raise ValueError("cut")
+
+    assert [len(list(office._sound(read, bytes(c)))) for c in ([5], [6], [5, 0], [6, 0])] == [5, 6, 0, 0]
+    assert reads == [b"\x05", b"\x06", b"\x06", b"\x05\x00", b"\x06\x00"]
