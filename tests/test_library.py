@@ -442,3 +442,12 @@ def test_whole_groups_across_batches(spark, monkeypatch):
     rows_ = pa.table({"doc_id": [g[0] for g in groups], "node": ["n"] * 13, "at": list(range(13)), "content": ["c"] * 13, "nodes": [0] * 13, "part": [g[1] for g in groups], "t": [["w"]] * 13})
     list(tree._grouped(summarised)(iter(rows_.to_batches(max_chunksize=5))))
     assert sum(seen, []) == groups and all(seen[i][-1] != seen[i + 1][0] for i in range(len(seen) - 1)) and len(seen) > 1
+
+
+def test_ways_to_split_are_looked_up_once(monkeypatch):
+    """The pieces that begin at a place don't depend on how it was reached; words are found by two characters at their ends."""
+    words = lexicon.Words({"ab": -3, "abc": -4, "bc": -3, "cd": -2, "d": -5, "bcde": -1, "e": -6})
+    asked, edges = Counter(), lexicon.Words.edges
+    monkeypatch.setattr(lexicon.Words, "edges", lambda self, text, at: (asked.update([at]), edges(self, text, at))[1])
+    assert words.forward("abcdexab") == [(0, 3), (3, 4), (4, 5), (5, 6), (6, 8)] and words.backward("abcdexab") == [(0, 1), (1, 5), (5, 6), (6, 8)]
+    assert words.best("abcdeabcd") and max(asked.values()) == 1
