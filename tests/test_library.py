@@ -13,6 +13,7 @@ from strataflow.engine import NOTHING_FOUND, Engine
 from strataflow.functions import numbers
 from strataflow.functions import text as T
 from strataflow.operators import chunking, context, evaluation, exhaustive, index, keyword, lexicon, retrieval, search, tree
+from strataflow.plans import registry
 from strataflow.plans.config import Config, update_plan
 from strataflow.plans.registry import ORACLE_SQL, QUERIES
 from strataflow.sources import files
@@ -451,3 +452,27 @@ def test_ways_to_split_are_looked_up_once(monkeypatch):
     monkeypatch.setattr(lexicon.Words, "edges", lambda self, text, at: (asked.update([at]), edges(self, text, at))[1])
     assert words.forward("abcdexab") == [(0, 3), (3, 4), (4, 5), (5, 6), (6, 8)] and words.backward("abcdexab") == [(0, 1), (1, 5), (5, 6), (6, 8)]
     assert words.best("abcdeabcd") and max(asked.values()) == 1
+
+
+def test_term_statistics_take_no_postings(spark, monkeypatch):
+    monkeypatch.setattr(keyword, "postings_of_words", None)
+    chunks = spark.createDataFrame([(1, ["a", "b", "a"]), (2, ["a"]), (3, None), (4, [])], "doc_id long, words array<string>")
+    assert {r["term"]: r["df"] for r in registry._term_stats(chunks).collect()} == {"a": 2, "b": 1}
+
+
+def test_batches_of_chunks_are_bounded_by_characters(monkeypatch):
+    monkeypatch.setattr(chunking, "BATCH_CHARS", 1000)
+    rows_ = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array(["x" * 600] * 9)], names=["doc_id", "text"])
+
+    class Rows:
+        schema = {"doc_id": type("F", (), {"dataType": type("T", (), {"simpleString": lambda self: "bigint"})()})()}
+        select = where = lambda self, *_: self
+
+        def mapInArrow(self, run, _):  # noqa: N802
+            self.made = [len(b) for b in run(iter([rows_]))]
+            raise StopIteration
+
+    own = Rows()
+    with pytest.raises(StopIteration):
+        chunking.chunk_documents(own)
+    assert sum(own.made) == 9 and max(own.made) == 2
