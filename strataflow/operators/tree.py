@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..sources.stored import kept
-from .search import WORD_ROWS, hashed_rows
+from .search import hashed_rows
 
 
+#: Rows whose words are hashed at once.
+WORD_ROWS = 1000
 #: Rows whose mixtures are fitted at once, and rows and bytes of whole groups that a task looks through for those of one size.
 AT_ONCE, HELD_ROWS, HELD_BYTES = 512, 1 << 14, 16 << 20
 #: The dimension of a node's embedding.

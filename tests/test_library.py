@@ -476,3 +476,25 @@ def test_batches_of_chunks_are_bounded_by_characters(monkeypatch):
     with pytest.raises(StopIteration):
         chunking.chunk_documents(own)
     assert sum(own.made) == 9 and max(own.made) == 2
+
+
+def test_words_are_hashed_once_and_go_to_python_alone(spark, monkeypatch):
+    """A word of several thousand rows is hashed once for all of them; rows of many words are taken apart, and only words leave the JVM."""
+    calls, real = [], search.hashlib.md5
+    monkeypatch.setattr(search.hashlib, "md5", lambda *a, **k: calls.append(a) or real(*a, **k))
+    rng, few = np.random.default_rng(5), [f"w{i}" for i in range(100_000)]
+    rows_ = [[few[i] for i in own] for own in rng.integers(0, 100_000, (3000, 40))] + [None, [], ["ß", "a"] * 2]
+    words = pa.array(rows_, pa.list_(pa.string()))
+    got = np.concatenate([search.hashed_rows(part, 64) for part in search.word_slices(words)])
+    assert len(calls) == len({w for own in rows_ for w in own or []})
+    for own, x in zip(rows_, got, strict=True):
+        want = np.bincount([int(real(w.encode()).hexdigest()[:8], 16) % 64 for w in own or []], minlength=64)
+        assert x.tolist() == (want / (np.sqrt((want * want).sum()) or 1.0)).tolist()
+    cut = list(search.word_slices(pa.array([["a"] * n for n in (5, 90, 300, 1, 0, 70)]), 200))
+    assert [len(x) for part in cut for x in part] == [5, 90, 300, 1, 0, 70] and len(cut) > 2
+    table = spark.createDataFrame([(1, "t", ["x", "y"]), (2, "u", None)], "k long, content string, words array<string>")
+    out = search.hash_embeddings(table, table.columns, "words", 8)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and [sum(x > 0 for x in r["embedding"]) for r in out.orderBy("k").collect()] == [2, 0]
+    index_ = retrieval.index_of(table.select("k", "content"), ["k"], 8, with_text=False)
+    assert sorted(index_.chunks.columns) == ["embedding", "k", "words"]
