@@ -498,3 +498,21 @@ def test_words_are_hashed_once_and_go_to_python_alone(spark, monkeypatch):
     assert "MapInArrow" not in plan and [sum(x > 0 for x in r["embedding"]) for r in out.orderBy("k").collect()] == [2, 0]
     index_ = retrieval.index_of(table.select("k", "content"), ["k"], 8, with_text=False)
     assert sorted(index_.chunks.columns) == ["embedding", "k", "words"]
+
+
+def test_keyword_scores_meet_the_queries_that_ask(spark):
+    """A term that few queries ask has postings, one that many ask a column; rows meet no other queries, and the scores are those of all products."""
+    rng = np.random.default_rng(11)
+    asked = {i: {f"w{w}": float(x) for w, x in zip(rng.integers(0, 300, 6), rng.uniform(0.1, 4, 6), strict=True)} | {"often": 0.5 + i} | {"never": 0.0} for i in range(30)}
+    q = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(30)], "query_id long, embedding array<double>")
+    weights = spark.createDataFrame([(i, t, w) for i, own in asked.items() for t, w in own.items()], "query_id long, term string, weight double")
+    (block,) = exhaustive.query_blocks(q, weights)
+    many = [t for t in block.terms.to_pylist() if sum(own.get(t, 0.0) != 0 for own in asked.values()) > exhaustive.DENSE]
+    assert "often" in many and block.matrix.shape == (30, len(many))
+    assert len(block.askers) + np.count_nonzero(block.matrix) == sum(w != 0 for own in asked.values() for w in own.values())
+    rows_ = [[f"w{w}" for w in rng.integers(0, 400, n)] + ["often"] * (n % 3) for n in rng.integers(1, 60, 50)] + [None, [], ["never"]]
+    scores, shared = exhaustive._keyword_scores(block, pa.array(rows_, pa.list_(pa.string())).slice(1), 30.0, matches=True)
+    for at, i in enumerate(block.ids.to_pylist()):
+        for j, own in enumerate(r or [] for r in rows_[1:]):
+            want = sum(w * own.count(t) * 2.5 / (own.count(t) + 1.5 * (0.25 + 0.75 * len(own) / 30.0)) for t, w in asked[i].items())
+            assert scores[at, j] == pytest.approx(want, abs=1e-12) and shared[at, j] == any(asked[i].get(t) for t in own)
