@@ -516,3 +516,22 @@ def test_keyword_scores_meet_the_queries_that_ask(spark):
         for j, own in enumerate(r or [] for r in rows_[1:]):
             want = sum(w * own.count(t) * 2.5 / (own.count(t) + 1.5 * (0.25 + 0.75 * len(own) / 30.0)) for t, w in asked[i].items())
             assert scores[at, j] == pytest.approx(want, abs=1e-12) and shared[at, j] == any(asked[i].get(t) for t in own)
+
+
+def test_rows_of_candidates_are_not_shuffled(spark, monkeypatch):
+    """The words of all rows stay where they are, whatever the session's limit for broadcasts; too many candidates meet them in a shuffle, with the same scores."""
+    rows_ = spark.createDataFrame([(i, [f"w{i % 7}", f"w{i % 3}", "x"]) for i in range(60)], "c long, words array<string>")
+    candidates = spark.createDataFrame([(q, c) for q in range(3) for c in range(q, 60, 5)], "query_id long, c long")
+    asked = spark.createDataFrame([(q, s, f"w{q + s}", 1 + s, 0.5) for q in range(3) for s in range(2)], "query_id long, sub_idx int, term string, qtf long, idf double")
+    limit_before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = []
+        for limit, joins in ((1 << 19, 1), (35, 0)):
+            monkeypatch.setattr(keyword, "BROADCAST_CANDIDATES", limit)
+            out = keyword.row_scores(candidates, rows_, asked, ["c"], 3.0)
+            assert out._jdf.queryExecution().sparkPlan().toString().count("BroadcastHashJoin") == joins
+            found.append(sorted(map(tuple, out.collect())))
+        assert found[0] == found[1] and found[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit_before)
