@@ -535,3 +535,19 @@ def test_rows_of_candidates_are_not_shuffled(spark, monkeypatch):
         assert found[0] == found[1] and found[0]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit_before)
+
+
+def test_a_search_by_vectors_keeps_no_words(spark, tmp_path, monkeypatch):
+    """Searches without keyword scores count and store no words; what they find is what an index with keywords finds."""
+    made, real = [], retrieval.index_of
+    monkeypatch.setattr(retrieval, "index_of", lambda *a, **k: made.append(real(*a, **k)) or made[-1])
+    spark.createDataFrame([(i, " ".join(f"w{(i * j) % 23}" for j in range(1, 9))) for i in range(1, 40)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, f"w{i} w{2 * i} w{3 * i}") for i in range(1, 6)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name in ("search_without_rerank", "search_vector_only", "search_fused_threshold"):
+        made.clear()
+        found = sorted(map(tuple, registry.QUERIES[name](spark, str(tmp_path)).collect()))
+        assert made[0].term_stats is None and sorted(made[0].chunks.columns) == ["doc_id", "embedding", "sequence"]
+        monkeypatch.setattr(retrieval, "index_of", lambda *a, **k: real(*a, **k | {"with_keywords": True}))
+        assert found == sorted(map(tuple, registry.QUERIES[name](spark, str(tmp_path)).collect()))
+        monkeypatch.setattr(retrieval, "index_of", lambda *a, **k: made.append(real(*a, **k)) or made[-1])
+        assert found or name == "search_vector_only"
