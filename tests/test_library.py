@@ -18,6 +18,7 @@ from strataflow.plans.config import Config, update_plan
 from strataflow.plans.registry import ORACLE_SQL, QUERIES
 from strataflow.sources import files
 from strataflow.sources.store import IndexStore
+from strataflow.sources.stored import kept
 from strataflow.streaming import updates
 
 SF = "/root/testdata/sf0.001"
@@ -551,3 +552,21 @@ def test_a_search_by_vectors_keeps_no_words(spark, tmp_path, monkeypatch):
         assert found == sorted(map(tuple, registry.QUERIES[name](spark, str(tmp_path)).collect()))
         monkeypatch.setattr(retrieval, "index_of", lambda *a, **k: made.append(real(*a, **k)) or made[-1])
         assert found or name == "search_vector_only"
+
+
+def test_document_frequencies_are_counted_beside_the_embeddings(spark, monkeypatch):
+    """Frequencies come as sums for many rows at once, so that an index doesn't go through all words again; they are those of the rows' words."""
+    table = spark.createDataFrame([(i, None if i == 7 else " ".join(f"w{(i * j) % 31}" for j in range(i % 50))) for i in range(300)], "k long, content string").repartition(3)
+    worded = table.select("k", T.tokens(F.col("content")).alias("words"))
+    want = sorted(map(tuple, keyword.frequencies(worded).collect()))
+    counted = worded.withColumn("d", keyword.partial_frequencies("words"))
+    stored = kept(counted)
+    assert sorted(map(tuple, keyword.summed_frequencies(stored, "d").collect())) == want
+    assert 1 <= stored.where(F.size("d") > 0).count() < 10
+    both = search.hash_embeddings(counted, counted.columns, "words", 8)
+    assert both._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    monkeypatch.setattr(keyword, "frequencies", None)
+    made = retrieval.index_of(table, ["k"], 8)
+    assert sorted((r["term"], r["df"]) for r in made.term_stats.collect()) == want and sorted(made.chunks.columns) == ["content", "embedding", "k", "words"]
+    assert made.avgdl == pytest.approx(sum(df for df in worded.select(F.size("words")).toPandas().iloc[:, 0] if df > 0) / worded.where(F.size("words") > 0).count())
+    assert retrieval.index_of(table.limit(0), ["k"], 8).term_stats.count() == 0
