@@ -2,6 +2,7 @@
 
 import math
 from collections import Counter
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -455,6 +456,30 @@ def test_ways_to_split_are_looked_up_once(monkeypatch):
     assert words.best("abcdeabcd") and max(asked.values()) == 1
 
 
+def test_stretches_of_any_length_have_the_highest_score():
+    """The whole score decides also beyond 40 characters, against all ways by pieces and longer pieces; of equal ones the longest last pieces."""
+    rng = np.random.default_rng(4)
+    draw = lambda n: "".join(rng.choice(list("甲乙丙"), n))
+    for _ in range(25):
+        words = lexicon.Words({draw(rng.integers(1, 6)): -int(rng.integers(0, 6)) for _ in range(25)})
+        for text in (draw(rng.integers(41, 70)), draw(rng.integers(1, 11))):
+            weights = [{(0, 0): 0}] + [{} for _ in text]
+            for at in range(len(text)):
+                for end, w in words.edges(text, at) if weights[at] else ():
+                    for (n, long), weight in weights[at].items():
+                        state = (n + 1, long + (end - at > 1))
+                        weights[end][state] = max(weights[end].get(state, weight + w), weight + w)
+            most = max(Fraction(30 + long, n) + weight for (n, long), weight in weights[-1].items())
+            exact = lambda way: Fraction(30 + sum(b - a > 1 for a, b in way), len(way)) + sum(words.weights.get(text[a:b], lexicon.UNKNOWN) for a, b in way)  # noqa: B023, E731
+            assert exact(got := words.best(text)) == most
+            assert len(text) > 10 or got == min((w for w in words.paths(text) if exact(w) == most), key=lambda w: w[::-1])
+    # Of equal weights, the ways of more longer pieces, however much comes before.
+    words = lexicon.Words({"甲": -1, "乙": -1, "丙": -1, "甲乙": -2, "乙丙": -2, "甲乙丙": -3})
+    for n in (1, 13, 14, 20_000):
+        assert words.best("甲乙丙" * n) == [(i, i + 3) for i in range(0, 3 * n, 3)]
+    assert words.best("") == []
+
+
 def test_term_statistics_take_no_postings(spark, monkeypatch):
     monkeypatch.setattr(keyword, "postings_of_words", None)
     chunks = spark.createDataFrame([(1, ["a", "b", "a"]), (2, ["a"]), (3, None), (4, [])], "doc_id long, words array<string>")
